@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +26,24 @@ def build_session(app: str = "wayspan", cpus: int | str | None = None, partition
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="wayspan-")  # the file server reads it as long as the application runs
+    atexit.register(shutil.rmtree, d, True)
+    path = os.path.join(d, f"wayspan-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in (n for n in names if n.endswith(".py")):
+                f = os.path.join(top, n)
+                z.write(f, os.path.relpath(f, os.path.dirname(here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
