@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import preferences, sql, url_rules, winnowing
+from wayspan.llm import language, preferences, quality, sql, url_rules, winnowing
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def remainder(key: str, n: int) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    trees = quality.fit(docs, labels)
+    d = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), quality.score(trees, F.col("text"), spark).alias("score"))
+    return d.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = preferences.format_preferences(preferences.derived_pairs(table(spark, sf_dir, "conversations")))
     return d.withColumns({c: preferences.span_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
@@ -25,10 +37,19 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language.fit(docs.filter(remainder("doc_id", 3) != 1))
+    d = docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), language.identify(filters, F.col("text"), spark).alias("r"))
+    return d.select("doc_id", "held_out", "r.lang_pred", "r.score")
+
+
 QUERIES = {
+    "op2_quality_trees": op2_quality_trees,
     "op3_preferences": op3_preferences,
     "op5_winnowing": op5_winnowing,
     "op6_url_rules": op6_url_rules,
+    "op10_language_masks": op10_language_masks,
 }
 
 ORACLE = {k: v for k, v in sql.ORACLE.items() if k in QUERIES}
