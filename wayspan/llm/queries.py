@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import language, preferences, quality, sql, url_rules, winnowing
+from wayspan.llm import language, packing, preferences, quality, sql, url_rules, winnowing
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -28,6 +28,16 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({c: preferences.span_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -47,6 +57,7 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_trees": op2_quality_trees,
     "op3_preferences": op3_preferences,
+    "op4_cutting_stock": op4_cutting_stock,
     "op5_winnowing": op5_winnowing,
     "op6_url_rules": op6_url_rules,
     "op10_language_masks": op10_language_masks,

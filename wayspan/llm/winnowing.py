@@ -11,6 +11,8 @@ Nothing is capped: texts of up to 2^31 words keep every position.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,7 +64,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
-def in_order(docs: DataFrame, key: str, text: str, per: int = 8) -> DataFrame:
+def _longs(values: list[int | None]) -> Column:
+    """A literal array; written as text, since the plan then holds one literal instead of one for each value."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def in_order(docs: DataFrame, key: str, text: str, per: int = 4) -> DataFrame:
     """``key`` and ``text`` in buckets of ascending key, about equal in rows; each bucket also has the first rows of
     the next one (``__tail`` true), and the last has those of the first, so that every row's successor is beside it.
 
@@ -74,12 +81,14 @@ def in_order(docs: DataFrame, key: str, text: str, per: int = 8) -> DataFrame:
     d = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     cuts = d.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("q")).head()["q"] or []
     cuts = sorted(set(cuts))
-    bucket = F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key)))) if cuts else F.lit(0)
-    d = d.withColumn("__b", bucket)
+    at_most = F.size(F.filter(_longs(cuts), lambda c: c <= F.col(key)))
+    d = d.withColumn("__b", F.when(F.col(key).isNull(), 0).otherwise(at_most))
     firsts = bounded(d.groupBy("__b").agg(F.min(key).alias("lo"), F.max(F.col(key).isNull()).alias("nul")).orderBy("__b"), n + 1, "buckets")
-    # Of every bucket's first key: the bucket before it, which gets copies of the rows of that key.
-    prev = {r["__b"]: firsts[i - 1]["__b"] for i, r in enumerate(firsts)}
-    to = F.coalesce(*[F.when((F.col("__b") == r["__b"]) & (F.col(key).isNull() if r["nul"] else F.col(key) == F.lit(r["lo"])), F.lit(prev[r["__b"]])) for r in firsts], F.lit(None).cast("int")) if firsts else F.lit(None).cast("int")
+    # By bucket: its first key, and the bucket before it, which gets copies of the rows of that key.
+    lo, prev = [None] * (n + 1), [None] * (n + 1)
+    for i, r in enumerate(firsts):
+        lo[r["__b"]], prev[r["__b"]] = None if r["nul"] else r["lo"], firsts[i - 1]["__b"]
+    to = F.when(F.col(key).eqNullSafe(F.element_at(_longs(lo), F.col("__b") + 1)), F.element_at(_longs(prev), F.col("__b") + 1).cast("int"))
     d = d.withColumn("__to", to)
     none = F.lit(None).cast("int")
     copies = F.filter(F.array(F.struct(F.col("__b").alias("b"), F.lit(False).alias("tail")), F.struct(F.coalesce("__to", none).alias("b"), F.lit(True).alias("tail"))), lambda x: x["b"].isNotNull())
