@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import language, packing, preferences, quality, sql, url_rules, winnowing
+from wayspan.llm import language, near_dedup, packing, preferences, quality, sql, url_rules, winnowing
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -47,6 +47,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.fit(docs.filter(remainder("doc_id", 3) != 1))
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_cutting_stock": op4_cutting_stock,
     "op5_winnowing": op5_winnowing,
     "op6_url_rules": op6_url_rules,
+    "op8_hyperminhash": op8_hyperminhash,
     "op10_language_masks": op10_language_masks,
 }
 
