@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import language, near_dedup, packing, preferences, quality, sql, url_rules, winnowing
+from wayspan.llm import decontamination, language, near_dedup, packing, preferences, quality, sql, surrogates, url_rules, winnowing
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -15,6 +15,14 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clash = surrogates.collisions(surrogates.mentions(docs)).limit(1).count()
+    if clash:
+        raise ValueError("two entities share a surrogate")
+    return surrogates.replace_entities(docs)
+
+
 def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
@@ -47,6 +55,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
@@ -59,11 +71,13 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_quality_trees": op2_quality_trees,
     "op3_preferences": op3_preferences,
     "op4_cutting_stock": op4_cutting_stock,
     "op5_winnowing": op5_winnowing,
     "op6_url_rules": op6_url_rules,
+    "op7_spaced_seeds": op7_spaced_seeds,
     "op8_hyperminhash": op8_hyperminhash,
     "op10_language_masks": op10_language_masks,
 }
