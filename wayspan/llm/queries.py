@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import decontamination, language, near_dedup, packing, preferences, quality, sql, surrogates, url_rules, winnowing
+from wayspan.llm import decontamination, language, near_dedup, packing, preferences, quality, sql, surrogates, url_rules, winnowing, wrappers
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -63,6 +63,10 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.fit(docs.filter(remainder("doc_id", 3) != 1))
@@ -79,6 +83,7 @@ QUERIES = {
     "op6_url_rules": op6_url_rules,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_hyperminhash": op8_hyperminhash,
+    "op9_wrappers": op9_wrappers,
     "op10_language_masks": op10_language_masks,
 }
 
