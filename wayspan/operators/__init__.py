@@ -1 +1 @@
-"""See the modules of this package."""
+"""DataFrame-to-DataFrame operators on tracks, trips and their neighbours."""

@@ -2,5 +2,565 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayspan.functions import geo
+from wayspan.operators import checks, duplicates, enrich, movement, outliers, pipeline, rates, reports, schema, subsample, trips
+from wayspan.plans.adapter import DOUBLED, ORDER, TRACK, doubled, gapped, haversine, placed, speeds, track, xy
+from wayspan.sources import simulate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+C = F.col
+
+COLONY = (0.0, 50.5)
+#: A made-up island, as lon/lat corners.
+ISLAND = [(-0.2, 50.2), (0.3, 50.25), (0.35, 50.7), (0.0, 50.8), (-0.25, 50.6)]
+LAND = [[geo.project_point(*p) for p in ISLAND]]
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return movement.gap_section(placed(spark, sf_dir).select("TagID", "DateTime", "event_id", "longitude", "latitude", "satellites_used", "gps_pdop"), order=ORDER)
+
+
+W = 'WINDOW w AS (PARTITION BY "TagID" ORDER BY "DateTime", event_id)'
+G = f"WITH {TRACK}, {gapped()}"  # gap sections over placed fixes
+
+
+@query("track_summary", f"""{G}, {speeds('gapped', True)}
+SELECT "TagID", count(*) AS n_fixes, max(gapsec) AS n_sections, round(sum(dist) / 1000, 3) AS km, round(avg(traj_speed), 6) AS mean_speed, round(max(traj_speed), 6) AS max_speed FROM speeds GROUP BY "TagID" """)
+def track_summary(spark, sf_dir):
+    d = movement.traj_speed(_gapped(spark, sf_dir), True, ORDER)
+    return d.groupBy("TagID").agg(F.count("*").alias("n_fixes"), F.max("gapsec").alias("n_sections"), F.round(F.sum("dist") / 1000, 3).alias("km"), F.round(F.avg("traj_speed"), 6).alias("mean_speed"), F.round(F.max("traj_speed"), 6).alias("max_speed"))
+
+
+@query("gap_section", f'{G} SELECT "TagID", "DateTime", event_id, round(dt, 3) AS dt, gap, gapsec FROM gapped')
+def gap_section(spark, sf_dir):
+    return rounded(_gapped(spark, sf_dir).select("TagID", "DateTime", "event_id", "dt", "gap", "gapsec"), dt=3)
+
+
+@query("gap_section_drop_single", f"""{G}, k AS (SELECT *, count(*) OVER (PARTITION BY "TagID", gapsec) AS n FROM gapped)
+SELECT "TagID", event_id, gapsec, round((epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6, 3) AS dt FROM k WHERE n > 1 {W}""")
+def gap_section_drop_single(spark, sf_dir):
+    d = movement.gap_section(placed(spark, sf_dir), drop_single=True, order=ORDER)
+    return rounded(d.select("TagID", "event_id", "gapsec", "dt"), dt=3)
+
+
+@query("traj_speed", f'WITH {TRACK}, {speeds("placed")} SELECT "TagID", event_id, round(dist, 3) AS dist, round(dt, 3) AS dt, round(traj_speed, 6) AS traj_speed FROM speeds')
+def traj_speed(spark, sf_dir):
+    d = movement.traj_speed(placed(spark, sf_dir), order=ORDER)
+    return rounded(d.select("TagID", "event_id", "dist", "dt", "traj_speed"), dist=3, dt=3, traj_speed=6)
+
+
+@query("smooth_mcconnell", f"""WITH {TRACK}, {speeds('placed')}
+SELECT "TagID", event_id, CASE WHEN count(traj_speed) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 5 THEN
+  round(sqrt(0.25 * (pow(lag(traj_speed, 2) OVER w, 2) + pow(lag(traj_speed) OVER w, 2) + pow(lead(traj_speed) OVER w, 2) + pow(lead(traj_speed, 2) OVER w, 2))), 6) END AS traj_speed_sm
+FROM speeds {W}""")
+def smooth_mcconnell(spark, sf_dir):
+    return rounded(movement.traj_speed_sm(placed(spark, sf_dir), order=ORDER).select("TagID", "event_id", "traj_speed_sm"), traj_speed_sm=6)
+
+
+@query("smooth_flexi", f"""WITH {TRACK}, {speeds('placed')}, a AS (
+SELECT *, count(traj_speed) OVER f AS n, sum(traj_speed * traj_speed) OVER f AS s FROM speeds WINDOW f AS (PARTITION BY "TagID" ORDER BY "DateTime", event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT "TagID", event_id, CASE WHEN n = 7 THEN round(sqrt(s / 7), 6) END AS clip, CASE WHEN n > 0 THEN round(sqrt(s / n), 6) END AS vec FROM a""")
+def smooth_flexi(spark, sf_dir):
+    d = placed(spark, sf_dir)
+    a = movement.traj_speed_sm(d, points=3, include_centre=True, method="flexi_clip", order=ORDER).withColumnRenamed("traj_speed_sm", "clip")
+    b = movement.traj_speed_sm(a.drop("dist", "dt", "traj_speed"), points=3, include_centre=True, method="flexi_vec", order=ORDER)
+    return b.select("TagID", "event_id", F.round("clip", 6).alias("clip"), F.round("traj_speed_sm", 6).alias("vec"))
+
+
+SPEED_LIMIT = 5.0
+
+
+@query("speed_filt", f"""WITH RECURSIVE {TRACK}, {speeds('placed')}, b AS (
+  SELECT "TagID", event_id, epoch_us("DateTime") AS us, longitude, latitude, traj_speed, lead(traj_speed) OVER w AS nxt,
+         max(traj_speed) OVER (PARTITION BY "TagID") AS top FROM speeds {W}
+), c AS (SELECT *, coalesce(top > {SPEED_LIMIT} AND traj_speed > {SPEED_LIMIT + 20} AND nxt > {SPEED_LIMIT + 20}, false) AS both_ FROM b),
+d AS (SELECT *, both_ AND sum(both_::INT) OVER (PARTITION BY "TagID" ORDER BY us, event_id) = 1 AS first_ FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY "TagID" ORDER BY us, event_id) AS k FROM d WHERE NOT first_),
+f("TagID", k, us, lon, lat, event_id, kept) AS (
+  SELECT "TagID", k, us, longitude, latitude, event_id, true FROM e WHERE k = 1
+  UNION ALL
+  SELECT e."TagID", e.k, CASE WHEN x.ok THEN e.us ELSE f.us END, CASE WHEN x.ok THEN e.longitude ELSE f.lon END, CASE WHEN x.ok THEN e.latitude ELSE f.lat END, e.event_id, x.ok
+  FROM f JOIN e ON e."TagID" = f."TagID" AND e.k = f.k + 1,
+  LATERAL (SELECT coalesce({haversine('f.lon', 'f.lat', 'e.longitude', 'e.latitude')} / nullif((e.us - f.us) / 1e6, 0) < {SPEED_LIMIT}, true) AS ok) x
+)
+SELECT d."TagID", d.event_id, CASE WHEN f.kept THEN 0 ELSE 1 END AS speed_rm FROM d LEFT JOIN f ON f."TagID" = d."TagID" AND f.event_id = d.event_id""")
+def speed_filt(spark, sf_dir):
+    d = placed(spark, sf_dir).select("TagID", "DateTime", "event_id", "longitude", "latitude")
+    return movement.speed_filt(d, SPEED_LIMIT, has_gaps=False, order=ORDER).select("TagID", "event_id", "speed_rm")
+
+
+@query("speed_filt_smooth")
+def speed_filt_smooth(spark, sf_dir):
+    d = placed(spark, sf_dir).select("TagID", "DateTime", "event_id", "longitude", "latitude")
+    return movement.speed_filt(movement.gap_section(d, order=ORDER), SPEED_LIMIT, "mcconnell", hybrid=True, order=ORDER).select("TagID", "event_id", "gapsec", "speed_rm")
+
+
+@query("turn_filt", f"""{G}, h AS (SELECT *, atan2(lead(latitude) OVER w - latitude, lead(longitude) OVER w - longitude) AS h FROM gapped WINDOW w AS (PARTITION BY "TagID", gapsec ORDER BY "DateTime", event_id)),
+r AS (SELECT *, h - lag(h) OVER (PARTITION BY "TagID", gapsec ORDER BY "DateTime", event_id) AS d FROM h),
+a AS (SELECT *, CASE WHEN d > pi() THEN d - 2 * pi() WHEN d <= -pi() THEN d + 2 * pi() ELSE d END AS rel FROM r)
+SELECT "TagID", event_id, round(rel, 6) AS rel_angle, round(abs(rel), 6) AS abs_angle, CASE WHEN rel IS NULL THEN NULL WHEN abs(rel) <= {math.pi / 4!r} THEN 1 ELSE 0 END AS angle_rm FROM a""")
+def turn_filt(spark, sf_dir):
+    return rounded(movement.turn_filt(_gapped(spark, sf_dir), order=ORDER).select("TagID", "event_id", "rel_angle", "abs_angle", "angle_rm"), rel_angle=6, abs_angle=6)
+
+
+@query("filt_err", f"""WITH {TRACK}, f AS (SELECT "TagID", event_id,
+  CASE WHEN satellites_used IS NULL THEN NULL WHEN satellites_used <= 3 OR satellites_used >= 11 THEN 1 ELSE 0 END AS satellites_used_rm,
+  CASE WHEN gps_pdop IS NULL THEN NULL WHEN gps_pdop >= 30 THEN 1 ELSE 0 END AS gps_pdop_rm,
+  CASE WHEN event_type IS NULL THEN NULL WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_type_rm FROM track)
+SELECT *, greatest(satellites_used_rm, gps_pdop_rm, event_type_rm) AS all_rm FROM f""")
+def filt_err(spark, sf_dir):
+    d = checks.filt_err(track(spark, sf_dir), ["satellites_used", "gps_pdop", "event_type"], [3, None, "error"], [11, 30, None])
+    return d.select("TagID", "event_id", "satellites_used_rm", "gps_pdop_rm", "event_type_rm", "all_rm")
+
+
+@query("tag_spans", f"""WITH {TRACK} SELECT "TagID", event_id, CAST(longitude < -0.4 AS INT) AS minx_issue, CAST(longitude > 0.4 AS INT) AS maxx_issue, CAST(latitude < 50.1 AS INT) AS miny_issue, CAST(latitude > 50.9 AS INT) AS maxy_issue,
+  CAST("DateTime" > TIMESTAMP '2024-01-28' AS INT) AS future_issue, CAST("DateTime" < TIMESTAMP '2024-01-05' - INTERVAL 2 DAY OR "DateTime" > TIMESTAMP '2024-01-20' + INTERVAL 2 DAY AS INT) AS temporal_issue FROM track""")
+def tag_spans(spark, sf_dir):
+    d = checks.tag_spans(track(spark, sf_dir), (-0.4, 0.4), (50.1, 50.9), ("2024-01-05", "2024-01-20"), 2, "2024-01-28", order=ORDER)
+    return d.select("TagID", "event_id", *[c for c in d.columns if c.endswith("_issue")])
+
+
+@query("tag_spans_summary", f"""WITH {TRACK} SELECT "TagID", CAST(count(DISTINCT CASE WHEN longitude < -0.4 THEN longitude END) AS INT) AS n_minx, min(CASE WHEN longitude < -0.4 THEN longitude END) AS low FROM track GROUP BY "TagID" """)
+def tag_spans_summary(spark, sf_dir):
+    d = checks.tag_spans(track(spark, sf_dir), (-0.4, 0.4), mode="summary", now="2024-01-28", order=ORDER)
+    return d.select("TagID", F.size("minx_issue").alias("n_minx"), F.array_min("minx_issue").alias("low"))
+
+
+@query("column_checks", f"""WITH {TRACK} SELECT "TagID", event_id, CAST(longitude IS NULL OR latitude IS NULL AS INT) AS "NA_latlong_rm", CAST(satellites_used <= 3 AS INT) AS sat_rm, CAST(satellites_used IS NULL AS INT) AS "sat_NA",
+  CASE WHEN flt_switch IS NULL OR flt_switch <> 0 THEN -99 ELSE flt_switch END AS flt_switch, CAST("Type" = 'MoveBank' AND (flt_switch IS NULL OR flt_switch <> 0) AS INT) AS flt_rm, CAST(gps_pdop >= 7 AS INT) AS gps_pdop_rm,
+  CAST(count(*) OVER (PARTITION BY "TagID") < 65 AS INT) AS tid_rm, CASE WHEN longitude > -0.3 AND longitude < 0.3 AND latitude > 50.2 AND latitude < 50.8 THEN 0 ELSE 1 END AS ll_rm FROM track""")
+def column_checks(spark, sf_dir):
+    d = checks.precision(checks.flight_switch(checks.satellites(checks.null_position(track(spark, sf_dir)))), "gps_pdop")
+    d = checks.geofence(checks.few_fixes(d, 65, order=ORDER), (-0.3, 0.3), (50.2, 50.8))
+    return d.select("TagID", "event_id", "NA_latlong_rm", "sat_rm", "sat_NA", "flt_switch", "flt_rm", "gps_pdop_rm", "tid_rm", "ll_rm")
+
+
+@query("day_fixes", f"""WITH {TRACK}, n AS (SELECT *, count(*) OVER (PARTITION BY "TagID", CAST("DateTime" AS DATE)) AS n FROM track)
+SELECT "TagID", event_id, CAST(min(n) OVER (PARTITION BY "TagID") < 2 AS INT) AS strict_rm, CAST(n < 2 AS INT) AS granular_rm FROM n""")
+def day_fixes(spark, sf_dir):
+    d = checks.day_fixes(checks.day_fixes(track(spark, sf_dir), 2, True, "strict_rm", ORDER), 2, False, "granular_rm", ORDER)
+    return d.select("TagID", "event_id", "strict_rm", "granular_rm")
+
+
+@query("flag_summary", f"""WITH {TRACK}, f AS (SELECT "TagID", CAST(satellites_used <= 3 AS INT) AS sat_rm, CAST(gps_pdop >= 7 AS INT) AS gps_pdop_rm FROM track), l AS (SELECT "TagID", 'sat_rm' AS flag, sat_rm AS v FROM f UNION ALL SELECT "TagID", 'gps_pdop_rm', gps_pdop_rm FROM f)
+SELECT "TagID", flag, CAST(coalesce(sum(CAST(v = 1 AS INT)), 0) AS BIGINT) AS n_flagged, CAST(sum(CAST(v IS NULL AS INT)) AS BIGINT) AS n_na, count(*) AS total, round(100.0 * coalesce(sum(CAST(v = 1 AS INT)), 0) / count(*), 6) AS pct FROM l GROUP BY 1, 2""")
+def flag_summary(spark, sf_dir):
+    d = checks.precision(checks.satellites(track(spark, sf_dir)), "gps_pdop")
+    return rounded(checks.flag_summary(d, ["sat_rm", "gps_pdop_rm"], ORDER), pct=6)
+
+
+@query("clean_annotate", f"""WITH {TRACK}, {gapped('track')}
+SELECT "TagID", event_id, gap, gapsec, CAST(longitude IS NULL AS INT) AS "NA_latlong_rm", CAST(satellites_used <= 3 AS INT) AS sat_rm, CAST(gps_pdop >= 20 AS INT) AS gps_pdop_rm,
+  CAST(count(*) OVER (PARTITION BY "TagID", gapsec) = 1 AS INT) AS singlegap_rm,
+  greatest(CAST(longitude IS NULL AS INT), CAST(satellites_used <= 3 AS INT), CAST(gps_pdop >= 20 AS INT), CAST(count(*) OVER (PARTITION BY "TagID", gapsec) = 1 AS INT), 0) AS combined_rm FROM gapped""")
+def clean_annotate(spark, sf_dir):
+    d = pipeline.clean_track(track(spark, sf_dir), pipeline.Cleaning(pdop=20, drop_single_gap=True, dup_method=None), True, ORDER).data
+    return d.select("TagID", "event_id", "gap", "gapsec", "NA_latlong_rm", "sat_rm", "gps_pdop_rm", "singlegap_rm", "combined_rm")
+
+
+@query("clean_drop", f"""WITH {TRACK}, kept AS (SELECT * FROM placed WHERE (satellites_used > 3 OR satellites_used IS NULL) AND gps_pdop < 20), {gapped('kept')}
+SELECT "TagID", event_id, gap, gapsec, round(dt, 3) AS dt FROM gapped""")
+def clean_drop(spark, sf_dir):
+    d = pipeline.clean_track(track(spark, sf_dir), pipeline.Cleaning(pdop=20, dup_method=None), False, ORDER).data
+    return rounded(d.select("TagID", "event_id", "gap", "gapsec", "dt"), dt=3)
+
+
+@query("stage_counts", f"""WITH {TRACK} SELECT "TagID", count(*) AS raw, CAST(sum(CAST(longitude IS NOT NULL AS INT)) AS BIGINT) AS "after_NA_latlong",
+  CAST(sum(CAST(longitude IS NOT NULL AND (satellites_used IS NULL OR satellites_used > 3) AS INT)) AS BIGINT) AS after_sat FROM track GROUP BY "TagID" """)
+def stage_counts(spark, sf_dir):
+    d = checks.satellites(checks.null_position(track(spark, sf_dir)))
+    return checks.stage_counts(d, ["NA_latlong_rm", "sat_rm"], ORDER)
+
+
+@query("clean_track_full")
+def clean_track_full(spark, sf_dir):
+    how = pipeline.Cleaning(pdop=20, min_fix=5, speed=SPEED_LIMIT, turn=math.pi / 8, spans={"xra": (-0.4, 0.4), "now": "2024-01-28"}, flt_switch=True, drop_single_gap=True)
+    d = pipeline.clean_track(track(spark, sf_dir), how, True, ORDER)
+    return d.data.select("TagID", "event_id", *d.attributes["flags"], "combined_rm")
+
+
+BREAKS = ", ".join(f"({i}, {b * (1 + t)!r}, '{b:g}')" for i, (b, t) in enumerate(zip(rates.BREAKS, rates.TOL)))
+RATES = f"""r0 AS (SELECT *, (epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6 AS dt FROM placed {W}),
+r1 AS (SELECT *, max(dt) OVER () AS top FROM r0), b(i, e, label) AS (VALUES {BREAKS}),
+rated AS (SELECT r1.*, CASE WHEN dt IS NULL OR dt <= (SELECT e FROM b WHERE i = 0) THEN NULL ELSE coalesce((SELECT arg_min(label, i) FROM b WHERE b.e >= r1.dt), '<' || CAST(round(top) AS BIGINT)) END AS likely_rate FROM r1)"""
+
+
+@query("assign_rates", f'WITH {TRACK}, {RATES} SELECT "TagID", likely_rate, min("DateTime") AS "start", max("DateTime") AS "end", count(*) AS "N" FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1, 2')
+def assign_rates(spark, sf_dir):
+    return rates.assign_rates(placed(spark, sf_dir), order=ORDER)
+
+
+@query("rate_tables", f"""WITH {TRACK}, {RATES}, p AS (SELECT CAST("TagID" AS VARCHAR) AS "TagID", CASE WHEN likely_rate LIKE '<%' THEN '10800+' ELSE likely_rate END AS rate, count(*) AS "N" FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT * FROM p UNION ALL SELECT 'all', rate, CAST(sum("N") AS BIGINT) FROM p GROUP BY rate)
+SELECT "TagID", rate, "N", round(100.0 * "N" / sum("N") OVER (PARTITION BY "TagID"), 6) AS pct FROM u""")
+def rate_tables(spark, sf_dir):
+    return rounded(rates.rate_tables(placed(spark, sf_dir), order=ORDER)["counts"], pct=6)
+
+
+@query("rate_wide", f"""WITH {TRACK}, {RATES} SELECT CAST("TagID" AS VARCHAR) AS "TagID", count(*) FILTER (likely_rate = '3600') AS r3600, count(*) FILTER (likely_rate = '10800') AS r10800, count(*) FILTER (likely_rate LIKE '<%') AS over_ FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1""")
+def rate_wide(spark, sf_dir):
+    return rates.rate_tables(placed(spark, sf_dir), order=ORDER)["wide"].select("TagID", C("3600").alias("r3600"), C("10800").alias("r10800"), C("`10800+`").alias("over_"))
+
+
+STEP = 43200
+
+
+@query("subsample_rounder", f"""WITH {TRACK}, a AS (SELECT *, epoch_us("DateTime") AS us, CAST(round_even(epoch_us("DateTime") / {STEP}e6, 0) AS BIGINT) AS slot FROM placed),
+b AS (SELECT *, row_number() OVER (PARTITION BY "TagID", slot ORDER BY abs(us - slot * {STEP}000000), us, event_id) AS r FROM a),
+c AS (SELECT *, (us - lag(us) OVER (PARTITION BY "TagID" ORDER BY us, event_id)) / 1e6 AS g FROM b WHERE r = 1) SELECT "TagID", event_id FROM c WHERE g IS NULL OR g > {STEP * 0.8}""")
+def subsample_rounder(spark, sf_dir):
+    return subsample.rounder(placed(spark, sf_dir), STEP, order=ORDER).select("TagID", "event_id")
+
+
+@query("subsample_sequencer", f"""WITH {TRACK}, t AS (SELECT "TagID", event_id, epoch_us("DateTime") AS us, year("DateTime") AS y FROM placed),
+s AS (SELECT "TagID", y, min(us) AS lo, max(us) AS hi FROM t GROUP BY 1, 2), g AS (SELECT "TagID", unnest(range(lo, hi + {STEP}000000 + 1, {STEP}000000)) AS g FROM s),
+p AS (SELECT g.*, t.us AS pu, t.event_id AS pe FROM g ASOF LEFT JOIN t ON g."TagID" = t."TagID" AND g.g >= t.us),
+n AS (SELECT p.*, t.us AS nu, t.event_id AS ne FROM p ASOF LEFT JOIN t ON p."TagID" = t."TagID" AND p.g <= t.us),
+k AS (SELECT "TagID", g, CASE WHEN nu IS NULL OR g - pu <= nu - g THEN pu ELSE nu END AS us, CASE WHEN nu IS NULL OR g - pu <= nu - g THEN pe ELSE ne END AS event_id FROM n),
+d AS (SELECT DISTINCT "TagID", us, event_id FROM k), z AS (SELECT *, (us - lag(us) OVER (PARTITION BY "TagID" ORDER BY us, event_id)) / 1e6 AS gap FROM d)
+SELECT "TagID", event_id FROM z WHERE gap IS NULL OR gap > {STEP * 0.8}""")
+def subsample_sequencer(spark, sf_dir):
+    return subsample.sequencer(placed(spark, sf_dir), STEP, order=ORDER).select("TagID", "event_id")
+
+
+@query("subsample_recovered")
+def subsample_recovered(spark, sf_dir):
+    return subsample.sub_samp(placed(spark, sf_dir), STEP, drop_coarser=False, order=ORDER).select("TagID", "event_id")
+
+
+@query("subsample_boots")
+def subsample_boots(spark, sf_dir):
+    d = placed(spark, sf_dir)
+    return subsample.retrieve_boots(d, subsample.boots(d, STEP, n_boot=3, order=ORDER), True, ORDER).select("TagID", "event_id", "level", "boot", "rn")
+
+
+ASOF = """WITH {TRACK}, l AS (SELECT "TagID", "DateTime", event_id FROM track WHERE event_id % 3 = 0), r AS (SELECT "TagID", "DateTime" AS t, longitude FROM placed WHERE event_id % 3 = 1),
+p AS (SELECT l.*, r.t AS pt, r.longitude AS pl FROM l ASOF LEFT JOIN r ON l."TagID" = r."TagID" AND l."DateTime" >= r.t),
+n AS (SELECT p.*, r.t AS nt, r.longitude AS nl FROM p ASOF LEFT JOIN r ON p."TagID" = r."TagID" AND p."DateTime" <= r.t)
+SELECT "TagID", event_id, pl AS backward, nl AS forward, CASE WHEN nt IS NULL OR "DateTime" - pt <= nt - "DateTime" THEN CASE WHEN epoch_us("DateTime") - epoch_us(pt) <= 7200000000 THEN pl END ELSE CASE WHEN epoch_us(nt) - epoch_us("DateTime") <= 7200000000 THEN nl END END AS nearest FROM n""".replace("{TRACK}", TRACK)
+
+
+@query("asof_join", ASOF)
+def asof_join(spark, sf_dir):
+    left, right = track(spark, sf_dir).filter("event_id % 3 = 0").select("TagID", "DateTime", "event_id"), placed(spark, sf_dir).filter("event_id % 3 = 1").select("TagID", "DateTime", "longitude")
+    d = subsample.asof(left, right, ["longitude"], "backward", order=ORDER).withColumnRenamed("longitude", "backward")
+    d = subsample.asof(d, right, ["longitude"], "forward", order=ORDER).withColumnRenamed("longitude", "forward")
+    return subsample.asof(d, right, ["longitude"], "nearest", 7200, ORDER).select("TagID", "event_id", "backward", "forward", C("longitude").alias("nearest"))
+
+
+@query("duplicates_mark", f"""WITH {TRACK}, {DOUBLED}, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, list(DISTINCT "DateTime") OVER (PARTITION BY "TagID", longitude, latitude) AS times,
+  count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude, satellites_used) AS m FROM doubled)
+SELECT "TagID", event_id, CAST(len(places) > 1 AS INT) AS dup_time_rm, CAST(len(times) > 1 AS INT) AS dup_coords_rm, CAST(n > 1 AS INT) AS dup_time_coords_rm, CAST(m > 1 AS INT) AS all_dup_rm FROM d""")
+def duplicates_mark(spark, sf_dir):
+    return duplicates.mark(doubled(spark, sf_dir), True, ORDER).select("TagID", "event_id", "dup_time_rm", "dup_coords_rm", "dup_time_coords_rm", "all_dup_rm")
+
+
+@query("duplicates_exact_last", f"""WITH {TRACK}, {DOUBLED} SELECT "TagID", max(event_id) AS event_id FROM doubled GROUP BY "TagID", "DateTime", longitude, latitude""")
+def duplicates_exact_last(spark, sf_dir):
+    return duplicates.resolve_exact(doubled(spark, sf_dir), "last", order=ORDER).select("TagID", "event_id")
+
+
+@query("duplicates_best_quality", f"""WITH {TRACK}, {DOUBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY "TagID", "DateTime" ORDER BY coalesce(satellites_used, 0) - longitude DESC, event_id) AS r FROM doubled) SELECT "TagID", event_id FROM q WHERE r = 1""")
+def duplicates_best_quality(spark, sf_dir):
+    return duplicates.resolve_same_time(doubled(spark, sf_dir), "best_quality", ["satellites_used", "longitude"], [1, -1], order=ORDER).select("TagID", "event_id")
+
+
+@query("duplicates_centroid", f"""WITH {TRACK}, {DOUBLED} SELECT "TagID", "DateTime", min(event_id) AS event_id, round(median(longitude), 9) AS longitude, round(median(latitude), 9) AS latitude FROM doubled GROUP BY 1, 2""")
+def duplicates_centroid(spark, sf_dir):
+    d = duplicates.resolve_same_time(doubled(spark, sf_dir), "centroid", order=ORDER)
+    return rounded(d.select("TagID", "DateTime", "event_id", "longitude", "latitude"), longitude=9, latitude=9)
+
+
+@query("duplicates_same_place", f"""WITH {TRACK}, {DOUBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY "TagID", longitude, latitude ORDER BY "DateTime" DESC, event_id DESC) AS r FROM doubled) SELECT "TagID", event_id FROM q WHERE r = 1""")
+def duplicates_same_place(spark, sf_dir):
+    return duplicates.resolve_same_place(doubled(spark, sf_dir), "last", order=ORDER).select("TagID", "event_id")
+
+
+@query("duplicates_rows", f'WITH {TRACK}, {DOUBLED} SELECT DISTINCT "TagID", "DateTime", longitude, latitude, satellites_used FROM doubled')
+def duplicates_rows(spark, sf_dir):
+    return duplicates.resolve_rows(doubled(spark, sf_dir), ORDER).drop("event_id")
+
+
+PARALLEL = f"""WITH {TRACK}, {DOUBLED}, i AS (SELECT *, CASE WHEN "DateTime" < lag("DateTime") OVER (PARTITION BY "TagID" ORDER BY event_id) THEN 1 ELSE 0 END AS back FROM doubled),
+j AS (SELECT *, CAST(1 + sum(back) OVER (PARTITION BY "TagID" ORDER BY event_id) AS BIGINT) AS brksec FROM i), s AS (SELECT "TagID", brksec, min("DateTime") AS lo, max("DateTime") AS hi FROM j GROUP BY 1, 2),
+o AS (SELECT a."TagID", greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM s a JOIN s b ON a."TagID" = b."TagID" AND a.brksec < b.brksec AND a.lo <= b.hi AND b.lo <= a.hi),
+m AS (SELECT j.*, CAST(EXISTS (SELECT 1 FROM o WHERE o."TagID" = j."TagID" AND j."DateTime" BETWEEN o.lo AND o.hi) AS INT) AS parallel_issue FROM j)"""
+
+
+@query("parallel_streams", PARALLEL + """, b AS (SELECT *, CASE WHEN parallel_issue = 1 AND coalesce(lag(parallel_issue) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id), 0) = 0 THEN 1 ELSE 0 END AS st FROM m)
+SELECT "TagID", event_id, brksec, parallel_issue, CASE WHEN parallel_issue = 1 THEN CAST(sum(st) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id) AS BIGINT) END AS overlap_block FROM b""")
+def parallel_streams(spark, sf_dir):
+    return duplicates.parallel_streams(doubled(spark, sf_dir), ORDER).select("TagID", "event_id", "brksec", "parallel_issue", "overlap_block")
+
+
+@query("duplicates_detect", PARALLEL + """, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n FROM m)
+SELECT "TagID", CAST(sum(CAST(len(places) > 1 AS INT)) AS BIGINT) AS same_time, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS exact, CAST(sum(parallel_issue) AS BIGINT) AS parallel FROM d GROUP BY 1""")
+def duplicates_detect(spark, sf_dir):
+    d = duplicates.detect(doubled(spark, sf_dir), order=ORDER)
+    return d.groupBy("TagID").pivot("step", ["same_time", "exact", "parallel"]).agg(F.first("n_affected_rows"))
+
+
+@query("duplicate_track")
+def duplicate_track(spark, sf_dir):
+    return duplicates.duplicate_track(doubled(spark, sf_dir), "random", use_coords=True, order=ORDER).select("TagID", "event_id")
+
+
+@query("tabulate_history", f"""{G}, s AS (SELECT "TagID", gapsec, min("DateTime") AS a, max("DateTime") AS b, count(*) AS n FROM gapped GROUP BY 1, 2)
+SELECT "TagID", min(a) AS "Start", max(b) AS "End", round((epoch_us(max(b)) - epoch_us(min(a))) / 8.64e10, 6) AS "Dur_days", CAST(sum(n) AS BIGINT) AS nfixes, round(sum(epoch_us(b) - epoch_us(a)) / 8.64e10, 6) AS "Dur_days_mon" FROM s GROUP BY 1""")
+def tabulate_history(spark, sf_dir):
+    return rounded(reports.tabulate_history(_gapped(spark, sf_dir), order=ORDER), Dur_days=6, Dur_days_mon=6)
+
+
+@query("summary", f"""WITH {TRACK}, t AS (SELECT *, (epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6 AS dt FROM track {W}), u AS (SELECT CAST("TagID" AS VARCHAR) AS tag, * FROM t UNION ALL SELECT 'ALL', * FROM t)
+SELECT tag AS "TagID", count(*) AS n_records, count(DISTINCT ("TagID", "DateTime")) AS n_fixes, min("DateTime") AS "start", max("DateTime") AS "end", round((epoch_us(max("DateTime")) - epoch_us(min("DateTime"))) / 8.64e10, 6) AS dur,
+  min(longitude) AS xmin, max(longitude) AS xmax, min(latitude) AS ymin, max(latitude) AS ymax, round(avg(CAST(longitude IS NULL AS INT)), 6) AS na_lon, round(min(dt), 3) AS gap_min, round(max(dt), 3) AS gap_max FROM u GROUP BY 1""")
+def summary(spark, sf_dir):
+    d = reports.summary(track(spark, sf_dir), "median", "MAD", order=ORDER)
+    return rounded(d.select("TagID", "n_records", "n_fixes", "start", "end", "dur", "xmin", "xmax", "ymin", "ymax", "na_lon", "gap_min", "gap_max"), dur=6, na_lon=6, gap_min=3, gap_max=3)
+
+
+@query("tag_counts", f'WITH {TRACK} SELECT "TagID", count(*) AS n_row, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM track GROUP BY 1')
+def tag_counts(spark, sf_dir):
+    return reports.tag_counts(track(spark, sf_dir), order=ORDER)
+
+
+DAYS = """d AS (SELECT DISTINCT "TagID", CAST("DateTime" AS DATE) AS day FROM track), b AS (SELECT day, count(*) AS n FROM d GROUP BY 1)"""
+
+
+@query("tag_timeline", f"""WITH {TRACK}, {DAYS} SELECT "TagID", min(d.day) AS "first", max(d.day) AS "last", count(*) AS days_active, round(avg(n - 1), 6) AS mean_overlap, round(stddev_samp(n - 1), 6) AS sd_overlap, min(n - 1) AS min_overlap, max(n - 1) AS max_overlap,
+  CAST(sum(CAST(n = 1 AS INT)) AS BIGINT) AS days_alone, round(count(*) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d), 6) AS prop_active, round(1 - count(*) / (date_diff('day', min(d.day), max(d.day)) + 1), 6) AS prop_missing FROM d JOIN b USING (day) GROUP BY 1""")
+def tag_timeline(spark, sf_dir):
+    d = reports.tag_timeline(track(spark, sf_dir), order=ORDER).drop("prop_alone", "low_active", "often_alone", "often_missing")
+    return rounded(d, mean_overlap=6, sd_overlap=6, prop_active=6, prop_missing=6)
+
+
+@query("day_grid", f"""WITH {TRACK}, {DAYS}, g AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT "TagID", CAST("DateTime" AS DATE) AS day, count(*) AS n FROM track GROUP BY 1, 2)
+SELECT t."TagID", g.day, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT "TagID" FROM track) t CROSS JOIN g LEFT JOIN n ON n."TagID" = t."TagID" AND n.day = g.day""")
+def day_grid(spark, sf_dir):
+    return reports.day_grid(track(spark, sf_dir), ORDER)
+
+
+@query("fix_summary", f"""WITH {TRACK}, n AS (SELECT "TagID", CAST("DateTime" AS DATE) AS day, count(*) AS n FROM track GROUP BY 1, 2)
+SELECT "TagID", CAST(sum(n) AS BIGINT) AS fixes, count(*) AS days, min(n) AS min_day, round(avg(n), 6) AS mean_day, max(n) AS max_day, CAST(sum(CAST(n < 2 AS INT)) AS BIGINT) AS bad_days, round(sum(CAST(n < 2 AS INT)) / count(*), 6) AS bad_prop, sum(n) < 2 AS below FROM n GROUP BY 1""")
+def fix_summary(spark, sf_dir):
+    return rounded(reports.fix_summary(track(spark, sf_dir), 2, ORDER), mean_day=6, bad_prop=6)
+
+
+@query("null_report", f'WITH {TRACK} SELECT "TagID", CAST(sum(CAST(longitude IS NULL AS INT)) AS BIGINT) AS n_na, round(avg(CAST(longitude IS NULL AS INT)), 6) AS prop_na FROM track GROUP BY 1')
+def null_report(spark, sf_dir):
+    return rounded(reports.null_report(track(spark, sf_dir), ORDER), prop_na=6)
+
+
+@query("satellite_report", f'WITH {TRACK} SELECT "TagID", min(satellites_used) AS "min", round(avg(satellites_used), 6) AS mean, max(satellites_used) AS "max", CAST(sum(CAST(satellites_used <= 3 AS INT)) AS BIGINT) AS n_low, CAST(sum(CAST(satellites_used IS NULL AS INT)) AS BIGINT) AS n_na FROM track GROUP BY 1')
+def satellite_report(spark, sf_dir):
+    return rounded(reports.satellite_report(track(spark, sf_dir), order=ORDER), mean=6)
+
+
+@query("hist_transform", f'WITH {TRACK} SELECT "TagID", event_id, round(log10(gps_pdop), 6) AS gps_pdop_t FROM track WHERE gps_pdop > 0 AND gps_pdop <= 50')
+def hist_transform(spark, sf_dir):
+    return rounded(checks.transformed(track(spark, sf_dir), "gps_pdop", "log10", 50).select("TagID", "event_id", "gps_pdop_t"), gps_pdop_t=6)
+
+
+@query("farthest_point", f"""WITH {TRACK}, o AS (SELECT *, first_value(longitude) OVER w AS ox, first_value(latitude) OVER w AS oy FROM placed {W}), d AS (SELECT *, {haversine('longitude', 'latitude', 'ox', 'oy')} AS dist FROM o)
+SELECT "TagID", arg_max(event_id, dist) AS event_id, round(max(dist), 3) AS dist FROM d GROUP BY 1""")
+def farthest_point(spark, sf_dir):
+    d = placed(spark, sf_dir)
+    far = reports.farthest_point(d, order=ORDER)
+    return rounded(far.join(d.select("TagID", "DateTime", "longitude", "event_id"), ["TagID", "DateTime", "longitude"]).select("TagID", "event_id", "dist"), dist=3)
+
+
+@query("track_lines", f'{G} SELECT "TagID", gapsec, CAST(count(*) AS INT) AS n FROM gapped GROUP BY 1, 2 HAVING count(*) > 1')
+def track_lines(spark, sf_dir):
+    return reports.track_lines(_gapped(spark, sf_dir), ORDER).select("TagID", "gapsec", F.size("line").alias("n"))
+
+
+OUT = f"WITH {TRACK}, v AS (SELECT \"TagID\", event_id, (epoch_us(lead(\"DateTime\") OVER w) - epoch_us(\"DateTime\")) / 1e6 AS dt FROM track {W})"
+
+
+def _flags(method: str) -> str:
+    return f"""SELECT v."TagID", v.event_id, CASE WHEN dt IS NULL THEN NULL WHEN dt > o.hi THEN 'i_u' WHEN dt < o.lo THEN 'i_l' ELSE '0' END AS outlier_i_dt_{method},
+  CASE WHEN dt IS NULL THEN NULL WHEN dt > a.hi THEN 'ia_u' WHEN dt < a.lo THEN 'ia_l' ELSE '0' END AS outlier_ia_dt_{method} FROM v LEFT JOIN o USING ("TagID") CROSS JOIN a"""
+
+
+def _outliers(spark, sf_dir, method):
+    d = movement.time_steps(track(spark, sf_dir), ORDER)
+    return outliers.outlier_flags(d, "dt", None, methods=(method,), order=ORDER).select("TagID", "event_id", f"outlier_i_dt_{method}", f"outlier_ia_dt_{method}")
+
+
+@query("outlier_quantile", f"""{OUT}, o AS (SELECT "TagID", quantile_cont(dt, 0.01) AS lo, quantile_cont(dt, 0.99) AS hi FROM v GROUP BY 1), a AS (SELECT quantile_cont(dt, 0.01) AS lo, quantile_cont(dt, 0.99) AS hi FROM v) {_flags('quantile')}""")
+def outlier_quantile(spark, sf_dir):
+    return _outliers(spark, sf_dir, "quantile")
+
+
+@query("outlier_hampel", f"""{OUT}, m AS (SELECT "TagID", median(dt) AS med FROM v GROUP BY 1), o AS (SELECT "TagID", any_value(med) - 3 * median(abs(dt - med)) AS lo, any_value(med) + 3 * median(abs(dt - med)) AS hi FROM v JOIN m USING ("TagID") GROUP BY 1),
+n AS (SELECT median(dt) AS med FROM v), a AS (SELECT any_value(med) - 3 * median(abs(dt - med)) AS lo, any_value(med) + 3 * median(abs(dt - med)) AS hi FROM v CROSS JOIN n) {_flags('hampel')}""")
+def outlier_hampel(spark, sf_dir):
+    return _outliers(spark, sf_dir, "hampel")
+
+
+def _hinges(keys: str) -> str:
+    part = f"PARTITION BY {keys}" if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    sel = f"{keys}," if keys else ""
+    on = f"USING ({keys})" if keys else "ON true"
+    return f"""(WITH r AS (SELECT *, row_number() OVER ({part} ORDER BY dt) AS r, count(*) OVER ({part}) AS n FROM v WHERE dt IS NOT NULL), p AS (SELECT *, floor((n + 3) / 2) / 2 AS d FROM r),
+h AS (SELECT {sel} avg(dt) FILTER (r = floor(d) OR r = ceil(d)) AS h1, avg(dt) FILTER (r = n + 1 - floor(d) OR r = n + 1 - ceil(d)) AS h2 FROM p {group})
+SELECT {sel} min(dt) FILTER (dt >= h1 - 1.5 * (h2 - h1)) AS lo, max(dt) FILTER (dt <= h2 + 1.5 * (h2 - h1)) AS hi FROM v JOIN h {on} WHERE dt IS NOT NULL {group})"""
+
+
+@query("outlier_boxplot", f"""{OUT}, o AS {_hinges('"TagID"')}, a AS {_hinges('')} {_flags('boxplot')}""")
+def outlier_boxplot(spark, sf_dir):
+    return _outliers(spark, sf_dir, "boxplot")
+
+
+@query("outlier_summary")
+def outlier_summary(spark, sf_dir):
+    d = movement.time_steps(track(spark, sf_dir), ORDER)
+    return outliers.outlier_summary(outliers.outlier_flags(d, order=ORDER), order=ORDER)
+
+
+X, Y = xy()
+PX, PY = geo.project_point(*COLONY)
+RADIUS = 25_000
+
+
+@query("projected_bounds", f'WITH {TRACK} SELECT round(min({X}), 2) AS xmin, round(min({Y}), 2) AS ymin, round(max({X}), 2) AS xmax, round(max({Y}), 2) AS ymax FROM placed')
+def projected_bounds(spark, sf_dir):
+    return rounded(reports.bounds(track(spark, sf_dir)), xmin=2, ymin=2, xmax=2, ymax=2)
+
+
+@query("reproject", f'WITH {TRACK} SELECT "TagID", event_id, round({X}, 3) AS "X", round({Y}, 3) AS "Y" FROM track')
+def reproject(spark, sf_dir):
+    return rounded(enrich.project(track(spark, sf_dir)).select("TagID", "event_id", "X", "Y"), X=3, Y=3)
+
+
+EDGES = ", ".join(f"({a!r}, {b!r}, {c!r}, {d!r})" for a, b, c, d in geo.edges(LAND))
+COAST = f"""e(x1, y1, x2, y2) AS (VALUES {EDGES}), q AS (SELECT "TagID", event_id, {X} AS x, {Y} AS y FROM placed),
+k AS (SELECT "TagID", event_id, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS onshore,
+  min(sqrt(pow(x - (x1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (x2 - x1)), 2) + pow(y - (y1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (y2 - y1)), 2))) AS dist
+  FROM q CROSS JOIN e GROUP BY ALL)"""
+
+
+@query("offshore", f'WITH {TRACK}, {COAST} SELECT "TagID", event_id, CAST(NOT onshore AS INT) AS offshore FROM k')
+def offshore(spark, sf_dir):
+    return enrich.offshore(placed(spark, sf_dir), LAND).select("TagID", "event_id", "offshore")
+
+
+@query("dist2coast", f'WITH {TRACK}, {COAST} SELECT "TagID", event_id, onshore, round(dist, 2) AS dist2coast FROM k')
+def dist2coast(spark, sf_dir):
+    return rounded(enrich.dist2coast(placed(spark, sf_dir), LAND).select("TagID", "event_id", "onshore", "dist2coast"), dist2coast=2)
+
+
+@query("sun_calc")
+def sun_calc(spark, sf_dir):
+    return enrich.sun_calc(placed(spark, sf_dir), order=ORDER).select("TagID", "event_id", "sunrise", "sunset", "dnt")
+
+
+def _trips(spark, sf_dir):
+    return trips.define_trips(_gapped(spark, sf_dir), "circ", lls=COLONY, radius=RADIUS, order=ORDER)
+
+
+TRIPS = f"""{gapped()}, c0 AS (SELECT *, CAST(sqrt(pow({X} - {PX!r}, 2) + pow({Y} - {PY!r}, 2)) <= {RADIUS} AS INT) AS "Col", year("DateTime") AS "year" FROM gapped),
+c1 AS (SELECT *, "Col" = 1 AND coalesce(lag("Col") OVER v = 0, false) AND coalesce(lead("Col") OVER v = 0, false) AS twice FROM c0 WINDOW v AS (PARTITION BY "TagID", "year" ORDER BY "DateTime", event_id)),
+c2 AS (SELECT * EXCLUDE (twice), 0 AS extra_row FROM c1 UNION ALL SELECT * EXCLUDE (twice), 1 FROM c1 WHERE twice),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY "TagID", "year" ORDER BY "DateTime", event_id, extra_row) AS n FROM c2),
+c4 AS (SELECT *, min(CASE WHEN "Col" = 1 THEN n END) OVER (PARTITION BY "TagID", "year") AS f, max(CASE WHEN "Col" = 1 THEN n END) OVER (PARTITION BY "TagID", "year") AS l FROM c3),
+c5 AS (SELECT *, CASE WHEN "Col" = 0 AND n > f AND n < l THEN 1 ELSE 0 END AS t FROM c4),
+c6 AS (SELECT *, coalesce(lead(t) OVER v, 0) AS nx, coalesce(lag(t) OVER v, 0) AS pv, coalesce(lag(gap) OVER v, 0) AS bk FROM c5 WINDOW v AS (PARTITION BY "TagID", "year" ORDER BY n)),
+c7 AS (SELECT *, t = 0 AND nx = 1 AND "Col" = 1 AS st, t = 0 AND pv = 1 AND "Col" = 1 AND NOT (t = 0 AND nx = 1) AS en FROM c6),
+c8 AS (SELECT *, t = 1 OR st OR en AS part, st OR (t = 1 AND pv = 0 AND NOT coalesce(lag(st) OVER (PARTITION BY "TagID", "year" ORDER BY n), false)) OR ((t = 1 OR en) AND bk = 1) AS beg FROM c7),
+c9 AS (SELECT *, sum(CAST(beg AND part AS INT)) OVER (PARTITION BY "TagID", "year" ORDER BY n) AS no FROM c8),
+trips AS (SELECT *, CASE WHEN part THEN CAST(no AS BIGINT) ELSE 0 END AS "tripNo" FROM c9)"""
+
+
+@query("define_trips", f'WITH {TRACK}, {TRIPS} SELECT "TagID", event_id, "Col", CAST("year" AS INT) AS "year", extra_row, "tripNo" FROM trips')
+def define_trips(spark, sf_dir):
+    return _trips(spark, sf_dir).select("TagID", "event_id", "Col", "year", "extra_row", "tripNo")
+
+
+@query("trips_rect_shape")
+def trips_rect_shape(spark, sf_dir):
+    a = trips.define_trips(_gapped(spark, sf_dir), "rect", lls=(-0.2, 50.3, 0.2, 50.7), order=ORDER)
+    b = trips.inside(a.withColumnRenamed("Col", "rect"), "shape", rings=LAND)
+    return b.groupBy("TagID").agg(F.sum("rect").alias("in_rect"), F.sum("Col").alias("in_shape"), F.max("tripNo").alias("trips"))
+
+
+def _trip_stats(spark, sf_dir):
+    return trips.trip_stats(_trips(spark, sf_dir), nest_lls=COLONY, order=ORDER)
+
+
+STATS = f"""{TRIPS}, p AS (SELECT *, {X} AS x, {Y} AS y FROM trips WHERE "tripNo" <> 0), p1 AS (SELECT *, sqrt(pow(x - {PX!r}, 2) + pow(y - {PY!r}, 2)) / 1000 AS d,
+  sqrt(pow(lead(x) OVER u - x, 2) + pow(lead(y) OVER u - y, 2)) AS step FROM p WINDOW u AS (PARTITION BY "TagID", "year", "tripNo" ORDER BY "DateTime", event_id, extra_row)),
+mon AS (SELECT "TagID", (epoch_us(max("DateTime")) - epoch_us(min("DateTime"))) / 8.64e10 AS tm, coalesce(sum(CASE WHEN gap = 1 THEN dt END), 0) / 86400 AS lost FROM trips GROUP BY 1),
+stats AS (SELECT "TagID", CAST("year" AS INT) AS "year", "tripNo", min("DateTime") AS "Start", max("DateTime") AS "End", max(d) AS "DistMax", count(*) AS "DistN", sum(step) / 1000 AS "DistTotal",
+  (epoch_us(max("DateTime")) - epoch_us(min("DateTime"))) / 3.6e9 AS "TripDur", arg_max(longitude, d) AS max_lon, arg_max(latitude, d) AS max_lat, max(CAST(gap = 1 AS INT)) AS incompl FROM p1 GROUP BY 1, 2, 3)"""
+
+
+@query("trip_stats", f"""WITH {TRACK}, {STATS} SELECT s."TagID", "year", "tripNo", "Start", "End", round("DistMax", 4) AS "DistMax", "DistN", round("DistTotal", 4) AS "DistTotal", round("TripDur", 6) AS "TripDur", max_lon, max_lat, incompl,
+  round(degrees(atan2(max_lon - {COLONY[0]}, max_lat - {COLONY[1]})) + CASE WHEN max_lon - {COLONY[0]} < 0 THEN 360 ELSE 0 END, 4) AS "MaxBear", round(tm, 6) AS "TotalMon", round(tm - lost, 6) AS "ActiveMon" FROM stats s JOIN mon USING ("TagID")""")
+def trip_stats(spark, sf_dir):
+    d = _trip_stats(spark, sf_dir).drop("col_lat", "col_lon")
+    return rounded(d, DistMax=4, DistTotal=4, TripDur=6, MaxBear=4, TotalMon=6, ActiveMon=6)
+
+
+@query("tabulate_trips", f"""WITH {TRACK}, {STATS}, g AS (SELECT CAST("TagID" AS VARCHAR) AS tag, CAST("year" AS VARCHAR) AS y, * FROM stats UNION ALL SELECT 'all', CAST("year" AS VARCHAR), * FROM stats UNION ALL SELECT 'all', 'all', * FROM stats)
+SELECT tag AS "TagID", y AS "year", CAST(sum(CAST(incompl = 0 AS INT)) AS BIGINT) AS complete, CAST(sum(CAST(incompl = 1 AS INT)) AS BIGINT) AS incomplete FROM g GROUP BY 1, 2""")
+def tabulate_trips(spark, sf_dir):
+    return trips.tabulate_trips(_trip_stats(spark, sf_dir), "year", order=ORDER).select("TagID", "year", "complete", "incomplete")
+
+
+@query("tabulate_trips_text")
+def tabulate_trips_text(spark, sf_dir):
+    return trips.tabulate_trips(_trip_stats(spark, sf_dir), "year", option="boxplot", order=ORDER)
+
+
+@query("flatten_stacks", f"""WITH {TRACK}, s AS (SELECT "TagID" || '_stack_' || event_type AS "TagID", event_id FROM track) SELECT "TagID", count(*) AS n FROM s GROUP BY 1""")
+def flatten_stacks(spark, sf_dir):
+    return schema.flatten_stacks(track(spark, sf_dir).withColumnRenamed("event_type", "stack")).groupBy("TagID").agg(F.count("*").alias("n"))
+
+
+@query("tspeed_jit")
+def tspeed_jit(spark, sf_dir):
+    return movement.tspeed_jit(placed(spark, sf_dir), nsim=5, order=ORDER)
+
+
+@query("resample_path")
+def resample_path(spark, sf_dir):
+    return movement.arrow_heads(movement.resample_path(enrich.project(placed(spark, sf_dir)), 5000, ORDER))
+
+
+@query("simulate_trips")
+def simulate_trips(spark, sf_dir):
+    return simulate.sim_data(spark, 3, 4, 40)
+
+
+def _customer_orders(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.selectExpr("o_custkey AS TagID", "o_orderdate AS DateTime", "o_orderkey AS event_id", "CAST(o_totalprice AS DOUBLE) AS longitude", "CAST(o_custkey AS DOUBLE) AS latitude")
+
+
+@query("orders_gap_section", f"""WITH src AS (SELECT o_custkey AS "TagID", o_orderdate AS "DateTime", o_orderkey AS event_id FROM orders), {gapped('src', 86400 * 30)} SELECT "TagID", count(*) AS n, max(gapsec) AS sections, CAST(sum(gap) AS BIGINT) AS gaps FROM gapped GROUP BY 1""")
+def orders_gap_section(spark, sf_dir):
+    d = movement.gap_section(_customer_orders(spark, sf_dir), 86400 * 30, order=ORDER)
+    return d.groupBy("TagID").agg(F.count("*").alias("n"), F.max("gapsec").alias("sections"), F.sum("gap").alias("gaps"))
