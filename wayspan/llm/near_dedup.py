@@ -6,9 +6,9 @@ so that short documents leave none empty.) Documents with equal sets are one cla
 together; a candidate pair's Jaccard index is estimated from equal registers, corrected for the chance that unequal
 minima compress alike, and pairs that could reach the threshold are confirmed on their full sets.
 
-In a band's bucket all members are first tried against one hub, the member that meets most others. Only members whose
-components then still differ are tried against each other, so a group of copies costs a row per copy and yet no link
-between components is lost.
+In a band's bucket all members are first measured against one hub, the member that meets most others. Members whose
+components then still differ are paired only where what they have beyond the hub, or their sizes, leave a link
+possible (see ``_crossing``). So a group of copies costs a few rows per copy and yet no link between components is lost.
 
 Nulls and empty texts have empty sets, which link with nothing. Texts with fewer words than a shingle are one shingle.
 Rows with equal ids count as one document; a row with a null id is kept and belongs to no component.
@@ -30,6 +30,8 @@ from wayspan.session import ship
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Ids of candidate documents up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -144,30 +146,81 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _reaches(both: int, x: int, y: int, percent: int) -> bool:
+    return both > 0 and 100 * both >= percent * (x + y - both)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
-    pairs = scratch.write(pairs, f"{name}_likely")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = scratch.write(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi"), f"{name}_texts")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[int, set[bytes]] = {}
         for b in batches:
             ok = []
-            for i, ta, tb in zip(b["b"], b["ta"], b["tb"]):
-                if i not in last:
-                    last = {i: shingle_set(word_list(tb), n)}
-                x, y = shingle_set(word_list(ta), n), last[i]
-                both = len(x & y)
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            for ta, tb in zip(b["ta"], b["tb"]):
+                x, y = shingle_set(word_list(ta), n), shingle_set(word_list(tb), n)
+                ok.append(_reaches(len(x & y), len(x), len(y), percent))
             yield b.loc[ok, ["a", "b"]]
 
     kind = pairs.schema["a"].dataType.simpleString()
-    j = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    out = scratch.write(j.mapInPandas(exact, f"a {kind}, b {kind}").distinct(), name)
-    scratch.drop(f"{name}_texts")
-    scratch.drop(f"{name}_likely")
-    return out
+    return _with_texts(pairs, texts).mapInPandas(exact, f"a {kind}, b {kind}")
+
+
+def _measured(star: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b, na, nb, both, linked, extra) of each member a and hub b on full sets; extra: hashes of what b lacks."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hub, y, hy = None, set(), np.zeros(0, np.uint64)
+        for b in batches:
+            out = []
+            for i, k, ta, tb in zip(b["a"], b["b"], b["ta"], b["tb"]):
+                if k != hub:
+                    ws = word_list(tb)
+                    hub, y, hy = k, shingle_set(ws, n), shingle_hashes(ws, n)
+                ws = word_list(ta)
+                x = shingle_set(ws, n)
+                both = len(x & y)
+                extra = np.setdiff1d(shingle_hashes(ws, n), hy, assume_unique=True).view(np.int64)
+                out.append((i, k, len(x), len(y), both, _reaches(both, len(x), len(y), percent), extra))
+            yield pd.DataFrame(out, columns=["a", "b", "na", "nb", "both", "linked", "extra"])
+
+    kind = star.schema["a"].dataType.simpleString()
+    return _with_texts(star, texts).mapInPandas(measure, f"a {kind}, b {kind}, na int, nb int, both int, linked boolean, extra array<bigint>")
+
+
+def _crossing(star: DataFrame, met: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of members of one hub that could link although their components differ.
+
+    Two members that share no shingle outside the hub have at most the lesser of their overlaps with the hub in
+    common, which bounds their partners' sizes. So a pair either shares such a shingle, and is found by it, or the
+    sizes allow it, and it is found by class of size; the other pairs can't reach the threshold and are never formed.
+    """
+    label = met.select(F.col("node").alias("a"), F.col("component").alias("c"))
+    s = star.join(label, "a", "left").withColumn("c", F.coalesce("c", "a"))
+    hub = met.select(F.col("node").alias("b"), F.col("component").alias("ch"))
+    s = s.join(hub, "b", "left").withColumn("ch", F.coalesce("ch", "b"))
+    split = s.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")
+    most = F.floor(F.col("both") * (100 + percent) / percent) - F.col("na")  # largest partner that the overlap allows
+    s = scratch.write(s.join(split, "b").withColumn("most", most), "open")
+    ends = lambda d, x: d.select("b", "k", F.col("a").alias(x), F.col("c").alias(f"c{x}"), F.col("na").alias(f"n{x}"), F.col("most").alias(f"m{x}"))
+    sized = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy"))
+    by_token = s.select("*", F.explode("extra").alias("k"))
+    mixed = by_token.groupBy("b", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b", "k")
+    by_token = by_token.join(mixed, ["b", "k"])
+    sharing = ends(by_token, "x").join(ends(by_token, "y"), ["b", "k"]).filter(sized & (F.col("x") < F.col("y")))
+    grain = F.greatest(F.floor(F.col("nb") / 32), F.lit(1))
+    cls = F.floor(F.col("na") / grain)
+    low, high = F.ceil(F.col("na") * percent / 100), F.least(F.col("most"), F.floor(F.col("na") * 100 / percent))
+    # One of the two isn't of the hub's component; it looks for partners of every size that it allows.
+    lone = s.filter(F.col("c") != F.col("ch")).filter(low <= high)
+    lone = lone.withColumn("k", F.explode(F.sequence(F.floor(low / grain), F.floor(high / grain))))
+    allowed = ends(lone, "x").join(ends(s.withColumn("k", cls), "y"), ["b", "k"]).filter(sized & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my")))
+    pair = lambda d: d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pair(sharing).union(pair(allowed)).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -186,17 +239,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     ranked = member.join(degree, "rep")
     hub = ranked.groupBy("band").agg(F.max_by("rep", F.struct(F.col("degree"), -F.col("rep"))).alias("hub"))
     star = member.join(hub, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    first = _confirmed(_plausible(star, reps, percent), docs, key, text, n, percent, scratch, "first")
+    wanted = scratch.write(member.select(F.col("rep").alias("id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:  # else the texts are dealt out by id
+        wanted = F.broadcast(wanted)
+    texts = scratch.write(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi"), "texts")
+    star = scratch.write(_measured(star, texts, n, percent), "star")
+    first = star.filter("linked").select("a", "b")
     met = components(first, Scratch(spark, "met"), rounds=2)
-    known = member.join(met, member.rep == met.node, "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
-    # A bucket whose members all met is done; in the others members of different components are tried.
-    split = known.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    open_ = scratch.write(known.join(split, "band"), "open")
-    x, y = open_.select("band", F.col("rep").alias("a"), F.col("c").alias("ca")), open_.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    cross = x.join(y, "band").filter("ca < cb").select("a", "b").distinct()
-    tried = star.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    cross = cross.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
-    second = _confirmed(_plausible(cross, reps, percent), docs, key, text, n, percent, scratch, "second")
+    more = scratch.write(_plausible(_crossing(star, met, percent, scratch), reps, percent), "more")
+    second = scratch.write(_confirmed(more, texts, n, percent), "second")
     linked = components(first.union(second), Scratch(spark, "linked"))
     classes = reps.join(linked, reps.rep == linked.node, "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("key", *sets).join(classes, sets, "left")
