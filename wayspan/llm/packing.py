@@ -62,7 +62,7 @@ def greedy(demand: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     while open_.any():
         col, room = np.zeros(m), m
         for s in np.flatnonzero(open_)[::-1] + 1:
-            if n := min(room // s, math.ceil(rest[s - 1])):
+            if n := min(room // s, max(1, math.ceil(rest[s - 1]))):
                 col[s - 1], room = n, room - n * s
         used = np.flatnonzero(col)
         ratio = rest[used] / col[used]
