@@ -195,9 +195,9 @@ def _measured(star: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 def _crossing(star: DataFrame, met: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of members of one hub that could link although their components differ.
 
-    Two members that share no shingle outside the hub have at most the lesser of their overlaps with the hub in
-    common, which bounds their partners' sizes. So a pair either shares such a shingle, and is found by it, or the
-    sizes allow it, and it is found by class of size; the other pairs can't reach the threshold and are never formed.
+    Two members have at most the lesser of their overlaps with the hub in common, and the shingles outside the hub that
+    both have. So a pair either shares such shingles, is found by them and kept if their number leaves a link
+    possible, or shares none and is found by class of size where sizes alone allow it. Others can't reach the threshold.
     """
     label = met.select(F.col("node").alias("a"), F.col("component").alias("c"))
     s = star.join(label, "a", "left").withColumn("c", F.coalesce("c", "a"))
@@ -206,12 +206,14 @@ def _crossing(star: DataFrame, met: DataFrame, percent: int, scratch: Scratch) -
     split = s.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")
     most = F.floor(F.col("both") * (100 + percent) / percent) - F.col("na")  # largest partner that the overlap allows
     s = scratch.write(s.join(split, "b").withColumn("most", most), "open")
-    ends = lambda d, x: d.select("b", "k", F.col("a").alias(x), F.col("c").alias(f"c{x}"), F.col("na").alias(f"n{x}"), F.col("most").alias(f"m{x}"))
+    ends = lambda d, x: d.select("b", "k", F.col("a").alias(x), F.col("c").alias(f"c{x}"), F.col("na").alias(f"n{x}"), F.col("both").alias(f"o{x}"), F.col("most").alias(f"m{x}"))
     sized = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("cx") != F.col("cy"))
     by_token = s.select("*", F.explode("extra").alias("k"))
     mixed = by_token.groupBy("b", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b", "k")
     by_token = by_token.join(mixed, ["b", "k"])
     sharing = ends(by_token, "x").join(ends(by_token, "y"), ["b", "k"]).filter(sized & (F.col("x") < F.col("y")))
+    sharing = sharing.groupBy("b", "x", "y", "nx", "ny", "ox", "oy").agg(F.count("*").alias("s"))
+    sharing = sharing.filter((100 + percent) * (F.least("ox", "oy") + F.col("s")) >= percent * (F.col("nx") + F.col("ny")))
     grain = F.greatest(F.floor(F.col("nb") / 32), F.lit(1))
     cls = F.floor(F.col("na") / grain)
     low, high = F.ceil(F.col("na") * percent / 100), F.least(F.col("most"), F.floor(F.col("na") * 100 / percent))
@@ -245,11 +247,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     texts = scratch.write(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi"), "texts")
     star = scratch.write(_measured(star, texts, n, percent), "star")
     first = star.filter("linked").select("a", "b")
-    met = components(first, Scratch(spark, "met"), rounds=2)
+    met = components(first, Scratch(spark, "met"))
     more = scratch.write(_plausible(_crossing(star, met, percent, scratch), reps, percent), "more")
     second = scratch.write(_confirmed(more, texts, n, percent), "second")
-    linked = components(first.union(second), Scratch(spark, "linked"))
-    classes = reps.join(linked, reps.rep == linked.node, "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
+    # The second links join whole components: those are the nodes now.
+    of = lambda x: met.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between, Scratch(spark, "merged")).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = reps.join(met, reps.rep == met.node, "left").select(*sets, F.coalesce("component", "rep").alias("component"))
+    classes = known.join(merged, "component", "left").select(*sets, F.coalesce("top", "component").alias("component_id"))
     out = signed.select("key", *sets).join(classes, sets, "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
