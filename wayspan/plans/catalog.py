@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayspan.functions import geo
 from wayspan.operators import checks, duplicates, enrich, movement, outliers, pipeline, rates, reports, schema, subsample, trips
 from wayspan.plans.adapter import DOUBLED, ORDER, TRACK, doubled, gapped, haversine, placed, speeds, track, xy
-from wayspan.sources import simulate
+from wayspan.sources import simulate, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -564,3 +564,57 @@ def _customer_orders(spark, sf_dir):
 def orders_gap_section(spark, sf_dir):
     d = movement.gap_section(_customer_orders(spark, sf_dir), 86400 * 30, order=ORDER)
     return d.groupBy("TagID").agg(F.count("*").alias("n"), F.max("gapsec").alias("sections"), F.sum("gap").alias("gaps"))
+
+
+@query("time_windows", f"""WITH {TRACK} SELECT "TagID", event_id FROM track WHERE "TagID" % 3 = 0 AND "DateTime" >= TIMESTAMP '2024-01-05' AND ("TagID" % 2 = 0 OR "DateTime" <= TIMESTAMP '2024-01-20')""")
+def time_windows(spark, sf_dir):
+    t = track(spark, sf_dir)
+    b = t.select("TagID").distinct().filter("TagID % 3 = 0").selectExpr("TagID", "TIMESTAMP_NTZ '2024-01-05 00:00:00' AS start", "CASE WHEN TagID % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-20 00:00:00' END AS end")
+    return checks.time_windows(t, b, ORDER).select("TagID", "event_id")
+
+
+@query("pressure_merge", f"""WITH {TRACK}, a AS (SELECT "TagID", "DateTime", event_id FROM track WHERE event_id % 3 = 0), p AS (SELECT "TagID", "DateTime", gps_pdop AS pressure, gps_pdop * 2 AS temperature FROM track WHERE event_id % 2 = 0)
+SELECT "TagID", "DateTime", event_id, pressure, temperature FROM a FULL OUTER JOIN p USING ("TagID", "DateTime")""")
+def pressure_merge(spark, sf_dir):
+    t = track(spark, sf_dir)
+    p = t.filter("event_id % 2 = 0").selectExpr("TagID", "DateTime", "gps_pdop AS pressure_avg", "gps_pdop * 2 AS temp_avg")
+    return tracks.merge_pressure(t.filter("event_id % 3 = 0").select("TagID", "DateTime", "event_id"), p, ORDER)
+
+
+@query("session_animals", """SELECT c_custkey AS "TagID", n_nationkey AS project_id, CASE WHEN c_custkey = 7 THEN 'FRANCE' ELSE n_name END AS station_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE CASE WHEN c_custkey = 7 THEN 'FRANCE' ELSE n_name END IN ('FRANCE', 'GERMANY')""")
+def session_animals(spark, sf_dir):
+    sessions = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS TagID", "c_nationkey AS project_id")
+    projects = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS project_id", "n_name AS station_name")
+    return tracks.animals(sessions, projects, ["FRANCE", "GERMANY"], {"7": "FRANCE"}).select("TagID", "project_id", "station_name")
+
+
+@query("source_finish", f"""WITH {TRACK}, k AS (SELECT *, count(*) OVER (PARTITION BY "TagID") AS n FROM placed WHERE satellites_used > 3), {speeds('k')}
+SELECT "TagID", "DateTime", round({X}, 3) AS "X", round({Y}, 3) AS "Y", round(dist, 3) AS dist, round(traj_speed, 6) AS traj_speed FROM speeds WHERE n >= 40""")
+def source_finish(spark, sf_dir):
+    d = tracks.finish(track(spark, sf_dir), 3, 40, order=ORDER)
+    return rounded(d.select("TagID", "DateTime", "X", "Y", "dist", "traj_speed"), X=3, Y=3, dist=3, traj_speed=6)
+
+
+@query("archive_names", f"""WITH {TRACK} SELECT "TagID" AS individual_local_identifier, "DateTime" AS "timestamp", longitude AS location_long, latitude AS location_lat, satellites_used AS gps_satellite_count FROM track""")
+def archive_names(spark, sf_dir):
+    return tracks.to_archive(track(spark, sf_dir).select("TagID", "DateTime", "longitude", "latitude", "satellites_used"))
+
+
+@query("rate_top", f"""WITH {TRACK}, {RATES}, p AS (SELECT CAST("TagID" AS VARCHAR) AS "TagID", CASE WHEN likely_rate LIKE '<%' THEN '10800+' ELSE likely_rate END AS rate, count(*) AS "N" FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT *, CAST(row_number() OVER (PARTITION BY "TagID" ORDER BY "N" DESC, rate) AS INT) AS rank FROM p) SELECT * FROM q WHERE rank <= 2""")
+def rate_top(spark, sf_dir):
+    return rates.rate_tables(placed(spark, sf_dir), order=ORDER)["top"]
+
+
+@query("speed_flag", f'WITH {TRACK}, {speeds("placed")} SELECT "TagID", event_id, CASE WHEN traj_speed IS NULL THEN NULL WHEN traj_speed >= {SPEED_LIMIT} THEN 1 ELSE 0 END AS speed_rm FROM speeds')
+def speed_flag(spark, sf_dir):
+    return checks.speed_flag(movement.traj_speed(placed(spark, sf_dir), order=ORDER), SPEED_LIMIT).select("TagID", "event_id", "speed_rm")
+
+
+@query("voltage_position", f"""WITH {TRACK}, v AS (SELECT "TagID", "DateTime", gps_pdop AS vbat FROM track WHERE event_id % 4 = 0), r AS (SELECT "TagID", "DateTime" AS t, longitude, latitude FROM placed WHERE event_id % 4 = 1),
+p AS (SELECT v.*, r.t AS pt, r.longitude AS px, r.latitude AS py FROM v ASOF LEFT JOIN r ON v."TagID" = r."TagID" AND v."DateTime" >= r.t), n AS (SELECT p.*, r.t AS nt, r.longitude AS nx, r.latitude AS ny FROM p ASOF LEFT JOIN r ON p."TagID" = r."TagID" AND p."DateTime" <= r.t),
+k AS (SELECT *, nt IS NULL OR "DateTime" - pt <= nt - "DateTime" AS back FROM n), z AS (SELECT *, CASE WHEN back THEN epoch_us("DateTime") - epoch_us(pt) ELSE epoch_us(nt) - epoch_us("DateTime") END AS off FROM k)
+SELECT "TagID", "DateTime", vbat, CASE WHEN off <= 7200000000 THEN CASE WHEN back THEN px ELSE nx END END AS longitude, CASE WHEN off <= 7200000000 THEN CASE WHEN back THEN py ELSE ny END END AS latitude FROM z""")
+def voltage_position(spark, sf_dir):
+    v = schema.to_voltage(track(spark, sf_dir).filter("event_id % 4 = 0"), vbat="gps_pdop").drop("vsll")
+    return subsample.track_at_voltage(v, placed(spark, sf_dir).filter("event_id % 4 = 1"), 7200, schema.ORDER)
