@@ -68,6 +68,6 @@ def bounded(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def hot_copies(spark: SparkSession) -> int:
+def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions to ask for: the session's own setting, so a cluster decides."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

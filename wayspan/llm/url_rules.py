@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayspan.llm.common import ascii_lower, hot_copies
+from wayspan.llm.common import ascii_lower, shuffle_partitions
 
 RULE = "array<struct<host:string,path:string,verdict:string>>"
 
@@ -58,7 +58,7 @@ def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     The sort is by range over all partitions; what is active where a partition starts comes from the last boundary
     of those before it, one row a partition.
     """
-    n = hot_copies(hosts.sparkSession)
+    n = shuffle_partitions(hosts.sparkSession)
     ends = rule_stacks(rules)
     none = F.lit(None).cast("string")
     events = (

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayspan.llm.common import bounded, hot_copies, words
+from wayspan.llm.common import bounded, shuffle_partitions, words
 
 K, WINDOW = 4, 8
 _LOW = 2**31 - 1
@@ -77,7 +77,7 @@ def in_order(docs: DataFrame, key: str, text: str, per: int = 4) -> DataFrame:
     keys come first; rows that tie in the key are ordered by text.
     """
     spark = docs.sparkSession
-    n = per * hot_copies(spark)
+    n = per * shuffle_partitions(spark)
     d = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     cuts = d.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("q")).head()["q"] or []
     cuts = sorted(set(cuts))
