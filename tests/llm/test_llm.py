@@ -234,6 +234,18 @@ def test_passages_with_substitutions(spark):
     assert decontamination.decontaminate(docs, bench.limit(0)).count() == docs.count() and decontamination.report(docs.limit(0), bench).count() == 0
 
 
+def test_excerpts_from_the_middle(spark):
+    item = [f"tok{i}" for i in range(40)]
+    pad = lambda i, part: " ".join([f"a{i}x{k}" for k in range(25)] + part + [f"b{i}x{k}" for k in range(25)])
+    docs = [(n, pad(n, item[14 : 14 + n])) for n in (7, 11, 12, 13, 16, 20, 22, 23)]
+    changed = item[10:26]
+    changed[3], changed[9] = "X", "Y"
+    docs += [(100, pad(100, changed)), (101, pad(101, [t if k % 3 else "Z" for k, t in enumerate(item[5:35])]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    r = {x.doc_id: x.contaminated for x in decontamination.report(frame(spark, docs), bench).collect()}
+    assert r == {7: False, 11: False, 12: True, 13: True, 16: True, 20: True, 22: True, 23: True, 100: True, 101: False}
+
+
 # 8 near duplicates
 
 

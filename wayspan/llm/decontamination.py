@@ -2,8 +2,9 @@
 
 Fixed masks pick some of the tokens in a span and ignore the others, so a seed still matches where a substitution falls
 on an ignored position. Seeds of the benchmark's items are joined with those of every position of every document; a
-hit is confirmed on its diagonal: of the item's tokens around the seed, at least ``percent`` must stand at the same
-places in the document. Tokens are lower-cased and free of punctuation, so case and marks don't hide a passage.
+hit is confirmed on its diagonal: somewhere along it a stretch of at least a span must have ``percent`` of its tokens
+equal, so an excerpt from the middle of an item counts however long the item and the document are. Tokens are
+lower-cased and free of punctuation, so case and marks don't hide a passage.
 
 Items shorter than the span are sought whole. Nulls and empty texts have no tokens: such documents are clean and such
 items are never found. Repeated items and rows change nothing. A document is known by its id and its text, nulls
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 SPAN = 12
 #: Positions of a span that a mask keeps. Every mask leaves four out, no two the same four.
 MASKS = ((0, 1, 2, 4, 5, 7, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11), (0, 1, 3, 4, 6, 7, 9, 11))
-AROUND, PERCENT = 8, 80
+PERCENT = 80
 #: Seeds of the benchmark that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 _MARKS = ".,;:!?\"'`()[]{}<>#$%&*|_~^=+/\\"
@@ -42,7 +43,7 @@ def _seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> Data
     return d.select(*keep, "at", F.col("seed.h").alias("h"), F.col("seed.len").alias("len"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", around: int = AROUND, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", percent: int = PERCENT) -> DataFrame:
     """(key, text hash, item ids) of each document with a confirmed passage; items sorted and distinct."""
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("iw")).filter(F.size("iw") > 0).groupBy("item", "iw").agg(F.count("*").alias("n")).drop("n")
     # Lengths below the span that occur among the items: at most SPAN - 1 numbers.
@@ -56,18 +57,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     d = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), tokens(F.col(text)).alias("w"))
     small = total * len(masks) <= BROADCAST_SEEDS
     hits = _seeds(d, masks, ["key", "th"]).join(F.broadcast(known) if small else known, "h")
-    place = F.struct((F.col("at") - F.col("in_item")).alias("shift"), F.col("in_item"), F.col("len"))
-    by_item = hits.groupBy("key", "th", "ih").agg(F.collect_set(place).alias("places")).join(items, "ih")
-    by_doc = by_item.groupBy("key", "th").agg(F.collect_list(F.struct("item", "iw", "places")).alias("found"))
-
-    def confirmed(f: Column, p: Column) -> Column:
-        lo = F.greatest(p["in_item"] - around, F.lit(0), -p["shift"])
-        hi = F.least(p["in_item"] + p["len"] - 1 + around, F.size(f["iw"]) - 1, F.size("w") - 1 - p["shift"])
-        same = F.size(F.filter(F.sequence(lo, hi), lambda i: F.get("w", i + p["shift"]) == F.get(f["iw"], i)))
-        return (hi - lo + 1 >= F.least(F.lit(SPAN), F.size(f["iw"]))) & (100 * same >= percent * (hi - lo + 1))
+    shift = (F.col("at") - F.col("in_item")).alias("shift")
+    by_item = hits.groupBy("key", "th", "ih").agg(F.collect_set(shift).alias("shifts")).join(items, "ih")
+    by_doc = by_item.groupBy("key", "th").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("found"))
+
+    def confirmed(f: Column, shift: Column) -> Column:
+        """Whether the diagonal's best stretch of at least ``least`` tokens has ``percent`` equal, in one pass.
+
+        An equal token is worth 100 - percent, another -percent. The best stretch that ends at a token is the best one
+        before it and that token, or the last ``least`` tokens alone.
+        """
+        lo = F.greatest(-shift, F.lit(0))
+        hi = F.least(F.size(f["iw"]), F.size("w") - shift) - 1
+        least = F.least(F.lit(SPAN), F.size(f["iw"]))
+        worth = lambda i: F.when(F.get("w", i + shift) == F.get(f["iw"], i), F.lit(100 - percent)).otherwise(F.lit(-percent))
+        no = F.lit(None).cast("int")
+
+        def step(acc: Column, i: Column) -> Column:
+            last = acc["last"] + worth(i) - F.when(i - least >= lo, worth(i - least)).otherwise(F.lit(0))
+            best = F.when(i - lo + 1 >= least, F.greatest(acc["best"] + worth(i), last))  # greatest skips nulls
+            return F.struct(last.alias("last"), best.alias("best"), (acc["ok"] | F.coalesce(best >= 0, F.lit(False))).alias("ok"))
+
+        start = F.struct(F.lit(0).alias("last"), no.alias("best"), F.lit(False).alias("ok"))
+        return F.aggregate(F.sequence(lo, hi), start, step, lambda acc: acc["ok"])
 
     joined = d.join(by_doc.withColumnsRenamed({"key": "k", "th": "t"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")))
-    ok = F.filter("found", lambda f: F.exists(f["places"], lambda p: confirmed(f, p)))
+    ok = F.filter("found", lambda f: F.exists(f["shifts"], lambda p: confirmed(f, p)))
     out = joined.select("key", "th", F.array_sort(F.array_distinct(F.transform(ok, lambda f: f["item"]))).alias("items"))
     return out.filter(F.size("items") > 0).groupBy("key", "th").agg(F.first("items").alias("items"))
 
