@@ -217,6 +217,19 @@ def test_nested_rules(spark):
     assert url_rules.judge_urls(d, spark.createDataFrame([], "host string, path string, verdict string")).filter("verdict = 'allow'").count() == len(urls)
 
 
+def test_many_hosts_and_rules(spark):
+    rules = [(f"s{i % 50}.h{i // 50}.net" if i % 3 else f"h{i // 50}.net", "/", f"v{i}") for i in range(0, 30_000, 2)]
+    best = {}
+    for h, _, v in rules:
+        best[h] = min(v, best.get(h, v))
+    hosts = [f"{w}s{i % 50}.h{i // 50}.net" for i in range(30_000) for w in ("", "www.")]
+    d = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id int, url string").repartition(4)
+    out = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(d, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for i, h in enumerate(hosts):
+        fit = next((x for x in (h[k:] for k in range(len(h)) if k == 0 or h[k - 1] == ".") if x in best), None)
+        assert out[i] == ((fit + "/", best[fit]) if fit else (None, "allow")), h
+
+
 # 7 decontamination
 
 

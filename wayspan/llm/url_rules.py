@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayspan.llm.common import ascii_lower, shuffle_partitions
+from wayspan.llm.common import Scratch, ascii_lower, shuffle_partitions
 
 RULE = "array<struct<host:string,path:string,verdict:string>>"
 
@@ -56,7 +56,8 @@ def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """``hosts`` (distinct, column host) with the stack of rules active at each, by one sorted sweep.
 
     The sort is by range over all partitions; what is active where a partition starts comes from the last boundary
-    of those before it, one row a partition.
+    of those before it, one row a partition. Range bounds are sampled anew by every exchange, so the dealt-out events
+    are written once and both the sweep and the boundaries read them from there.
     """
     n = shuffle_partitions(hosts.sparkSession)
     ends = rule_stacks(rules)
@@ -67,6 +68,7 @@ def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
         .unionByName(hosts.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(RULE).alias("stack"), "host"))
     )
     events = events.repartitionByRange(n, "key", "kind").withColumn("part", F.spark_partition_id())
+    events = Scratch(hosts.sparkSession, "url_rules").write(events, "events")
     here = W.partitionBy("part").orderBy("key", "kind")
     swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)))
     last = events.filter("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("carry"))
