@@ -334,6 +334,13 @@ def test_article_and_place():
     assert wrappers.extract(pages[0], w).startswith("A" * 40 + " First & A") and "Buy" not in wrappers.extract(pages[0], w)
 
 
+def test_what_one_page_has_is_not_template():
+    pages = [f"<body><div class='c'><h1>{x * 30}</h1><p>{x * 200}</p></div><div class='legal'>All rights</div>" for x in "ABCD"]
+    pages[2] = pages[2].replace("</div>", "<blockquote>Seen once</blockquote><ul><li>first</li></ul></div>", 1)
+    got = wrappers.extract(pages[2], wrappers.infer(pages))
+    assert "Seen once" in got and "first" in got and "All rights" not in got
+
+
 def test_pages_edge(spark):
     rows = [(1, "http://a.b/x", None), (2, None, ""), (3, "http://a.b/y", "<p>" + "<div>" * 3000 + "deep"), (4, "http://a.b/y", "a < b &lt;c&gt; <!-- x"), (4, "http://a.b/y", "a < b &lt;c&gt; <!-- x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("wrapper", F.lit("clash"))

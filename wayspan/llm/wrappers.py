@@ -247,7 +247,8 @@ def written(items: list[tuple]) -> str:
 
 
 def fixed(items: list[tuple]) -> set[str]:
-    return {i[1] for i in items if i[0] == "text"} | {t for i in items if i[0] in ("rep", "opt") for t in fixed(i[1])}
+    """Texts that all aligned pages agree on; an optional group's may be one page's own."""
+    return {i[1] for i in items if i[0] == "text"} | {t for i in items if i[0] == "rep" for t in fixed(i[1])}
 
 
 def infer(pages: list[str]) -> dict:
