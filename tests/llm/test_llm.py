@@ -341,6 +341,25 @@ def test_what_one_page_has_is_not_template():
     assert "Seen once" in got and "first" in got and "All rights" not in got
 
 
+def test_every_layout_counts(spark):
+    common = [(i, "http://a.b/x", f"<body><div class='c'><p>{chr(65 + i % 26) * (50 + i)}</p></div>") for i in range(300)]
+    rare = [(1000 + i, "http://a.b/y", f"<body><div class='c'><p>{chr(65 + i) * 60}</p><h3>Contact us today</h3></div>") for i in range(4)]
+    d = spark.createDataFrame(common + rare, "page_id long, url string, html string").repartition(4)
+    out = {r.page_id: r.text for r in wrappers.main_text(d).collect()}
+    assert all(out[1000 + i] == chr(65 + i) * 60 for i in range(4)) and all(out[i] == chr(65 + i % 26) * (50 + i) for i in range(300))
+
+
+def test_long_lists_align_whole():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 4, n).tolist() for n in (700, 800))
+    got = wrappers.common(a, b)
+    best = [[0] * 801 for _ in range(701)]
+    for i in range(700):
+        for j in range(800):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    assert len(got) == best[700][800] and all(a[i] == b[j] for i, j in got) and got == sorted(got)
+
+
 def test_pages_edge(spark):
     rows = [(1, "http://a.b/x", None), (2, None, ""), (3, "http://a.b/y", "<p>" + "<div>" * 3000 + "deep"), (4, "http://a.b/y", "a < b &lt;c&gt; <!-- x"), (4, "http://a.b/y", "a < b &lt;c&gt; <!-- x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("wrapper", F.lit("clash"))

@@ -1,21 +1,22 @@
 """Main text of web pages by wrappers inferred as union-free regular expressions.
 
-A few pages of a host are read as streams of block tags and texts. Runs of alike groups are folded into repeated
-groups; the streams are then aligned one after the other with the wrapper so far: equal texts stay fixed, unequal ones
-become slots, and groups that only some pages have become optional. The wrapper tells template from content: fixed
-texts are template, and the innermost container that holds most of what fills the slots is the host's content place.
-Each page's text is taken from its article (or the host's content place where it marks none), less the parts that say
-by tag or class that they are menus, headers, footers, sidebars, notices, adverts, forms or comments, and less the
-template's fixed texts outside an article.
+Every page of a host is read as a stream of block tags and texts. Runs of alike groups are folded into repeated groups;
+the streams are then aligned one after the other with the wrapper so far: equal texts stay fixed, unequal ones become
+slots, and groups that only some pages have become optional. Each task aligns the pages it reads and the tasks' wrappers
+of a host are aligned in turn, so no page is left out. A text is template if every page that has its place agrees and
+at least two different pages do; the innermost container that holds most of what fills the slots is the host's content
+place. Each page's text is taken from its article (or the host's content place where it marks none), less the parts
+that say by tag or class that they are menus, headers, footers, sidebars, notices, adverts, forms or comments, and less
+the template's fixed texts outside an article.
 
 Nulls: a null html counts as empty and has an empty text. A null url has the empty host. Markup may be cut off or
-nested wrongly: whatever is open at the end is closed there. Repeated pages get equal texts. ``sample`` bounds the
-pages per host (in expectation) that inference reads, picked by hash; every page is then extracted whole. A host with
+nested wrongly: whatever is open at the end is closed there. Repeated pages get equal texts and count once. A host with
 one page has a wrapper without slots and its content place is where that page's text is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -30,12 +31,11 @@ from wayspan.llm.common import Scratch
 from wayspan.llm.url_rules import url_parts
 from wayspan.session import ship
 
-SAMPLE = 12
-#: Sampled page ids, and bytes of wrappers, up to which they are broadcast.
-BROADCAST_IDS, BROADCAST_BYTES = 200_000, 8_000_000
+#: Bytes of wrappers up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
 DEPTH = 150
-#: Cells of an alignment table; longer lists align by their common ends, what lies between is optional.
-CELLS = 250_000
+#: Hosts whose wrappers a task holds before it passes them on.
+OPEN_HOSTS = 500
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|noscript|svg|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -62,7 +62,8 @@ class Node:
 
     @property
     def name(self) -> str:
-        return f"{self.tag}.{self.cls}" if self.cls else self.tag
+        cls = re.sub(r"\d+", "#", self.cls)  # numbered ids are one place
+        return f"{self.tag}.{cls}" if cls else self.tag
 
     def left_out(self) -> bool:
         if self.tag in LEFT_OUT:
@@ -134,25 +135,21 @@ def texts(node: Node, path: tuple[str, ...] = (), inside: bool = False) -> Itera
             yield from texts(k, (*path, k.name), inside or k.tag in ("article", "main"))
 
 
-# Wrappers: a list of items ("tag", name), ("text", fixed), ("slot",), ("rep", items) and ("opt", items).
+# Wrappers: a list of items ("tag", name), ("text", fixed, pages), ("slot",), ("rep", items) and ("opt", items); of the
+# pages that have a fixed text, the two least hashes are kept.
 
 
-def stream(node: Node) -> list[tuple]:
+def stream(node: Node, page: int = 0) -> list[tuple]:
     out: list[tuple] = []
     for k in node.kids:
         if isinstance(k, str):
             if t := clean(k):
-                out.append(("text", t))
+                out.append(("text", t, (page,)))
         elif k is not None:
-            out += [("tag", k.name), *fold(stream(k)), ("tag", "/" + k.name)]
+            out += [("tag", k.name), *fold(stream(k, page)), ("tag", "/" + k.name)]
     return fold(out)
 
 
-def shape(items: list[tuple]) -> tuple:
-    """Structure without texts."""
-    return tuple((i[0], shape(i[1])) if i[0] in ("rep", "opt") else ("slot",) if i[0] in ("text", "slot") else i for i in items)
-
-
 def units(items: list[tuple]) -> list[list[tuple]]:
     """Split into whole elements and single texts."""
     out, depth = [], 0
@@ -192,40 +189,41 @@ def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
     ub = [x for u in ub for x in ([[i] for i in u] if u[0][0] == "tag" and len(u) > 1 else [u])]
     ka = [symbol(u if u[0][0] != "opt" else u[0][1]) for u in ua]
     kb = [symbol(u if u[0][0] != "opt" else u[0][1]) for u in ub]
-    if len(ua) * len(ub) > CELLS:
-        return _align_ends(ua, ub, ka, kb)
-    n, m = len(ua), len(ub)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
     out: list[tuple] = []
     i = j = 0
     optional = lambda u: u[0] if u[0][0] == "opt" else ("opt", u)
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(merge(ua[i][0], ub[j][0]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(optional(ua[i]))
-            i += 1
-        else:
-            out.append(optional(ub[j]))
-            j += 1
+    for x, y in [*common(ka, kb), (len(ua), len(ub))]:
+        out += [optional(u) for u in (*ua[i:x], *ub[j:y])]
+        if x < len(ua):
+            out.append(merge(ua[x][0], ub[y][0]))
+        i, j = x + 1, y + 1
     return out
 
 
-def _align_ends(ua: list, ub: list, ka: list, kb: list) -> list[tuple]:
-    least = min(len(ua), len(ub))
-    i = next((k for k in range(least) if ka[k] != kb[k]), least)
-    j = next((k for k in range(least - i) if ka[-1 - k] != kb[-1 - k]), least - i)
-    seen, middle = set(), []
-    for u, k in zip([*ua[i : len(ua) - j], *ub[i : len(ub) - j]], [*ka[i : len(ka) - j], *kb[i : len(kb) - j]]):
-        if k not in seen:
-            seen.add(k)
-            middle.append(u[0] if u[0][0] == "opt" else ("opt", u))
-    ends = lambda lo, hi_a, hi_b: [merge(x[0], y[0]) for x, y in zip(ua[lo:hi_a] if lo >= 0 else ua[len(ua) - j :], ub[lo:hi_b] if lo >= 0 else ub[len(ub) - j :])]
-    return [*ends(0, i, i), *([("rep", middle)] if middle else []), *(ends(-1, 0, 0) if j else [])]
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, whatever the lengths: a bit per cell, a whole row a step."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
+    where: dict = {}
+    for i, k in enumerate(a):
+        where[k] = where.get(k, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v, rows = full, []
+    for k in b:
+        u = v & where.get(k, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out = []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        else:
+            j -= 1
+            if not j or rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def merge(x: tuple, y: tuple) -> tuple:
@@ -236,7 +234,7 @@ def merge(x: tuple, y: tuple) -> tuple:
         p, q = (v[1] if v[0] == "rep" else [v] for v in (x, y))
         return ("rep", align(p, q))
     if x[0] in ("text", "slot"):
-        return x if x == y else ("slot",)
+        return ("text", x[1], tuple(sorted({*x[2], *y[2]})[:2])) if x[0] == y[0] == "text" and x[1] == y[1] else ("slot",)
     return x
 
 
@@ -246,33 +244,76 @@ def written(items: list[tuple]) -> str:
     return " ".join(how[i[0]](i) for i in items)
 
 
-def fixed(items: list[tuple]) -> set[str]:
-    """Texts that all aligned pages agree on; an optional group's may be one page's own."""
-    return {i[1] for i in items if i[0] == "text"} | {t for i in items if i[0] == "rep" for t in fixed(i[1])}
+def fixed(items: list[tuple], path: tuple[str, ...] = (), sure: bool = True) -> Iterator[tuple[tuple[str, ...], str, bool]]:
+    """(path, text, whether on every page) of the template: texts that two different pages agree on."""
+    for i in items:
+        if i[0] == "text" and len(i[2]) > 1:
+            yield path, i[1], sure
+        elif i[0] == "opt":
+            yield from fixed(i[1], path, False)
+        elif i[0] == "rep":
+            yield from fixed(i[1][1:-1], (*path, i[1][0][1]), sure)
+
+
+def outside(path: tuple[str, ...]) -> bool:
+    return any(Node(*name.split(".", 1)).left_out() for name in path)
+
+
+class Host:
+    """What is known of a host from the pages read so far."""
+
+    def __init__(self, items: list[tuple] | None = None, mass: Counter | None = None, n: int = 0):
+        self.items, self.mass, self.n = items, mass or Counter(), n
+
+    def add(self, page: str) -> None:
+        tree = parse(page)
+        h = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=6).digest())
+        mass: Counter = Counter()
+        for path, t, _ in texts(tree):
+            mass[path] += len(t)
+        self.join(Host(stream(tree, h), mass, 1))
+
+    def join(self, other: Host) -> None:
+        self.items = other.items if self.items is None else align(self.items, other.items)
+        self.mass.update(other.mass)
+        self.n += other.n
+
+    def dumps(self) -> str:
+        return json.dumps([self.items, [[p, m] for p, m in self.mass.items()], self.n])
+
+    @classmethod
+    def loads(cls, s: str) -> Host:
+        items, mass, n = json.loads(s)
+        return cls(as_items(items), Counter({tuple(p): m for p, m in mass}), n)
+
+    def wrapper(self) -> dict:
+        const = list(fixed(self.items or []))
+        left = Counter(self.mass)
+        for path, t, sure in const:
+            if sure and not outside(path):
+                left[path] -= len(t) * self.n
+        slots = sum(m for m in left.values() if m > 0)
+        copies = 2 * slots < self.mass.total()  # copies of one page: what they share isn't their template
+        if copies:
+            left, slots = self.mass, self.mass.total()
+        mass: Counter = Counter()
+        for path, m in left.items():
+            for k in range(len(path) + 1):
+                mass[path[:k]] += max(m, 0)
+        place = max((p for p in mass if mass[p] >= 0.7 * slots and not (p and p[-1].split(".")[0] in ("p", "li", "td", "tr", "h1", "h2", "h3"))), key=len, default=())
+        return {"items": self.items or [], "copies": copies, "fixed": [] if copies else sorted({t for _, t, _ in const}), "place": list(place), "expression": written(self.items or [])}
+
+
+def as_items(found: list) -> list[tuple]:
+    return [(i[0], as_items(i[1])) if i[0] in ("rep", "opt") else (i[0], i[1], tuple(i[2])) if i[0] == "text" else tuple(i) for i in found]
 
 
 def infer(pages: list[str]) -> dict:
-    """Wrapper of one host from some of its pages: its expression, fixed texts, and content place."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    wrapper: list[tuple] = []
-    for i, t in enumerate(trees):
-        s = stream(t)
-        wrapper = s if i == 0 else align(wrapper, s)
-    const = fixed(wrapper) if len(trees) > 1 else set()
-    size = [len(x) for t in trees for _, x, _ in texts(t)]
-    varied = sum(len(x) for t in trees for _, x, _ in texts(t) if x not in const)
-    if 2 * varied < sum(size):  # copies of one page: what they share isn't their template
-        const = set()
-    mass: Counter = Counter()
-    total = 0
-    for t in trees:
-        for path, text, _ in texts(t):
-            if text not in const:
-                total += len(text)
-                for k in range(len(path) + 1):
-                    mass[path[:k]] += len(text)
-    place = max((p for p in mass if mass[p] >= 0.7 * total and not (p and p[-1].split(".")[0] in ("p", "li", "td", "tr", "h1", "h2", "h3"))), key=len, default=())
-    return {"fixed": sorted(const), "place": list(place), "expression": written(wrapper)}
+    """Wrapper of one host from its pages: its items and expression, fixed texts, and content place."""
+    host = Host()
+    for p in dict.fromkeys(pages):
+        host.add(p)
+    return host.wrapper()
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
@@ -286,31 +327,40 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     return " ".join(t for p, t in kept if p[: len(place)] == place) or " ".join(t for _, t in kept)
 
 
-def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
-    """(host, wrapper as JSON) of every host, from a sample of its pages."""
-    ids = pages.select(F.col(key).alias("key"), url_parts(F.col(url))[0].alias("host"))
-    n = ids.groupBy("host").agg(F.count("*").alias("n"))
-    picked = ids.join(n, "host").filter(F.pmod(F.xxhash64("key", "host"), F.lit(1_000_003)) <= 1_000_003 * sample / F.col("n")).select("key").distinct()
-    scratch = scratch or Scratch(pages.sparkSession, "wrappers")
-    picked = scratch.write(picked, "picked")
-    if picked.count() <= BROADCAST_IDS:  # else the pages are dealt out by id
-        picked = F.broadcast(picked)
-    rows = pages.select(F.col(key).alias("key"), url_parts(F.col(url))[0].alias("host"), F.coalesce(html, F.lit("")).alias("html")).join(picked, "key", "left_semi")
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, wrapper as JSON) of every host, from all of its pages."""
+    rows = pages.select(url_parts(F.col(url))[0].alias("host"), F.coalesce(html, F.lit("")).alias("html"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Host] = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"host": list(known), "part": [h.dumps() for h in known.values()]}, dtype="object")
+            known.clear()
+            return out
+
+        for b in batches:
+            for host, page in zip(b["host"], b["html"]):
+                known.setdefault(host, Host()).add(page)
+            if len(known) > OPEN_HOSTS:
+                yield flush()
+        yield flush()
 
     def one(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": b["host"][:1], "wrapper": [json.dumps(infer(list(b.sort_values(["key", "html"])["html"])))]})
+        host = Host()
+        for p in sorted(b["part"]):
+            host.join(Host.loads(p))
+        return pd.DataFrame({"host": b["host"][:1], "wrapper": [json.dumps(host.wrapper())]})
 
     ship(pages.sparkSession)
-    return rows.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    return rows.mapInPandas(part, "host string, part string").groupBy("host").applyInPandas(one, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with text and n_chars; html is dropped."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "wrapper", "__host")]
     scratch = Scratch(pages.sparkSession, "wrappers")
-    w = wrappers(pages, key, url, html, sample, scratch).select(F.col("host").alias("__host"), F.get_json_object("wrapper", "$.fixed").alias("fixed"), F.get_json_object("wrapper", "$.place").alias("place"))
-    w = w.select("__host", F.concat(F.lit('{"fixed":'), "fixed", F.lit(',"place":'), "place", F.lit("}")).alias("wrapper"))
-    w = scratch.write(w, "wrappers")
+    w = scratch.write(wrappers(pages, url, html).withColumnRenamed("host", "__host"), "wrappers")
     size = w.agg(F.sum(F.length("wrapper") + F.length("__host") + 64)).head()[0] or 0
     if size <= BROADCAST_BYTES:  # else pages and wrappers are dealt out by host, and large hosts split
         w = F.broadcast(w)
@@ -325,6 +375,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     if len(known) > 1000:
                         known.clear()
                     known[f] = json.loads(f)
+                    known[f]["items"] = as_items(known[f]["items"])
                 out.append(extract(p, known.get(f)))
             yield pd.Series(out, dtype="object")
 
