@@ -341,6 +341,11 @@ def test_what_one_page_has_is_not_template():
     assert "Seen once" in got and "first" in got and "All rights" not in got
 
 
+def test_slots_decide_also_in_an_article():
+    pages = [f"<body><article><p>Share this text</p><p>{x * 30}</p><h2>Read on</h2><p>{x * 90}</p></article>" for x in "ABCD"]
+    assert wrappers.extract(pages[0], wrappers.infer(pages)) == "Share this text " + "A" * 30 + " " + "A" * 90
+
+
 def test_every_layout_counts(spark):
     common = [(i, "http://a.b/x", f"<body><div class='c'><p>{chr(65 + i % 26) * (50 + i)}</p></div>") for i in range(300)]
     rare = [(1000 + i, "http://a.b/y", f"<body><div class='c'><p>{chr(65 + i) * 60}</p><h3>Contact us today</h3></div>") for i in range(4)]

@@ -5,9 +5,9 @@ the streams are then aligned one after the other with the wrapper so far: equal
 slots, and groups that only some pages have become optional. Each task aligns the pages it reads and the tasks' wrappers
 of a host are aligned in turn, so no page is left out. A text is template if every page that has its place agrees and
 at least two different pages do; the innermost container that holds most of what fills the slots is the host's content
-place. Each page's text is taken from its article (or the host's content place where it marks none), less the parts
-that say by tag or class that they are menus, headers, footers, sidebars, notices, adverts, forms or comments, and less
-the template's fixed texts outside an article.
+place. Each page is then matched against its host's wrapper and its text is what fills the slots (and what the wrapper
+doesn't know) in the content place. Behind that, tags check: an article narrows the place, and parts that say by tag or
+class that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
 
 Nulls: a null html counts as empty and has an empty text. A null url has the empty host. Markup may be cut off or
 nested wrongly: whatever is open at the end is closed there. Repeated pages get equal texts and count once. A host with
@@ -316,15 +316,38 @@ def infer(pages: list[str]) -> dict:
     return host.wrapper()
 
 
+def match(node: Node, items: list[tuple], path: tuple[str, ...] = (), inside: bool = False) -> Iterator[tuple[tuple[str, ...], str, bool]]:
+    """(path, text, whether in an article) of what fills the wrapper's slots or isn't in it, less the parts left out."""
+    runs: list[list] = []
+    for k in node.kids:
+        if isinstance(k, str):
+            if t := clean(k):
+                runs.append([("slot",), t])
+        elif k is not None:
+            if runs and runs[-1][0] == ("tag", k.name):
+                runs[-1].append(k)
+            else:
+                runs.append([("tag", k.name), k])
+    bare = [i[1][0] if i[0] == "opt" else i for i in items]
+    met = dict(common([r[0] for r in runs], [symbol([i]) for i in bare]))
+    for n, (_, *found) in enumerate(runs):
+        i = bare[met[n]] if n in met else None
+        for k in found:
+            if isinstance(k, str):
+                if not (i and i[0] == "text" and len(i[2]) > 1 and i[1] == k):
+                    yield path, k, inside
+            elif not k.left_out():
+                yield from match(k, i[1][1:-1] if i else [], (*path, k.name), inside or k.tag in ("article", "main"))
+
+
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page: its article, or else what fills the host's content place."""
-    blocks = list(texts(parse(page or "")))
-    if any(inside for *_, inside in blocks):
-        return " ".join(t for _, t, inside in blocks if inside)
-    const = set(wrapper["fixed"]) if wrapper else set()
+    """The main text of a page: what fills its host's wrapper in the content place, narrowed to an article."""
+    known = wrapper["items"] if wrapper and not wrapper["copies"] else []
     place = tuple(wrapper["place"]) if wrapper else ()
-    kept = [(p, t) for p, t, _ in blocks if t not in const]
-    return " ".join(t for p, t in kept if p[: len(place)] == place) or " ".join(t for _, t in kept)
+    found = list(match(parse(page or ""), known))
+    kept = [x for x in found if x[0][: len(place)] == place] or found
+    article = [x for x in kept if x[2]] or [x for x in found if x[2]]
+    return " ".join(t for _, t, _ in article or kept)
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
