@@ -264,11 +264,28 @@ SELECT "TagID", event_id, pl AS backward, nl AS forward, CASE WHEN nt IS NULL OR
 @query("asof_join", ASOF)
 def asof_join(spark, sf_dir):
     left, right = track(spark, sf_dir).filter("event_id % 3 = 0").select("TagID", "DateTime", "event_id"), placed(spark, sf_dir).filter("event_id % 3 = 1").select("TagID", "DateTime", "longitude")
+    return _three_ways(left, right)
+
+
+def _three_ways(left, right):
     d = subsample.asof(left, right, ["longitude"], "backward", order=ORDER).withColumnRenamed("longitude", "backward")
     d = subsample.asof(d, right, ["longitude"], "forward", order=ORDER).withColumnRenamed("longitude", "forward")
     return subsample.asof(d, right, ["longitude"], "nearest", 7200, ORDER).select("TagID", "event_id", "backward", "forward", C("longitude").alias("nearest"))
 
 
+#: Placed fixes ten minutes later, so that a whole table meets a whole table.
+LATER = "INTERVAL 10 MINUTE"
+
+
+def later(spark, sf_dir):
+    return placed(spark, sf_dir).withColumn("DateTime", C("DateTime") + F.expr(LATER))
+
+
+@query("asof_join_all", ASOF.replace(" WHERE event_id % 3 = 0", "").replace('"DateTime" AS t', f'"DateTime" + {LATER} AS t').replace(" WHERE event_id % 3 = 1", ""))
+def asof_join_all(spark, sf_dir):
+    return _three_ways(track(spark, sf_dir).select("TagID", "DateTime", "event_id"), later(spark, sf_dir).select("TagID", "DateTime", "longitude"))
+
+
 @query("duplicates_mark", f"""WITH {TRACK}, {DOUBLED}, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, list(DISTINCT "DateTime") OVER (PARTITION BY "TagID", longitude, latitude) AS times,
   count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude, satellites_used) AS m FROM doubled)
 SELECT "TagID", event_id, CAST(len(places) > 1 AS INT) AS dup_time_rm, CAST(len(times) > 1 AS INT) AS dup_coords_rm, CAST(n > 1 AS INT) AS dup_time_coords_rm, CAST(m > 1 AS INT) AS all_dup_rm FROM d""")
@@ -618,3 +635,22 @@ SELECT "TagID", "DateTime", vbat, CASE WHEN off <= 7200000000 THEN CASE WHEN bac
 def voltage_position(spark, sf_dir):
     v = schema.to_voltage(track(spark, sf_dir).filter("event_id % 4 = 0"), vbat="gps_pdop").drop("vsll")
     return subsample.track_at_voltage(v, placed(spark, sf_dir).filter("event_id % 4 = 1"), 7200, schema.ORDER)
+
+
+@query("voltage_position_all", ORACLE["voltage_position"].replace(" WHERE event_id % 4 = 0", "").replace('"DateTime" AS t', f'"DateTime" + {LATER} AS t').replace(" WHERE event_id % 4 = 1", ""))
+def voltage_position_all(spark, sf_dir):
+    v = schema.to_voltage(track(spark, sf_dir), vbat="gps_pdop").drop("vsll")
+    return subsample.track_at_voltage(v, later(spark, sf_dir), 7200, schema.ORDER)
+
+
+@query("time_windows_all", ORACLE["time_windows"].replace('"TagID" % 3 = 0 AND ', ""))
+def time_windows_all(spark, sf_dir):
+    t = track(spark, sf_dir)
+    b = t.select("TagID").distinct().selectExpr("TagID", "TIMESTAMP_NTZ '2024-01-05 00:00:00' AS start", "CASE WHEN TagID % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-20 00:00:00' END AS end")
+    return checks.time_windows(t, b, ORDER).select("TagID", "event_id")
+
+
+@query("pressure_merge_all", ORACLE["pressure_merge"].replace(" WHERE event_id % 3 = 0", "").replace(" WHERE event_id % 2 = 0", ""))
+def pressure_merge_all(spark, sf_dir):
+    t = track(spark, sf_dir)
+    return tracks.merge_pressure(t.select("TagID", "DateTime", "event_id"), t.selectExpr("TagID", "DateTime", "gps_pdop AS pressure_avg", "gps_pdop * 2 AS temp_avg"), ORDER)
