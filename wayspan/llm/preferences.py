@@ -7,11 +7,14 @@ end mark of assistant turns.
 Turns are ordered by their number; turns that tie are ordered by role, then text. A null role or text counts as
 empty. A side without turns has an empty completion; a pair of equal conversations has two empty completions and is
 marked ``identical``. Sides without a partner are paired with an empty conversation, so no conversation is lost.
+Texts are rendered whole, whatever their length; repeated turns count each; other columns are carried through, unless
+they bear the name of a result, which then replaces them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -76,14 +79,31 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen_turns", rejected:
     )
 
 
-def derived_pairs(turns: DataFrame) -> DataFrame:
-    """A pair per conversation of a table without preferences: chosen is the conversation up to its last assistant
-    turn; rejected has that turn replaced by the last assistant turn of the partner, the conversation whose id differs
-    in the lowest bit (by none where there is no such turn). Conversations with a null id have no partner."""
-    c = conversations(turns).withColumn("at", F.aggregate(F.sequence(F.lit(1), F.size("turns")), F.lit(0), lambda m, i: F.when(F.col("turns")[i - 1]["role"] == "assistant", i).otherwise(m)))
-    last = F.when(F.col("at") > 0, F.slice("turns", F.col("at"), F.lit(1))).otherwise(F.array().cast(TURNS))
-    partner = c.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), last.alias("other"))
-    j = c.join(partner, "conv_id", "left")
-    upto = F.when(F.col("at") > 0, F.slice("turns", F.lit(1), F.col("at"))).otherwise(F.col("turns"))
-    stem = F.when(F.col("at") > 0, F.slice("turns", F.lit(1), F.col("at") - 1)).otherwise(F.col("turns"))
-    return j.select("conv_id", upto.alias("chosen_turns"), F.concat(stem, F.coalesce("other", F.array().cast(TURNS))).alias("rejected_turns"))
+def derived_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """A pair per conversation of a table without preferences: (key, chosen_turns, rejected_turns).
+
+    Chosen is the whole conversation. Rejected has the second half of its assistant turns (of an odd number the middle
+    one too) replaced by those of the same number of the partner, the conversation whose id differs in the lowest bit;
+    one that the partner lacks is left out. All other turns stay in both, so the two part anywhere from the first
+    assistant turn on and may meet again. Conversations without assistant turns are equal to their rejected side. Turns
+    with a null id are one conversation without a partner.
+
+    Both conversations of a pair meet in one group of one shuffle, as they are one training sample.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    d = turns.select(F.col(key).bitwiseAND(F.lit(-2)).alias("__pair"), F.coalesce(F.col(key).bitwiseAND(F.lit(1)), F.lit(0)).alias("__side"), F.col(key).alias("__id"), "turn", role.alias("role"), text.alias("text"))
+    order = W.partitionBy("__pair", "__side").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    own = (F.col("role") == "assistant").cast("int")
+    # Dealt by pair first, so that neither the numbering nor the grouping deals anew.
+    d = d.repartition("__pair").withColumns({"n": F.row_number().over(order), "of": F.sum(own).over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int")})
+    turn = F.struct("n", "of", "role", "text")
+    sides = [F.col("__side") == i for i in (0, 1)]
+    g = d.groupBy("__pair").agg(*[F.sort_array(F.collect_list(F.when(s, turn))).alias(f"t{i}") for i, s in enumerate(sides)], *[F.first(F.when(s, F.col("__id")), ignorenulls=True).alias(f"id{i}") for i, s in enumerate(sides)])
+    g = g.withColumns({f"a{i}": F.filter(f"t{i}", lambda t: t["role"] == "assistant") for i in (0, 1)})
+    pick = lambda i: F.struct(F.col(f"id{i}").alias("id"), F.col(f"t{i}").alias("own"), F.size(f"a{i}").alias("k"), F.col(f"a{1 - i}").alias("other"))
+    x = F.explode(F.filter(F.array(pick(0), pick(1)), lambda s: F.size(s["own"]) > 0))
+    d = g.select(x.alias("x")).select(F.col("x.id").alias(key), "x.own", "x.k", "x.other")
+    pair = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    swapped = lambda t: (t["role"] == "assistant") & (t["of"] > F.floor(F.col("k") / 2))
+    kept = F.filter("own", lambda t: ~swapped(t) | (t["of"] <= F.size("other")))
+    return d.select(key, F.transform("own", pair).alias("chosen_turns"), F.transform(kept, lambda t: F.when(swapped(t), pair(F.get("other", t["of"] - 1))).otherwise(pair(t))).alias("rejected_turns"))

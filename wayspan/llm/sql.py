@@ -1,18 +1,22 @@
 """DuckDB SQL twins of the training-data queries."""
 
 OP3 = """
-WITH c AS (
-  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn, role, text) AS turns
-  FROM conversations GROUP BY conv_id
-), a AS (
-  SELECT conv_id, turns,
-         coalesce(list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i ELSE 0 END)), 0) AS at
-  FROM c
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER w AS n, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS k
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
+), c AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text, k := k) ORDER BY n) AS turns,
+         coalesce(list(text ORDER BY n) FILTER (role = 'assistant'), []) AS said
+  FROM o GROUP BY conv_id
+), j AS (
+  SELECT x.conv_id, x.turns, len(x.said) // 2 AS half, coalesce(y.said, []) AS other
+  FROM c x LEFT JOIN c y ON xor(x.conv_id, 1) = y.conv_id
 ), p AS (
-  SELECT x.conv_id,
-         CASE WHEN x.at > 0 THEN x.turns[1:x.at] ELSE x.turns END AS c,
-         list_concat(CASE WHEN x.at > 0 THEN x.turns[1:x.at - 1] ELSE x.turns END, CASE WHEN y.at > 0 THEN y.turns[y.at:y.at] ELSE [] END) AS r
-  FROM a x LEFT JOIN a y ON xor(x.conv_id, 1) = y.conv_id
+  SELECT conv_id, list_transform(turns, lambda t: struct_pack(role := t.role, text := t.text)) AS c,
+         list_transform(list_filter(turns, lambda t: t.role <> 'assistant' OR t.k <= half OR t.k <= len(other)),
+           lambda t: struct_pack(role := t.role, text := CASE WHEN t.role = 'assistant' AND t.k > half THEN other[CAST(t.k AS BIGINT)] ELSE t.text END)) AS r
+  FROM j
 ), n AS (
   SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, len(c)) AS n FROM p
 ), s AS (
