@@ -6,7 +6,8 @@ both. A text of fewer than ``k`` words is one gram; one of fewer than ``window``
 
 Nulls: a null text counts as empty and has the empty fingerprint. The likeness of two fingerprints is the Dice
 coefficient of their distinct hashes; two empty ones are alike (1.0), an empty and another one are not (0.0).
-Nothing is capped: texts of up to 2^31 words keep every position.
+Nothing is capped: texts of up to 2^31 words keep every position. Keys are integers. Columns other than key and text
+are not carried over by ``fingerprint_edits``; ``winnow`` carries them, and one named like its result is replaced.
 """
 
 from __future__ import annotations
@@ -21,27 +22,71 @@ from wayspan.llm.common import bounded, shuffle_partitions, words
 
 K, WINDOW = 4, 8
 _LOW = 2**31 - 1
+#: Prime modulus and base of the rolling hash, fixed values: residues and their products stay within a long.
+_PRIME, _BASE = 2**31 - 1, 1_000_003
 
 
-def _grams(w: Column, k: int) -> Column:
-    """Per gram one long: 32 bits of hash above 31 bits of reversed position, so that least is smallest and rightmost."""
-    n = F.greatest(F.size(w) - (k - 1), F.lit(1))
-    pack = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(w, i, k)), 32), 31).bitwiseOR(F.lit(_LOW) - i.cast("long"))
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), n), pack)).otherwise(F.array().cast("array<bigint>"))
+def _indexes(n: Column) -> Column:
+    """0 .. n - 1, none where n is 0 or less."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _minima(g: Column, window: int) -> Column:
-    n = F.greatest(F.size(g) - (window - 1), F.lit(1))
-    return F.when(F.size(g) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(g, i, window))))).otherwise(F.array().cast("array<bigint>"))
+def _doubled(d: DataFrame, col: str, width: int, join) -> DataFrame:
+    """``d`` with array ``col`` of single values turned into one of runs of ``width`` values.
+
+    A run of 2n is joined from two runs of n, so each element costs log(width) steps and not width. Runs of a width
+    that is no power of two are joined from the widest power and runs kept on the way. Each step is a select of its
+    own, since it reads the array before it several times.
+    """
+    keep = [c for c in d.columns if c != col]
+
+    def runs(first: str, second: str, width: int, n: int) -> Column:
+        """Runs of ``width`` values of ``first``, each followed by one of ``n`` values of ``second``."""
+        return F.transform(_indexes(F.size(second) - width), lambda i: join(F.get(first, i), F.get(second, i + width), n))
+
+    have, at = 0, 1  # width of the finished part, and of the powers
+    left = width
+    while True:
+        if left % 2:
+            if not have:
+                d, have = d.withColumn("__acc", F.col(col)), at
+            else:
+                d = d.select(*keep, col, runs(col, "__acc", at, have).alias("__acc"))
+                have += at
+        left //= 2
+        if not left:
+            return d.select(*keep, F.col("__acc").alias(col))
+        d = d.select(*keep, *(["__acc"] if have else []), runs(col, col, at, at).alias(col))
+        at *= 2
+
+
+def _grams(d: DataFrame, col: str, k: int) -> DataFrame:
+    """Array ``col`` of words turned into one of grams, a long each: 31 bits of rolling hash above 31 bits of reversed
+    position, so that least is smallest and rightmost. The hash of a gram is the polynomial of its words' hashes."""
+    others = [c for c in d.columns if c != col]
+    d = d.select(*others, F.transform(col, lambda w: F.pmod(F.xxhash64(w), F.lit(_PRIME))).alias(col))
+    d = d.withColumn("__short", F.when((F.size(col) > 0) & (F.size(col) < k), F.aggregate(col, F.lit(0).cast("long"), lambda a, x: (a * _BASE + x) % _PRIME)))
+    d = _doubled(d, col, k, lambda a, b, n: (a * pow(_BASE, n, _PRIME) % _PRIME + b) % _PRIME)
+    d = d.select(*others, F.when(F.col("__short").isNotNull(), F.array("__short")).otherwise(F.col(col)).alias(col))
+    return d.select(*others, F.transform(col, lambda h, i: F.shiftleft(h, 31).bitwiseOR(F.lit(_LOW) - i.cast("long") - 1)).alias(col))
+
+
+def _minima(d: DataFrame, col: str, window: int) -> DataFrame:
+    """Array ``col`` of grams turned into its window minima, each once; fewer grams than a window are one window."""
+    others = [c for c in d.columns if c != col]
+    d = d.withColumn("__short", F.when((F.size(col) > 0) & (F.size(col) < window), F.array(F.array_min(col))))
+    powers = 1 << (window.bit_length() - 1)
+    d = _doubled(d, col, powers, lambda a, b, n: F.least(a, b))
+    rest = window - powers  # two overlapping runs cover the window
+    d = d.select(*others, F.coalesce("__short", F.transform(_indexes(F.size(col) - rest), lambda i: F.least(F.get(col, i), F.get(col, i + rest))) if rest else F.col(col)).alias(col))
+    return d.withColumn(col, F.array_distinct(col))
 
 
 def winnow(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """``df`` with the kept grams of ``text`` in ``out``, as packed longs in order of position."""
     others = [c for c in df.columns if c != out]
-    # The selects stay apart since every array is used twice; otherwise it would be built anew for each element.
-    d = df.select(*others, words(F.col(text)).alias("__w"))
-    d = d.select(*others, _grams(F.col("__w"), k).alias("__g"))
-    return d.select(*others, _minima(F.col("__g"), window).alias(out))
+    d = df.select(*others, words(F.col(text)).alias(out))
+    return _minima(_grams(d, out, k), out, window)
 
 
 def positions(kept: Column) -> Column:
@@ -96,7 +141,8 @@ def in_order(docs: DataFrame, key: str, text: str, per: int = 4) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and likenesses to that and to the next document.
+    """Per document: its fingerprint, that of its edited text, likenesses to that and to the next document, and the
+    kept grams' positions (in words, from 0), in the fingerprint's order.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all) of the next document
     by ascending key; the first follows the last. One shuffle of the texts.
@@ -120,4 +166,5 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
         likeness(F.col("__h"), F.col("__eh")).alias("near_edited"),
         likeness(F.col("__h"), F.col("__nh")).alias("near_next"),
         F.size("__k").alias("n_kept"),
+        F.transform(positions(F.col("__k")), lambda p: p["pos"]).alias("positions"),
     )
