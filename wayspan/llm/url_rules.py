@@ -1,14 +1,18 @@
 """URL filters by a sort-merge range join over reversed-host keys.
 
-A host's key is its labels reversed, each followed by a dot (``m.example.net`` gives ``net.example.m.``), so a rule's
-host and all its subdomains are the keys in one interval ``[key, key with its last dot replaced by '/')``. Intervals
-nest or are disjoint. One sorted sweep over interval ends and the distinct page hosts carries the stack of active
-rules; a page then takes the longest active rule whose path its own path starts with.
-
-Nulls: a null url, or one without ``://``, has an empty host and path. Rules with a null host, path or verdict match
-nothing. Repeated rules count once; of equally long fitting rules the one with the longer host wins, then the smaller
-verdict. Empty tables give empty results, or the default verdict for every page. Other columns are carried through,
-unless they bear the name of one of the four results, which then replaces them.
+A host's labels are reversed, each followed by a dot (``m.example.net`` gives ``net.example.m.``); a zero byte and the
+path follow. A rule's host and path so become a prefix, and a prefix is an interval of keys: from the prefix up to it
+followed by a byte above all others. Intervals nest or are disjoint. A url has one key for each of its host's parent
+domains, itself included, with its own path; a rule fits the url if one of these keys lies in the rule's interval. One
+sorted sweep over interval ends and keys keeps the stack of active rules: an end that opens a rule pushes it, one that
+closes it brings back the rule that encloses it. The stack is linked (each rule knows the next one out), so a row holds
+the innermost rule and not the whole stack, however many rules a host has. Of a url's keys the longest rule wins.
+
+Nulls: a null url, or one without ``://``, has an empty host and path, which no rule fits. Rules with a null host,
+path or verdict, or an empty host, match nothing. Repeated rules count once; of equally long fitting rules the one with
+the longer host wins, then the smaller verdict. Empty tables give empty results, or the default verdict for every page.
+Urls of any length are judged whole. Other columns are carried through, unless they bear the name of one of the four
+results, which then replaces them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 
 from wayspan.llm.common import Scratch, ascii_lower, shuffle_partitions
 
-RULE = "array<struct<host:string,path:string,verdict:string>>"
+#: Rule hosts, and bytes of judged urls, up to which they are broadcast.
+BROADCAST_HOSTS, BROADCAST_BYTES = 200_000, 32_000_000
+SALTS = 8
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -31,66 +37,88 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+def prefix(host: Column, path: Column) -> Column:
+    """The key as bytes, which sort as the engine sorts them."""
+    labels = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
+    return F.concat(labels, F.lit("\0"), path).cast("binary")
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """Per rule host: its interval, the rules active inside it, and those of the host that encloses it.
+def domains(host: Column) -> Column:
+    """The host and its parent domains."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
-    Enclosing hosts are found by equality on the key's own label prefixes, so no pairs of rules are tried.
+
+def intervals(rules: DataFrame) -> DataFrame:
+    """Per host and path with a rule: its interval [lo, hi), itself, and the rule of the same host that encloses it.
+
+    Enclosing paths are found by equality on a path's own prefixes, so no pairs of rules are tried.
     """
-    r = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().distinct()
-    own = r.groupBy("host").agg(F.collect_list(F.struct("host", "path", "verdict")).alias("own"))
-    own = own.withColumn("lo", host_key(F.col("host")))
-    labels = F.split(F.col("lo"), r"\.")
-    outer = own.select("lo", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("depth", "anc"))
-    found = outer.join(own.select(F.col("lo").alias("anc"), "own"), "anc")
-    stack = found.groupBy("lo").agg(F.sort_array(F.collect_list(F.struct("depth", "own"))).alias("nest"))
-    inner = F.flatten(F.transform("nest", lambda x: x["own"]))
-    outside = F.flatten(F.transform(F.slice("nest", 1, F.size("nest") - 1), lambda x: x["own"]))
-    return stack.select("lo", F.concat(F.expr("left(lo, length(lo) - 1)"), F.lit("/")).alias("hi"), inner.alias("inside"), outside.alias("outside"))
-
-
-def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``hosts`` (distinct, column host) with the stack of rules active at each, by one sorted sweep.
-
-    The sort is by range over all partitions; what is active where a partition starts comes from the last boundary
+    r = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().filter("host <> ''")
+    r = r.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+    shorter = F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.substring("path", F.lit(1), i - 1))
+    inner = r.filter("path <> ''").select("host", "path", F.explode(shorter).alias("outer"))
+    outer = inner.join(r.select("host", F.col("path").alias("outer"), F.col("verdict").alias("v")), ["host", "outer"])
+    next_ = F.max_by(F.struct("host", F.col("outer").alias("path"), F.col("v").alias("verdict")), F.length("outer"))
+    outer = outer.groupBy("host", "path").agg(next_.alias("outer"))
+    lo = prefix(F.col("host"), F.col("path"))
+    return r.join(outer, ["host", "path"], "left").select(lo.alias("lo"), F.concat(lo, F.lit(b"\xff")).alias("hi"), F.struct("host", "path", "verdict").alias("rule"), "outer")
+
+
+def sweep(keys: DataFrame, rules: DataFrame) -> DataFrame:
+    """``keys`` (distinct, binary column key) that lie in a rule's interval, with the innermost such rule.
+
+    The sort is by range over all partitions; the rule on top where a partition starts comes from the last interval end
     of those before it, one row a partition. Range bounds are sampled anew by every exchange, so the dealt-out events
     are written once and both the sweep and the boundaries read them from there.
     """
-    n = shuffle_partitions(hosts.sparkSession)
-    ends = rule_stacks(rules)
-    none = F.lit(None).cast("string")
+    n = shuffle_partitions(keys.sparkSession)
+    ends = intervals(rules)
+    top = lambda c: F.struct(F.col(c).alias("rule")).alias("top")  # noqa: E731  # a struct, so that no rule isn't no event
+    none = F.lit(None).cast(ends.select(top("rule")).schema["top"].dataType)
     events = (
-        ends.select(F.col("lo").alias("key"), F.lit(0).alias("kind"), F.col("inside").alias("stack"), none.alias("host"))
-        .unionByName(ends.select(F.col("hi").alias("key"), F.lit(0).alias("kind"), F.col("outside").alias("stack"), none.alias("host")))
-        .unionByName(hosts.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(RULE).alias("stack"), "host"))
+        ends.select(F.col("lo").alias("key"), F.lit(0).alias("kind"), top("rule"))
+        .unionByName(ends.select(F.col("hi").alias("key"), F.lit(0).alias("kind"), top("outer")))
+        .unionByName(keys.select("key", F.lit(1).alias("kind"), none.alias("top")))
     )
+    scratch = Scratch(keys.sparkSession, "url_rules")
     events = events.repartitionByRange(n, "key", "kind").withColumn("part", F.spark_partition_id())
-    events = Scratch(hosts.sparkSession, "url_rules").write(events, "events")
+    events = scratch.write(events, "events")
     here = W.partitionBy("part").orderBy("key", "kind")
-    swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)))
-    last = events.filter("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("carry"))
+    swept = events.withColumn("top", F.last("top", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)))
+    last = events.filter("kind = 0").groupBy("part").agg(F.max_by("top", "key").alias("carry"))
     parts = events.sparkSession.range(n).select(F.col("id").cast("int").alias("part")).join(last, "part", "left")
     before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     carry = parts.select("part", F.last("carry", ignorenulls=True).over(before).alias("carry"))
     out = swept.filter("kind = 1").join(F.broadcast(carry), "part", "left")  # one row a partition
-    return out.select("host", F.coalesce("stack", "carry", F.array().cast(RULE)).alias("stack"))
+    return out.select("key", F.coalesce("top", "carry")["rule"].alias("rule")).filter("rule is not null")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule (``host`` followed by path, else null) and verdict."""
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "urls")
     host, path = url_parts(F.col(url))
     p = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
     p = p.select(*p.columns, host.alias("__host"), path.alias("__path"))
-    stacks = sweep(p.select(F.col("__host").alias("host")).distinct(), rules).withColumnRenamed("host", "__host")
-    fits = F.filter("stack", lambda r: F.startswith(F.col("__path"), r["path"]))
-    ranked = F.transform(fits, lambda r: F.struct(F.length(r["host"]) + F.length(r["path"]), F.length(r["host"]), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))
-    # Of rules that tie in length and host, sort_array's first verdict is the smaller one.
-    best = F.array_max(ranked)
-    tie = F.filter(ranked, lambda r: r["rule"] == F.col("__best")["rule"])
-    j = p.join(stacks, "__host", "left").withColumn("__best", best)
-    verdict = F.coalesce(F.array_min(F.transform(tie, lambda r: r["verdict"])), F.lit(default))
+    urls = p.select("__host", "__path").filter("__host <> ''").distinct()
+    keyed = urls.withColumn("__domain", F.explode(domains(F.col("__host"))))
+    ruled = rules.select(ascii_lower(F.col("host")).alias("__domain")).dropna().distinct()
+    if ruled.count() <= BROADCAST_HOSTS:  # else domains without rules are swept too and find none
+        keyed = keyed.join(F.broadcast(ruled), "__domain", "left_semi")
+    keyed = scratch.write(keyed.select("__host", "__path", prefix(F.col("__domain"), F.col("__path")).alias("key")), "keyed")
+    found = keyed.join(sweep(keyed.select("key").distinct(), rules), "key")
+    r = F.col("rule")
+    rank = F.struct(F.length(r["host"]) + F.length(r["path"]), F.length(r["host"]))
+    best = found.groupBy("__host", "__path").agg(F.max_by("rule", rank).alias("__rule"))
+    best = scratch.write(best, "best")
+    size = best.agg(F.sum(F.length("__host") + F.length("__path") + 100)).head()[0] or 0
+    if size <= BROADCAST_BYTES:
+        j = p.join(F.broadcast(best), ["__host", "__path"], "left")
+    else:  # dealt out by url, those of one url in SALTS parts
+        salted = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        j = p.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__path", "__salt"], "left")
     keep = [c for c in p.columns if not c.startswith("__")]
-    return j.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best")["rule"].alias("rule"), verdict.alias("verdict"))
+    rule, verdict = F.col("__rule")["host"], F.coalesce(F.col("__rule")["verdict"], F.lit(default))
+    return j.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.concat(rule, F.col("__rule")["path"]).alias("rule"), verdict.alias("verdict"))
