@@ -8,7 +8,8 @@ lower-cased and free of punctuation, so case and marks don't hide a passage.
 
 Items shorter than the span are sought whole. Nulls and empty texts have no tokens: such documents are clean and such
 items are never found. Repeated items and rows change nothing. A document is known by its id and its text, nulls
-included.
+included. Very long texts are searched whole. Of columns with the names of results (contaminated, n_items, items) the
+report takes none over, and ``decontaminate`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -16,12 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayspan.llm.common import Scratch
+
 SPAN = 12
 #: Positions of a span that a mask keeps. Every mask leaves four out, no two the same four.
 MASKS = ((0, 1, 2, 4, 5, 7, 10, 11), (0, 2, 3, 5, 6, 8, 9, 11), (0, 1, 3, 4, 6, 7, 9, 11))
 PERCENT = 80
 #: Seeds of the benchmark that may be broadcast; beyond it they are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
+SALTS = 16
+#: Ids of documents with a hit that may be broadcast.
+BROADCAST_DOCS = 1_000_000
+#: Neighbouring diagonals that one row holds at most.
+CELL = 1024
 _MARKS = ".,;:!?\"'`()[]{}<>#$%&*|_~^=+/\\"
 _BLANKS = "\t\n\x0b\x0c\r"
 
@@ -44,22 +52,38 @@ def _seeds(df: DataFrame, masks: list[tuple[int, ...]], keep: list[str]) -> Data
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", percent: int = PERCENT) -> DataFrame:
-    """(key, text hash, item ids) of each document with a confirmed passage; items sorted and distinct."""
+    """(key, text hash, item ids) of each document with a confirmed passage; items sorted and distinct.
+
+    Only documents with a hit are read again and dealt out, with rows per document, item and CELL diagonals, so a text
+    that repeats a passage is no unbounded group. Beyond BROADCAST_SEEDS the seeds are joined by shuffle, those of one
+    hash in SALTS parts.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "seeds")
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(text)).alias("iw")).filter(F.size("iw") > 0).groupBy("item", "iw").agg(F.count("*").alias("n")).drop("n")
+    items = scratch.write(items.select("item", "iw", F.xxhash64("item", "iw").alias("ih")), "items")
     # Lengths below the span that occur among the items: at most SPAN - 1 numbers.
     short = sorted(r["n"] for r in items.select(F.size("iw").alias("n")).filter(F.col("n") < SPAN).distinct().collect())
     total = items.agg(F.sum(F.size("iw"))).head()[0] or 0
     masks = [*MASKS, *[tuple(range(n)) for n in short]]
-    items = items.select("item", "iw", F.xxhash64("item", "iw").alias("ih"))
     known = _seeds(items.select("ih", F.col("iw").alias("w"), F.size("iw").alias("size")), masks, ["ih", "size"])
     # A contiguous short mask stands for whole items of its length only.
     known = known.filter((F.col("len") == SPAN) | (F.col("len") == F.col("size"))).select("h", "ih", F.col("at").alias("in_item")).distinct()
     d = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), tokens(F.col(text)).alias("w"))
-    small = total * len(masks) <= BROADCAST_SEEDS
-    hits = _seeds(d, masks, ["key", "th"]).join(F.broadcast(known) if small else known, "h")
-    shift = (F.col("at") - F.col("in_item")).alias("shift")
-    by_item = hits.groupBy("key", "th", "ih").agg(F.collect_set(shift).alias("shifts")).join(items, "ih")
-    by_doc = by_item.groupBy("key", "th").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("found"))
+    seeds = _seeds(d, masks, ["key", "th"])
+    if total * len(masks) <= BROADCAST_SEEDS:
+        hits = seeds.join(F.broadcast(known), "h")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = seeds.withColumn("salt", F.pmod(F.xxhash64("key", "th", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    hits = hits.select("key", "th", "ih", (F.col("at") - F.col("in_item")).alias("shift")).distinct()
+    hits = hits.groupBy("key", "th", "ih", F.floor(F.col("shift") / CELL).alias("cell")).agg(F.collect_list("shift").alias("shifts"))
+    hits = scratch.write(hits.select(F.col("key").alias("k"), F.col("th").alias("t"), "ih", "shifts"), "hits")
+    met = hits.select("k", "t").distinct()
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t"))
+    if met.count() <= BROADCAST_DOCS:  # else all documents are dealt out once, by id and text
+        d = d.join(F.broadcast(met), same, "left_semi")
+    d = d.dropDuplicates(["key", "th"])  # rows that repeat are one document
 
     def confirmed(f: Column, shift: Column) -> Column:
         """Whether the diagonal's best stretch of at least ``least`` tokens has ``percent`` equal, in one pass.
@@ -81,10 +105,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         start = F.struct(F.lit(0).alias("last"), no.alias("best"), F.lit(False).alias("ok"))
         return F.aggregate(F.sequence(lo, hi), start, step, lambda acc: acc["ok"])
 
-    joined = d.join(by_doc.withColumnsRenamed({"key": "k", "th": "t"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")))
-    ok = F.filter("found", lambda f: F.exists(f["shifts"], lambda p: confirmed(f, p)))
-    out = joined.select("key", "th", F.array_sort(F.array_distinct(F.transform(ok, lambda f: f["item"]))).alias("items"))
-    return out.filter(F.size("items") > 0).groupBy("key", "th").agg(F.first("items").alias("items"))
+    joined = d.join(hits, same).join(items, "ih").filter(F.exists("shifts", lambda p: confirmed(F.struct("iw"), p)))
+    out = joined.groupBy("key", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = scratch.write(out, "found")
+    scratch.drop("hits")
+    scratch.drop("items")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **how) -> DataFrame:
