@@ -84,9 +84,12 @@ def test_quality_edge(spark):
 # 3 preferences
 
 
+TURN = "conv_id long, turn long, role string, text string"
+
+
 def test_preferences_by_hand(spark):
     t = [(0, 0, "user", "q"), (0, 1, "assistant", "yes"), (1, 0, "user", "q"), (1, 1, "assistant", "no"), (2, 0, None, None)]
-    d = preferences.derived_pairs(spark.createDataFrame(t, "conv_id long, turn long, role string, text string"))
+    d = preferences.derived_pairs(spark.createDataFrame(t, TURN))
     r = {x.conv_id: x for x in preferences.format_preferences(d).collect()}
     assert r[0].prompt == "<|user|>\nq<|end|>\n" and r[0].chosen == "<|assistant|>\nyes<|end|>\n" and r[0].rejected == "<|assistant|>\nno<|end|>\n"
     (m,) = r[0].chosen_mask
@@ -95,6 +98,27 @@ def test_preferences_by_hand(spark):
     assert preferences.format_preferences(d.limit(0)).count() == 0
 
 
+def test_sides_part_in_the_middle_and_keep_later_turns(spark):
+    a = [("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2"), ("user", "u3"), ("assistant", "a3"), ("user", "bye")]
+    b = [("assistant", "b1"), ("user", "x"), ("assistant", "b2")]
+    t = [(10, i, *x) for i, x in enumerate(a)] + [(11, i, *x) for i, x in enumerate(b)]
+    r = {x.conv_id: x for x in preferences.format_preferences(preferences.derived_pairs(spark.createDataFrame(t, TURN).repartition(3))).collect()}
+    assert r[10].n_prompt_turns == 3 and "u2" in r[10].prompt and "a2" not in r[10].prompt
+    assert re.findall(r"\|>\n(\w+)<", r[10].chosen) == ["a2", "u3", "a3", "bye"] and re.findall(r"\|>\n(\w+)<", r[10].rejected) == ["b2", "u3", "bye"]
+    assert re.findall(r"\|>\n(\w+)<", r[11].prompt) == ["b1", "x"] and re.findall(r"\|>\n(\w+)<", r[11].rejected) == ["a2"]
+    assert [r[10].chosen[m.start : m.start + m.length] for m in r[10].chosen_mask] == ["a2<|end|>\n", "a3<|end|>\n"]
+
+
+def test_preferences_ties_nulls_and_long_texts(spark):
+    t = [(4, 0, "user", "b"), (4, 0, "user", "a"), (4, 0, "assistant", LONG), (4, 0, "user", "a"), (None, 1, "user", "n"), (None, None, "assistant", "first"), (5, 1, "assistant", None)]
+    d = spark.createDataFrame(t, TURN)
+    r = {x.conv_id: x for x in preferences.format_preferences(preferences.derived_pairs(d)).collect()}
+    assert set(r) == {4, 5, None} and re.findall(r"\|>\n(\w*)<", r[4].rejected) == ["", "a", "a", "b"] and LONG in r[4].chosen
+    assert re.findall(r"\|>\n(\w+)<", r[None].chosen) == ["first", "n"] and re.findall(r"\|>\n(\w+)<", r[None].rejected) == ["n"]
+    by_table = {x.conv_id: [tuple(y) for y in x.turns] for x in preferences.conversations(d).collect()}
+    assert by_table[4] == [("assistant", LONG), ("user", "a"), ("user", "a"), ("user", "b")]
+
+
 def test_preferences_nulls_and_clashes(spark):
     kind = "pair int, prompt string, chosen_turns array<struct<role:string,text:string>>, rejected_turns array<struct<role:string,text:string>>"
     d = spark.createDataFrame([(1, "x", None, [("user", "a")]), (2, "x", [("user", "a"), ("assistant", "b")], [("user", "a")])], kind)
@@ -173,15 +197,36 @@ def brute_winnow(grams, w):
     return kept
 
 
-def test_winnowing_positions(spark):
-    texts = [t for _, t in EDGE if t != LONG] + ["a a a a a a a a a a a a a a", " ".join("xyzzy plugh foo bar".split() * 6)]
-    d = frame(spark, list(enumerate(texts)))
-    got = {r.doc_id: r for r in winnowing.winnow(d.withColumn("copy", F.col("text")), "text", "k", 2, 3).select("doc_id", winnowing.positions(F.col("k")).alias("p")).collect()}
+@pytest.mark.parametrize("k,window", [(2, 3), (4, 8), (3, 5), (1, 1), (5, 6), (7, 1)])
+def test_winnowing_positions(spark, k, window):
+    texts = [t for _, t in EDGE if t != LONG] + ["a a a a a a a a a a a a a a", " ".join("xyzzy plugh foo bar".split() * 6), " ".join(f"v{i * i % 17}" for i in range(200))]
+    d = frame(spark, list(enumerate(texts))).withColumn("k", F.lit("clash"))
+    kept = lambda w: {r.doc_id: r.p for r in winnowing.winnow(d, "text", "k", k, w).select("doc_id", winnowing.positions(F.col("k")).alias("p")).collect()}
+    every, got, hash_of = kept(1), kept(window), {}
     for i, t in enumerate(texts):
         ws = (t or "").split()
-        grams = [ws[j : j + 2] for j in range(max(1, len(ws) - 1))] if ws else []
-        h = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g array<string>").select(F.shiftrightunsigned(F.xxhash64("g"), 32)).collect()] if grams else []
-        assert [(p.hash, p.pos) for p in got[i].p] == [(h[j], j) for j in brute_winnow(h, 3)], t
+        grams = [tuple(ws[j : j + k]) for j in range(max(1, len(ws) - k + 1))] if ws else []
+        assert [p.pos for p in every[i]] == list(range(len(grams)))  # a window of one keeps every gram
+        for g, p in zip(grams, every[i]):
+            assert hash_of.setdefault(g, p.hash) == p.hash
+        h = [p.hash for p in every[i]]
+        assert [(p.hash, p.pos) for p in got[i]] == [(h[j], j) for j in brute_winnow(h, window)], t
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
+def test_likeness_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(7 * i, " ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 60)))) for i in range(150)]
+    rows += [(1, rows[3][1]), (2, rows[3][1])]
+    out = winnowing.fingerprint_edits(frame(spark, rows).repartition(5)).collect()
+    kept = {r.doc_id: {r.fingerprint[i : i + 8] for i in range(0, len(r.fingerprint), 8)} for r in out}
+    order = sorted(rows)
+    for (i, _), (j, _) in zip(order, order[1:] + order[:1]):
+        a, b = kept[i], kept[j]
+        r = next(r for r in out if r.doc_id == i)
+        edited = {r.edited_fingerprint[x : x + 8] for x in range(0, len(r.edited_fingerprint), 8)}
+        dice = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        assert r.near_next == dice(a, b) and r.near_edited == dice(a, edited) and len(r.positions) == r.n_kept
 
 
 def test_edited_texts_follow_ids(spark):
@@ -230,6 +275,25 @@ def test_many_hosts_and_rules(spark):
         assert out[i] == ((fit + "/", best[fit]) if fit else (None, "allow")), h
 
 
+def test_many_paths_of_one_host(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    part = lambda n: "/" + "/".join(rng.choice(["a", "b", "ab", "é"], n))
+    rules = [("h.net", part(rng.integers(0, 5)), f"v{i % 7}") for i in range(800)] + [("net", "/a", "n"), ("w.h.net", "/b/", "w"), ("net", "", "all")]
+    urls = [f"http://{h}{part(rng.integers(1, 7))}" for h in ("h.net", "w.h.net", "x.net", "h.com") for _ in range(400)]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:50])], "page_id int, url string").repartition(4)
+    want = []
+    for u in urls + urls[:50]:
+        host, _, path = u[7:].partition("/")
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        best = max(fit, default=None)
+        want.append((best[2], min(v for *_, r, v in fit if r == best[2])) if best else (None, "allow"))
+    for size in (url_rules.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(url_rules, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(url_rules, "BROADCAST_HOSTS", size)
+        out = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(d, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+        assert [out[i] for i in range(len(want))] == want
+
+
 # 7 decontamination
 
 
@@ -259,6 +323,35 @@ def test_excerpts_from_the_middle(spark):
     assert r == {7: False, 11: False, 12: True, 13: True, 16: True, 20: True, 22: True, 23: True, 100: True, 101: False}
 
 
+def test_repeated_passages_and_shuffled_seeds(spark, monkeypatch):
+    item = " ".join(f"tok{i}" for i in range(30))
+    docs = frame(spark, [(1, " ".join([item] * 200)), (2, "x " * 3000 + item), (2, "x " * 3000 + item), (3, None), (None, item), (5, "y " * 50)]).withColumn("items", F.lit("clash"))
+    bench = spark.createDataFrame([(9, item), (8, item + " more tokens here"), (7, "y y y")], "item_id long, text string")
+    want = sorted([(1, "8,9"), (2, "8,9"), (2, "8,9"), (None, "8,9"), (3, ""), (5, "7")], key=str)
+    for seeds, ids in ((10**6, 10**6), (0, 0)):
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", seeds)
+        monkeypatch.setattr(decontamination, "BROADCAST_DOCS", ids)
+        out = decontamination.report(docs, bench)
+        assert out.columns == ["doc_id", "contaminated", "n_items", "items"]
+        assert sorted(((r.doc_id, r["items"]) for r in out.collect()), key=str) == want
+        assert decontamination.decontaminate(docs, bench).select("doc_id", "items").collect() == [(3, "clash")]
+
+
+def test_recall_under_substitutions(spark):
+    """Every excerpt of a whole item with a share of random tokens changed; figures stand in the README."""
+    rng = np.random.default_rng(11)
+    items = [[f"i{k}t{j}" for j in range(rng.integers(20, 60))] for k in range(60)]
+    docs, share = [], (0.0, 0.05, 0.1, 0.15)
+    for k, w in enumerate(items):
+        for s, p in enumerate(share):
+            changed = [f"sub{rng.integers(10**6)}" if rng.random() < p else x for x in w]
+            docs.append((k * 10 + s, " ".join(["pad"] * 30 + changed + ["end"] * 30)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {r.doc_id for r in decontamination.report(frame(spark, docs), bench).filter("contaminated").collect()}
+    recall = [sum(k * 10 + s in found for k in range(60)) / 60 for s in range(4)]
+    assert recall[0] == 1 and recall[1] > 0.97 and recall[2] > 0.93 and recall[3] > 0.85, recall
+
+
 # 8 near duplicates
 
 
@@ -390,6 +483,47 @@ def test_languages(spark):
     assert {r.x for r in d.select(language.identify(none, F.col("text"), spark)["lang_pred"].alias("x")).collect()} == {"und"}
 
 
+def test_grams_do_not_depend_on_the_batch():
+    texts = [" le chat mange", "", "le  chat!!mange ", "x", "   ", "é1é", " le chat mange"]
+    whole = list(language.grams(texts))
+    for i, t in enumerate(texts):
+        alone = list(language.grams([t]))
+        for n in range(2):
+            mine = whole[n][0][whole[n][1] == i] if len(whole) > n else np.zeros(0)
+            own = alone[n][0] if len(alone) > n else np.zeros(0)
+            assert mine.tolist() == own.tolist(), (t, n)
+
+
+def test_filters_equal_exact_sets(spark):
+    rng = np.random.default_rng(8)
+    parts = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrst"), 3)) for _ in range(30)] for k in range(70)}  # more than a word of bits
+    text = lambda p, n: " ".join("".join(rng.choice(p, 2)) for _ in range(n))
+    rows = [(text(p, 60), x) for x, p in parts.items() for _ in range(3)]
+    rows += [rows[0]] * 40  # copies teach once
+    f = language.fit(spark.createDataFrame(rows, "text string, lang string"), ratio=0.0, least=1e-9)
+    exact = {x: set(itertools.chain(*(h.tolist() for t, l in rows if l == x for h, _ in language.grams([t.lower()])))) for x in parts}
+    tests = [text(p, 25) for p in parts.values()] + [text(parts["l003"], 10) + " " + text(parts["l004"], 30)]
+    names, scores = f.classify(tests)
+    split_names, split_scores = zip(*[(a[0], b[0]) for a, b in (f.classify([t]) for t in tests)])
+    assert list(split_names) == names and np.allclose(split_scores, scores, atol=1e-12)
+    for t, name, s in zip(tests, names, scores):
+        g = [x for h, _ in language.grams([t.lower()]) for x in h.tolist()]
+        hits = {x: sum(v in e for v in g) for x, e in exact.items()}
+        best = max(hits, key=lambda x: (hits[x], [-ord(c) for c in x]))
+        assert hits[name] >= hits[best] - 1 and abs(s - hits[name] / sum(hits.values())) < 0.05, (t, name, best)
+
+
+def test_language_edge(spark):
+    train = spark.createDataFrame([("ka lo mi " * 20, "xx"), ("str ach ung " * 20, "yy")], "text string, lang string")
+    f = language.fit(train)
+    d = frame(spark, EDGE).withColumn("lang_pred", F.lit("clash"))
+    named = lambda d: d.select("doc_id", "text", language.identify(f, F.col("text"), spark).alias("r")).select("doc_id", "text", "r.*")
+    assert named(d.limit(0)).count() == 0 and named(d).count() == len(EDGE)
+    rows = frame(spark, [(i, t) for i, t in enumerate(["ka mi " * 5000, "ka mi " * 5000, "str", "Ka, LO!", ""] * 30)])
+    one, many = ({(r.doc_id, r.lang_pred, r.score) for r in named(rows.repartition(n)).collect()} for n in (1, 13))
+    assert one == many
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
