@@ -15,12 +15,13 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the session's ``spark.wayspan.surrogate.key``; the invented tables have one that is none."""
+    return spark.conf.get("spark.wayspan.surrogate.key", "not a secret")
+
+
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    clash = surrogates.collisions(surrogates.mentions(docs)).limit(1).count()
-    if clash:
-        raise ValueError("two entities share a surrogate")
-    return surrogates.replace_entities(docs)
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
