@@ -25,37 +25,86 @@ def frame(spark, rows, schema=DOCS):
 
 # 1 surrogates
 
+KEY = "k1"
+
+
+def replaced(spark, texts, key=KEY):
+    d = frame(spark, list(enumerate(texts)))
+    return [r.text for r in surrogates.replace_entities(d, key).orderBy("doc_id").collect()]
+
+
+def luhn_ok(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(d)) % 10 == 0
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
 
 def test_surrogates_keep_format_and_coreference(spark):
-    texts = ["mail the.72@mail3.example.com and THE.72@MAIL3.EXAMPLE.COM", "+1 (017) 555-7713 or +1 017 555 7713", "card 4952935900253052, 4952 9359 0025 3052", "ip 169.122.221.182", 'k = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "Frau Anna Müller; Frau Anna Müller", "Licensed under CC BY-NC 4.0.", None, ""]
-    out = [r.text for r in surrogates.replace_entities(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    texts = ["mail the.72@mail3.example.com and THE.72@MAIL3.EXAMPLE.COM", "+1 (017) 555-7713 or +1 017 555 7713, 017-555-7713, +10175557713", "card 4111111111111111, 4111 1111 1111 1111", "ip 169.122.221.182 fe80::1ff:fe23:4567:890a", 'k = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "GB29 NWBK 6016 1331 9268 19, GB29NWBK60161331926819", "Licensed under CC BY-NC 4.0.", None, ""]
+    out = replaced(spark, texts)
     assert out[6:] == texts[6:]
     a, b = re.findall(r"\S+@\S+", out[0])
     assert a.lower() == b.lower() != "the.72@mail3.example.com" and b.isupper() and re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.example\.com", a)
-    p, q = out[1].split(" or ")
-    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) and "7713" not in p
+    p, q, r, s = re.split(" or |, ", out[1])
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) == s[1:] and p.endswith(r[-8:]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p) and "7713" not in p
     c, d = re.findall(r"\d[\d ]+\d", out[2])
-    assert c == d.replace(" ", "") and len(c) == 16 and c != "4952935900253052"
-    assert all(0 <= int(o) < 256 for o in out[3][3:].split(".")) and "169.122" not in out[3]
+    assert c == d.replace(" ", "") and len(c) == 16 and c[0] == "4" and c != "4111111111111111" and luhn_ok(c)
+    assert all(0 <= int(o) < 256 for o in out[3].split()[1].split(".")) and "169.122" not in out[3] and re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{3}(:[0-9a-f]{4}){3}", out[3].split()[2])
     assert re.fullmatch(r'k = "[0-9a-f]{40}"', out[4]) and "b44e" not in out[4]
-    x, y = out[5].split("; ")
-    assert x == y and x.startswith("Frau ") and "Müller" not in x
-
-
-def test_surrogates_are_apart(spark):
-    d = frame(spark, [(i, f"u{i % 10}.{i:03d}@mail.example.com 10.0.{i % 256}.{i // 256} +1 ({100 + i % 900}) 555-{i:04d}") for i in range(400)])
-    m = surrogates.mentions(d)
-    assert m.count() == 1200 and surrogates.collisions(m).count() == 0
-    other = surrogates.mentions(d, key="another").select("entity", F.col("written").alias("w2"))
-    assert m.join(other, "entity").filter("written = w2").count() < 5
+    x, y = out[5].split(", ")
+    assert x.replace(" ", "") == y and x[:2] == "GB" and iban_ok(x) and re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", x) and x != "GB29 NWBK 6016 1331 9268 19"
+
+
+def test_names_keep_gender_script_and_parts(spark):
+    out = replaced(spark, ["Mr John Smith's dog; Mr Smith; Dr John van der Smith; Mrs SMITH", "Frau Anna Müller met Johannes Müller. Frau Xylia Müller", "Господин Иван Иванов и Госпожа Иванова", "Κυρία Μαρία Παππά", "the Smith and anna"])
+    m = re.fullmatch(r"Mr (\w+) (\w+)'s dog; Mr (\w+); Dr (\w+) van der (\w+); Mrs (\w+)", out[0])
+    assert m[1] == m[4] in surrogates.GIVEN["latin:m"] and m[1] != "John" and m[2] == m[3] == m[5] == m[6].capitalize() != "Smith" and m[6].isupper()
+    n = re.fullmatch(r"Frau (\w+) (\w+) met (\w+) (\w+)\. Frau (\w+)-(\w+) (\w+)", out[1])
+    women = surrogates.GIVEN["latin:f"]
+    assert n[1] in women and n[3] in surrogates.GIVEN["latin:m"] and n[2] == n[4] == n[7] != "Müller" and n[5] in women and n[6] in women
+    r = re.fullmatch(r"Господин (\w+) (\w+) и Госпожа (\w+)", out[2])
+    assert r[1] in surrogates.GIVEN["cyrillic:m"] and r[3] == r[2] + "а" and r[2] != "Иванов"
+    g = re.fullmatch(r"Κυρία (\w+) (\w+)", out[3])
+    assert g[1] in surrogates.GIVEN["greek:f"] and g[2] != "Παππά" and out[4] == "the Smith and anna"
+
+
+def test_surrogates_are_apart(spark, monkeypatch):
+    rows = [(i, f"u{i % 10}.{i:03d}@mail.example.com 10.0.{i % 256}.{i // 256} +1 ({100 + i % 900}) 555-{i:04d} Mr Given{chr(97 + i % 20)}{chr(97 + i // 20)} Sur{chr(97 + i // 20)}{chr(97 + i % 20)}") for i in range(400)]
+    rows += [(1000 + i, f"{c}@x.org") for i, c in enumerate("aeiou")]  # the whole class of one-letter vowels
+    d = frame(spark, rows)
+    m = Scratch(spark, "m").write(surrogates.assign(d, KEY), "m")
+    got = m.collect()
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r.k, []).append(r)
+    assert {k: len(v) for k, v in kinds.items()} == {"email": 405, "ip": 400, "phone": 400, "given:latin:m": 400, "surname:latin": 400}
+    for k, v in kinds.items():
+        real = {r.c for r in v}
+        assert len({r.s for r in v}) == len(v), k
+        assert k.startswith("given") or not real & {r.s for r in v}, k
+    assert any(r.a > 0 for r in got) and surrogates.clashes(m, KEY).count() == 0
+    inline = surrogates.replace_entities(d, KEY, assigned=m).collect()
+    monkeypatch.setattr(surrogates, "INLINE", 0)
+    joined = surrogates.replace_entities(d.unionByName(d.limit(30)), KEY, assigned=m).collect()
+    assert {(r.doc_id, r.text) for r in joined} == {(r.doc_id, r.text) for r in inline} and len(joined) == 435
+    other = surrogates.assign(d, "another").select("k", "c", F.col("s").alias("s2"))
+    assert m.join(other, ["k", "c"]).filter("s = s2").count() < 40
+    with pytest.raises(ValueError):
+        surrogates.assign(d, "")
 
 
 def test_surrogates_edge(spark):
     d = frame(spark, EDGE).withColumn("n_entities", F.lit("clash"))
-    out = surrogates.replace_entities(d)
+    out = surrogates.replace_entities(d, KEY)
     assert out.columns == ["doc_id", "text", "n_entities", "kinds"] and out.count() == len(EDGE)
     assert out.exceptAll(d.select("doc_id", "text", F.lit(0).alias("n_entities"), F.lit("").alias("kinds"))).count() == 0
-    assert surrogates.replace_entities(d.limit(0)).count() == 0
+    assert surrogates.replace_entities(d.limit(0), KEY).count() == 0
+    long = LONG + " 10.1.2.3 " + LONG
+    assert re.fullmatch(re.escape(LONG) + r" \d+\.\d+\.\d+\.\d+ " + re.escape(LONG), replaced(spark, [long])[0])
 
 
 # 2 quality
@@ -113,7 +162,7 @@ def test_preferences_ties_nulls_and_long_texts(spark):
     t = [(4, 0, "user", "b"), (4, 0, "user", "a"), (4, 0, "assistant", LONG), (4, 0, "user", "a"), (None, 1, "user", "n"), (None, None, "assistant", "first"), (5, 1, "assistant", None)]
     d = spark.createDataFrame(t, TURN)
     r = {x.conv_id: x for x in preferences.format_preferences(preferences.derived_pairs(d)).collect()}
-    assert set(r) == {4, 5, None} and re.findall(r"\|>\n(\w*)<", r[4].rejected) == ["", "a", "a", "b"] and LONG in r[4].chosen
+    assert set(r) == {4, 5, None} and re.findall(r"\|>\n(\w*)<\|end", r[4].rejected) == ["", "a", "a", "b"] and LONG in r[4].chosen
     assert re.findall(r"\|>\n(\w+)<", r[None].chosen) == ["first", "n"] and re.findall(r"\|>\n(\w+)<", r[None].rejected) == ["n"]
     by_table = {x.conv_id: [tuple(y) for y in x.turns] for x in preferences.conversations(d).collect()}
     assert by_table[4] == [("assistant", LONG), ("user", "a"), ("user", "a"), ("user", "b")]
