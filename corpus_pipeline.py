@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayspan.llm import decontamination, near_dedup, packing, quality, surrogates
 from wayspan.llm.common import Scratch, table
-from wayspan.llm.queries import tokenizer_path
+from wayspan.llm.queries import surrogate_key, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; n_chars follows the new text."""
-    d = surrogates.replace_entities(docs).drop("n_entities", "kinds")
+    d = surrogates.replace_entities(docs, surrogate_key(spark)).drop("n_entities", "kinds")
     return d.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
