@@ -6,12 +6,15 @@ slots, and groups that only some pages have become optional. Each task aligns th
 of a host are aligned in turn, so no page is left out. A text is template if every page that has its place agrees and
 at least two different pages do; the innermost container that holds most of what fills the slots is the host's content
 place. Each page is then matched against its host's wrapper and its text is what fills the slots (and what the wrapper
-doesn't know) in the content place. Behind that, tags check: an article narrows the place, and parts that say by tag or
-class that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.
+doesn't know) in the content place. Tags and class names take no part in that. They only check behind it: parts of the
+content place that say that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left
+out, and where a host's pages are copies of one, so that there are no slots, an article narrows the place.
 
 Nulls: a null html counts as empty and has an empty text. A null url has the empty host. Markup may be cut off or
-nested wrongly: whatever is open at the end is closed there. Repeated pages get equal texts and count once. A host with
-one page has a wrapper without slots and its content place is where that page's text is.
+nested wrongly: whatever is open at the end is closed there; elements nested more than DEPTH deep are one place with the
+last of that depth. Repeated pages get equal texts and count once. A host with one page has a wrapper without slots and
+its content place is where that page's text is. Very long pages are read whole. Columns of the input named text, n_chars
+or wrapper are replaced or left out.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from wayspan.llm.common import Scratch
 from wayspan.llm.url_rules import url_parts
 from wayspan.session import ship
 
-#: Bytes of wrappers up to which they are broadcast.
-BROADCAST_BYTES = 8_000_000
+#: Bytes of wrappers up to which they are broadcast; beyond, those of a host are dealt out in SALTS parts.
+BROADCAST_BYTES, SALTS = 8_000_000, 16
 DEPTH = 150
 #: Hosts whose wrappers a task holds before it passes them on.
 OPEN_HOSTS = 500
@@ -111,10 +114,11 @@ def parse(page: str) -> Node:
             close(len(stack) - 1)
         cls = " ".join(filter(None, (a or b or c for a, b, c in _NAMED.findall(m[4] or ""))))
         n = Node(tag, cls)
-        if len(stack) > DEPTH:  # nested deeper than any layout: its text counts for the element above
+        if len(stack) > DEPTH:  # its text counts for the element of that depth, but for a part left out
             stack[-1].kids.append(None)
-            continue
-        stack[-1].kids.append(n)
+            n.kids = [] if n.left_out() else stack[-1].kids
+        else:
+            stack[-1].kids.append(n)
         stack.append(n)
     text(page[at:])
     close(1)
@@ -125,14 +129,14 @@ def clean(s: str) -> str:
     return " ".join(entities.unescape(s).split())
 
 
-def texts(node: Node, path: tuple[str, ...] = (), inside: bool = False) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(path of containers, text, whether in an article) of each block outside the parts left out."""
+def texts(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+    """(path of containers, text) of each block of the page; its head has none."""
     for k in node.kids:
         if isinstance(k, str):
             if t := clean(k):
-                yield path, t, inside
-        elif k is not None and not k.left_out():
-            yield from texts(k, (*path, k.name), inside or k.tag in ("article", "main"))
+                yield path, t
+        elif k is not None and k.tag not in ("head", "title"):
+            yield from texts(k, (*path, k.name))
 
 
 # Wrappers: a list of items ("tag", name), ("text", fixed, pages), ("slot",), ("rep", items) and ("opt", items); of the
@@ -255,10 +259,6 @@ def fixed(items: list[tuple], path: tuple[str, ...] = (), sure: bool = True) ->
             yield from fixed(i[1][1:-1], (*path, i[1][0][1]), sure)
 
 
-def outside(path: tuple[str, ...]) -> bool:
-    return any(Node(*name.split(".", 1)).left_out() for name in path)
-
-
 class Host:
     """What is known of a host from the pages read so far."""
 
@@ -269,7 +269,7 @@ class Host:
         tree = parse(page)
         h = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=6).digest())
         mass: Counter = Counter()
-        for path, t, _ in texts(tree):
+        for path, t in texts(tree):
             mass[path] += len(t)
         self.join(Host(stream(tree, h), mass, 1))
 
@@ -290,7 +290,7 @@ class Host:
         const = list(fixed(self.items or []))
         left = Counter(self.mass)
         for path, t, sure in const:
-            if sure and not outside(path):
+            if sure:
                 left[path] -= len(t) * self.n
         slots = sum(m for m in left.values() if m > 0)
         copies = 2 * slots < self.mass.total()  # copies of one page: what they share isn't their template
@@ -316,8 +316,8 @@ def infer(pages: list[str]) -> dict:
     return host.wrapper()
 
 
-def match(node: Node, items: list[tuple], path: tuple[str, ...] = (), inside: bool = False) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, whether in an article) of what fills the wrapper's slots or isn't in it, less the parts left out."""
+def match(node: Node, items: list[tuple], path: tuple[str, ...] = (), inside: bool = False, left_out: bool = False) -> Iterator[tuple[tuple[str, ...], str, bool, bool]]:
+    """(path, text, whether in an article, whether in a part to leave out) of what fills the wrapper's slots or isn't in it."""
     runs: list[list] = []
     for k in node.kids:
         if isinstance(k, str):
@@ -335,19 +335,24 @@ def match(node: Node, items: list[tuple], path: tuple[str, ...] = (), inside: bo
         for k in found:
             if isinstance(k, str):
                 if not (i and i[0] == "text" and len(i[2]) > 1 and i[1] == k):
-                    yield path, k, inside
-            elif not k.left_out():
-                yield from match(k, i[1][1:-1] if i else [], (*path, k.name), inside or k.tag in ("article", "main"))
+                    yield path, k, inside, left_out
+            elif k.tag not in ("head", "title"):
+                yield from match(k, i[1][1:-1] if i else [], (*path, k.name), inside or k.tag in ("article", "main"), left_out or k.left_out())
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page: what fills its host's wrapper in the content place, narrowed to an article."""
-    known = wrapper["items"] if wrapper and not wrapper["copies"] else []
-    place = tuple(wrapper["place"]) if wrapper else ()
-    found = list(match(parse(page or ""), known))
+    """The main text of a page: what fills its host's wrapper in the content place, less the parts that the tags leave
+    out. Without a wrapper it is all of the page's text."""
+    tree = parse(page or "")
+    if wrapper is None:
+        return " ".join(t for _, t in texts(tree))
+    place = tuple(wrapper["place"])
+    found = list(match(tree, [] if wrapper["copies"] else wrapper["items"]))
     kept = [x for x in found if x[0][: len(place)] == place] or found
-    article = [x for x in kept if x[2]] or [x for x in found if x[2]]
-    return " ".join(t for _, t, _ in article or kept)
+    kept = [x for x in kept if not x[3]]
+    if wrapper["copies"]:  # no slots decide
+        kept = [x for x in kept if x[2]] or kept
+    return " ".join(x[1] for x in kept)
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -382,11 +387,14 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` with text and n_chars; html is dropped."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars", "wrapper", "__host")]
-    scratch = Scratch(pages.sparkSession, "wrappers")
-    w = scratch.write(wrappers(pages, url, html).withColumnRenamed("host", "__host"), "wrappers")
+    w = Scratch(pages.sparkSession, "wrappers").write(wrappers(pages, url, html).withColumnRenamed("host", "__host"), "wrappers")
     size = w.agg(F.sum(F.length("wrapper") + F.length("__host") + 64)).head()[0] or 0
-    if size <= BROADCAST_BYTES:  # else pages and wrappers are dealt out by host, and large hosts split
+    rows, on = pages.select(*keep, html, url_parts(F.col(url))[0].alias("__host")), ["__host"]
+    if size <= BROADCAST_BYTES:
         w = F.broadcast(w)
+    else:
+        w, on = w.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__host", "__salt"]
+        rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -403,5 +411,5 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             yield pd.Series(out, dtype="object")
 
     ship(pages.sparkSession)
-    j = pages.select(*keep, html, url_parts(F.col(url))[0].alias("__host")).join(w, "__host", "left")
+    j = rows.join(w, on, "left")
     return j.select(*keep, text(F.col(html), F.col("wrapper")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
