@@ -469,13 +469,45 @@ BODY = '<h1>{0}</h1><p><b>First &amp; {0}<br>line\n two<p>Second <i>x</i>y</p><f
 
 def test_article_and_place():
     want = "A First & A line two Second xy"
-    assert wrappers.extract(PAGE.format("<article>" + BODY.format("A") + "</article>"), None) == want
+    one = PAGE.format("<article>" + BODY.format("A") + "</article>")
+    assert wrappers.extract(one, wrappers.infer([one])) == want and wrappers.extract(one, None).startswith("Home News Buy A First")
     pages = [PAGE.format(f"<div class='c'>{BODY.format(x * 40)}</div>") for x in "ABCD"]
     w = wrappers.infer(pages)
     assert w["place"][-1] == "div.c" and "Buy" in w["fixed"] and "#TEXT" in w["expression"] and ")+" in w["expression"]
     assert wrappers.extract(pages[0], w).startswith("A" * 40 + " First & A") and "Buy" not in wrappers.extract(pages[0], w)
 
 
+def test_the_wrapper_decides_without_tags_and_names():
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    pages, want = [], []
+    for _ in range(30):
+        main = [word(rng.integers(20, 60)) for _ in range(rng.integers(1, 6))]
+        links = "".join(f"<div><a href=x>{word(1)}</a></div>" for _ in range(rng.integers(2, 7)))
+        body = "".join(f"<div>{m}</div>" for m in main)
+        pages.append(f"<html><body><div id=ka><div id=kb>{links}</div><div id=kc>{body}<h5>Share this text</h5></div><div id=kd>Imprint {word(2)}</div></div></body></html>")
+        want.append(" ".join(main))
+    w = wrappers.infer(pages)
+    got = [wrappers.extract(p, w) for p in pages]
+    assert "div.kc" in w["place"] and got == want
+    assert not any("Share" in g for g in got) and not any(wrappers.extract(p, None) == x for p, x in zip(pages, want))
+
+
+def test_deep_parts_are_left_out_too():
+    deep = "<div>" * 400
+    pages = [f"<body>{deep}<p>{x * 50}</p><nav>menu {x}</nav><p>{x * 20}</p>" for x in "ABC"]
+    assert wrappers.extract(pages[0], wrappers.infer(pages)) == "A" * 50 + " " + "A" * 20
+
+
+def test_real_pages_are_decided_by_their_wrappers(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {r.host: r.wrapper for r in wrappers.wrappers(pages).collect()}
+    assert all("#TEXT" in w for w in found.values())
+    out = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    rows = pages.collect()
+    assert sum(wrappers.extract(r.html, None) == out[r.page_id] for r in rows) < len(rows) / 20
+
+
 def test_what_one_page_has_is_not_template():
     pages = [f"<body><div class='c'><h1>{x * 30}</h1><p>{x * 200}</p></div><div class='legal'>All rights</div>" for x in "ABCD"]
     pages[2] = pages[2].replace("</div>", "<blockquote>Seen once</blockquote><ul><li>first</li></ul></div>", 1)
