@@ -11,7 +11,8 @@ components then still differ are paired only where what they have beyond the hub
 possible (see ``_crossing``). So a group of copies costs a few rows per copy and yet no link between components is lost.
 
 Nulls and empty texts have empty sets, which link with nothing. Texts with fewer words than a shingle are one shingle.
-Rows with equal ids count as one document; a row with a null id is kept and belongs to no component.
+Rows with equal ids count as one document; a row with a null id is kept and belongs to no component. Ids are of any
+type with an order; texts are read whole. Only key and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Ids of candidate documents up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one hub beyond which they are dealt out in parts.
+HOT = 500
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -141,14 +144,21 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 size = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
                 yield b.loc[size & (estimate(ra, rb, na, nb) >= least), ["a", "b"]]
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     kind = reps.schema["rep"].dataType.simpleString()
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, f"a {kind}, b {kind}")
+    side = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("regs").alias("r"))
+    return _both_sides(pairs, side).mapInPandas(likely, f"a {kind}, b {kind}")
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("t").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+def _both_sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Written pairs (a, b) with what ``side`` (id and others) has for both. The pairs of a b that occurs more than HOT
+    times are dealt out in parts of about HOT rows, each with its own copy of b's row."""
+    named = lambda x: side.select(*[F.col(c).alias(x if c == "id" else c + x) for c in side.columns])
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("b", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else hot
+    parts = F.coalesce("parts", F.lit(1))
+    p = pairs.join(hot, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+    s = named("b").join(hot, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return p.join(named("a"), "a").join(s, ["b", "part"]).drop("part")
 
 
 def _reaches(both: int, x: int, y: int, percent: int) -> bool:
@@ -167,7 +177,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
             yield b.loc[ok, ["a", "b"]]
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return _with_texts(pairs, texts).mapInPandas(exact, f"a {kind}, b {kind}")
+    return _both_sides(pairs, texts).mapInPandas(exact, f"a {kind}, b {kind}")
 
 
 def _measured(star: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -189,7 +199,7 @@ def _measured(star: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
             yield pd.DataFrame(out, columns=["a", "b", "na", "nb", "both", "linked", "extra"])
 
     kind = star.schema["a"].dataType.simpleString()
-    return _with_texts(star, texts).mapInPandas(measure, f"a {kind}, b {kind}, na int, nb int, both int, linked boolean, extra array<bigint>")
+    return _both_sides(star, texts).mapInPandas(measure, f"a {kind}, b {kind}, na int, nb int, both int, linked boolean, extra array<bigint>")
 
 
 def _crossing(star: DataFrame, met: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -239,16 +249,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     member = scratch.write(band.join(shared, "band"), "members")
     degree = member.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("degree"))
     ranked = member.join(degree, "rep")
-    hub = ranked.groupBy("band").agg(F.max_by("rep", F.struct(F.col("degree"), -F.col("rep"))).alias("hub"))
+    hub = ranked.groupBy("band").agg(F.min_by("rep", F.struct(-F.col("degree"), F.col("rep"))).alias("hub"))
     star = member.join(hub, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = scratch.write(member.select(F.col("rep").alias("id")).distinct(), "wanted")
     if wanted.count() <= BROADCAST_IDS:  # else the texts are dealt out by id
         wanted = F.broadcast(wanted)
     texts = scratch.write(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi"), "texts")
-    star = scratch.write(_measured(star, texts, n, percent), "star")
+    star = scratch.write(_measured(scratch.write(star, "hubs"), texts, n, percent), "star")
     first = star.filter("linked").select("a", "b")
     met = components(first, Scratch(spark, "met"))
-    more = scratch.write(_plausible(_crossing(star, met, percent, scratch), reps, percent), "more")
+    crossing = scratch.write(_crossing(star, met, percent, scratch), "crossing")
+    more = scratch.write(_plausible(crossing, reps, percent), "more")
     second = scratch.write(_confirmed(more, texts, n, percent), "second")
     # The second links join whole components: those are the nodes now.
     of = lambda x: met.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
