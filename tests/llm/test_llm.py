@@ -438,6 +438,20 @@ def test_near_duplicates_by_brute_force(spark, n, percent):
     assert (out[1].n_shingles, out[3].n_shingles, out[5].n_shingles) == (0, 1, 1)
 
 
+def test_near_duplicates_with_text_ids_and_hot_hubs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 7)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 400, 150)]
+    rows = []
+    for k in range(80):
+        t = list(base)
+        for at in rng.integers(0, len(t), rng.integers(1, 8)):
+            t[at] = f"e{rng.integers(0, 500)}"
+        rows.append((f"b{k:03d}", " ".join(t)))
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows, "doc_id string, text string")).collect()}
+    assert out == brute_components(rows, 5, 80)
+
+
 def test_near_duplicates_edge(spark):
     out = near_dedup.near_duplicates(frame(spark, EDGE)).collect()
     assert len(out) == len(EDGE) and all(r.kept for r in out) and [r.component_id for r in out if r.doc_id is None] == [None]
