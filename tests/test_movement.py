@@ -46,15 +46,57 @@ def brute_speed(rows, limit):
         return 2 * geo.EARTH * math.asin(math.sqrt(h)) / (b[1] - a[1])
 
     while True:
-        s = [None] + [v(a, b) for a, b in zip(alive, alive[1:])]
-        if max([x for x in s if x is not None], default=0) <= limit:
+        s = [0] + [v(a, b) for a, b in zip(alive, alive[1:])]
+        if not first and max(s) <= limit:
             return gone
-        both = [i for i in range(1, len(s) - 1) if s[i] > limit + 20 and s[i + 1] > limit + 20] if first else []
-        k = both[0] if both else next(i for i in range(1, len(s)) if s[i] >= limit)
-        gone.add(alive.pop(k))
+        over = max(s) > limit
+        both = [i for i in range(1, len(s) - 1) if s[i] > limit + 20 and s[i + 1] > limit + 20] if first and over else []
+        bad = both or [i for i in range(1, len(s)) if s[i] >= limit]
+        if not bad:
+            return gone
+        gone.add(alive.pop(bad[0]))
         first = False
 
 
+def test_speeds_at_the_limit(spark):
+    """Steps of exactly the limit, none over it: one goes. With one over it later, those before it go as well."""
+    step = 0.01  # degrees of latitude a minute
+    rows = lambda tag, ys: [(tag, 60 * i, 0.0, float(y)) for i, y in enumerate(ys)]
+    even = rows("even", [step * i for i in range(6)])
+    later = rows("later", [0, step, 2 * step, 2 * step, 2 * step, 4.5 * step, 4.5 * step])
+    last = rows("last", [0, 3 * step, 2 * step, 3 * step, 3 * step, 3 * step])
+    d = track(spark, even + later + last)
+    v = movement.traj_speed(d, order=O).filter("TagID = 'even'").orderBy("seq").collect()
+    limit = v[1].traj_speed
+    same = [i for i, r in enumerate(v) if r.traj_speed == limit]
+    out = movement.speed_filt(d, limit, has_gaps=False, order=O)
+    got = {r.seq for r in out.filter("speed_rm = 1").collect()}
+    want = set()
+    for k, t in ((0, even), (6, later), (13, last)):
+        want |= {k + i for i in brute_speed(t, limit)}
+    assert len(same) >= 2 and got == want and len([s for s in got if s < 6]) >= 1
+
+
+def test_speed_filter_over_batches_and_a_long_section(spark):
+    rng = np.random.default_rng(12)
+    tags = {f"t{k}": [(f"t{k}", 60 * i, float(x) if i % 17 else None, float(y)) for i, (x, y) in enumerate(zip(rng.normal(0, 0.01, 90), rng.normal(50, 0.01, 90)))] for k in range(9)}
+    d = track(spark, [r for t in tags.values() for r in t])
+    whole = movement.speed_filt(d, 15, has_gaps=False, order=O).select("TagID", "seq", "speed_rm").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    parts = movement.speed_filt(d, 15, has_gaps=False, order=O).select("TagID", "seq", "speed_rm").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(whole) == sorted(parts)
+    got = {(r.TagID, r.seq) for r in whole if r.speed_rm}
+    for k, (t, rows) in enumerate(tags.items()):
+        known = [(i, r) for i, r in enumerate(rows) if r[2] is not None]
+        if not any(b[0] - a[0] > 1 for a, b in zip(known, known[1:])):
+            assert {s for x, s in got if x == t} == {90 * k + known[i][0] for i in brute_speed([r for _, r in known], 15)}
+    n = 300_000
+    long = spark.range(n).selectExpr("'a' AS TagID", "timestamp_seconds(1704067200 + id * 60) AS DateTime", "CAST(id AS INT) AS seq", "CASE WHEN id % 5 = 3 THEN 1D ELSE 0D END AS longitude", "50D AS latitude")
+    out = movement.speed_filt(long, 20, has_gaps=False, order=O)
+    assert out.filter("speed_rm = 1").count() == n // 5 and out.filter("speed_rm = 1 and longitude = 0").count() == 0
+
+
 def test_speed_filter_is_the_loop(spark):
     rng = np.random.default_rng(3)
     tags = {f"t{k}": [(f"t{k}", 60 * i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.normal(0, 0.01, 40), rng.normal(50, 0.01, 40)))] for k in range(6)}
@@ -166,6 +208,39 @@ def test_datetime_formats(spark):
     assert [str(r[0]) for r in d.select(times.datetime(F.col("s"))).collect()] == ["2024-02-01 03:04:05", "2024-02-01 03:04:00", "2024-02-01 03:04:00", "2024-02-01 03:04:05", "None", "None"]
 
 
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(2)
+    v = np.r_[rng.normal(size=3000), np.full(5000, 0.25), rng.integers(0, 5, 2000)].astype(float)
+    d = spark.createDataFrame([(f"k{i % 3}", float(x)) for i, x in enumerate(v)], "TagID string, dt double").repartition(5)
+    qs = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
+    assert np.allclose(outliers.pooled_quantiles(d.select(F.col("dt").alias("v")), qs), np.quantile(v, qs), rtol=0, atol=1e-12)
+    t = {r.TagID: (r.lo, r.hi) for r in outliers.thresholds(d, "dt", "quantile", ["TagID"]).collect()}
+    h = {r.TagID: (r.lo, r.hi) for r in outliers.thresholds(d, "dt", "hampel", ["TagID"]).collect()}
+    for k in range(3):
+        x = v[k::3]
+        med = np.median(x)
+        mad = np.median(np.abs(x - med))
+        assert np.allclose(t[f"k{k}"], np.quantile(x, [0.01, 0.99])) and np.allclose(h[f"k{k}"], (med - 3 * mad, med + 3 * mad))
+    med = np.median(v)
+    assert np.allclose(outliers.thresholds(d, "dt", "hampel", []).head()[:], (med - 3 * np.median(np.abs(v - med)), med + 3 * np.median(np.abs(v - med))))
+    assert outliers.thresholds(d.limit(0), "dt", "quantile", []).head()[:] == (None, None)
+
+
+def test_jitter_equals_rows_of_their_own(spark):
+    """The array of runs against the plain way: a row per run, windows over each run."""
+    rng = np.random.default_rng(7)
+    d = track(spark, [(f"t{k}", int(s), float(x), float(y)) for k in range(3) for s, x, y in zip(np.cumsum(rng.integers(30, 900, 40)), rng.normal(0, 0.01, 40), rng.normal(50, 0.01, 40))])
+    got = {(r.TagID, r.likely_rate): (r.sd, r.mean, r.N) for r in movement.tspeed_jit(d, 6, 0.001, seed=3, order=O).collect()}
+    real = rates.assign_rates(movement.traj_speed(movement.gap_section(d, order=O), True, O), out=None, order=O).withColumnRenamed("traj_speed", "real")
+    s = real.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    unit = lambda i: F.pmod(F.xxhash64("TagID", F.col("DateTime").cast("string"), F.col("seq").cast("string"), "sim", F.lit(6 + i)), F.lit(2**31 - 1)) / float(2**31 - 1)
+    s = s.withColumns({"longitude": F.col("longitude") + (unit(0) * 2 - 1) * 0.001, "latitude": F.col("latitude") + (unit(1) * 2 - 1) * 0.001})
+    w = O.window("sim", "gapsec")
+    v = geo.haversine(F.lag("longitude").over(w), F.lag("latitude").over(w), F.col("longitude"), F.col("latitude")) / (F.unix_micros("DateTime") - F.lag(F.unix_micros("DateTime")).over(w)) * 1e6
+    want = {(r.TagID, r.likely_rate): (r.sd, r.m, r.n) for r in s.withColumn("x", F.abs(v - F.col("real"))).filter("x is not null").groupBy("TagID", "likely_rate").agg(F.stddev("x").alias("sd"), F.avg("x").alias("m"), F.count("x").alias("n")).collect()}
+    assert got.keys() == want.keys() and all(got[k][2] == want[k][2] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_outliers_by_tukey(spark):
     v = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 100.0]
     d = spark.createDataFrame([("a", x) for x in v], "TagID string, dt double")

@@ -36,11 +36,11 @@ def mark(df: DataFrame, use_coords: bool = False, order: Order = ORDER) -> DataF
     ``use_coords``), dup_time_coords_rm (same time and place), all_dup_rm (whole row)."""
     place = F.struct("longitude", "latitude")
     at = order.whole(order.time)
-    d = df.withColumn("dup_time_rm", ((F.count("*").over(at) > 1) & (F.size(F.collect_set(place).over(at)) > 1)).cast("int"))
+    d = df.withColumn("dup_time_rm", (F.min(place).over(at) != F.max(place).over(at)).cast("int"))
     if use_coords:
         here = order.whole("longitude", "latitude")
         known = C("longitude").isNotNull() & C("latitude").isNotNull()
-        d = d.withColumn("dup_coords_rm", (known & (F.size(F.collect_set(order.time).over(here)) > 1)).cast("int"))
+        d = d.withColumn("dup_coords_rm", (known & F.coalesce(F.min(order.time).over(here) != F.max(order.time).over(here), F.lit(False))).cast("int"))
     d = d.withColumn("dup_time_coords_rm", (F.count("*").over(order.whole(order.time, "longitude", "latitude")) > 1).cast("int"))
     cols = [c for c in df.columns if c != order.seq]
     return d.withColumn("all_dup_rm", (F.count("*").over(W.partitionBy(*cols)) > 1).cast("int"))

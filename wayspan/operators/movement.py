@@ -7,10 +7,11 @@ anew. Nulls in coordinates or times give null distances and speeds, and such row
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,40 +99,108 @@ def traj_speed_sm(df: DataFrame, within_gap: bool = False, points: int = 2, incl
     return d.withColumn("traj_speed_sm", F.when(enough, F.sqrt(F.greatest(total, F.lit(0.0)) / F.nullif(n, F.lit(0)))))
 
 
-def _step(a: Column, b: Column) -> Column:
-    dt = (b["us"] - a["us"]) / F.lit(1e6)
-    return haversine(a["lon"], a["lat"], b["lon"], b["lat"]) / F.nullif(dt, F.lit(0.0))
-
-
 def _raw_filter(df: DataFrame, limit: float, order: Order, keys: list[str]) -> DataFrame:
-    """speed_rm by a forward fold: a fix stays if its speed from the last kept one is below the limit.
+    """speed_rm by one forward pass: a fix stays if its speed from the last kept one is within the limit.
 
     Removing one fix changes only the next one's speed, so repeating "remove the first offender, work out speeds anew"
-    ends where this single pass does. The first round alone prefers a fix that both its speeds exceed by 20.
+    ends where this single pass does. The first round alone prefers a fix that both its speeds exceed by 20. A speed at
+    the limit counts as an offence as long as some later speed of the section exceeds it; where none does at all, the
+    first round still removes the first such fix.
+
+    Windows give each fix its speed from the one before and the section's last offence; the pass reads each partition's
+    sorted rows as a stream of Arrow batches and keeps the last kept fix only, however long a section is.
     """
-    w = order.window(*[k for k in keys if k != order.key])
+    more = [k for k in keys if k != order.key]
+    w, whole = order.window(*more), order.whole(*more)
+    running = w.rowsBetween(W.unboundedPreceding, 0)
+    placed = C("longitude").isNotNull() & C("latitude").isNotNull() & C(order.time).isNotNull()
     fast = traj_speed(df, "gapsec" in keys, order).select(*df.columns, "traj_speed")
     leaving = F.lead("traj_speed").over(w)
-    over = F.coalesce(F.max("traj_speed").over(order.whole(*[k for k in keys if k != order.key])) > limit, F.lit(False))
+    over = F.coalesce(F.max("traj_speed").over(whole) > limit, F.lit(False))
     both = over & F.coalesce((C("traj_speed") > limit + 20) & (leaving > limit + 20), F.lit(False))
     d = fast.withColumn("__both", both.cast("int"))
-    d = d.withColumn("__first", (C("__both") == 1) & (F.sum("__both").over(w.rowsBetween(W.unboundedPreceding, 0)) == 1)).drop("__both", "traj_speed")
-    d = d.withColumn("__id", F.row_number().over(w))
-    usable = C("longitude").isNotNull() & C("latitude").isNotNull() & C(order.time).isNotNull() & ~C("__first")
-    row = F.struct(C("__id").alias("id"), micros(order.time).alias("us"), C("longitude").cast("double").alias("lon"), C("latitude").cast("double").alias("lat"))
-    seq = F.array_sort(F.collect_list(F.when(usable, row)))
-    kind = "struct<id:int,us:bigint,lon:double,lat:double>"
+    d = d.withColumns({"__first": (C("__both") == 1) & (F.sum("__both").over(running) == 1), "__id": F.row_number().over(w)}).drop("traj_speed")
+    d = d.withColumn("__use", placed & ~C("__first")).drop("__both")
+    fix = F.struct(micros(order.time).alias("us"), C("longitude").cast("double").alias("lon"), C("latitude").cast("double").alias("lat"))
+    d = d.withColumns({"__fix": fix, "__prev": F.last(F.when(C("__use"), fix), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))})
+    seconds = (C("__fix.us") - C("__prev.us")) / F.lit(1e6)
+    speed = haversine(C("__prev.lon"), C("__prev.lat"), C("__fix.lon"), C("__fix.lat")) / F.nullif(seconds, F.lit(0.0))
+    d = d.withColumn("__v", F.when(C("__use"), speed)).drop("__prev")
+    offence = F.max(F.when(C("__v") > limit, C("__id"))).over(whole)
+    alone = offence.isNull() & ~F.max("__first").over(whole)
+    d = d.withColumns({"__last": F.coalesce(offence, F.lit(0)), "__alone": alone}).sortWithinPartitions(*keys, *order.by)
+    schema = T.StructType([*df.schema, T.StructField("speed_rm", T.IntegerType())])
+    names = list(df.columns)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = _Pass(limit)
+        for b in batches:
+            flags = keep.batch(b)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(flags, pa.int32())], names=[*names, "speed_rm"])
+
+    ship(df.sparkSession)
+    return d.mapInArrow(passed, schema)
+
+
+class _Pass:
+    """The state of the forward pass: the last kept fix, and whether the fix before is that one."""
+
+    def __init__(self, limit: float):
+        self.limit, self.section, self.at = limit, 0, 0
+        self.last, self.near, self.tie = (0.0, 0.0, 0.0), True, False
+
+    def batch(self, b: pa.RecordBatch) -> np.ndarray:
+        get = lambda n: b.column(n).to_numpy(zero_copy_only=False)
+        fix = b.column("__fix")
+        us, lon, lat = (fix.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3))
+        number, v, offence, alone = get("__id"), get("__v").astype(float), get("__last"), get("__alone")
+        out = get("__first").astype(np.int32)
+        # Sections are numbered on from those of the batches before.
+        section = self.section + np.cumsum(number == 1)
+        self.section = int(section[-1]) if len(section) else self.section
+        rows = np.flatnonzero(get("__use").astype(bool))
+        if not len(rows):
+            return out
+        starts = np.r_[section[rows[0]] != self.at, section[rows[1:]] != section[rows[:-1]]]
+        with np.errstate(invalid="ignore"):
+            look = np.flatnonzero(starts | (v[rows] >= self.limit))  # others stay if the fix before them does
+        i = 0
+        while i < len(rows):
+            r = rows[i]
+            if self.near and not starts[i]:
+                k = int(np.searchsorted(look, i))
+                if k == len(look):
+                    break
+                if look[k] > i:
+                    r = rows[look[k] - 1]
+                    self.last = (us[r], lon[r], lat[r])
+                i, r = int(look[k]), rows[look[k]]
+            if starts[i]:
+                self.last, self.near, self.tie = (us[r], lon[r], lat[r]), True, bool(alone[r])
+                i += 1
+                continue
+            if self.near:
+                speed = v[r]
+            else:
+                dt = (us[r] - self.last[0]) / 1e6
+                speed = _metres(*self.last[1:], lon[r], lat[r]) / dt if dt else math.nan
+            tie = speed == self.limit and (self.tie or offence[r] > number[r])
+            if speed > self.limit or tie:
+                out[r], self.near = 1, False
+                self.tie = self.tie and not tie
+            else:
+                self.last, self.near = (us[r], lon[r], lat[r]), True
+            i += 1
+        if self.near:
+            self.last = (us[rows[-1]], lon[rows[-1]], lat[rows[-1]])
+        self.at = section[rows[-1]]
+        return out
 
-    def keep(acc: Column, x: Column) -> Column:
-        # The last kept row is bound once by the inner transform.
-        ok = F.transform(F.slice(acc, -1, 1), lambda a: F.coalesce(_step(a, x) < limit, F.lit(True)))
-        return F.when(F.size(acc) == 0, F.array(x)).when(ok[0], F.concat(acc, F.array(x))).otherwise(acc)
 
-    kept = d.groupBy(*keys).agg(F.aggregate(seq, F.array().cast(f"array<{kind}>"), keep).alias("__k"))
-    kept = kept.select(*keys, F.explode(F.transform("__k", lambda a: a["id"])).alias("__id"), F.lit(True).alias("__in"))
-    j = d.join(kept, [*keys, "__id"], "left")
-    bad = (C("__first") | C("__in").isNull()) & C("longitude").isNotNull() & C("latitude").isNotNull() & C(order.time).isNotNull()
-    return j.select(*df.columns, bad.cast("int").alias("speed_rm"))
+def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    p, q = math.radians(lat1), math.radians(lat2)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH * math.asin(math.sqrt(min(1.0, h)))
 
 
 def _smooth_filter(df: DataFrame, limit: float, method: str, points: int, include_centre: bool, fun: Callable | None, fall_back: bool, order: Order, keys: list[str]) -> DataFrame:
@@ -166,8 +235,8 @@ def _smooth_filter(df: DataFrame, limit: float, method: str, points: int, includ
             v = smooth(raw)
             if np.isnan(v).all() and fall_back:
                 v = raw
-            if np.isnan(v).all() or np.nanmax(v) <= limit:
-                break
+            if np.isnan(v).all() or np.nanmax(v) < limit or (np.nanmax(v) == limit and not first):
+                break  # at the limit the first round alone removes one
             leaving = np.r_[v[1:], np.nan]
             both = np.flatnonzero((v > limit + 20) & (leaving > limit + 20)) if first else []
             k = both[0] if len(both) else np.flatnonzero(v >= limit)[0]
@@ -216,15 +285,23 @@ def tspeed_jit(df: DataFrame, nsim: int = 50, jitter: float = 0.0005, gap: float
     from wayspan.operators.rates import BREAKS, assign_rates
 
     d = traj_speed(gap_section(df, gap, tol, order=order), True, order)
-    real = assign_rates(d, breaks=breaks or BREAKS, out=None, order=order).withColumnRenamed("traj_speed", "__real")
-    sims = real.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
-    # Hashed rather than drawn, so that a retried task gives the same numbers.
-    unit = lambda i: F.pmod(F.xxhash64(C(order.key).cast("string"), *[C(c).cast("string") for c in order.by], "sim", F.lit(seed * 2 + i)), F.lit(2**31 - 1)) / float(2**31 - 1)
-    sims = sims.withColumns({"longitude": C("longitude") + (unit(0) * 2 - 1) * jitter, "latitude": C("latitude") + (unit(1) * 2 - 1) * jitter})
-    w = order.window("sim", "gapsec")
-    v = haversine(F.lag("longitude").over(w), F.lag("latitude").over(w), C("longitude"), C("latitude")) / F.nullif(seconds_between(C(order.time), F.lag(order.time).over(w)), F.lit(0.0))
-    sims = sims.withColumn("__d", F.abs(v - C("__real")))
-    return sims.filter(C("__d").isNotNull()).groupBy(order.key, "likely_rate").agg(F.stddev("__d").alias("sd"), F.avg("__d").alias("mean"), F.count("__d").alias("N"))
+    d = assign_rates(d, breaks=breaks or BREAKS, out=None, order=order)
+    w = order.window("gapsec")
+    before = {f"__{c}": F.lag(c).over(w) for c in ("longitude", "latitude", *order.by)}
+    d = d.withColumns(before).filter(C(f"__{order.time}").isNotNull() & C("traj_speed").isNotNull())
+
+    # Hashed rather than drawn, so that a retried task gives the same numbers, and a fix's shift can be worked out at
+    # the next fix too: the runs are an array of each row, not rows of their own to be dealt out.
+    def shift(prefix: str, sim: Column, i: int) -> Column:
+        h = F.xxhash64(C(order.key).cast("string"), *[C(prefix + c).cast("string") for c in order.by], sim, F.lit(seed * 2 + i))
+        return (F.pmod(h, F.lit(2**31 - 1)) / float(2**31 - 1) * 2 - 1) * jitter
+
+    def change(sim: Column) -> Column:
+        ends = [C(p + c) + shift(p, sim, i) for p in ("__", "") for i, c in enumerate(("longitude", "latitude"))]
+        return F.abs(haversine(*ends) / F.nullif(seconds_between(C(order.time), C(f"__{order.time}")), F.lit(0.0)) - C("traj_speed"))
+
+    sims = d.select(order.key, "likely_rate", F.explode(F.transform(F.sequence(F.lit(1), F.lit(nsim)), change)).alias("__d")).filter(C("__d").isNotNull())
+    return sims.groupBy(order.key, "likely_rate").agg(F.stddev("__d").alias("sd"), F.avg("__d").alias("mean"), F.count("__d").alias("N"))
 
 
 def resample_path(df: DataFrame, spacing: float = 100, order: Order = ORDER) -> DataFrame:

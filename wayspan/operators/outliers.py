@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,44 +18,90 @@ C = F.col
 def thresholds(df: DataFrame, var: str, method: str, keys: list[str], q: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
     """(keys, lo, hi): quantiles (linear), Hampel's median +- 3 MAD, or boxplot whisker ends.
 
-    Boxplot hinges are those of the five-number summary, found by rank so that no group is gathered in one place.
+    All are order statistics, found by rank: within a key by a sorted window, which spills; over all rows by
+    ``order_stats``. So no group's values are gathered in one place.
     """
     d = df.filter(C(var).isNotNull()).select(*keys, C(var).cast("double").alias("v"))
+    if method not in ("quantile", "hampel", "boxplot"):
+        raise ValueError(f"unknown method {method}")
+    if not keys:
+        return d.sparkSession.createDataFrame([_pooled(d, method, q)], "lo double, hi double")
+    w = W.partitionBy(*keys)
+    d = d.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("v"))})
     if method == "quantile":
-        return d.groupBy(*keys).agg(F.percentile("v", F.lit(q[0])).alias("lo"), F.percentile("v", F.lit(q[1])).alias("hi"))
+        return d.groupBy(*keys).agg(*[quantile(p).alias(n) for p, n in zip(q, ("lo", "hi"))])
     if method == "hampel":
-        mid = d.groupBy(*keys).agg(F.percentile("v", F.lit(0.5)).alias("med"))
-        dev = _attach(d, mid, keys).withColumn("dev", F.abs(C("v") - C("med")))
-        return dev.groupBy(*keys).agg(F.percentile("dev", F.lit(0.5)).alias("mad"), F.first("med").alias("med")).select(*keys, (C("med") - 3 * C("mad")).alias("lo"), (C("med") + 3 * C("mad")).alias("hi"))
-    if method != "boxplot":
-        raise ValueError(f"unknown method {method}")
-    n = d.groupBy(*keys).agg(F.count("*").alias("n"))
+        low, high = (F.max(F.when(C("r") == f((C("n") + 1) / 2), C("v"))).over(w) for f in (F.floor, F.ceil))
+        d = d.withColumn("med", (low + high) / 2)
+        d = d.withColumn("dev", F.abs(C("v") - C("med")))
+        d = d.select(*keys, "med", "n", C("dev").alias("v"), F.row_number().over(w.orderBy("dev")).alias("r"))
+        return d.groupBy(*keys).agg(quantile(0.5).alias("mad"), F.first("med").alias("med")).select(*keys, (C("med") - 3 * C("mad")).alias("lo"), (C("med") + 3 * C("mad")).alias("hi"))
     depth = F.floor((C("n") + 3) / 2) / 2  # whole or half, counted from either end
-    rank = _ranked(d, keys)
-    at = _attach(rank, n, keys).withColumn("depth", depth)
-    low = (C("r") == F.floor("depth")) | (C("r") == F.ceil("depth"))
-    high = (C("r") == C("n") + 1 - F.floor("depth")) | (C("r") == C("n") + 1 - F.ceil("depth"))
-    h = at.groupBy(*keys).agg(F.avg(F.when(low, C("v"))).alias("h1"), F.avg(F.when(high, C("v"))).alias("h2"))
-    j = _attach(d, h, keys)
+    low = (C("r") == F.floor(depth)) | (C("r") == F.ceil(depth))
+    high = (C("r") == C("n") + 1 - F.floor(depth)) | (C("r") == C("n") + 1 - F.ceil(depth))
+    d = d.withColumns({"h1": F.avg(F.when(low, C("v"))).over(w), "h2": F.avg(F.when(high, C("v"))).over(w)})
     spread = 1.5 * (C("h2") - C("h1"))
-    return j.groupBy(*keys).agg(F.min(F.when(C("v") >= C("h1") - spread, C("v"))).alias("lo"), F.max(F.when(C("v") <= C("h2") + spread, C("v"))).alias("hi"))
+    return d.groupBy(*keys).agg(F.min(F.when(C("v") >= C("h1") - spread, C("v"))).alias("lo"), F.max(F.when(C("v") <= C("h2") + spread, C("v"))).alias("hi"))
 
 
-def _ranked(d: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return d.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("v")))
-    # All rows: ranks by range partition plus the sizes of the partitions before, so no task sorts everything.
-    spark = d.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    p = d.repartitionByRange(n, "v").withColumn("__p", F.spark_partition_id())
-    size = p.groupBy("__p").agg(F.count("*").alias("c"))
-    base = size.withColumn("__base", F.coalesce(F.sum("c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    local = p.withColumn("__l", F.row_number().over(W.partitionBy("__p").orderBy("v")))
-    return local.join(F.broadcast(base.drop("c")), "__p").select("v", (C("__l") + C("__base")).alias("r"))  # a row a partition
+def quantile(q: float) -> Column:
+    """The linear quantile of v, from columns v, r (rank from 1) and n, as an aggregate."""
+    at = (C("n") - 1) * F.lit(q)
+    low, high = F.max(F.when(C("r") == F.floor(at) + 1, C("v"))), F.max(F.when(C("r") == F.ceil(at) + 1, C("v")))
+    return low + (high - low) * F.max(at - F.floor(at))
 
 
-def _attach(d: DataFrame, by: DataFrame, keys: list[str]) -> DataFrame:
-    return d.join(by, keys) if keys else d.crossJoin(F.broadcast(by))  # one row
+def order_stats(d: DataFrame, pick: Callable[[int], list[int]], column: str = "v") -> tuple[int, dict[int, float]]:
+    """The number of rows, and the values of the ranks (from 1) that ``pick`` asks for, exactly, whatever the number.
+
+    Rows are counted by bucket, between approximate quantiles; then only the buckets that hold a wanted rank are read
+    again, as value and count. The driver sees a few numbers a bucket.
+    """
+    n = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = d.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n).alias("q")).head()["q"] or []
+    cuts = sorted(set(cuts))
+    low = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
+    d = d.select(C(column).cast("double").alias("v"), F.size(F.filter(low, lambda c: c <= C(column))).alias("b"))
+    sizes = dict(sorted((r["b"], r["n"]) for r in d.groupBy("b").agg(F.count("*").alias("n")).collect()))
+    total, before, at = sum(sizes.values()), {}, 0
+    for b, k in sizes.items():
+        before[b], at = at, at + k
+    wanted = sorted({r for r in pick(total) if 1 <= r <= total})
+    homes = {r: max(b for b in before if before[b] < r) for r in wanted}
+    if not wanted:
+        return total, {}
+    inside = d.filter(C("b").isin(sorted(set(homes.values())))).groupBy("b", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.partitionBy("b").orderBy("v"))
+    inside = inside.withColumn("upto", upto)
+    hit = F.filter(F.from_json(F.lit(json.dumps([{"b": b, "r": r - before[b], "rank": r} for r, b in homes.items()])), "array<struct<b:int,r:bigint,rank:bigint>>"), lambda x: (x["b"] == C("b")) & (x["r"] <= C("upto")) & (x["r"] > C("upto") - C("k")))
+    return total, {r["rank"]: r["v"] for r in inside.select("v", F.explode(hit).alias("x")).select("v", "x.rank").collect()}
+
+
+def pooled_quantiles(d: DataFrame, qs: list[float]) -> list[float | None]:
+    """Linear quantiles of v over all rows."""
+    ends = lambda n, q: (math.floor((n - 1) * q), math.ceil((n - 1) * q))
+    n, at = order_stats(d, lambda n: [i + 1 for q in qs for i in ends(n, q)])
+    low = [ends(n, q) for q in qs]
+    return [at[a + 1] + (at[b + 1] - at[a + 1]) * ((n - 1) * q - a) if n else None for (a, b), q in zip(low, qs)]
+
+
+def _pooled(d: DataFrame, method: str, q: tuple[float, float]) -> tuple[float | None, float | None]:
+    if method == "quantile":
+        return tuple(pooled_quantiles(d, list(q)))
+    if method == "hampel":
+        (med,) = pooled_quantiles(d, [0.5])
+        if med is None:
+            return None, None
+        (mad,) = pooled_quantiles(d.select(F.abs(C("v") - F.lit(med)).alias("v")), [0.5])
+        return med - 3 * mad, med + 3 * mad
+    depth = lambda n: (n + 3) // 2 / 2
+    sides = lambda n: ((math.floor(depth(n)), math.ceil(depth(n))), (n + 1 - math.ceil(depth(n)), n + 1 - math.floor(depth(n))))
+    n, at = order_stats(d, lambda n: [r for s in sides(n) for r in s])
+    if not n:
+        return None, None
+    h1, h2 = ((at[a] + at[b]) / 2 for a, b in sides(n))
+    spread = 1.5 * (h2 - h1)
+    return tuple(d.agg(F.min(F.when(C("v") >= h1 - spread, C("v"))), F.max(F.when(C("v") <= h2 + spread, C("v")))).head())
 
 
 def outlier_flags(df: DataFrame, var: str = "dt", u_max: float | None = 300, q: tuple[float, float] = (0.01, 0.99), methods: tuple[str, ...] = ("quantile",), annotate: bool = True, order: Order = ORDER) -> DataFrame:
@@ -60,8 +110,8 @@ def outlier_flags(df: DataFrame, var: str = "dt", u_max: float | None = 300, q:
     d, x = df, C(var)
     for m in methods:
         own = thresholds(df, var, m, [order.key], q).select(order.key, C("lo").alias("__lo"), C("hi").alias("__hi"))
-        pooled = thresholds(df, var, m, [], q).select(C("lo").alias("__alo"), C("hi").alias("__ahi"))
-        d = d.join(own, order.key, "left").crossJoin(F.broadcast(pooled))  # one row
+        lo, hi = _pooled(df.filter(x.isNotNull()).select(x.cast("double").alias("v")), m, q)
+        d = d.join(own, order.key, "left").withColumns({"__alo": F.lit(lo).cast("double"), "__ahi": F.lit(hi).cast("double")})
         flag = lambda lo, hi, p: F.when(x.isNull(), None).when(x > C(hi), f"{p}_u").when(x < C(lo), f"{p}_l").otherwise("0")
         d = d.withColumns({f"outlier_i_{var}_{m}": flag("__lo", "__hi", "i"), f"outlier_ia_{var}_{m}": flag("__alo", "__ahi", "ia")}).drop("__lo", "__hi", "__alo", "__ahi")
     if u_max is not None:
