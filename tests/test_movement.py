@@ -274,3 +274,66 @@ def test_empty_tables(spark):
     g = movement.gap_section(d, order=O)
     assert g.count() == 0 and movement.speed_filt(g, order=O).count() == 0
     assert reports.tag_timeline(d, order=O).count() == 0 and reports.tag_counts(d, order=O).count() == 0
+
+
+def test_repaired_spacing_and_boot_rates(spark):
+    rng = np.random.default_rng(4)
+    t = np.cumsum(rng.integers(20, 200, 300)).astype(float)
+    taken = np.sort(rng.choice(300, 90, replace=False))
+    got = subsample.repair_spacing(t, taken, 150)
+    assert (np.diff(t[got]) >= 150).all() and len(set(got)) == len(got) and list(got) == sorted(got)
+    kept = [a for a, b in zip(taken, taken[1:]) if t[b] - t[a] >= 150] + [taken[-1]]
+    assert set(kept) <= set(got)
+    for a, b in zip(got, got[1:]):  # no room is left in a hole between kept fixes
+        assert not [j for j in range(a + 1, b) if t[j] - t[a] >= 150 and t[b] - t[j] >= 150] or {a, b} <= set(kept)
+    d = track(spark, [("a", int(s), 0.0, 0.0) for s in t])
+    for method in ("boot_sequencer", "boot_rate"):
+        for strict in (True, False):
+            index = subsample.sub_samp(d, 300, method=method, rate_l=240, n_boot=3, strict=strict, order=O)
+            rows = index.collect()
+            assert {r.boot for r in rows} == {1, 2, 3} and rows == index.collect()
+            if method == "boot_sequencer":
+                for b in (1, 2, 3):
+                    x = np.array(sorted(r.rn for r in rows if r.boot == b and not r.coarser)) - 1
+                    assert (np.diff(t[x]) >= 240).all()
+
+
+def test_functions_of_ones_own(spark):
+    d = track(spark, [("a", 0, 0.0, 0.0), ("a", 60, 0.0, 0.0), ("a", 600, 0.0, 0.0)])
+    late = duplicates.duplicate_track(d, "avg_time", use_coords=True, methods={"parallel": "first", "exact": "first", "same_time": "first"}, time_fun=F.max, order=O)
+    assert [r.DateTime.minute for r in late.collect()] == [10]
+    a = [("a", 60 * i, float(i), 0.0) for i in range(8)]
+    b = [("a", 30 + 60 * i, 3.0, 1.0) for i in range(8)]
+    top = duplicates.resolve_parallel(track(spark, a + b), "best_quality", ["longitude"], [1], order=O, quality_fun=F.max)
+    mean = duplicates.resolve_parallel(track(spark, a + b), "best_quality", ["longitude"], [-1], order=O)
+    assert top.filter("latitude = 1").count() == 1 and mean.filter("latitude = 0").count() == 1
+
+
+def test_rhumb_and_resampled_path(spark):
+    one = spark.createDataFrame([(0.0, 50.0, 0.0, 51.0), (0.0, 50.0, 1.0, 50.0), (179.5, 0.0, -179.5, 0.0)], "a double, b double, c double, d double")
+    m = [r[0] for r in one.select(geo.rhumb(*(F.col(c) for c in "abcd"))).collect()]
+    deg = math.radians(1) * geo.EARTH
+    assert np.allclose(m, [deg, deg * math.cos(math.radians(50)), deg])
+    rng = np.random.default_rng(3)
+    x, y = np.cumsum(rng.normal(0, 300, 60)), np.cumsum(rng.normal(0, 300, 60))
+    x[10], y[10] = x[9], y[9]
+    d = track(spark, [("a", i, 0.0, 0.0) for i in range(60)]).join(spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))], "seq int, X double, Y double"), "seq")
+    got = movement.resample_path(d, 100, O).orderBy("step").collect()
+    at = np.r_[0, np.cumsum(np.hypot(np.diff(x), np.diff(y)))]
+    grid = np.arange(0, at[-1], 100)
+    assert [r.step for r in got] == list(range(len(grid))) and np.allclose([r.X for r in got], np.interp(grid, at, x)) and np.allclose([r.Y for r in got], np.interp(grid, at, y))
+
+
+def test_sensor_files(spark, tmp_path):
+    from wayspan.sources import tracks
+
+    d = track(spark, [("a", i, 1.0, 2.0) for i in range(5)]).selectExpr("TagID", "DateTime", "longitude AS vsll", "latitude AS vbat", "seq AS other")
+    d.write.parquet(str(tmp_path / "v"))
+    v = tracks.read_sensor(spark, str(tmp_path / "v"), "voltage", tags=["a"], start="2024-01-01 00:00:03")
+    assert v.columns == ["TagID", "DateTime", "vsll", "vbat"] and v.count() == 2
+    plan = v._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "other" not in plan.split("ReadSchema")[1]
+    t = track(spark, [("a", 60 * i, 0.001 * i, 50.0) for i in range(6)]).select("TagID", F.date_format("DateTime", "dd/MM/yyyy HH:mm:ss").alias("DateTime"), "longitude", "latitude")
+    t.write.option("header", True).csv(str(tmp_path / "c"))
+    back = tracks.read_tracks(spark, str(tmp_path / "c"), "csv", "TagID string, DateTime string, longitude double, latitude double", text_time=True)
+    assert back.count() == 6 and back.filter("traj_speed is not null").count() == 5

@@ -23,6 +23,15 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
+def rhumb(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH) -> Column:
+    """Distance in metres along the line of constant bearing, the shorter way round."""
+    p1, p2 = F.radians(lat1), F.radians(lat2)
+    turn = F.radians(F.pmod(lon2 - lon1 + 540, F.lit(360.0)) - 180)
+    stretch = F.log(F.tan(p2 / 2 + math.pi / 4) / F.tan(p1 / 2 + math.pi / 4))
+    q = F.when(F.abs(stretch) > 1e-12, (p2 - p1) / stretch).otherwise(F.cos(p1))
+    return radius * F.sqrt(F.pow(p2 - p1, 2) + q * q * turn * turn)
+
+
 def bearing_degrees(dlon: Column, dlat: Column) -> Column:
     """atan2 of the coordinate differences, from 0 (north) clockwise."""
     return F.degrees(F.atan2(dlon, dlat)) + F.when(dlon < 0, 360.0).otherwise(0.0)
@@ -102,6 +111,7 @@ def circle(lon: float, lat: float, radius: float, points: int = 120) -> Ring:
     return [(x + radius * math.cos(2 * math.pi * i / points), y + radius * math.sin(2 * math.pi * i / points)) for i in range(points)]
 
 
+# The widely published low-precision solar constants, here and in sun_times.
 #: Sun altitude in degrees at which each pair of times is reached, rising and setting.
 SUN_ALTITUDES = {
     ("sunrise", "sunset"): -0.833,

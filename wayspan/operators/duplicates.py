@@ -72,12 +72,13 @@ def resolve_same_time(df: DataFrame, method: str = "first", variables: Sequence[
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def resolve_same_place(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), seed: int = 1, order: Order = ORDER) -> DataFrame:
-    """One row per tag and place; ``avg_time`` gives it the mean time. Rows without a place stay."""
+def resolve_same_place(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), seed: int = 1, order: Order = ORDER, time_fun: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """One row per tag and place; ``avg_time`` gives it the mean time, or another aggregate of the times in
+    microseconds (``time_fun``). Rows without a place stay."""
     known, open_ = df.filter("longitude is not null and latitude is not null"), df.filter("longitude is null or latitude is null")
     if method == "avg_time":
         kind = df.schema[order.time].dataType
-        mean = lambda c: F.timestamp_micros(F.floor(F.avg(micros(c))).cast("long")).cast(kind)
+        mean = lambda c: F.timestamp_micros(F.floor(time_fun(micros(c))).cast("long")).cast(kind)
         done = _centroid(known, [order.key, "longitude", "latitude"], {order.time: mean}, order)
     else:
         w = order.whole("longitude", "latitude").orderBy(*_ranking(method, order, variables, directions, seed))
@@ -114,12 +115,13 @@ def parallel_streams(df: DataFrame, order: Order = ORDER) -> DataFrame:
     return d.withColumn("overlap_block", F.when(C("parallel_issue") == 1, C("__b"))).select(*df.columns, "brksec", "parallel_issue", "overlap_block")
 
 
-def resolve_parallel(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), seed: int = 1, order: Order = ORDER) -> DataFrame:
-    """One segment per overlap block stays (``merge`` keeps all rows); rows outside blocks stay."""
+def resolve_parallel(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), seed: int = 1, order: Order = ORDER, quality_fun: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """One segment per overlap block stays (``merge`` keeps all rows); rows outside blocks stay. A segment's quality is
+    an aggregate of its rows' (``quality_fun``)."""
     d = parallel_streams(df, order)
     if method == "merge":
         return d.drop("brksec", "parallel_issue", "overlap_block")
-    q = F.avg(quality(variables, directions)) if variables else F.lit(0.0)
+    q = quality_fun(quality(variables, directions)) if variables else F.lit(0.0)
     seg = d.filter("overlap_block is not null").groupBy(order.key, "overlap_block", "brksec").agg(q.alias("q"))
     rank = {"first": [C("brksec")], "last": [C("brksec").desc()], "best_quality": [C("q").desc(), C("brksec")], "random": [F.xxhash64(C(order.key).cast("string"), "overlap_block", "brksec", F.lit(seed))]}[method]
     best = seg.withColumn("__r", F.row_number().over(W.partitionBy(order.key, "overlap_block").orderBy(*rank))).filter("__r = 1").select(order.key, "overlap_block", C("brksec").alias("__best"))
@@ -127,9 +129,13 @@ def resolve_parallel(df: DataFrame, method: str = "first", variables: Sequence[s
     return j.select(df.columns)
 
 
-def duplicate_track(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), use_coords: bool = False, mode: str = "resolve", methods: dict[str, str] | None = None, seed: int = 1, order: Order = ORDER) -> DataFrame:
+def duplicate_track(
+    df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), use_coords: bool = False, mode: str = "resolve", methods: dict[str, str] | None = None, seed: int = 1, order: Order = ORDER,
+    quality_fun: Callable[[Column], Column] = F.avg, centroid_fun: Callable[[Column], Column] = median, time_fun: Callable[[Column], Column] = F.avg,
+) -> DataFrame:
     """All steps in turn. ``mode``: resolve, annotate (flags), or detect (report). ``methods`` overrides per step:
-    parallel, same_time, same_loc, exact."""
+    parallel, same_time, same_loc, exact. The three functions are aggregates of columns: of a parallel segment's
+    quality, of coordinates at one time, and of times at one place."""
     of = lambda step: (methods or {}).get(step, method)
     if mode == "detect":
         return detect(df, use_coords, order)
@@ -139,22 +145,34 @@ def duplicate_track(df: DataFrame, method: str = "first", variables: Sequence[st
             d = parallel_streams(d, order).withColumnRenamed("parallel_issue", "dup_parallel_rm").drop("brksec", "overlap_block")
         return d
     how = {"variables": variables, "directions": directions, "seed": seed, "order": order}
-    d = resolve_parallel(df, of("parallel"), **how) if order.seq else df
+    d = resolve_parallel(df, of("parallel"), **how, quality_fun=quality_fun) if order.seq else df
     d = resolve_exact(d, "first" if of("exact") in ("centroid", "avg_time") else of("exact"), **how)
-    d = resolve_same_time(d, of("same_time"), **how)
+    d = resolve_same_time(d, of("same_time"), **how, centroid=centroid_fun)
     if use_coords:
-        d = resolve_same_place(d, of("same_loc"), **how)
+        d = resolve_same_place(d, of("same_loc"), **how, time_fun=time_fun)
     return resolve_rows(d, order)
 
 
-def detect(df: DataFrame, use_coords: bool = False, order: Order = ORDER) -> DataFrame:
-    """Per tag and step: issue_detected, n_affected_rows and n_segments (of parallel streams)."""
+def affected_rows(df: DataFrame, use_coords: bool = False, order: Order = ORDER) -> DataFrame:
+    """The rows behind ``detect``'s counts, with the step that each is affected by: a row per step and not a list per tag."""
+    d, steps = _marked(df, use_coords, order)
+    x = F.explode(F.filter(F.array(*[F.when(C(f) == 1, F.lit(s)) for s, f in steps.items()]), lambda s: s.isNotNull()))
+    return d.select(*df.columns, x.alias("step"))
+
+
+def _marked(df: DataFrame, use_coords: bool, order: Order) -> tuple[DataFrame, dict[str, str]]:
     d = mark(df, use_coords, order)
     steps = {"same_time": "dup_time_rm", "exact": "dup_time_coords_rm", "full_row": "all_dup_rm"} | ({"same_loc": "dup_coords_rm"} if use_coords else {})
-    segments = F.lit(None).cast("long")
     if order.seq:
         d = parallel_streams(d, order)
         steps["parallel"] = "parallel_issue"
+    return d, steps
+
+
+def detect(df: DataFrame, use_coords: bool = False, order: Order = ORDER) -> DataFrame:
+    """Per tag and step: issue_detected, n_affected_rows and n_segments (of parallel streams)."""
+    d, steps = _marked(df, use_coords, order)
+    segments = F.lit(None).cast("long")
     long = d.select(order.key, F.explode(F.array(*[F.struct(F.lit(s).alias("step"), C(f).alias("f"), (C("brksec") if s == "parallel" else segments).alias("seg")) for s, f in steps.items()])).alias("x"))
     g = long.groupBy(order.key, C("x.step").alias("step")).agg(F.sum("x.f").alias("n_affected_rows"), F.countDistinct(F.when(C("x.f") == 1, C("x.seg"))).alias("n_segments"))
     return g.select(order.key, "step", (C("n_affected_rows") > 0).alias("issue_detected"), "n_affected_rows", "n_segments")

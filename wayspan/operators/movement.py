@@ -305,20 +305,24 @@ def tspeed_jit(df: DataFrame, nsim: int = 50, jitter: float = 0.0005, gap: float
 
 
 def resample_path(df: DataFrame, spacing: float = 100, order: Order = ORDER) -> DataFrame:
-    """Points at equal planar distances along each tag's projected path (X, Y): (key, step, X, Y, angle)."""
-    kind = df.schema[order.key].dataType.simpleString()
-
-    def walk(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order.by)
-        x, y = b["X"].to_numpy(float), b["Y"].to_numpy(float)
-        at = np.r_[0, np.cumsum(np.hypot(np.diff(x), np.diff(y)))]
-        grid = np.arange(0, at[-1] + 1e-9, spacing)
-        gx, gy = np.interp(grid, at, x), np.interp(grid, at, y)
-        angle = np.r_[np.arctan2(np.diff(gy), np.diff(gx)), np.nan] if len(grid) > 1 else np.full(len(grid), np.nan)
-        return pd.DataFrame({order.key: b[order.key].iloc[0], "step": np.arange(len(grid)), "X": gx, "Y": gy, "angle": angle})
+    """Points at equal planar distances along each tag's projected path (X, Y): (key, step, X, Y, angle).
 
-    ship(df.sparkSession)
-    return df.filter("X is not null and Y is not null").select(order.key, *order.by, "X", "Y").groupBy(order.key).applyInPandas(walk, f"{order.key} {kind}, step long, X double, Y double, angle double")
+    Each leg of the path yields the points that lie on it, so a path is never gathered; angle is that to the next point.
+    """
+    w = order.window()
+    d = df.filter("X is not null and Y is not null").select(order.key, *order.by, "X", "Y")
+    d = d.withColumns({"__x": F.lead("X").over(w), "__y": F.lead("Y").over(w)})
+    leg = F.hypot(C("__x") - C("X"), C("__y") - C("Y"))
+    d = d.withColumn("__leg", leg).withColumn("__at", F.coalesce(F.sum("__leg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    first, past = F.ceil(C("__at") / spacing), F.ceil((C("__at") + C("__leg")) / spacing)
+    last = F.floor(C("__at") / spacing) * spacing == C("__at")  # the path's end is a point if it falls on one
+    steps = F.when(C("__leg").isNull(), F.when(last, F.array(F.floor(C("__at") / spacing)))).when(past > first, F.sequence(first, past - 1))
+    d = d.withColumn("step", F.explode(steps))
+    share = F.coalesce((C("step") * spacing - C("__at")) / C("__leg"), F.lit(0.0))
+    at = lambda a, b: C(a) + F.coalesce((C(b) - C(a)) * share, F.lit(0.0))
+    d = d.select(order.key, "step", at("X", "__x").alias("X"), at("Y", "__y").alias("Y"))
+    w = W.partitionBy(order.key).orderBy("step")
+    return d.withColumn("angle", F.atan2(F.lead("Y").over(w) - C("Y"), F.lead("X").over(w) - C("X")))
 
 
 def arrow_heads(points: DataFrame, length: float = 50, half_angle: float = math.pi / 6) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayspan.operators.movement import time_steps
 from wayspan.operators.schema import ORDER, Order
 
-#: Usual rates in seconds and the tolerance of each.
+#: Usual rates in seconds and the tolerance of each, fixed values.
 BREAKS = (1, 60, 100, 300, 600, 900, 1200, 1800, 3600, 7200, 10800)
 TOL = (0, 0.5, 0.4, 0.4, 0.3, 0.3, 0.3, 0.3, 0.3, 0.2, 0.2)
 

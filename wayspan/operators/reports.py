@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
-from wayspan.operators import checks, duplicates, rates
+from wayspan.operators import checks, duplicates, outliers, rates
 from wayspan.operators.movement import time_steps
 from wayspan.operators.schema import ORDER, Order, micros
 
@@ -30,36 +31,64 @@ def tabulate_history(df: DataFrame, by: str | None = None, order: Order = ORDER)
     return s.groupBy(*keys).agg(F.min("a").alias("Start"), F.max("b").alias("End"), ((F.max("hi") - F.min("lo")) / day).alias("Dur_days"), F.sum("n").alias("nfixes"), (F.sum(C("hi") - C("lo")) / day).alias("Dur_days_mon"))
 
 
-def summary(df: DataFrame, stat: str = "mean", dispersion: str = "MAD", digits: int = 2, mode: str = "full", numeric: tuple[str, ...] = (), order: Order = ORDER) -> DataFrame:
+def summary(df: DataFrame, stat: str = "mean", dispersion: str = "MAD", digits: int = 2, mode: str = "full", numeric: tuple[str, ...] = (), add_ranges: bool = False, gap_unit: str = "secs", order: Order = ORDER) -> DataFrame:
     """Per tag, and over all as "ALL": records, fixes (distinct times), nulls, first and last time, duration in days,
-    bounding box, gaps between fixes, and ``stat ± dispersion`` of dt (and of ``numeric`` columns)."""
-    d = time_steps(df, order).withColumn("__tag", F.explode(F.array(C(order.key).cast("string"), F.lit("ALL"))))
-
-    def spread(c: str):
-        centre = F.avg(c) if stat == "mean" else F.percentile(c, F.lit(0.5))
-        if stat == "mean":
-            width = F.stddev(c)
-        elif dispersion == "IQR":
-            width = F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
-        else:
-            width = F.percentile("__dev_" + c, F.lit(0.5))
-        f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("NA")
-        return F.concat(f(centre), F.lit(" ± "), f(width))
-
+    bounding box, gaps between fixes, and ``stat ± dispersion`` of dt (and of ``numeric`` columns; with ``add_ranges``
+    their least and greatest values in brackets). Gaps are in ``gap_unit``: secs, mins, hours or days.
+
+    The row over all is worked out beside the tags' rows, not from rows doubled; medians are order statistics by rank
+    and the mode comes from counts by value, so no group's values are gathered in one place.
+    """
+    unit = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400}[gap_unit]
+    d = time_steps(df, order).withColumn("dt", C("dt") / unit)
     cols = ["dt", *(numeric if mode == "full_plus" else ())]
-    if stat == "median" and dispersion == "MAD":
-        for c in cols:
-            med = d.groupBy("__tag").agg(F.percentile(c, F.lit(0.5)).alias("__m"))
-            d = d.join(med, "__tag").withColumn("__dev_" + c, F.abs(C(c) - C("__m"))).drop("__m")
-    us = micros(order.time)
+    us, key = micros(order.time), C(order.key).cast("string").alias(order.key)
+    f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("NA")
     base = [
-        F.count("*").alias("n_records"), F.countDistinct(C(order.key), C(order.time)).alias("n_fixes"), F.sum(C(order.time).isNull().cast("long")).alias("n_na_DT"), F.min(order.time).alias("start"), F.max(order.time).alias("end"),
+        F.count("*").alias("n_records"), F.sum(C(order.time).isNull().cast("long")).alias("n_na_DT"), F.min(order.time).alias("start"), F.max(order.time).alias("end"),
         ((F.max(us) - F.min(us)) / F.lit(8.64e10)).alias("dur"), F.min("longitude").alias("xmin"), F.max("longitude").alias("xmax"), F.min("latitude").alias("ymin"), F.max("latitude").alias("ymax"),
     ]
     if mode != "simple":
-        base += [F.avg(C("longitude").isNull().cast("int")).alias("na_lon"), F.avg(C("latitude").isNull().cast("int")).alias("na_lat"), F.min("dt").alias("gap_min"), F.max("dt").alias("gap_max"), F.mode("dt", True).alias("gap_mode")]
-        base += [spread(c).alias(f"{c}_{stat}") for c in cols]
-    return d.groupBy(C("__tag").alias(order.key)).agg(*base)
+        base += [F.avg(C("longitude").isNull().cast("int")).alias("na_lon"), F.avg(C("latitude").isNull().cast("int")).alias("na_lat"), F.min("dt").alias("gap_min"), F.max("dt").alias("gap_max")]
+        base += [x for c in cols for x in (F.avg(c).alias(f"__mean_{c}"), F.stddev(c).alias(f"__sd_{c}"), F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"))]
+    per, every = d.groupBy(order.key).agg(*base), d.agg(*base).withColumn(order.key, F.lit("ALL"))
+    fixes = d.filter(C(order.time).isNotNull()).groupBy(order.key, order.time).count().groupBy(order.key).agg(F.count("*").alias("n_fixes"))
+    per, every = per.join(fixes, order.key, "left"), every.crossJoin(F.broadcast(fixes.agg(F.sum("n_fixes").alias("n_fixes"))))  # one row
+    if mode != "simple":
+        most = lambda n, v: F.max_by(v, F.struct(n, -C("dt"))).alias("gap_mode")
+        times = d.filter("dt is not null").groupBy(order.key, "dt").agg(F.count("*").alias("n"))
+        per = per.join(times.groupBy(order.key).agg(most(C("n"), C("dt"))), order.key, "left")
+        every = every.crossJoin(F.broadcast(times.groupBy("dt").agg(F.sum("n").alias("n")).agg(most(C("n"), C("dt")))))
+    out = per.withColumn(order.key, key).unionByName(every).withColumn("n_fixes", F.coalesce("n_fixes", F.lit(0)))
+    if mode == "simple":
+        return out
+    for c in cols:
+        if stat == "median":
+            mid = _medians(d, c, dispersion, order)
+            out = out.join(mid, order.key, "left")
+            centre, width = C("__mid"), C("__width")
+        else:
+            centre, width = C(f"__mean_{c}"), C(f"__sd_{c}")
+        text = F.concat(f(centre), F.lit(" ± "), f(width))
+        text = F.concat(text, F.lit(" ["), f(C(f"__min_{c}")), F.lit(", "), f(C(f"__max_{c}")), F.lit("]")) if add_ranges else text
+        out = out.withColumn(f"{c}_{stat}", text).drop("__mid", "__width", *[f"__{x}_{c}" for x in ("mean", "sd", "min", "max")])
+    return out
+
+
+def _medians(d: DataFrame, column: str, dispersion: str, order: Order) -> DataFrame:
+    """(key, __mid, __width) per tag and for "ALL": the median and MAD or IQR of a column."""
+    v = d.filter(C(column).isNotNull()).select(C(order.key).cast("string").alias(order.key), C(column).cast("double").alias("v"))
+    w = W.partitionBy(order.key)
+    ranked = lambda x: x.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("v"))})
+    quarters = [outliers.quantile(q) for q in (0.25, 0.5, 0.75)]
+    g = ranked(v).groupBy(order.key).agg(quarters[1].alias("__mid"), (quarters[2] - quarters[0]).alias("__width"))
+    low, mid, high = outliers.pooled_quantiles(v, [0.25, 0.5, 0.75])
+    width = None if mid is None else high - low
+    if dispersion == "MAD":
+        dev = v.join(g.select(order.key, "__mid"), order.key).select(order.key, F.abs(C("v") - C("__mid")).alias("v"))
+        g = g.drop("__width").join(ranked(dev).groupBy(order.key).agg(quarters[1].alias("__width")), order.key)
+        width = None if mid is None else outliers.pooled_quantiles(v.select(F.abs(C("v") - F.lit(mid)).alias("v")), [0.5])[0]
+    return g.select(order.key, "__mid", "__width").union(d.sparkSession.createDataFrame([("ALL", mid, width)], f"{order.key} string, __mid double, __width double"))
 
 
 def tag_timeline(df: DataFrame, active: float = 0.5, alone: float = 0.5, miss: float = 0.25, order: Order = ORDER) -> DataFrame:
@@ -100,11 +129,14 @@ def bounds(df: DataFrame) -> DataFrame:
     return d.agg(F.min("X").alias("xmin"), F.min("Y").alias("ymin"), F.max("X").alias("xmax"), F.max("Y").alias("ymax"))
 
 
-def farthest_point(df: DataFrame, per_trip: bool = False, order: Order = ORDER) -> DataFrame:
-    """The fix farthest from the first one, per tag (and trip)."""
+def farthest_point(df: DataFrame, per_trip: bool = False, planar: bool = False, order: Order = ORDER) -> DataFrame:
+    """The fix farthest from the first one, per tag (and trip), along the rhumb line, or on the plane (X, Y)."""
     keys = [order.key, *(["tripNo"] if per_trip else [])]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct("longitude", "latitude"), F.struct(*order.by)).alias("__o"))
-    d = df.join(first, keys).withColumn("__d", geo.haversine(C("longitude"), C("latitude"), C("__o.longitude"), C("__o.latitude")))
+    at = ["X", "Y"] if planar else ["longitude", "latitude"]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*at), F.struct(*order.by)).alias("__o"))
+    ends = [C(c) for c in at] + [C(f"__o.{c}") for c in at]
+    far = F.hypot(ends[0] - ends[2], ends[1] - ends[3]) if planar else geo.rhumb(*ends)
+    d = df.join(first, keys).withColumn("__d", far)
     return d.groupBy(*keys).agg(F.max_by(F.struct(order.time, "longitude", "latitude"), F.struct(C("__d"), -micros(order.time))).alias("p"), F.max("__d").alias("dist")).select(*keys, "p.*", "dist")
 
 

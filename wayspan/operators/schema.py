@@ -21,7 +21,7 @@ KINDS = {
     "voltage": ("TagID", "DateTime", "vsll", "vbat"),
     "voltage_comm": ("TagID", "DateTime", "vbat", "bytes_communicated"),
 }
-#: The wide layout that sources emit.
+#: The wide layout that sources emit, fixed values.
 WIDE = (
     "Type TagID DateTime speed_2d speed_3d traj_speed latitude longitude X Y dist dt satellites_used gps_fixtime gps_pdop gps_hdop altitude altitude_agl h_accuracy v_accuracy "
     "pressure temperature x_speed y_speed z_speed speed_accuracy direction location flt_switch tag_voltage battery_charging_current"
@@ -86,12 +86,25 @@ def stack(*tables: DataFrame, names: list[str] | None = None, kind: str = "track
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def split(df: DataFrame, by: str, names: list | None = None) -> dict:
-    """The sub-tables of the given values of a column, in that order, empty ones included."""
-    names = names if names is not None else [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+def split(df: DataFrame, by: str, names: list | None = None, most: int = 10_000) -> dict:
+    """The sub-tables of the given values of a column, in that order, empty ones included. Without names all values of
+    the column are taken, of which the driver holds a table each; more than ``most`` of them are an error. A table of
+    many groups is better left whole and keyed (see ``restack``)."""
+    if names is None:
+        names = [r[0] for r in df.select(by).distinct().limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"{by}: more than {most} values")
+        names.sort(key=lambda v: (v is not None, v))
     return {n: df.filter(F.col(by).eqNullSafe(F.lit(n))) for n in names}
 
 
+def restack(df: DataFrame, by: str, outer: str | None = None, key: str = "TagID", stack_col: str = "stack") -> DataFrame:
+    """One table as a stack by a column, or as a stack of stacks by two: ``key`` takes the values of ``by``, ``stack``
+    those of ``outer``. Rows without a value belong to no group and are left out."""
+    d = df.filter(F.col(by).isNotNull()).withColumn(key, F.col(by))
+    return d.filter(F.col(outer).isNotNull()).withColumn(stack_col, F.col(outer)) if outer else d
+
+
 def flatten_stacks(df: DataFrame, key: str = "TagID", stack_col: str = "stack") -> DataFrame:
     """One level less: the tag becomes ``<tag>_stack_<stack>``, so equal tags of different stacks stay apart."""
     return df.withColumn(key, F.concat_ws("_stack_", F.col(key).cast("string"), F.col(stack_col).cast("string"))).drop(stack_col)

@@ -89,18 +89,26 @@ def recover_coarser(df: DataFrame, kept: DataFrame, dt: float = 300, tol: float
     return s.withColumn("__n", F.count("*").over(order.whole("gapsec"))).filter("__n > 1").select(kept.columns)
 
 
-def sub_samp(df: DataFrame, dt: float = 300, unit: str = "secs", method: str = "rounder", tol: float = 0.2, u_tol: float | None = None, l_tol: float | None = None, drop_coarser: bool = True, n_boot: int = 5, by: str | None = None, seed: int = 1, order: Order = ORDER) -> DataFrame:
-    """Fixes at about one per dt by ``rounder`` or ``sequencer``, or the index of ``boot_sequencer`` / ``boot_rate``."""
-    dt *= {"secs": 1, "mins": 60, "hours": 3600, "days": 86400}[unit]
+def sub_samp(df: DataFrame, dt: float = 300, unit: str = "secs", method: str = "rounder", tol: float = 0.2, u_tol: float | None = None, l_tol: float | None = None, rate_u: float | None = None, rate_l: float | None = None, drop_coarser: bool = True, n_boot: int = 5, by: str | None = None, seed: int = 1, strict: bool = True, order: Order = ORDER) -> DataFrame:
+    """Fixes at about one per dt by ``rounder`` or ``sequencer``, or the index of ``boot_sequencer`` / ``boot_rate``.
+
+    The least and greatest spacing follow from the tolerances, or are given in ``unit`` (``rate_l``, ``rate_u``).
+    """
+    scale = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400}[unit]
+    l_tol, u_tol = l_tol if rate_l is None else 1 - rate_l / dt, u_tol if rate_u is None else rate_u / dt - 1
+    dt *= scale
     if method.startswith("boot"):
-        return boots(df, dt, tol, l_tol, u_tol, n_boot, by, seed, method, order)
+        return boots(df, dt, tol, l_tol, u_tol, n_boot, by, seed, method, strict, order)
     kept = (rounder if method == "rounder" else sequencer)(df, dt, tol, l_tol, order)
     return recover_coarser(df, kept, dt, tol, u_tol, drop_coarser, order)
 
 
-def boots(df: DataFrame, dt: float, tol: float = 0.2, l_tol: float | None = None, u_tol: float | None = None, n_boot: int = 5, by: str | None = None, seed: int = 1, method: str = "boot_sequencer", order: Order = ORDER) -> DataFrame:
+def boots(df: DataFrame, dt: float, tol: float = 0.2, l_tol: float | None = None, u_tol: float | None = None, n_boot: int = 5, by: str | None = None, seed: int = 1, method: str = "boot_sequencer", strict: bool = True, order: Order = ORDER) -> DataFrame:
     """Replicates as an index: (key, level, boot, rn, coarser). rn is a fix's number in its tag.
 
+    All replicates of a tag and level are drawn in its one group, from one copy of its rows. Without ``strict`` each
+    stretch is drawn from freely and too quick fixes are repaired afterwards (see ``repair_spacing``).
+
     In each section a random fix of every stretch of dt seconds is taken, at least dt(1 - tol) after the last one; tags,
     levels and replicates run apart, each from its own seed. ``boot_rate`` also goes rate by rate.
     """
@@ -113,30 +121,55 @@ def boots(df: DataFrame, dt: float, tol: float = 0.2, l_tol: float | None = None
         d = assign_rates(d, out=None, order=order)
         level = F.concat_ws("/", level, F.coalesce("likely_rate", F.lit("none")))
     d = d.withColumn("rn", F.row_number().over(order.window())).select(order.key, level.alias("level"), "gapsec", "rn", (micros(order.time) / F.lit(1e6)).alias("t"))
-    d = d.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
     kind = df.schema[order.key].dataType.simpleString()
 
     def pick(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("rn")
-        rng = np.random.default_rng([seed, int(b["boot"].iloc[0]), *map(ord, f"{b[order.key].iloc[0]}|{b['level'].iloc[0]}")])
-        rows = []
-        for _, s in b.groupby("gapsec"):
-            t, rn = s["t"].to_numpy(), s["rn"].to_numpy()
-            if len(t) == 1:
-                rows.append((rn[0], True))
-                continue
-            last = -np.inf
-            stretch = np.floor((t - t[0]) / dt)
-            for k in np.unique(stretch):
-                ok = np.flatnonzero((stretch == k) & (t >= last + low))
-                if len(ok):
-                    i = int(rng.choice(ok))
-                    rows.append((rn[i], False))
-                    last = t[i]
-        return pd.DataFrame(rows, columns=["rn", "coarser"]).assign(**{order.key: b[order.key].iloc[0], "level": b["level"].iloc[0], "boot": b["boot"].iloc[0]})[[order.key, "level", "boot", "rn", "coarser"]]
+        name = map(ord, f"{b[order.key].iloc[0]}|{b['level'].iloc[0]}")
+        seeds, rows = [seed, *name], []
+        sections = [(s["t"].to_numpy(), s["rn"].to_numpy()) for _, s in b.groupby("gapsec")]
+        for boot in range(1, n_boot + 1):
+            rng = np.random.default_rng([boot, *seeds])
+            for t, rn in sections:
+                if len(t) == 1:
+                    rows.append((boot, rn[0], True))
+                    continue
+                stretch = np.floor((t - t[0]) / dt)
+                ends = np.flatnonzero(np.r_[True, np.diff(stretch) > 0])
+                last, taken = -np.inf, []
+                for a, z in zip(ends, np.r_[ends[1:], len(t)]):
+                    first = max(a, int(np.searchsorted(t, last + low))) if strict else a
+                    if first < z:
+                        i = int(rng.integers(first, z))
+                        taken.append(i)
+                        last = t[i]
+                taken = taken if strict else repair_spacing(t, np.array(taken), low)
+                rows += [(boot, rn[i], False) for i in taken]
+        out = pd.DataFrame(rows, columns=["boot", "rn", "coarser"])
+        return out.assign(**{order.key: b[order.key].iloc[0], "level": b["level"].iloc[0]})[[order.key, "level", "boot", "rn", "coarser"]]
 
     ship(df.sparkSession)
-    return d.groupBy(order.key, "level", "boot").applyInPandas(pick, f"{order.key} {kind}, level string, boot int, rn int, coarser boolean")
+    return d.groupBy(order.key, "level").applyInPandas(pick, f"{order.key} {kind}, level string, boot int, rn int, coarser boolean")
+
+
+def repair_spacing(t: np.ndarray, taken: np.ndarray, least: float) -> np.ndarray:
+    """Fixes taken from sorted times ``t``, without those that the next one follows in under ``least`` seconds; in each
+    hole so left, fixes at least that far from both neighbours are put back in turn."""
+    quick = np.r_[np.diff(t[taken]) < least, False]
+    kept, out = taken[~quick], []
+    for k, i in enumerate(kept):
+        out.append(i)
+        if k + 1 < len(kept) and quick[(taken > i) & (taken < kept[k + 1])].any():
+            for j in range(i + 1, kept[k + 1]):
+                if t[j] - t[out[-1]] >= least and t[kept[k + 1]] - t[j] >= least:
+                    out.append(j)
+    if len(kept) and quick[taken < kept[0]].any():  # a hole before the first kept fix has no earlier neighbour
+        early = []
+        for j in range(int(taken[0]), int(kept[0])):
+            if t[kept[0]] - t[j] >= least and (not early or t[j] - t[early[-1]] >= least):
+                early.append(j)
+        out = early + out
+    return np.array(out, int)
 
 
 def retrieve_boots(df: DataFrame, index: DataFrame, include_coarser: bool = False, order: Order = ORDER) -> DataFrame:

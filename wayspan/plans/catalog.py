@@ -141,10 +141,16 @@ def tag_spans(spark, sf_dir):
     return d.select("TagID", "event_id", *[c for c in d.columns if c.endswith("_issue")])
 
 
-@query("tag_spans_summary", f"""WITH {TRACK} SELECT "TagID", CAST(count(DISTINCT CASE WHEN longitude < -0.4 THEN longitude END) AS INT) AS n_minx, min(CASE WHEN longitude < -0.4 THEN longitude END) AS low FROM track GROUP BY "TagID" """)
+def _values(of: str, test: str, name: str) -> str:
+    return f"array_to_string(list_transform(coalesce(list_sort(list(DISTINCT {of}) FILTER ({test})), []), lambda v: printf('%.6f', v)), ',') AS {name}"
+
+
+@query("tag_spans_summary", f"""WITH {TRACK} SELECT "TagID", {_values("longitude", "longitude < -0.4", "minx")}, {_values("longitude", "longitude > 0.4", "maxx")}, {_values("latitude", "latitude < 50.1", "miny")}, {_values("latitude", "latitude > 50.9", "maxy")},
+  CAST(count(DISTINCT CASE WHEN "DateTime" > TIMESTAMP '2024-01-28' THEN "DateTime" END) AS INT) AS n_future FROM track GROUP BY "TagID" """)
 def tag_spans_summary(spark, sf_dir):
-    d = checks.tag_spans(track(spark, sf_dir), (-0.4, 0.4), mode="summary", now="2024-01-28", order=ORDER)
-    return d.select("TagID", F.size("minx_issue").alias("n_minx"), F.array_min("minx_issue").alias("low"))
+    d = checks.tag_spans(track(spark, sf_dir), (-0.4, 0.4), (50.1, 50.9), mode="summary", now="2024-01-28", order=ORDER)
+    shown = lambda c: F.array_join(F.transform(f"{c}_issue", lambda v: F.format_string("%.6f", v)), ",").alias(c)
+    return d.select("TagID", *map(shown, ("minx", "maxx", "miny", "maxy")), F.size("future_issue").alias("n_future"))
 
 
 @query("column_checks", f"""WITH {TRACK} SELECT "TagID", event_id, CAST(longitude IS NULL OR latitude IS NULL AS INT) AS "NA_latlong_rm", CAST(satellites_used <= 3 AS INT) AS sat_rm, CAST(satellites_used IS NULL AS INT) AS "sat_NA",
@@ -193,7 +199,7 @@ def stage_counts(spark, sf_dir):
     return checks.stage_counts(d, ["NA_latlong_rm", "sat_rm"], ORDER)
 
 
-@query("clean_track_full")
+@query("clean_track_full")  # its twin stands below that of parallel streams
 def clean_track_full(spark, sf_dir):
     how = pipeline.Cleaning(pdop=20, min_fix=5, speed=SPEED_LIMIT, turn=math.pi / 8, spans={"xra": (-0.4, 0.4), "now": "2024-01-28"}, flt_switch=True, drop_single_gap=True)
     d = pipeline.clean_track(track(spark, sf_dir), how, True, ORDER)
@@ -244,7 +250,8 @@ def subsample_sequencer(spark, sf_dir):
     return subsample.sequencer(placed(spark, sf_dir), STEP, order=ORDER).select("TagID", "event_id")
 
 
-@query("subsample_recovered")
+@query("subsample_recovered", ORACLE["subsample_rounder"].replace("SELECT \"TagID\", event_id FROM c WHERE", """, n AS (SELECT *, (lead(us) OVER w - us) / 1e6 AS nx, (us - lag(us) OVER w) / 1e6 AS pv FROM a WINDOW w AS (PARTITION BY "TagID" ORDER BY us, event_id))
+SELECT "TagID", event_id FROM n WHERE nx > {high} OR pv > {high} UNION SELECT "TagID", event_id FROM c WHERE""".format(high=STEP * 1.2)))
 def subsample_recovered(spark, sf_dir):
     return subsample.sub_samp(placed(spark, sf_dir), STEP, drop_coarser=False, order=ORDER).select("TagID", "event_id")
 
@@ -255,7 +262,7 @@ def subsample_boots(spark, sf_dir):
     return subsample.retrieve_boots(d, subsample.boots(d, STEP, n_boot=3, order=ORDER), True, ORDER).select("TagID", "event_id", "level", "boot", "rn")
 
 
-ASOF = """WITH {TRACK}, l AS (SELECT "TagID", "DateTime", event_id FROM track WHERE event_id % 3 = 0), r AS (SELECT "TagID", "DateTime" AS t, longitude FROM placed WHERE event_id % 3 = 1),
+ASOF = """WITH {TRACK}, l AS (SELECT "TagID", "DateTime", event_id FROM track), r AS (SELECT "TagID", "DateTime" - INTERVAL 25 MINUTE AS t, longitude FROM placed),
 p AS (SELECT l.*, r.t AS pt, r.longitude AS pl FROM l ASOF LEFT JOIN r ON l."TagID" = r."TagID" AND l."DateTime" >= r.t),
 n AS (SELECT p.*, r.t AS nt, r.longitude AS nl FROM p ASOF LEFT JOIN r ON p."TagID" = r."TagID" AND p."DateTime" <= r.t)
 SELECT "TagID", event_id, pl AS backward, nl AS forward, CASE WHEN nt IS NULL OR "DateTime" - pt <= nt - "DateTime" THEN CASE WHEN epoch_us("DateTime") - epoch_us(pt) <= 7200000000 THEN pl END ELSE CASE WHEN epoch_us(nt) - epoch_us("DateTime") <= 7200000000 THEN nl END END AS nearest FROM n""".replace("{TRACK}", TRACK)
@@ -263,8 +270,8 @@ SELECT "TagID", event_id, pl AS backward, nl AS forward, CASE WHEN nt IS NULL OR
 
 @query("asof_join", ASOF)
 def asof_join(spark, sf_dir):
-    left, right = track(spark, sf_dir).filter("event_id % 3 = 0").select("TagID", "DateTime", "event_id"), placed(spark, sf_dir).filter("event_id % 3 = 1").select("TagID", "DateTime", "longitude")
-    return _three_ways(left, right)
+    right = placed(spark, sf_dir).withColumn("DateTime", C("DateTime") - F.expr("INTERVAL 25 MINUTE")).select("TagID", "DateTime", "longitude")
+    return _three_ways(track(spark, sf_dir).select("TagID", "DateTime", "event_id"), right)
 
 
 def _three_ways(left, right):
@@ -281,7 +288,7 @@ def later(spark, sf_dir):
     return placed(spark, sf_dir).withColumn("DateTime", C("DateTime") + F.expr(LATER))
 
 
-@query("asof_join_all", ASOF.replace(" WHERE event_id % 3 = 0", "").replace('"DateTime" AS t', f'"DateTime" + {LATER} AS t').replace(" WHERE event_id % 3 = 1", ""))
+@query("asof_join_all", ASOF.replace("- INTERVAL 25 MINUTE", f"+ {LATER}"))
 def asof_join_all(spark, sf_dir):
     return _three_ways(track(spark, sf_dir).select("TagID", "DateTime", "event_id"), later(spark, sf_dir).select("TagID", "DateTime", "longitude"))
 
@@ -325,12 +332,44 @@ o AS (SELECT a."TagID", greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM
 m AS (SELECT j.*, CAST(EXISTS (SELECT 1 FROM o WHERE o."TagID" = j."TagID" AND j."DateTime" BETWEEN o.lo AND o.hi) AS INT) AS parallel_issue FROM j)"""
 
 
-@query("parallel_streams", PARALLEL + """, b AS (SELECT *, CASE WHEN parallel_issue = 1 AND coalesce(lag(parallel_issue) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id), 0) = 0 THEN 1 ELSE 0 END AS st FROM m)
-SELECT "TagID", event_id, brksec, parallel_issue, CASE WHEN parallel_issue = 1 THEN CAST(sum(st) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id) AS BIGINT) END AS overlap_block FROM b""")
+BLOCKS = """, b AS (SELECT *, CASE WHEN parallel_issue = 1 AND coalesce(lag(parallel_issue) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id), 0) = 0 THEN 1 ELSE 0 END AS st FROM m),
+z AS (SELECT *, CASE WHEN parallel_issue = 1 THEN CAST(sum(st) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id) AS BIGINT) END AS overlap_block FROM b)"""
+
+
+@query("parallel_streams", PARALLEL + BLOCKS + ' SELECT "TagID", event_id, brksec, parallel_issue, overlap_block FROM z')
 def parallel_streams(spark, sf_dir):
     return duplicates.parallel_streams(doubled(spark, sf_dir), ORDER).select("TagID", "event_id", "brksec", "parallel_issue", "overlap_block")
 
 
+def _full_sql() -> str:
+    """All flags of ``clean_track_full``: duplicates, spans, sections, the speed filter within sections, and turns."""
+    columns = '"TagID", "DateTime", longitude, latitude, satellites_used, gps_pdop, flt_switch, "Type", event_type'
+    flags = """CAST(longitude IS NULL OR latitude IS NULL AS INT) AS "NA_latlong_rm", 0 AS "all_NA_rm", parallel_issue AS dup_parallel_rm, CAST(len(places) > 1 AS INT) AS dup_time_rm, CAST(n_at > 1 AS INT) AS dup_time_coords_rm, CAST(n_row > 1 AS INT) AS all_dup_rm,
+  CAST(n_tag < 5 AS INT) AS tid_rm, CAST(longitude < -0.4 AS INT) AS minx_rm, CAST(longitude > 0.4 AS INT) AS maxx_rm, CAST("DateTime" > TIMESTAMP '2024-01-28' AS INT) AS future_rm, CAST(satellites_used <= 3 AS INT) AS sat_rm,
+  CAST("Type" = 'MoveBank' AND (flt_switch IS NULL OR flt_switch <> 0) AS INT) AS flt_rm, CAST(gps_pdop >= 20 AS INT) AS gps_pdop_rm, CAST(count(*) OVER (PARTITION BY "TagID", gapsec) = 1 AS INT) AS singlegap_rm"""
+    section = 'PARTITION BY "TagID", gapsec ORDER BY "DateTime", event_id'
+    step = haversine("f.lon", "f.lat", "e.longitude", "e.latitude")
+    return f"""WITH RECURSIVE {PARALLEL.removeprefix("WITH ").replace(DOUBLED + ", ", "").replace("doubled", "track")},
+u AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n_at, count(*) OVER (PARTITION BY {columns}) AS n_row, count(*) OVER (PARTITION BY "TagID") AS n_all FROM m),
+{gapped("u")}, fl AS (SELECT * EXCLUDE (dt), n_all AS n_tag FROM gapped), v0 AS (SELECT *, (epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6 AS dt, {haversine("longitude", "latitude", "lead(longitude) OVER w", "lead(latitude) OVER w")} AS dist FROM fl WINDOW w AS ({section})),
+v1 AS (SELECT *, lag(dist / nullif(dt, 0)) OVER ({section}) AS traj_speed FROM v0), v2 AS (SELECT *, lead(traj_speed) OVER ({section}) AS nxt, max(traj_speed) OVER (PARTITION BY "TagID", gapsec) AS top FROM v1),
+v3 AS (SELECT *, coalesce(top > {SPEED_LIMIT} AND traj_speed > {SPEED_LIMIT + 20} AND nxt > {SPEED_LIMIT + 20}, false) AS both_ FROM v2), v4 AS (SELECT *, both_ AND sum(both_::INT) OVER ({section}) = 1 AS first_ FROM v3),
+e AS (SELECT "TagID", gapsec, event_id, epoch_us("DateTime") AS us, longitude, latitude, row_number() OVER ({section}) AS k FROM v4 WHERE NOT first_ AND longitude IS NOT NULL),
+f("TagID", gapsec, k, us, lon, lat, event_id, kept) AS (
+  SELECT "TagID", gapsec, k, us, longitude, latitude, event_id, true FROM e WHERE k = 1
+  UNION ALL
+  SELECT e."TagID", e.gapsec, e.k, CASE WHEN x.ok THEN e.us ELSE f.us END, CASE WHEN x.ok THEN e.longitude ELSE f.lon END, CASE WHEN x.ok THEN e.latitude ELSE f.lat END, e.event_id, x.ok
+  FROM f JOIN e ON e."TagID" = f."TagID" AND e.gapsec = f.gapsec AND e.k = f.k + 1, LATERAL (SELECT coalesce({step} / nullif((e.us - f.us) / 1e6, 0) < {SPEED_LIMIT}, true) AS ok) x
+), h AS (SELECT *, atan2(lead(latitude) OVER w - latitude, lead(longitude) OVER w - longitude) AS h FROM v4 WINDOW w AS ({section})), r AS (SELECT *, h - lag(h) OVER ({section}) AS d FROM h),
+a AS (SELECT *, abs(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d <= -pi() THEN d + 2 * pi() ELSE d END) AS rel FROM r),
+o2 AS (SELECT a."TagID", a.event_id, {flags.replace(" OVER (PARTITION BY \"TagID\", gapsec)", " OVER (PARTITION BY a.\"TagID\", a.gapsec)").replace("longitude", "a.longitude").replace("latitude IS", "a.latitude IS").replace("a.a.", "a.")},
+  CASE WHEN a.longitude IS NULL THEN 0 WHEN f.kept THEN 0 ELSE 1 END AS speed_rm, CASE WHEN rel IS NULL THEN NULL WHEN rel <= {math.pi / 8!r} THEN 1 ELSE 0 END AS angle_rm FROM a LEFT JOIN f ON f."TagID" = a."TagID" AND f.event_id = a.event_id)
+SELECT *, greatest("NA_latlong_rm", "all_NA_rm", dup_parallel_rm, dup_time_rm, dup_time_coords_rm, all_dup_rm, tid_rm, minx_rm, maxx_rm, future_rm, sat_rm, flt_rm, gps_pdop_rm, singlegap_rm, speed_rm, angle_rm) AS combined_rm FROM o2"""
+
+
+ORACLE["clean_track_full"] = _full_sql()
+
+
 @query("duplicates_detect", PARALLEL + """, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n FROM m)
 SELECT "TagID", CAST(sum(CAST(len(places) > 1 AS INT)) AS BIGINT) AS same_time, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS exact, CAST(sum(parallel_issue) AS BIGINT) AS parallel FROM d GROUP BY 1""")
 def duplicates_detect(spark, sf_dir):
@@ -343,18 +382,39 @@ def duplicate_track(spark, sf_dir):
     return duplicates.duplicate_track(doubled(spark, sf_dir), "random", use_coords=True, order=ORDER).select("TagID", "event_id")
 
 
+@query("duplicate_track_first", PARALLEL + BLOCKS + """, y AS (SELECT *, min(brksec) OVER (PARTITION BY "TagID", overlap_block) AS best FROM z),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY "TagID", "DateTime", longitude, latitude ORDER BY event_id) AS n FROM y WHERE overlap_block IS NULL OR brksec = best),
+r2 AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY "TagID", "DateTime" ORDER BY event_id) AS n FROM r1 WHERE n = 1),
+r3 AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY "TagID", longitude, latitude ORDER BY "DateTime", event_id) AS n FROM r2 WHERE n = 1)
+SELECT "TagID", event_id FROM r3 WHERE n = 1""")
+def duplicate_track_first(spark, sf_dir):
+    return duplicates.duplicate_track(doubled(spark, sf_dir), "first", use_coords=True, order=ORDER).select("TagID", "event_id")
+
+
 @query("tabulate_history", f"""{G}, s AS (SELECT "TagID", gapsec, min("DateTime") AS a, max("DateTime") AS b, count(*) AS n FROM gapped GROUP BY 1, 2)
 SELECT "TagID", min(a) AS "Start", max(b) AS "End", round((epoch_us(max(b)) - epoch_us(min(a))) / 8.64e10, 6) AS "Dur_days", CAST(sum(n) AS BIGINT) AS nfixes, round(sum(epoch_us(b) - epoch_us(a)) / 8.64e10, 6) AS "Dur_days_mon" FROM s GROUP BY 1""")
 def tabulate_history(spark, sf_dir):
     return rounded(reports.tabulate_history(_gapped(spark, sf_dir), order=ORDER), Dur_days=6, Dur_days_mon=6)
 
 
-@query("summary", f"""WITH {TRACK}, t AS (SELECT *, (epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6 AS dt FROM track {W}), u AS (SELECT CAST("TagID" AS VARCHAR) AS tag, * FROM t UNION ALL SELECT 'ALL', * FROM t)
-SELECT tag AS "TagID", count(*) AS n_records, count(DISTINCT ("TagID", "DateTime")) AS n_fixes, min("DateTime") AS "start", max("DateTime") AS "end", round((epoch_us(max("DateTime")) - epoch_us(min("DateTime"))) / 8.64e10, 6) AS dur,
-  min(longitude) AS xmin, max(longitude) AS xmax, min(latitude) AS ymin, max(latitude) AS ymax, round(avg(CAST(longitude IS NULL AS INT)), 6) AS na_lon, round(min(dt), 3) AS gap_min, round(max(dt), 3) AS gap_max FROM u GROUP BY 1""")
+def _summary_sql(text: str, more: str = "") -> str:
+    return f"""WITH {TRACK}, t AS (SELECT *, (epoch_us(lead("DateTime") OVER w) - epoch_us("DateTime")) / 1e6 AS dt FROM track {W}), u AS (SELECT CAST("TagID" AS VARCHAR) AS tag, * FROM t UNION ALL SELECT 'ALL', * FROM t){more}
+SELECT tag AS "TagID", count(*) AS n_records, count(DISTINCT ("TagID", "DateTime")) AS n_fixes, CAST(sum(CAST("DateTime" IS NULL AS INT)) AS BIGINT) AS "n_na_DT", min("DateTime") AS "start", max("DateTime") AS "end", round((epoch_us(max("DateTime")) - epoch_us(min("DateTime"))) / 8.64e10, 6) AS dur,
+  min(longitude) AS xmin, max(longitude) AS xmax, min(latitude) AS ymin, max(latitude) AS ymax, round(avg(CAST(longitude IS NULL AS INT)), 6) AS na_lon, round(avg(CAST(latitude IS NULL AS INT)), 6) AS na_lat, round(min(dt), 3) AS gap_min, round(max(dt), 3) AS gap_max,
+  round((SELECT arg_max(c.dt, (c.n, -c.dt)) FROM (SELECT x.dt, count(*) AS n FROM u x WHERE x.tag = u.tag AND x.dt IS NOT NULL GROUP BY x.dt) c), 3) AS gap_mode, {text} FROM u{' JOIN med USING (tag)' if more else ''} GROUP BY tag"""
+
+
+MEDIAN = """, med AS (SELECT tag, median(dt) AS med FROM u GROUP BY tag)"""
+
+
+@query("summary", _summary_sql("printf('%.2f', any_value(med)) || ' ± ' || printf('%.2f', median(abs(dt - med))) AS dt_median", MEDIAN))
 def summary(spark, sf_dir):
-    d = reports.summary(track(spark, sf_dir), "median", "MAD", order=ORDER)
-    return rounded(d.select("TagID", "n_records", "n_fixes", "start", "end", "dur", "xmin", "xmax", "ymin", "ymax", "na_lon", "gap_min", "gap_max"), dur=6, na_lon=6, gap_min=3, gap_max=3)
+    return rounded(reports.summary(track(spark, sf_dir), "median", "MAD", order=ORDER), dur=6, na_lon=6, na_lat=6, gap_min=3, gap_max=3, gap_mode=3)
+
+
+@query("summary_mean", _summary_sql("printf('%.2f', avg(dt)) || ' ± ' || printf('%.2f', stddev_samp(dt)) || ' [' || printf('%.2f', min(dt)) || ', ' || printf('%.2f', max(dt)) || ']' AS dt_mean"))
+def summary_mean(spark, sf_dir):
+    return rounded(reports.summary(track(spark, sf_dir), "mean", add_ranges=True, order=ORDER), dur=6, na_lon=6, na_lat=6, gap_min=3, gap_max=3, gap_mode=3)
 
 
 @query("tag_counts", f'WITH {TRACK} SELECT "TagID", count(*) AS n_row, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM track GROUP BY 1')
@@ -366,10 +426,10 @@ DAYS = """d AS (SELECT DISTINCT "TagID", CAST("DateTime" AS DATE) AS day FROM tr
 
 
 @query("tag_timeline", f"""WITH {TRACK}, {DAYS} SELECT "TagID", min(d.day) AS "first", max(d.day) AS "last", count(*) AS days_active, round(avg(n - 1), 6) AS mean_overlap, round(stddev_samp(n - 1), 6) AS sd_overlap, min(n - 1) AS min_overlap, max(n - 1) AS max_overlap,
-  CAST(sum(CAST(n = 1 AS INT)) AS BIGINT) AS days_alone, round(count(*) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d), 6) AS prop_active, round(1 - count(*) / (date_diff('day', min(d.day), max(d.day)) + 1), 6) AS prop_missing FROM d JOIN b USING (day) GROUP BY 1""")
+  CAST(sum(CAST(n = 1 AS INT)) AS BIGINT) AS days_alone, round(count(*) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d), 6) AS prop_active, round(1 - count(*) / (date_diff('day', min(d.day), max(d.day)) + 1), 6) AS prop_missing,
+  round(sum(CAST(n = 1 AS INT)) / count(*), 6) AS prop_alone, count(*) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d) < 0.5 AS low_active, sum(CAST(n = 1 AS INT)) / count(*) > 0.5 AS often_alone, 1 - count(*) / (date_diff('day', min(d.day), max(d.day)) + 1) > 0.25 AS often_missing FROM d JOIN b USING (day) GROUP BY 1""")
 def tag_timeline(spark, sf_dir):
-    d = reports.tag_timeline(track(spark, sf_dir), order=ORDER).drop("prop_alone", "low_active", "often_alone", "often_missing")
-    return rounded(d, mean_overlap=6, sd_overlap=6, prop_active=6, prop_missing=6)
+    return rounded(reports.tag_timeline(track(spark, sf_dir), order=ORDER), mean_overlap=6, sd_overlap=6, prop_active=6, prop_missing=6, prop_alone=6)
 
 
 @query("day_grid", f"""WITH {TRACK}, {DAYS}, g AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT "TagID", CAST("DateTime" AS DATE) AS day, count(*) AS n FROM track GROUP BY 1, 2)
@@ -399,7 +459,9 @@ def hist_transform(spark, sf_dir):
     return rounded(checks.transformed(track(spark, sf_dir), "gps_pdop", "log10", 50).select("TagID", "event_id", "gps_pdop_t"), gps_pdop_t=6)
 
 
-@query("farthest_point", f"""WITH {TRACK}, o AS (SELECT *, first_value(longitude) OVER w AS ox, first_value(latitude) OVER w AS oy FROM placed {W}), d AS (SELECT *, {haversine('longitude', 'latitude', 'ox', 'oy')} AS dist FROM o)
+@query("farthest_point", f"""WITH {TRACK}, o AS (SELECT *, first_value(longitude) OVER w AS ox, first_value(latitude) OVER w AS oy FROM placed {W}),
+p AS (SELECT *, radians(oy) - radians(latitude) AS dp, radians(ox - longitude) AS dl, ln(tan(radians(oy) / 2 + pi() / 4) / tan(radians(latitude) / 2 + pi() / 4)) AS ds FROM o),
+d AS (SELECT *, {geo.EARTH} * sqrt(dp * dp + pow(CASE WHEN abs(ds) > 1e-12 THEN dp / ds ELSE cos(radians(latitude)) END * dl, 2)) AS dist FROM p)
 SELECT "TagID", arg_max(event_id, dist) AS event_id, round(max(dist), 3) AS dist FROM d GROUP BY 1""")
 def farthest_point(spark, sf_dir):
     d = placed(spark, sf_dir)
@@ -451,7 +513,8 @@ def outlier_boxplot(spark, sf_dir):
     return _outliers(spark, sf_dir, "boxplot")
 
 
-@query("outlier_summary")
+@query("outlier_summary", f"""SELECT "TagID", avg(CAST(outlier_i_dt_quantile <> '0' AS INT)) AS prop_i, avg(CAST(outlier_ia_dt_quantile <> '0' AS INT)) AS prop_ia, count(outlier_i_dt_quantile) AS n,
+  avg(CAST(outlier_i_dt_quantile <> '0' AS INT)) / nullif(avg(CAST(outlier_ia_dt_quantile <> '0' AS INT)), 0) AS ratio FROM ({ORACLE["outlier_quantile"]}) GROUP BY 1""")
 def outlier_summary(spark, sf_dir):
     d = movement.time_steps(track(spark, sf_dir), ORDER)
     return outliers.outlier_summary(outliers.outlier_flags(d, order=ORDER), order=ORDER)
@@ -489,16 +552,41 @@ def dist2coast(spark, sf_dir):
     return rounded(enrich.dist2coast(placed(spark, sf_dir), LAND).select("TagID", "event_id", "onshore", "dist2coast"), dist2coast=2)
 
 
-@query("sun_calc")
+def _sun_sql() -> str:
+    """The solar equations of ``geo.sun_times`` in SQL; seconds from 1970."""
+    up = ", ".join(f"acos(CASE WHEN (sin(radians({a})) - sin(radians(latitude)) * sin(de)) / (cos(radians(latitude)) * cos(de)) BETWEEN -1 AND 1 THEN (sin(radians({a})) - sin(radians(latitude)) * sin(de)) / (cos(radians(latitude)) * cos(de)) END) AS w_{s}" for (_, s), a in geo.SUN_ALTITUDES.items())
+    down = ", ".join(f"2451545 + 0.0009 + (w_{s} + lw) / (2 * pi()) + n + 0.0053 * sin(m) - 0.0069 * sin(2 * ec) AS j_{s}" for _, s in geo.SUN_ALTITUDES)
+    out = ", ".join(f"(j_{s} + 0.5 - 2440588) * 86400 AS {s}, (tr - (j_{s} - tr) + 0.5 - 2440588) * 86400 AS {r}" for r, s in geo.SUN_ALTITUDES)
+    return f"""s1 AS (SELECT *, epoch_us("DateTime") / 1e6 AS us, date_diff('day', DATE '1970-01-01', CAST("DateTime" AS DATE)) + 2440588 - 2451545 AS day, -radians(longitude) AS lw FROM placed),
+s2 AS (SELECT *, round(day - 0.0009 - lw / (2 * pi())) AS n FROM s1), s3 AS (SELECT *, 0.0009 + lw / (2 * pi()) + n AS t0 FROM s2), s4 AS (SELECT *, radians(357.5291 + 0.98560028 * t0) AS m FROM s3),
+s5 AS (SELECT *, m + radians(1.9148 * sin(m) + 0.02 * sin(2 * m) + 0.0003 * sin(3 * m)) + radians(102.9372) + pi() AS ec FROM s4), s6 AS (SELECT *, asin(sin(ec) * sin(radians(23.4397))) AS de, 2451545 + t0 + 0.0053 * sin(m) - 0.0069 * sin(2 * ec) AS tr FROM s5),
+s7 AS (SELECT *, {up} FROM s6), s8 AS (SELECT *, {down} FROM s7), sun AS (SELECT *, {out} FROM s8)"""
+
+
+@query("sun_calc", f"""WITH {TRACK}, {_sun_sql()}
+SELECT "TagID", event_id, make_timestamp(CAST(round(sunrise) * 1000000 AS BIGINT)) AS sunrise, make_timestamp(CAST(round(sunset) * 1000000 AS BIGINT)) AS sunset,
+  CASE WHEN us >= "nightEnd" AND us < "nauticalDawn" THEN 'ATm' WHEN us >= "nauticalDawn" AND us < dawn THEN 'NTm' WHEN us >= dawn AND us < sunrise THEN 'CTm' WHEN us >= sunrise AND us < "sunriseEnd" THEN 'SR'
+  WHEN us >= "sunriseEnd" AND us < "sunsetStart" THEN 'DA' WHEN us >= "sunsetStart" AND us < sunset THEN 'SS' WHEN us >= sunset AND us < dusk THEN 'CTe' WHEN us >= dusk AND us < "nauticalDusk" THEN 'NTe'
+  WHEN us >= "nauticalDusk" AND us < night THEN 'ATe' ELSE 'NI' END AS dnt FROM sun""")
 def sun_calc(spark, sf_dir):
-    return enrich.sun_calc(placed(spark, sf_dir), order=ORDER).select("TagID", "event_id", "sunrise", "sunset", "dnt")
+    d = enrich.sun_calc(placed(spark, sf_dir), order=ORDER)
+    whole = lambda c: F.timestamp_micros((F.round(F.unix_micros(c) / 1e6) * 1_000_000).cast("long")).cast("timestamp_ntz").alias(c)
+    return d.select("TagID", "event_id", whole("sunrise"), whole("sunset"), "dnt")
 
 
 def _trips(spark, sf_dir):
     return trips.define_trips(_gapped(spark, sf_dir), "circ", lls=COLONY, radius=RADIUS, order=ORDER)
 
 
-TRIPS = f"""{gapped()}, c0 AS (SELECT *, CAST(sqrt(pow({X} - {PX!r}, 2) + pow({Y} - {PY!r}, 2)) <= {RADIUS} AS INT) AS "Col", year("DateTime") AS "year" FROM gapped),
+def _inside(rings) -> str:
+    """Whether the projected fix lies in the rings, by ray casting."""
+    e = ", ".join(f"[{', '.join(repr(float(v)) for v in x)}]" for x in geo.edges(rings))
+    return f"len(list_filter([{e}], lambda e: coalesce((e[2] > {Y}) <> (e[4] > {Y}) AND {X} < (e[3] - e[1]) * ({Y} - e[2]) / nullif(e[4] - e[2], 0) + e[1], false))) % 2 = 1"
+
+
+_CIRCLE = f"sqrt(pow({X} - {PX!r}, 2) + pow({Y} - {PY!r}, 2)) <= {RADIUS}"
+
+TRIPS = f"""{gapped()}, c0 AS (SELECT *, CAST({_CIRCLE} AS INT) AS "Col", year("DateTime") AS "year" FROM gapped),
 c1 AS (SELECT *, "Col" = 1 AND coalesce(lag("Col") OVER v = 0, false) AND coalesce(lead("Col") OVER v = 0, false) AS twice FROM c0 WINDOW v AS (PARTITION BY "TagID", "year" ORDER BY "DateTime", event_id)),
 c2 AS (SELECT * EXCLUDE (twice), 0 AS extra_row FROM c1 UNION ALL SELECT * EXCLUDE (twice), 1 FROM c1 WHERE twice),
 c3 AS (SELECT *, row_number() OVER (PARTITION BY "TagID", "year" ORDER BY "DateTime", event_id, extra_row) AS n FROM c2),
@@ -516,7 +604,7 @@ def define_trips(spark, sf_dir):
     return _trips(spark, sf_dir).select("TagID", "event_id", "Col", "year", "extra_row", "tripNo")
 
 
-@query("trips_rect_shape")
+@query("trips_rect_shape", f"""WITH {TRACK}, {TRIPS.replace(_CIRCLE, _inside([geo.rectangle(-0.2, 50.3, 0.2, 50.7)]))} SELECT "TagID", CAST(sum("Col") AS BIGINT) AS in_rect, CAST(sum(CAST({_inside(LAND)} AS INT)) AS BIGINT) AS in_shape, max("tripNo") AS trips FROM trips GROUP BY 1""")
 def trips_rect_shape(spark, sf_dir):
     a = trips.define_trips(_gapped(spark, sf_dir), "rect", lls=(-0.2, 50.3, 0.2, 50.7), order=ORDER)
     b = trips.inside(a.withColumnRenamed("Col", "rect"), "shape", rings=LAND)
@@ -547,11 +635,31 @@ def tabulate_trips(spark, sf_dir):
     return trips.tabulate_trips(_trip_stats(spark, sf_dir), "year", order=ORDER).select("TagID", "year", "complete", "incomplete")
 
 
-@query("tabulate_trips_text")
+def _cells(how: str, digits: int = 2) -> str:
+    """The formatted cells of complete trips."""
+    out = []
+    for name, v in (("DistMax", '"DistMax"'), ("DistTotal", '"DistTotal"'), ("TripDur", '"TripDur" / 24')):
+        v = f"CASE WHEN incompl IS NULL OR incompl = 0 THEN {v} END"
+        f = lambda x: f"printf('%.{digits}f', {x})"
+        q = lambda p, v=v: f(f"quantile_cont({v}, {p})")  # noqa: B023, E731
+        cell = f"{f(f'avg({v})')} || '±' || coalesce({f(f'stddev_samp({v})')}, 'NA') || ' (' || {f(f'max({v})')} || ')'" if how == "means" else f"{q(0.5)} || ' (' || {q(0.25)} || ',' || {q(0.75)} || ') [' || {f(f'max({v})')} || ']'"
+        out.append(f'CASE WHEN count({v}) > 0 THEN {cell} END AS "{name}"')
+    return ", ".join(out)
+
+
+TABLE = ORACLE["tabulate_trips"].replace("AS incomplete FROM g", "AS incomplete, {cells} FROM g")
+
+
+@query("tabulate_trips_text", TABLE.replace("{cells}", _cells("boxplot")))
 def tabulate_trips_text(spark, sf_dir):
     return trips.tabulate_trips(_trip_stats(spark, sf_dir), "year", option="boxplot", order=ORDER)
 
 
+@query("tabulate_trips_means", TABLE.replace("{cells}", _cells("means")))
+def tabulate_trips_means(spark, sf_dir):
+    return trips.tabulate_trips(_trip_stats(spark, sf_dir), "year", option="means", order=ORDER)
+
+
 @query("flatten_stacks", f"""WITH {TRACK}, s AS (SELECT "TagID" || '_stack_' || event_type AS "TagID", event_id FROM track) SELECT "TagID", count(*) AS n FROM s GROUP BY 1""")
 def flatten_stacks(spark, sf_dir):
     return schema.flatten_stacks(track(spark, sf_dir).withColumnRenamed("event_type", "stack")).groupBy("TagID").agg(F.count("*").alias("n"))
@@ -562,9 +670,14 @@ def tspeed_jit(spark, sf_dir):
     return movement.tspeed_jit(placed(spark, sf_dir), nsim=5, order=ORDER)
 
 
-@query("resample_path")
+@query("resample_path", f"""WITH {TRACK}, q AS (SELECT "TagID", "DateTime", event_id, {X} AS x, {Y} AS y FROM placed), l AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM q {W}),
+d AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS leg FROM l), a AS (SELECT *, coalesce(sum(leg) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
+g AS (SELECT *, unnest(CASE WHEN leg IS NULL THEN CASE WHEN floor(pos / 5000) * 5000 = pos THEN [CAST(floor(pos / 5000) AS BIGINT)] ELSE [] END ELSE range(CAST(ceil(pos / 5000) AS BIGINT), CAST(ceil((pos + leg) / 5000) AS BIGINT)) END) AS step FROM a),
+p AS (SELECT "TagID", step, x + coalesce((x2 - x) * (step * 5000 - pos) / leg, 0) AS px, y + coalesce((y2 - y) * (step * 5000 - pos) / leg, 0) AS py FROM g), r AS (SELECT *, atan2(lead(py) OVER v - py, lead(px) OVER v - px) AS an FROM p WINDOW v AS (PARTITION BY "TagID" ORDER BY step))
+SELECT "TagID", step, round(px, 2) AS "X", round(py, 2) AS "Y", round(an, 5) AS angle, round(px - 50 * cos(an + pi() / 6), 2) AS left_x, round(py - 50 * sin(an + pi() / 6), 2) AS left_y, round(px - 50 * cos(an - pi() / 6), 2) AS right_x, round(py - 50 * sin(an - pi() / 6), 2) AS right_y FROM r""")
 def resample_path(spark, sf_dir):
-    return movement.arrow_heads(movement.resample_path(enrich.project(placed(spark, sf_dir)), 5000, ORDER))
+    d = movement.arrow_heads(movement.resample_path(enrich.project(placed(spark, sf_dir)), 5000, ORDER))
+    return rounded(d, X=2, Y=2, angle=5, left_x=2, left_y=2, right_x=2, right_y=2)
 
 
 @query("simulate_trips")
@@ -583,19 +696,19 @@ def orders_gap_section(spark, sf_dir):
     return d.groupBy("TagID").agg(F.count("*").alias("n"), F.max("gapsec").alias("sections"), F.sum("gap").alias("gaps"))
 
 
-@query("time_windows", f"""WITH {TRACK} SELECT "TagID", event_id FROM track WHERE "TagID" % 3 = 0 AND "DateTime" >= TIMESTAMP '2024-01-05' AND ("TagID" % 2 = 0 OR "DateTime" <= TIMESTAMP '2024-01-20')""")
+@query("time_windows", f"""WITH {TRACK} SELECT "TagID", event_id FROM track WHERE ("TagID" % 3 = 0 OR "DateTime" >= TIMESTAMP '2024-01-05') AND ("TagID" % 2 = 0 OR "DateTime" <= TIMESTAMP '2024-01-20')""")
 def time_windows(spark, sf_dir):
     t = track(spark, sf_dir)
-    b = t.select("TagID").distinct().filter("TagID % 3 = 0").selectExpr("TagID", "TIMESTAMP_NTZ '2024-01-05 00:00:00' AS start", "CASE WHEN TagID % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-20 00:00:00' END AS end")
+    b = t.select("TagID").distinct().selectExpr("TagID", "CASE WHEN TagID % 3 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-05 00:00:00' END AS start", "CASE WHEN TagID % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-20 00:00:00' END AS end")
     return checks.time_windows(t, b, ORDER).select("TagID", "event_id")
 
 
-@query("pressure_merge", f"""WITH {TRACK}, a AS (SELECT "TagID", "DateTime", event_id FROM track WHERE event_id % 3 = 0), p AS (SELECT "TagID", "DateTime", gps_pdop AS pressure, gps_pdop * 2 AS temperature FROM track WHERE event_id % 2 = 0)
+@query("pressure_merge", f"""WITH {TRACK}, a AS (SELECT "TagID", "DateTime", event_id FROM track), p AS (SELECT "TagID", CASE WHEN event_id % 2 = 0 THEN "DateTime" ELSE "DateTime" + INTERVAL 10 MINUTE END AS "DateTime", gps_pdop AS pressure, gps_pdop * 2 AS temperature FROM track)
 SELECT "TagID", "DateTime", event_id, pressure, temperature FROM a FULL OUTER JOIN p USING ("TagID", "DateTime")""")
 def pressure_merge(spark, sf_dir):
     t = track(spark, sf_dir)
-    p = t.filter("event_id % 2 = 0").selectExpr("TagID", "DateTime", "gps_pdop AS pressure_avg", "gps_pdop * 2 AS temp_avg")
-    return tracks.merge_pressure(t.filter("event_id % 3 = 0").select("TagID", "DateTime", "event_id"), p, ORDER)
+    p = t.selectExpr("TagID", "CASE WHEN event_id % 2 = 0 THEN DateTime ELSE DateTime + INTERVAL 10 MINUTE END AS DateTime", "gps_pdop AS pressure_avg", "gps_pdop * 2 AS temp_avg")
+    return tracks.merge_pressure(t.select("TagID", "DateTime", "event_id"), p, ORDER)
 
 
 @query("session_animals", """SELECT c_custkey AS "TagID", n_nationkey AS project_id, CASE WHEN c_custkey = 7 THEN 'FRANCE' ELSE n_name END AS station_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE CASE WHEN c_custkey = 7 THEN 'FRANCE' ELSE n_name END IN ('FRANCE', 'GERMANY')""")
@@ -628,29 +741,241 @@ def speed_flag(spark, sf_dir):
     return checks.speed_flag(movement.traj_speed(placed(spark, sf_dir), order=ORDER), SPEED_LIMIT).select("TagID", "event_id", "speed_rm")
 
 
-@query("voltage_position", f"""WITH {TRACK}, v AS (SELECT "TagID", "DateTime", gps_pdop AS vbat FROM track WHERE event_id % 4 = 0), r AS (SELECT "TagID", "DateTime" AS t, longitude, latitude FROM placed WHERE event_id % 4 = 1),
+@query("voltage_position", f"""WITH {TRACK}, v AS (SELECT "TagID", "DateTime", gps_pdop AS vbat FROM track), r AS (SELECT "TagID", "DateTime" - INTERVAL 25 MINUTE AS t, longitude, latitude FROM placed),
 p AS (SELECT v.*, r.t AS pt, r.longitude AS px, r.latitude AS py FROM v ASOF LEFT JOIN r ON v."TagID" = r."TagID" AND v."DateTime" >= r.t), n AS (SELECT p.*, r.t AS nt, r.longitude AS nx, r.latitude AS ny FROM p ASOF LEFT JOIN r ON p."TagID" = r."TagID" AND p."DateTime" <= r.t),
 k AS (SELECT *, nt IS NULL OR "DateTime" - pt <= nt - "DateTime" AS back FROM n), z AS (SELECT *, CASE WHEN back THEN epoch_us("DateTime") - epoch_us(pt) ELSE epoch_us(nt) - epoch_us("DateTime") END AS off FROM k)
 SELECT "TagID", "DateTime", vbat, CASE WHEN off <= 7200000000 THEN CASE WHEN back THEN px ELSE nx END END AS longitude, CASE WHEN off <= 7200000000 THEN CASE WHEN back THEN py ELSE ny END END AS latitude FROM z""")
 def voltage_position(spark, sf_dir):
-    v = schema.to_voltage(track(spark, sf_dir).filter("event_id % 4 = 0"), vbat="gps_pdop").drop("vsll")
-    return subsample.track_at_voltage(v, placed(spark, sf_dir).filter("event_id % 4 = 1"), 7200, schema.ORDER)
+    v = schema.to_voltage(track(spark, sf_dir), vbat="gps_pdop").drop("vsll")
+    return subsample.track_at_voltage(v, placed(spark, sf_dir).withColumn("DateTime", C("DateTime") - F.expr("INTERVAL 25 MINUTE")), 7200, schema.ORDER)
 
 
-@query("voltage_position_all", ORACLE["voltage_position"].replace(" WHERE event_id % 4 = 0", "").replace('"DateTime" AS t', f'"DateTime" + {LATER} AS t').replace(" WHERE event_id % 4 = 1", ""))
+@query("voltage_position_all", ORACLE["voltage_position"].replace("- INTERVAL 25 MINUTE", f"+ {LATER}"))
 def voltage_position_all(spark, sf_dir):
     v = schema.to_voltage(track(spark, sf_dir), vbat="gps_pdop").drop("vsll")
     return subsample.track_at_voltage(v, later(spark, sf_dir), 7200, schema.ORDER)
 
 
-@query("time_windows_all", ORACLE["time_windows"].replace('"TagID" % 3 = 0 AND ', ""))
+@query("time_windows_all", ORACLE["time_windows"].replace('"TagID" % 3 = 0 OR ', ""))
 def time_windows_all(spark, sf_dir):
     t = track(spark, sf_dir)
     b = t.select("TagID").distinct().selectExpr("TagID", "TIMESTAMP_NTZ '2024-01-05 00:00:00' AS start", "CASE WHEN TagID % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2024-01-20 00:00:00' END AS end")
     return checks.time_windows(t, b, ORDER).select("TagID", "event_id")
 
 
-@query("pressure_merge_all", ORACLE["pressure_merge"].replace(" WHERE event_id % 3 = 0", "").replace(" WHERE event_id % 2 = 0", ""))
+@query("pressure_merge_all", ORACLE["pressure_merge"].replace("ELSE \"DateTime\" + INTERVAL 10 MINUTE END", "ELSE \"DateTime\" END"))
 def pressure_merge_all(spark, sf_dir):
     t = track(spark, sf_dir)
     return tracks.merge_pressure(t.select("TagID", "DateTime", "event_id"), t.selectExpr("TagID", "DateTime", "gps_pdop AS pressure_avg", "gps_pdop * 2 AS temp_avg"), ORDER)
+
+
+@query("all_null", f'WITH {TRACK} SELECT "TagID", event_id, CAST(longitude IS NULL AND latitude IS NULL AND satellites_used IS NULL AS INT) AS "all_NA_rm" FROM track')
+def all_null(spark, sf_dir):
+    return checks.all_null(track(spark, sf_dir), ["longitude", "latitude", "satellites_used"]).select("TagID", "event_id", "all_NA_rm")
+
+
+@query("hdop", f'WITH {TRACK} SELECT "TagID", event_id, CAST(gps_pdop / 2 >= 7 AS INT) AS gps_hdop_rm FROM track')
+def hdop(spark, sf_dir):
+    return checks.precision(track(spark, sf_dir).withColumn("gps_hdop", C("gps_pdop") / 2), "gps_hdop").select("TagID", "event_id", "gps_hdop_rm")
+
+
+@query("clean_custom", f"""WITH {TRACK} SELECT "TagID", event_id, CASE WHEN event_type IS NULL THEN NULL WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_type_rm, CASE WHEN gps_pdop IS NULL THEN NULL WHEN gps_pdop <= 1 OR gps_pdop >= 40 THEN 1 ELSE 0 END AS gps_pdop_rm,
+  CAST(count(*) OVER (PARTITION BY "TagID") < 65 AS INT) AS tid_rm FROM track""")
+def clean_custom(spark, sf_dir):
+    how = pipeline.Cleaning(dup_method=None, sat_check=False, custom=(["event_type", "gps_pdop"], ["error", 1], [None, 40]), min_fix=65, min_fix_when="after_all")
+    return pipeline.clean_track(track(spark, sf_dir), how, True, ORDER).data.select("TagID", "event_id", "event_type_rm", "gps_pdop_rm", "tid_rm")
+
+
+def _mean3(i, v):
+    """A smoother of one's own: mean of a speed and its neighbours, of those there are."""
+    import numpy as np
+
+    around = np.vstack([np.r_[np.nan, v[:-1]], v, np.r_[v[1:], np.nan]])
+    n = (~np.isnan(around)).sum(0)
+    return np.where(n > 0, np.nansum(around, 0) / np.maximum(n, 1), np.nan)
+
+
+@query("smooth_custom", f"""WITH {TRACK}, {speeds('placed')} SELECT "TagID", event_id, round(avg(traj_speed) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS traj_speed_sm FROM speeds""")
+def smooth_custom(spark, sf_dir):
+    d = movement.traj_speed_sm(placed(spark, sf_dir).select("TagID", "DateTime", "event_id", "longitude", "latitude"), fun=_mean3, order=ORDER)
+    return d.select("TagID", "event_id", F.round(F.nanvl("traj_speed_sm", F.lit(None).cast("double")), 6).alias("traj_speed_sm"))
+
+
+@query("smooth_flexi_no_centre", f"""WITH {TRACK}, {speeds('placed')}, a AS (SELECT *, lag(traj_speed, 2) OVER w AS a, lag(traj_speed) OVER w AS b, lead(traj_speed) OVER w AS c, lead(traj_speed, 2) OVER w AS d FROM speeds {W}),
+z AS (SELECT "TagID", event_id, list_filter([a, b, c, d], lambda v: v IS NOT NULL) AS v FROM a)
+SELECT "TagID", event_id, CASE WHEN len(v) = 4 THEN round(sqrt(list_sum(list_transform(v, lambda x: x * x)) / 4), 4) END AS clip, CASE WHEN len(v) > 0 THEN round(sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)), 4) END AS vec FROM z""")
+def smooth_flexi_no_centre(spark, sf_dir):
+    d = placed(spark, sf_dir)
+    a = movement.traj_speed_sm(d, method="flexi_clip", order=ORDER).withColumnRenamed("traj_speed_sm", "clip")
+    b = movement.traj_speed_sm(a.drop("dist", "dt", "traj_speed"), method="flexi_vec", order=ORDER)
+    return b.select("TagID", "event_id", F.round("clip", 4).alias("clip"), F.round("traj_speed_sm", 4).alias("vec"))
+
+
+@query("turn_filt_greater", ORACLE["turn_filt"].replace(f"abs(rel) <= {math.pi / 4!r}", f"abs(rel) > {math.pi / 2!r}"))
+def turn_filt_greater(spark, sf_dir):
+    d = movement.turn_filt(_gapped(spark, sf_dir), math.pi / 2, "greater_than", order=ORDER)
+    return rounded(d.select("TagID", "event_id", "rel_angle", "abs_angle", "angle_rm"), rel_angle=6, abs_angle=6)
+
+
+SENSOR = """s AS (SELECT user_id AS "TagID", ts AS "DateTime", event_id, value AS v FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20')"""
+
+
+def _sensor(spark, sf_dir, **columns):
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS TagID", "ts AS DateTime", "event_id", "value AS v")
+    return d.withColumns({k: F.expr(v) for k, v in columns.items()})
+
+
+TIMES = {"start": "2024-01-05", "end": "2024-01-20"}
+
+
+@query("read_acceleration", f'WITH {SENSOR} SELECT "TagID", "DateTime", event_id AS "index", v AS x_acceleration, v * 2 AS y_acceleration, -v AS z_acceleration FROM s')
+def read_acceleration(spark, sf_dir):
+    return tracks.read_acceleration(_sensor(spark, sf_dir, index="event_id", x_acceleration="v", y_acceleration="v * 2", z_acceleration="-v"), **TIMES, order=ORDER)
+
+
+@query("read_pressure", f'WITH {SENSOR} SELECT "TagID", "DateTime", event_id AS id, v AS pressure_avg, v / 2 AS temp_avg FROM s')
+def read_pressure(spark, sf_dir):
+    return tracks.read_pressure(_sensor(spark, sf_dir, id="event_id", pressure_avg="v", temp_avg="v / 2"), **TIMES, order=ORDER)
+
+
+@query("read_pressure_raw", f'WITH {SENSOR} SELECT "TagID", "DateTime", event_id AS burst_id, 0 AS flag, 1 AS point_seq, v AS p, v / 2 AS t FROM s')
+def read_pressure_raw(spark, sf_dir):
+    return tracks.read_pressure(_sensor(spark, sf_dir, burst_id="event_id", flag="0", point_seq="1", p="v", t="v / 2"), "raw", **TIMES, order=ORDER)
+
+
+@query("read_voltage", f'WITH {SENSOR} SELECT "TagID", "DateTime", v AS vsll, v * 3 AS vbat FROM s')
+def read_voltage(spark, sf_dir):
+    return tracks.read_voltage(_sensor(spark, sf_dir, vsll="v", vbat="v * 3"), **TIMES, order=ORDER)
+
+
+@query("read_voltage_comm", f'WITH {SENSOR} SELECT "TagID", "DateTime", v AS vbat, event_id AS bytes_communicated FROM s')
+def read_voltage_comm(spark, sf_dir):
+    return tracks.read_voltage(_sensor(spark, sf_dir, vbat="v", bytes_communicated="event_id"), "comm", **TIMES, order=ORDER)
+
+
+@query("station_names", "SELECT 'K' || n_nationkey AS key_name, n_name AS station_name, n_nationkey AS project_id FROM nation")
+def station_names(spark, sf_dir):
+    return tracks.station_names(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("concat('K', n_nationkey) AS key_name", "n_name AS station_name", "n_nationkey AS project_id"))
+
+
+@query("tracking_files", 'SELECT o_custkey AS "TagID", o_orderkey AS file FROM orders WHERE o_custkey IN (1, 4, 7)')
+def tracking_files(spark, sf_dir):
+    return tracks.tracking_files(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS TagID", "o_orderkey AS file"), [1, 4, 7])
+
+
+@query("tag_ids", f'WITH {TRACK} SELECT DISTINCT event_type AS stack, "TagID" FROM track')
+def tag_ids(spark, sf_dir):
+    return schema.tag_ids(track(spark, sf_dir).withColumnRenamed("event_type", "stack"), stack_col="stack")
+
+
+@query("simplify", f'WITH {TRACK} SELECT "TagID", "DateTime", longitude, latitude, gps_pdop FROM track')
+def simplify(spark, sf_dir):
+    return schema.simplify(track(spark, sf_dir), ("gps_pdop",))
+
+
+@query("restack", f'WITH {TRACK} SELECT event_type AS "TagID", "Type" AS stack, count(*) AS n FROM track GROUP BY 1, 2')
+def restack(spark, sf_dir):
+    return schema.restack(track(spark, sf_dir), "event_type", "Type").groupBy("TagID", "stack").agg(F.count("*").alias("n"))
+
+
+@query("split_stack", f'WITH {TRACK} SELECT "Type", count(*) AS n, min(event_id) AS first_id FROM track GROUP BY 1')
+def split_stack(spark, sf_dir):
+    parts = schema.split(track(spark, sf_dir), "Type", ["MoveBank", "own"])
+    whole = schema.stack(*parts.values(), names=list(parts))
+    return whole.groupBy(C("stack").alias("Type")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+PATTERNS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yy HH:mm", "yyyy-MM-dd HH:mm:ss", "yy-MM-dd HH:mm")
+
+
+@query("parse_times", "SELECT event_id, date_trunc(CASE WHEN event_id % 2 = 0 THEN 'second' ELSE 'minute' END, ts) AS \"DateTime\" FROM events")
+def parse_times(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.coalesce(*[F.when(C("event_id") % 4 == i, F.date_format(C("ts").cast("timestamp"), p)) for i, p in enumerate(PATTERNS)])
+    return d.select("event_id", tracks.parse_time(text).cast("timestamp_ntz").alias("DateTime"))
+
+
+def _coastal(spark, sf_dir):
+    return enrich.dist2coast(enrich.offshore(_trips(spark, sf_dir), LAND), LAND)
+
+
+def _nests(spark, sf_dir):
+    """A nest for two tags of three, by year; the rest fall back to the mean."""
+    return placed(spark, sf_dir).select("TagID").distinct().filter("TagID % 3 <> 0").selectExpr("TagID", "2024 AS year", "CAST(TagID % 10 AS DOUBLE) / 20D - 0.25D AS longitude", "50.4D + CAST(TagID % 7 AS DOUBLE) / 70D AS latitude")
+
+
+NESTS = """nests AS (SELECT DISTINCT "TagID", CAST("TagID" % 10 AS DOUBLE) / 20 - CAST(0.25 AS DOUBLE) AS home_x, CAST(50.4 AS DOUBLE) + CAST("TagID" % 7 AS DOUBLE) / 70 AS home_y FROM placed WHERE "TagID" % 3 <> 0),
+home AS (SELECT t."TagID", coalesce(home_x, (SELECT avg(home_x) FROM nests)) AS home_x, coalesce(home_y, (SELECT avg(home_y) FROM nests)) AS home_y FROM (SELECT DISTINCT "TagID" FROM placed) t LEFT JOIN nests n ON n."TagID" = t."TagID")"""
+
+
+def _stats_sql(place: str, before: str = "") -> str:
+    return f"""WITH {TRACK}, {TRIPS}, {COAST}{before}, p AS (SELECT t.*, {X.replace("longitude", "t.longitude").replace("latitude", "t.latitude")} AS x, {Y.replace("longitude", "t.longitude").replace("latitude", "t.latitude")} AS y, k.onshore, k.dist AS coast FROM trips t JOIN k ON k."TagID" = t."TagID" AND k.event_id = t.event_id WHERE "tripNo" <> 0),
+{place}
+SELECT "TagID", CAST("year" AS INT) AS "year", "tripNo", round(max(d), 4) AS "DistMax", count(*) AS "DistN", round(max(CASE WHEN NOT onshore THEN d END), 4) AS "DistMax_off", round(max(CASE WHEN onshore THEN d END), 4) AS "DistMax_on", CAST(arg_max(NOT onshore, d) AS INT) AS "DistalPointOff",
+  round(max(coast), 2) AS "DistCoastMax", round(max(CASE WHEN NOT onshore THEN coast END), 2) AS "DistCoastMax_off", round(max(CASE WHEN onshore THEN coast END), 2) AS "DistCoastMax_on" FROM o GROUP BY ALL"""
+
+
+def _coast_stats(spark, sf_dir, **place):
+    d = trips.trip_stats(_coastal(spark, sf_dir), order=ORDER, **place)
+    d = d.select("TagID", "year", "tripNo", "DistMax", "DistN", "DistMax_off", "DistMax_on", "DistalPointOff", "DistCoastMax", "DistCoastMax_off", "DistCoastMax_on")
+    return rounded(d, DistMax=4, DistMax_off=4, DistMax_on=4, DistCoastMax=2, DistCoastMax_off=2, DistCoastMax_on=2)
+
+
+@query("trip_stats_nests", _stats_sql(f"""o AS (SELECT p.*, {haversine('longitude', 'latitude', 'home_x', 'home_y', geo.MEAN_EARTH)} / 1000 AS d FROM p JOIN home USING ("TagID"))""", ", " + NESTS))
+def trip_stats_nests(spark, sf_dir):
+    return _coast_stats(spark, sf_dir, nest=_nests(spark, sf_dir))
+
+
+@query("trip_stats_first_fix", _stats_sql(f"""c AS (SELECT *, first_value(longitude) OVER w AS home_x, first_value(latitude) OVER w AS home_y FROM p WINDOW w AS (PARTITION BY "TagID", "year", "tripNo" ORDER BY "DateTime", event_id, extra_row)),
+o AS (SELECT *, {haversine('longitude', 'latitude', 'home_x', 'home_y', geo.MEAN_EARTH)} / 1000 AS d FROM c)"""))
+def trip_stats_first_fix(spark, sf_dir):
+    return _coast_stats(spark, sf_dir)
+
+
+_CX, _CY = (sum(p[i] for p in LAND[0]) / len(LAND[0]) for i in (0, 1))
+
+
+@query("trip_stats_shape", _stats_sql(f"o AS (SELECT *, sqrt(pow(x - {_CX!r}, 2) + pow(y - {_CY!r}, 2)) / 1000 AS d FROM p)"))
+def trip_stats_shape(spark, sf_dir):
+    return _coast_stats(spark, sf_dir, rings=LAND)
+
+
+@query("trips_made_shape", f'WITH {TRACK}, {gapped()} SELECT "TagID", event_id, CAST({_inside([trips.make_shape("circ", COLONY, RADIUS)])} AS INT) AS "Col" FROM gapped')
+def trips_made_shape(spark, sf_dir):
+    return trips.inside(_gapped(spark, sf_dir), "shape", rings=[trips.make_shape("circ", COLONY, RADIUS)]).select("TagID", "event_id", "Col")
+
+
+@query("come_and_go", f'WITH {TRACK}, {TRIPS} SELECT "TagID", count(*) AS n, CAST(sum(extra_row) AS BIGINT) AS extra FROM trips GROUP BY 1')
+def come_and_go(spark, sf_dir):
+    t = _trips(spark, sf_dir)
+    return trips.add_cag(trips.reset_cag(t), trips.get_cag(t)).groupBy("TagID").agg(F.count("*").alias("n"), F.sum("extra_row").alias("extra"))
+
+
+@query("affected_rows", PARALLEL + """, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude, satellites_used) AS r FROM m)
+SELECT "TagID", event_id, 'same_time' AS step FROM d WHERE len(places) > 1 UNION ALL SELECT "TagID", event_id, 'exact' FROM d WHERE n > 1 UNION ALL SELECT "TagID", event_id, 'full_row' FROM d WHERE r > 1 UNION ALL SELECT "TagID", event_id, 'parallel' FROM d WHERE parallel_issue = 1""")
+def affected_rows(spark, sf_dir):
+    return duplicates.affected_rows(doubled(spark, sf_dir), order=ORDER).select("TagID", "event_id", "step")
+
+
+@query("is_duplicated", PARALLEL + """, d AS (SELECT *, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n FROM m)
+SELECT 'exact' AS step, bool_or(n > 1) AS issue_detected FROM d""")
+def is_duplicated(spark, sf_dir):
+    return duplicates.is_duplicated(doubled(spark, sf_dir), "exact", ORDER)
+
+
+@query("duplicates_average_time", f"""WITH {TRACK}, {DOUBLED} SELECT "TagID", longitude, latitude, count(*) AS n, min("DateTime") AS first_time FROM (SELECT "TagID", longitude, latitude, min("DateTime") AS "DateTime" FROM doubled GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
+def duplicates_average_time(spark, sf_dir):
+    d = duplicates.resolve_same_place(doubled(spark, sf_dir), "avg_time", order=ORDER, time_fun=F.min)
+    return d.groupBy("TagID", "longitude", "latitude").agg(F.count("*").alias("n"), F.min("DateTime").alias("first_time"))
+
+
+@query("quality_report", f"""WITH {TRACK}, n AS (SELECT count(DISTINCT "TagID") AS n FROM track) SELECT * FROM (SELECT 'spans' AS report, n FROM n UNION ALL SELECT 'na', n FROM n UNION ALL SELECT 'timeline', n FROM n UNION ALL SELECT 'satellites', n FROM n UNION ALL SELECT 'duplicates', n * 4 FROM n)""")
+def quality_report(spark, sf_dir):
+    found = reports.quality_report(track(spark, sf_dir), ("spans", "na", "timeline", "satellites", "duplicates"), ORDER, xra=(-0.4, 0.4))
+    one = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("report"), "n") for k, d in found.items()]
+    return schema.reduce(lambda a, b: a.unionByName(b), one)
+
+
+@query("boot_rate")
+def boot_rate(spark, sf_dir):
+    return subsample.sub_samp(placed(spark, sf_dir), 6, "hours", "boot_rate", rate_l=4, n_boot=2, strict=False, order=ORDER)

@@ -59,16 +59,29 @@ def read_tracks(spark: SparkSession, path: str, fmt: str = "parquet", schema: st
     return finish(time_windows(d, bounds, order) if bounds is not None else d, order=order, **how)
 
 
-def read_tracks_jdbc(spark: SparkSession, url: str, dbtable: str, tags: list | None = None, start: str | None = None, end: str | None = None, partitions: int = 16, options: dict | None = None, order: Order = ORDER, **how) -> DataFrame:
-    """Tracks from a database table over JDBC; tag and time predicates are pushed to it."""
-    d = spark.read.format("jdbc").options(url=url, dbtable=dbtable, **(options or {})).load()
-    if tags:
-        d = d.filter(C(order.key).isin(tags))
-    if start:
-        d = d.filter(C(order.time) >= F.lit(start).cast("timestamp"))
-    if end:
-        d = d.filter(C(order.time) <= F.lit(end).cast("timestamp"))
-    return finish(d.repartition(partitions, order.key), order=order, **how)
+def jdbc_table(spark: SparkSession, url: str, dbtable: str, ranges: list[tuple[str, str]] | None = None, options: dict | None = None, order: Order = ORDER) -> DataFrame:
+    """A database table; with ``ranges`` of times (from, before) it is read by one connection each, side by side."""
+    r = spark.read.options(**(options or {}))
+    if not ranges:
+        return r.format("jdbc").options(url=url, dbtable=dbtable).load()
+    parts = [f"{order.time} >= '{a}' AND {order.time} < '{b}'" for a, b in ranges]
+    return r.jdbc(url, dbtable, predicates=parts)
+
+
+def read_tracks_jdbc(spark: SparkSession, url: str, dbtable: str, tags: list | None = None, start: str | None = None, end: str | None = None, ranges: list[tuple[str, str]] | None = None, options: dict | None = None, order: Order = ORDER, **how) -> DataFrame:
+    """Tracks from a database table over JDBC; tag and time predicates are pushed to it. ``ranges`` of times are read
+    side by side; so are ranges of a numeric column by Spark's own ``partitionColumn`` among the ``options``."""
+    return finish(_picked(jdbc_table(spark, url, dbtable, ranges, options, order), tags, start, end, order), order=order, **how)
+
+
+def read_sensor(spark: SparkSession, path: str, kind: str, form: str | None = None, fmt: str = "parquet", schema: str | None = None, tags: list | None = None, start: str | None = None, end: str | None = None, order: Order = ORDER) -> DataFrame:
+    """Acceleration, pressure or voltage tables from files; filters and columns reach the scan."""
+    r = spark.read.format(fmt)
+    r = r.option("header", True) if fmt == "csv" else r
+    d = (r.schema(schema) if schema else r).load(path)
+    if kind == "acceleration":
+        return read_acceleration(d, tags, start, end, order)
+    return {"pressure": read_pressure, "voltage": read_voltage}[kind](d, form or {"pressure": "mean", "voltage": "energy"}[kind], tags, start, end, order)
 
 
 def merge_pressure(track: DataFrame, pressure: DataFrame, order: Order = ORDER) -> DataFrame:
