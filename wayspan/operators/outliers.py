@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,7 +86,22 @@ def pooled_quantiles(d: DataFrame, qs: list[float]) -> list[float | None]:
     return [at[a + 1] + (at[b + 1] - at[a + 1]) * ((n - 1) * q - a) if n else None for (a, b), q in zip(low, qs)]
 
 
+@contextmanager
+def kept(d: DataFrame) -> Iterator[DataFrame]:
+    """``d`` held (in memory, else on disk) while several passes read it."""
+    d = d.persist()
+    try:
+        yield d
+    finally:
+        d.unpersist()
+
+
 def _pooled(d: DataFrame, method: str, q: tuple[float, float]) -> tuple[float | None, float | None]:
+    with kept(d) as d:
+        return _pooled_limits(d, method, q)
+
+
+def _pooled_limits(d: DataFrame, method: str, q: tuple[float, float]) -> tuple[float | None, float | None]:
     if method == "quantile":
         return tuple(pooled_quantiles(d, list(q)))
     if method == "hampel":

@@ -82,12 +82,14 @@ def _medians(d: DataFrame, column: str, dispersion: str, order: Order) -> DataFr
     ranked = lambda x: x.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("v"))})
     quarters = [outliers.quantile(q) for q in (0.25, 0.5, 0.75)]
     g = ranked(v).groupBy(order.key).agg(quarters[1].alias("__mid"), (quarters[2] - quarters[0]).alias("__width"))
-    low, mid, high = outliers.pooled_quantiles(v, [0.25, 0.5, 0.75])
-    width = None if mid is None else high - low
+    with outliers.kept(v.select("v")) as x:
+        low, mid, high = outliers.pooled_quantiles(x, [0.25, 0.5, 0.75])
+        width = None if mid is None else high - low
+        if dispersion == "MAD" and mid is not None:
+            (width,) = outliers.pooled_quantiles(x.select(F.abs(C("v") - F.lit(mid)).alias("v")), [0.5])
     if dispersion == "MAD":
         dev = v.join(g.select(order.key, "__mid"), order.key).select(order.key, F.abs(C("v") - C("__mid")).alias("v"))
         g = g.drop("__width").join(ranked(dev).groupBy(order.key).agg(quarters[1].alias("__width")), order.key)
-        width = None if mid is None else outliers.pooled_quantiles(v.select(F.abs(C("v") - F.lit(mid)).alias("v")), [0.5])[0]
     return g.select(order.key, "__mid", "__width").union(d.sparkSession.createDataFrame([("ALL", mid, width)], f"{order.key} string, __mid double, __width double"))
 
 
