@@ -45,37 +45,44 @@ def thresholds(df: DataFrame, var: str, method: str, keys: list[str], q: tuple[f
     return d.groupBy(*keys).agg(F.min(F.when(C("v") >= C("h1") - spread, C("v"))).alias("lo"), F.max(F.when(C("v") <= C("h2") + spread, C("v"))).alias("hi"))
 
 
-def quantile(q: float) -> Column:
+def quantile(q: float, v: str = "v", r: str = "r", n: str = "n") -> Column:
     """The linear quantile of v, from columns v, r (rank from 1) and n, as an aggregate."""
-    at = (C("n") - 1) * F.lit(q)
-    low, high = F.max(F.when(C("r") == F.floor(at) + 1, C("v"))), F.max(F.when(C("r") == F.ceil(at) + 1, C("v")))
+    at = (C(n) - 1) * F.lit(q)
+    low, high = F.max(F.when(C(r) == F.floor(at) + 1, C(v))), F.max(F.when(C(r) == F.ceil(at) + 1, C(v)))
     return low + (high - low) * F.max(at - F.floor(at))
 
 
 def order_stats(d: DataFrame, pick: Callable[[int], list[int]], column: str = "v") -> tuple[int, dict[int, float]]:
-    """The number of rows, and the values of the ranks (from 1) that ``pick`` asks for, exactly, whatever the number.
+    """The number of values, and those at the ranks (from 1) that ``pick`` asks for, exactly, whatever the number.
 
-    Rows are counted by bucket, between approximate quantiles; then only the buckets that hold a wanted rank are read
-    again, as value and count. The driver sees a few numbers a bucket.
+    One pass finds approximate quantiles, several a partition. The next counts what lies below the two that enclose a
+    wanted rank, and keeps only what lies between them, as value and count; the wanted rank is found by a running sum.
+    Should a rank lie outside all the same, its bounds are widened. The driver sees a few numbers a partition.
     """
     n = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = d.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n).alias("q")).head()["q"] or []
-    cuts = sorted(set(cuts))
-    low = F.from_json(F.lit(json.dumps(cuts)), "array<double>")
-    d = d.select(C(column).cast("double").alias("v"), F.size(F.filter(low, lambda c: c <= C(column))).alias("b"))
-    sizes = dict(sorted((r["b"], r["n"]) for r in d.groupBy("b").agg(F.count("*").alias("n")).collect()))
-    total, before, at = sum(sizes.values()), {}, 0
-    for b, k in sizes.items():
-        before[b], at = at, at + k
-    wanted = sorted({r for r in pick(total) if 1 <= r <= total})
-    homes = {r: max(b for b in before if before[b] < r) for r in wanted}
+    d = d.select(C(column).cast("double").alias("v")).filter("v is not null")
+    total, cuts = d.agg(F.count("v"), F.percentile_approx("v", [i / n for i in range(1, n)], 10 * n)).head()
+    wanted, slack = sorted({r for r in pick(total) if 1 <= r <= total}), 0.2
     if not wanted:
         return total, {}
-    inside = d.filter(C("b").isin(sorted(set(homes.values())))).groupBy("b", "v").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.partitionBy("b").orderBy("v"))
-    inside = inside.withColumn("upto", upto)
-    hit = F.filter(F.from_json(F.lit(json.dumps([{"b": b, "r": r - before[b], "rank": r} for r, b in homes.items()])), "array<struct<b:int,r:bigint,rank:bigint>>"), lambda x: (x["b"] == C("b")) & (x["r"] <= C("upto")) & (x["r"] > C("upto") - C("k")))
-    return total, {r["rank"]: r["v"] for r in inside.select("v", F.explode(hit).alias("x")).select("v", "x.rank").collect()}
+    while True:
+        ranks: dict[tuple[int, int], list[int]] = {}
+        for r in wanted:
+            at = r * n / total
+            ranks.setdefault((max(0, math.floor(at - slack)), min(n, math.ceil(at + slack))), []).append(r)
+        parts = []
+        for j, (a, z) in enumerate(ranks):
+            below = C("v") < cuts[a - 1] if a else F.lit(False)
+            inside = C("v") <= cuts[z - 1] if z < n else F.lit(True)
+            parts.append(F.when(below, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"))).when(inside, F.struct(F.lit(j).alias("j"), C("v"))))
+        counts = d.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).groupBy("x.j", "x.v").agg(F.count("*").alias("k"))
+        counts = counts.withColumn("upto", F.sum("k").over(W.partitionBy("j").orderBy(F.asc_nulls_first("v"))))
+        asked = F.from_json(F.lit(json.dumps([{"j": j, "r": r} for j, rs in enumerate(ranks.values()) for r in rs])), "array<struct<j:int,r:bigint>>")
+        hit = F.filter(asked, lambda x: (x["j"] == C("j")) & (x["r"] <= C("upto")) & (x["r"] > C("upto") - C("k")))
+        found = {x["r"]: x["v"] for x in counts.filter("v is not null").select("v", F.explode(hit).alias("x")).select("v", "x.r").collect()}
+        if len(found) == len(wanted):
+            return total, found
+        slack *= 4
 
 
 def pooled_quantiles(d: DataFrame, qs: list[float]) -> list[float | None]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,61 +36,77 @@ def summary(df: DataFrame, stat: str = "mean", dispersion: str = "MAD", digits:
     bounding box, gaps between fixes, and ``stat ± dispersion`` of dt (and of ``numeric`` columns; with ``add_ranges``
     their least and greatest values in brackets). Gaps are in ``gap_unit``: secs, mins, hours or days.
 
-    The row over all is worked out beside the tags' rows, not from rows doubled; medians are order statistics by rank
-    and the mode comes from counts by value, so no group's values are gathered in one place.
+    A tag's row comes from windows over one partitioning by tag, and the row over all from the tags' rows, but for its
+    mode (from counts by value) and medians (order statistics by rank), so no group's values are gathered in one place.
     """
     unit = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400}[gap_unit]
+    every = F.grouping(order.key) == 1
     d = time_steps(df, order).withColumn("dt", C("dt") / unit)
-    cols = ["dt", *(numeric if mode == "full_plus" else ())]
-    us, key = micros(order.time), C(order.key).cast("string").alias(order.key)
-    f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("NA")
-    base = [
-        F.count("*").alias("n_records"), F.sum(C(order.time).isNull().cast("long")).alias("n_na_DT"), F.min(order.time).alias("start"), F.max(order.time).alias("end"),
-        ((F.max(us) - F.min(us)) / F.lit(8.64e10)).alias("dur"), F.min("longitude").alias("xmin"), F.max("longitude").alias("xmax"), F.min("latitude").alias("ymin"), F.max("latitude").alias("ymax"),
+    d = d.withColumn("__fix", C(order.time).isNotNull() & ~C(order.time).eqNullSafe(F.lag(order.time).over(order.window())))
+    cols = [] if mode == "simple" else ["dt", *(numeric if mode == "full_plus" else ())]
+    us = micros(order.time)
+    per = [
+        F.count("*").alias("n_records"), F.sum(C(order.time).isNull().cast("long")).alias("n_na_DT"), F.min(order.time).alias("start"), F.max(order.time).alias("end"), F.min(us).alias("__lo"), F.max(us).alias("__hi"),
+        F.min("longitude").alias("xmin"), F.max("longitude").alias("xmax"), F.min("latitude").alias("ymin"), F.max("latitude").alias("ymax"), F.sum(C("__fix").cast("long")).alias("n_fixes"),
+    ]
+    merged = [
+        F.sum("n_records").alias("n_records"), F.sum("n_na_DT").alias("n_na_DT"), F.min("start").alias("start"), F.max("end").alias("end"), ((F.max("__hi") - F.min("__lo")) / F.lit(8.64e10)).alias("dur"),
+        F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"), F.sum("n_fixes").alias("n_fixes"),
     ]
     if mode != "simple":
-        base += [F.avg(C("longitude").isNull().cast("int")).alias("na_lon"), F.avg(C("latitude").isNull().cast("int")).alias("na_lat"), F.min("dt").alias("gap_min"), F.max("dt").alias("gap_max")]
-        base += [x for c in cols for x in (F.avg(c).alias(f"__mean_{c}"), F.stddev(c).alias(f"__sd_{c}"), F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"))]
-    per, every = d.groupBy(order.key).agg(*base), d.agg(*base).withColumn(order.key, F.lit("ALL"))
-    fixes = d.filter(C(order.time).isNotNull()).groupBy(order.key, order.time).count().groupBy(order.key).agg(F.count("*").alias("n_fixes"))
-    per, every = per.join(fixes, order.key, "left"), every.crossJoin(F.broadcast(fixes.agg(F.sum("n_fixes").alias("n_fixes"))))  # one row
-    if mode != "simple":
-        most = lambda n, v: F.max_by(v, F.struct(n, -C("dt"))).alias("gap_mode")
-        times = d.filter("dt is not null").groupBy(order.key, "dt").agg(F.count("*").alias("n"))
-        per = per.join(times.groupBy(order.key).agg(most(C("n"), C("dt"))), order.key, "left")
-        every = every.crossJoin(F.broadcast(times.groupBy("dt").agg(F.sum("n").alias("n")).agg(most(C("n"), C("dt")))))
-    out = per.withColumn(order.key, key).unionByName(every).withColumn("n_fixes", F.coalesce("n_fixes", F.lit(0)))
-    if mode == "simple":
-        return out
+        most = lambda n: F.max_by("dt", F.when(C("dt").isNotNull(), F.struct(C(n).alias("n"), -C("dt"))))
+        times = d.filter("dt is not null").groupBy("dt").agg(F.count("*").alias("n")).agg(most("n").alias("__gap_mode"))
+        d = d.withColumn("__same", F.count("*").over(order.whole("dt")))
+        per += [F.sum(C("longitude").isNull().cast("long")).alias("__no_lon"), F.sum(C("latitude").isNull().cast("long")).alias("__no_lat"), most("__same").alias("gap_mode")]
+        merged += [(F.sum("__no_lon") / F.sum("n_records")).alias("na_lon"), (F.sum("__no_lat") / F.sum("n_records")).alias("na_lat"), F.min("__min_dt").alias("gap_min"), F.max("__max_dt").alias("gap_max"), F.when(~every, F.max("gap_mode")).alias("gap_mode")]
     for c in cols:
+        low, high, n, mean, sd = (f"__{x}_{c}" for x in ("min", "max", "n", "mean", "sd"))
+        per += [F.min(c).alias(low), F.max(c).alias(high), F.count(c).alias(n), F.avg(c).alias(mean), F.stddev(c).alias(sd)]
+        merged += [F.min(low).alias(low), F.max(high).alias(high)]
         if stat == "median":
-            mid = _medians(d, c, dispersion, order)
-            out = out.join(mid, order.key, "left")
-            centre, width = C("__mid"), C("__width")
+            d, mid, width = _ranked(d, c, dispersion, order)
+            all_mid, all_width = _pooled_medians(d, c, dispersion)
+            per += [mid.alias(f"__mid_{c}"), width.alias(f"__width_{c}")]
+            merged += [F.when(every, F.lit(x).cast("double")).otherwise(F.max(f"__{y}_{c}")).alias(f"__{y}_{c}") for x, y in ((all_mid, "mid"), (all_width, "width"))]
         else:
-            centre, width = C(f"__mean_{c}"), C(f"__sd_{c}")
-        text = F.concat(f(centre), F.lit(" ± "), f(width))
+            total = F.sum(C(n) * C(mean)) / F.sum(n)
+            spread = F.sum((C(n) - 1) * F.coalesce(C(sd), F.lit(0.0)) ** 2) + F.sum(C(n) * C(mean) ** 2) - F.sum(n) * total**2
+            pooled = F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(F.sum(n) - 1, F.lit(0)))
+            pooled = F.when(F.sum(n) > 0, pooled)
+            merged += [F.when(every, total).otherwise(F.max(mean)).alias(f"__mid_{c}"), F.when(every, pooled).otherwise(F.max(sd)).alias(f"__width_{c}")]
+    # The rollup doubles the tags' rows, not those of the table.
+    out = d.groupBy(order.key).agg(*per).rollup(order.key).agg(every.alias("__every"), *merged)
+    if mode != "simple":
+        out = out.crossJoin(F.broadcast(times)).withColumn("gap_mode", F.when(C("__every"), C("__gap_mode")).otherwise(C("gap_mode"))).drop("__gap_mode")  # one row
+    f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("NA")
+    for c in cols:
+        text = F.concat(f(C(f"__mid_{c}")), F.lit(" ± "), f(C(f"__width_{c}")))
         text = F.concat(text, F.lit(" ["), f(C(f"__min_{c}")), F.lit(", "), f(C(f"__max_{c}")), F.lit("]")) if add_ranges else text
-        out = out.withColumn(f"{c}_{stat}", text).drop("__mid", "__width", *[f"__{x}_{c}" for x in ("mean", "sd", "min", "max")])
-    return out
-
-
-def _medians(d: DataFrame, column: str, dispersion: str, order: Order) -> DataFrame:
-    """(key, __mid, __width) per tag and for "ALL": the median and MAD or IQR of a column."""
-    v = d.filter(C(column).isNotNull()).select(C(order.key).cast("string").alias(order.key), C(column).cast("double").alias("v"))
-    w = W.partitionBy(order.key)
-    ranked = lambda x: x.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("v"))})
-    quarters = [outliers.quantile(q) for q in (0.25, 0.5, 0.75)]
-    g = ranked(v).groupBy(order.key).agg(quarters[1].alias("__mid"), (quarters[2] - quarters[0]).alias("__width"))
-    with outliers.kept(v.select("v")) as x:
+        out = out.withColumn(f"{c}_{stat}", text).drop(*[f"__{x}_{c}" for x in ("mid", "width", "min", "max")])
+    return out.withColumn(order.key, F.when(C("__every"), F.lit("ALL")).otherwise(C(order.key).cast("string"))).drop("__every")
+
+
+def _ranked(d: DataFrame, column: str, dispersion: str, order: Order) -> tuple[DataFrame, Column, Column]:
+    """Rank columns of a column within its tag, and with them the median and the MAD or IQR as aggregates by tag."""
+    v, r, n, dev, by = (f"__{x}_{column}" for x in ("v", "r", "cnt", "dev", "by"))
+    w = order.whole()
+    d = d.withColumn(v, C(column).cast("double"))
+    d = d.withColumns({n: F.count(v).over(w), r: F.row_number().over(w.orderBy(F.asc_nulls_last(v)))})
+    mid = outliers.quantile(0.5, v, r, n)
+    if dispersion != "MAD":
+        return d, mid, outliers.quantile(0.75, v, r, n) - outliers.quantile(0.25, v, r, n)
+    low, high = (F.max(F.when(C(r) == f((C(n) + 1) / 2), C(v))).over(w) for f in (F.floor, F.ceil))
+    d = d.withColumn(dev, F.abs(C(v) - (low + (high - low) * 0.5)))
+    return d.withColumn(by, F.row_number().over(w.orderBy(F.asc_nulls_last(dev)))), mid, outliers.quantile(0.5, dev, by, n)
+
+
+def _pooled_medians(d: DataFrame, column: str, dispersion: str) -> tuple[float | None, float | None]:
+    """The median of a column over all rows, and its MAD or IQR."""
+    with outliers.kept(d.filter(C(column).isNotNull()).select(C(column).cast("double").alias("v"))) as x:
         low, mid, high = outliers.pooled_quantiles(x, [0.25, 0.5, 0.75])
-        width = None if mid is None else high - low
-        if dispersion == "MAD" and mid is not None:
-            (width,) = outliers.pooled_quantiles(x.select(F.abs(C("v") - F.lit(mid)).alias("v")), [0.5])
-    if dispersion == "MAD":
-        dev = v.join(g.select(order.key, "__mid"), order.key).select(order.key, F.abs(C("v") - C("__mid")).alias("v"))
-        g = g.drop("__width").join(ranked(dev).groupBy(order.key).agg(quarters[1].alias("__width")), order.key)
-    return g.select(order.key, "__mid", "__width").union(d.sparkSession.createDataFrame([("ALL", mid, width)], f"{order.key} string, __mid double, __width double"))
+        if mid is None or dispersion != "MAD":
+            return mid, None if mid is None else high - low
+        return mid, outliers.pooled_quantiles(x.select(F.abs(C("v") - F.lit(mid)).alias("v")), [0.5])[0]
 
 
 def tag_timeline(df: DataFrame, active: float = 0.5, alone: float = 0.5, miss: float = 0.25, order: Order = ORDER) -> DataFrame:
