@@ -337,3 +337,40 @@ def test_sensor_files(spark, tmp_path):
     t.write.option("header", True).csv(str(tmp_path / "c"))
     back = tracks.read_tracks(spark, str(tmp_path / "c"), "csv", "TagID string, DateTime string, longitude double, latitude double", text_time=True)
     assert back.count() == 6 and back.filter("traj_speed is not null").count() == 5
+
+
+def test_order_statistics_of_few_null_and_no_values(spark):
+    for v in ([], [None], [3.0], [None, 2.0, 1.0], [float(i) for i in range(40)], [1.0] * 300 + [2.0]):
+        d = spark.createDataFrame([(x,) for x in v], "v double")
+        known = sorted(x for x in v if x is not None)
+        n, at = outliers.order_stats(d, lambda n: list(range(0, n + 2)))
+        assert n == len(known) and at == {i + 1: x for i, x in enumerate(known)}
+    assert outliers.pooled_quantiles(spark.createDataFrame([], "v double"), [0.5]) == [None]
+
+
+def test_summary_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(t, s, x, y) for t, k in (("a", 60), ("b", 37), ("one", 1)) for s, x, y in zip(rng.integers(0, 900, k).tolist(), rng.normal(size=k).tolist(), rng.normal(size=k).tolist())]
+    rows += [("b", None, 0.5, None), (None, 5, 0.1, 0.2), (None, 9, None, 0.3)]
+    d = track(spark, rows).withColumn("v", F.col("longitude") * 1000 + 1e6)
+    p = d.toPandas().sort_values(["TagID", "DateTime", "seq"], na_position="first")
+    gap = p.groupby("TagID", dropna=False)["DateTime"].shift(-1).sub(p["DateTime"]).dt.total_seconds()
+    p = p.assign(dt=gap)
+    text = lambda x: "NA" if x is None or np.isnan(x) else f"{x:.2f}"
+    mad = lambda x: np.median(np.abs(x - np.median(x))) if len(x) else np.nan
+    groups = {"ALL": p} | {None if isinstance(k, float) else k: g for k, g in p.groupby("TagID", dropna=False)}
+    for stat in ("mean", "median"):
+        got = {r.TagID: r for r in reports.summary(d, stat, mode="full_plus", numeric=("v",), add_ranges=True, order=O).collect()}
+        assert got.keys() == groups.keys()
+        for k, g in groups.items():
+            r = got[k]
+            fixes = g.dropna(subset="DateTime").drop_duplicates(["TagID", "DateTime"])
+            assert (r.n_records, r.n_na_DT, r.n_fixes) == (len(g), g["DateTime"].isna().sum(), len(fixes))
+            assert r.na_lon == pytest.approx(g["longitude"].isna().mean()) and r.xmax == pytest.approx(g["longitude"].max())
+            times = g["dt"].dropna().value_counts()
+            assert r.gap_mode == (min(times[times == times.max()].index) if len(times) else None)
+            for c in ("dt", "v"):
+                x = g[c].dropna().to_numpy()
+                mid, width = (np.mean(x), np.std(x, ddof=1) if len(x) > 1 else np.nan) if stat == "mean" and len(x) else (np.median(x), mad(x)) if len(x) else (np.nan, np.nan)
+                ends = (x.min(), x.max()) if len(x) else (np.nan, np.nan)
+                assert r[f"{c}_{stat}"] == f"{text(mid)} ± {text(width)} [{text(ends[0])}, {text(ends[1])}]", (k, c, stat)
