@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspan.llm import decontamination, language, near_dedup, packing, preferences, quality, sql, surrogates, url_rules, winnowing, wrappers
+from wayspan.llm import decontamination, language, line_rules, near_dedup, packing, preferences, quality, sort_means, sql, surrogates, url_rules, whitening, winnowing, wrappers
 from wayspan.llm.common import table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -75,6 +75,19 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "held_out", "r.lang_pred", "r.score")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.report(table(spark, sf_dir, "embeddings"), k=8, dims=64, rounds=10, scale=1024, salt="3")
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned")
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(table(spark, sf_dir, "embeddings"), count=4, scale=256)
+    return d.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op2_quality_trees": op2_quality_trees,
@@ -86,6 +99,9 @@ QUERIES = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_wrappers": op9_wrappers,
     "op10_language_masks": op10_language_masks,
+    "op11_sort_means": op11_sort_means,
+    "op12_line_rules": op12_line_rules,
+    "op13_jacobi_whitening": op13_jacobi_whitening,
 }
 
 ORACLE = {k: v for k, v in sql.ORACLE.items() if k in QUERIES}
