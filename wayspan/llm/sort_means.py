@@ -16,7 +16,7 @@ Nulls: rows whose vector is null, of another length, or holds null, NaN or infin
 an entry whose integer doesn't fit into 64 bits. A null key counts, but starts no centroid. Of rows with one key the
 least vector comes first among starting centroids; each repeated row counts as a vector of its own. Equal distances go to
 the smaller number, also where starting centroids are equal. Fewer kept vectors than ``k`` give as many centroids; an
-empty table gives no rows. Distances beyond 2^63 - 1 are given as that. Other columns are not carried over.
+empty table gives no rows. Distances and their sums beyond 2^63 - 1 are given as that. Other columns are not carried over.
 """
 
 from __future__ import annotations
