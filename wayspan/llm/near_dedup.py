@@ -270,3 +270,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     out = signed.select("key", *sets).join(classes, sets, "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the least id (and of equal ids, by text).
+
+    ``key`` is a long. Rows of one id with different texts are documents of their own: should there be any, ids are
+    extended by a hash of the text. Rows equal in id and text are one document and stay or go together; rows with a null
+    id, a null or an empty text stay. Columns are unchanged.
+    """
+    d = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__t"))
+    twice = d.filter("__k is not null").groupBy("__k").agg((F.min("__t") < F.max("__t")).alias("mixed")).filter("mixed").limit(1).count()
+    name = F.col(key)
+    if twice:
+        name = name.cast("decimal(38,0)") * F.lit(2**60).cast("decimal(19,0)") + F.pmod(F.xxhash64(text), F.lit(2**60)).cast("decimal(19,0)")
+    named = docs.withColumn("__name", name.cast("decimal(38,0)") if twice else name)
+    gone = near_duplicates(named.select("__name", F.col(text).alias("__text")), "__name", "__text", n, percent).filter("not kept").select("__name").distinct()
+    return named.join(gone, "__name", "left_anti").select(docs.columns)
