@@ -223,3 +223,92 @@ def test_simplify_keeps_share_rings_and_shared_borders(spark):
     inner = set(border)
     assert of(0) & inner == of(1) & inner and {(100, 0), (100, 200)} <= of(0) & of(1)
     assert {r["n"] for r in spatial.simplify(edges, keep=0.0001).groupBy("poly").agg(F.count("*").alias("n")).collect()} <= {3, 4}
+
+
+def test_land_in_lists_may_overlap_and_have_holes(spark):
+    from wayspan.functions import geo
+
+    a, b, c = square(0, 0, 10), square(5, 5, 10), square(2, 2, 2)
+    assert geo.polygons([a, b, c]) == [[a, c], [b]] and geo.polygons([[a, c], [b]]) == [[a, c], [b]] and geo.polygons([]) == []
+    assert geo.polygons([a, square(1, 1, 8), square(3, 3, 2)]) == [[a, square(1, 1, 8)], [square(3, 3, 2)]]
+    p = points(spark, [(7, 7), (3, 3), (1, 1), (20, 20), (None, None)])
+    got = [r.inside for r in spatial.within_shape(p, [a, b, c], "x", "y", "inside").orderBy("id").collect()]
+    assert got == [True, False, True, False, None]
+    many = [star(random.Random(i), 40 * i, 0, 15, 9) for i in range(12)]
+    got = [r.inside for r in spatial.within_shape(points(spark, [(40 * i, 0) for i in range(13)]), many, "x", "y", "inside").orderBy("id").collect()]
+    assert got == [True] * 12 + [False]
+
+
+def test_area_centroid():
+    from wayspan.functions import geo
+
+    far = [(x + 4e6, y + 3e6) for x, y in square(0, 0, 10)]
+    assert geo.area_centroid([far]) == pytest.approx((4e6 + 5, 3e6 + 5), abs=1e-6)
+    lee = [[(0, 0), (10, 0), (10, 2), (2, 2), (2, 10), (0, 10)]]
+    assert geo.area_centroid(lee) == pytest.approx(((20 * 5 + 16 * 1) / 36, (20 * 1 + 16 * 6) / 36))
+    assert geo.area_centroid([lee[0][::-1]]) == pytest.approx(geo.area_centroid(lee))
+    assert geo.area_centroid([square(0, 0, 10), square(0, 0, 4)[::-1]]) != geo.area_centroid([square(0, 0, 10)])  # touches: land of its own
+    holed = geo.area_centroid([square(0, 0, 10), square(1, 1, 4)])
+    assert holed == pytest.approx(((100 * 5 - 16 * 3) / 84,) * 2)
+    assert geo.area_centroid([[(0, 0), (4, 0)]]) == (2, 0)
+
+
+def test_offshore_and_coast_of_overlapping_land(spark):
+    from wayspan.functions import geo
+    from wayspan.operators import enrich
+
+    ring = lambda lon, lat, s: [geo.project_point(*p) for p in ((lon, lat), (lon + s, lat), (lon + s, lat + s), (lon, lat + s))]
+    land = [ring(0, 50, 0.2), ring(0.1, 50.1, 0.2)]
+    fixes = spark.createDataFrame([(1, 0.15, 50.15), (2, 0.05, 50.05), (3, 0.5, 50.5), (4, None, 50.0), (5, 0.31, 50.2)], "id long, longitude double, latitude double").withColumn("onshore", F.lit("clash"))
+    tables = (land, [[r] for r in land], spatial.edges_of(spark, [[r] for r in land]))
+    for shape in tables:
+        assert [r.offshore for r in enrich.offshore(fixes, shape).orderBy("id").collect()] == [0, 0, 1, None, 1]
+    got = enrich.dist2coast(fixes, land).orderBy("id").collect()
+    assert [r.onshore for r in got] == [True, True, False, None, False] and got[3].dist2coast is None
+    outer = distances(geo.edges(land), np.array([geo.project_point(0.5, 50.5)[0]]), np.array([geo.project_point(0.5, 50.5)[1]]))
+    assert got[2].dist2coast == pytest.approx(outer[0], rel=1e-9)
+    inner = distances(geo.edges(land), *(np.array([v]) for v in geo.project_point(0.15, 50.15)))[0]
+    assert got[0].dist2coast > inner + 1000  # edges inside the other square are no coast
+    simple = enrich.dist2coast(fixes, [[star(random.Random(1), *geo.project_point(0.2, 50.2), 20_000, 90)]], simplify=True, keep=0.3)
+    assert simple.filter("dist2coast is not null").count() == 4
+    near = enrich.offshore(fixes, tables[2], box=(0, 0, 1, 1), buffer=10)
+    assert [r.offshore for r in near.orderBy("id").collect()] == [1, 1, 1, None, 1]
+
+
+# Systems
+
+
+def redfearn(lon, lat, zone):
+    """UTM by powers of the distance from the middle meridian: another way than the library's."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    p, d, ep2 = math.radians(lat), math.radians(lon - (6 * zone - 183)), e2 / (1 - e2)
+    n, t, c, w = a / math.sqrt(1 - e2 * math.sin(p) ** 2), math.tan(p) ** 2, ep2 * math.cos(p) ** 2, d * math.cos(p)
+    m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p) - 35 * e2**3 / 3072 * math.sin(6 * p))
+    x = 500000 + k0 * n * (w + (1 - t + c) * w**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * w**5 / 120)
+    return x, k0 * (m + n * math.tan(p) * (w**2 / 2 + (5 - t + 9 * c + 4 * c * c) * w**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * w**6 / 720))
+
+
+def test_systems_round_trip_and_known_points(spark):
+    from wayspan.functions.crs import Crs
+
+    assert Crs(3035).point(5, 50) == pytest.approx((3962799.45, 2999718.85), abs=0.01)  # published example
+    assert Crs(32631).point(3, 0) == pytest.approx((500000, 0)) and Crs(32731).point(3, -1e-9)[1] == pytest.approx(1e7)
+    assert Crs(3035).point(10, 52) == pytest.approx((4321000, 3210000)) and Crs(3035).degrees(4321000.0, 3210000.0) == pytest.approx((10, 52))
+    rng = random.Random(6)
+    for _ in range(300):
+        lon, lat = rng.uniform(0.5, 5.5), rng.uniform(-79, 79)
+        assert Crs(32631).point(lon, lat) == pytest.approx(redfearn(lon, lat, 31), abs=2e-3)
+    for code, west, east, south, north in ((3035, -25, 45, 30, 72), (32631, -1, 7, -80, 84), (32733, 11, 19, -80, 0), (25832, 5, 13, 40, 80), (3857, -180, 180, -85, 85), (4326, -180, 180, -90, 90)):
+        at = [(rng.uniform(west, east), rng.uniform(south, north)) for _ in range(50)]
+        d = spark.createDataFrame(at, "longitude double, latitude double")
+        x, y = Crs(code).project(F.col("longitude"), F.col("latitude"))
+        d = d.select("*", x.alias("x"), y.alias("y"))
+        lon, lat = Crs(code).unproject(F.col("x"), F.col("y"))
+        for r in d.select("*", lon.alias("lon"), lat.alias("lat")).collect():
+            assert math.hypot(r.lon - r.longitude, r.lat - r.latitude) < 1e-9  # a tenth of a millimetre
+            assert (r.x, r.y) == pytest.approx(Crs(code).point(r.longitude, r.latitude), abs=1e-6)
+    with pytest.raises(ValueError, match="27700"):
+        Crs(27700).point(0, 50)
+    empty = spark.createDataFrame([(None, 50.0)], "longitude double, latitude double")
+    assert empty.select(*Crs(32631).project(F.col("longitude"), F.col("latitude"))).head() == (None, None)

@@ -95,19 +95,55 @@ def distance_to_edges(x: Column, y: Column, rings: list[Ring]) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), F.array_min(F.transform(edge_array(rings), one)))
 
 
+def _holds(outer: Ring, x: float, y: float) -> bool:
+    return sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for ax, ay, bx, by in edges([outer])) % 2 == 1
+
+
+def polygons(shape: list) -> list[list[Ring]]:
+    """A shape as polygons, each a list of rings. Polygons stay as they are; in a flat list of rings one that lies within
+    another is a hole of it (or land again in a hole), and rings that only overlap or touch are polygons of their own."""
+    if not shape or isinstance(shape[0][0][0], (list, tuple)):
+        return shape
+    within = lambda i, j: i != j and all(_holds(shape[j], *p) for p in shape[i])
+    around = [[j for j in range(len(shape)) if within(i, j)] for i in range(len(shape))]
+    out = {i: [shape[i]] for i in range(len(shape)) if len(around[i]) % 2 == 0}
+    for i in range(len(shape)):
+        if i not in out:
+            out[next(j for j in around[i] if len(around[j]) == len(around[i]) - 1)].append(shape[i])
+    return list(out.values())
+
+
+def area_centroid(shape: list) -> tuple[float, float]:
+    """Centre of mass of a shape's area; of a shape without area, the mean of its corners."""
+    total = mx = my = 0.0
+    for rings in polygons(shape):
+        for i, r in enumerate(rings):
+            x0, y0 = r[0]  # coordinates from the first corner, lest large ones cancel
+            cross = [((ax - x0) * (by - y0) - (bx - x0) * (ay - y0), ax + bx - 2 * x0, ay + by - 2 * y0) for ax, ay, bx, by in edges([r])]
+            area = sum(c for c, _, _ in cross)
+            sign = (1 if area > 0 else -1) * (1 if i == 0 else -1)
+            total += sign * area
+            mx += sign * (sum(c * sx for c, sx, _ in cross) / 3 + area * x0)
+            my += sign * (sum(c * sy for c, _, sy in cross) / 3 + area * y0)
+    if not total:
+        points = [p for rings in polygons(shape) for r in rings for p in r]
+        return sum(p[0] for p in points) / len(points), sum(p[1] for p in points) / len(points)
+    return mx / total, my / total
+
+
 def crop(rings: list[Ring], box: tuple[float, float, float, float], buffer: float) -> list[Ring]:
     """Rings whose own box meets the buffered one (xmin, ymin, xmax, ymax)."""
     x0, y0, x1, y1 = box[0] - buffer, box[1] - buffer, box[2] + buffer, box[3] + buffer
     return [r for r in rings if min(p[0] for p in r) <= x1 and max(p[0] for p in r) >= x0 and min(p[1] for p in r) <= y1 and max(p[1] for p in r) >= y0]
 
 
-def rectangle(lon0: float, lat0: float, lon1: float, lat1: float) -> Ring:
+def rectangle(lon0: float, lat0: float, lon1: float, lat1: float, point=project_point) -> Ring:
     """The box's corners, projected; its sides are straight on the plane."""
-    return [project_point(*p) for p in ((lon0, lat0), (lon1, lat0), (lon1, lat1), (lon0, lat1))]
+    return [point(*p) for p in ((lon0, lat0), (lon1, lat0), (lon1, lat1), (lon0, lat1))]
 
 
-def circle(lon: float, lat: float, radius: float, points: int = 120) -> Ring:
-    x, y = project_point(lon, lat)
+def circle(lon: float, lat: float, radius: float, points: int = 120, point=project_point) -> Ring:
+    x, y = point(lon, lat)
     return [(x + radius * math.cos(2 * math.pi * i / points), y + radius * math.sin(2 * math.pi * i / points)) for i in range(points)]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
+from wayspan.functions.crs import Crs
 from wayspan.operators import checks, duplicates, outliers, rates
 from wayspan.operators.movement import time_steps
 from wayspan.operators.schema import ORDER, Order, micros
@@ -140,9 +141,9 @@ def fix_summary(df: DataFrame, least: int = 5, order: Order = ORDER) -> DataFram
     return n.groupBy(order.key).agg(F.sum("n").alias("fixes"), F.count("*").alias("days"), F.min("n").alias("min_day"), F.avg("n").alias("mean_day"), F.max("n").alias("max_day"), bad.alias("bad_days"), (bad / F.count("*")).alias("bad_prop"), (F.sum("n") < least).alias("below"))
 
 
-def bounds(df: DataFrame) -> DataFrame:
+def bounds(df: DataFrame, crs: int = 3035) -> DataFrame:
     """Bounding box of the projected points."""
-    x, y = geo.project(C("longitude"), C("latitude"))
+    x, y = Crs(crs).project(C("longitude"), C("latitude"))
     d = df.select(x.alias("X"), y.alias("Y"))
     return d.agg(F.min("X").alias("xmin"), F.min("Y").alias("ymin"), F.max("X").alias("xmax"), F.max("Y").alias("ymax"))
 

@@ -164,6 +164,32 @@ def covered(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", bou
     return covering(points, edges, x, y, boundary, "__c").withColumn(out, F.when(C(x).isNotNull() & C(y).isNotNull(), F.size("__c") > 0)).drop("__c")
 
 
+#: Edges of a shape held by the caller up to which it is a literal of the plan instead of a table.
+INLINE = 64
+
+
+def crop(edges: DataFrame, box: tuple[float, float, float, float], buffer: float) -> DataFrame:
+    """Polygons whose own box meets the buffered one (xmin, ymin, xmax, ymax)."""
+    near = edges.groupBy("poly").agg(F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"), F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"))
+    near = near.filter((C("a") <= box[2] + buffer) & (C("b") >= box[0] - buffer) & (C("c") <= box[3] + buffer) & (C("d") >= box[1] - buffer))
+    return edges.join(near.select("poly"), "poly", "left_semi")
+
+
+def within_shape(df: DataFrame, shape: DataFrame | list, x: str, y: str, out: str, boundary: bool = True) -> DataFrame:
+    """``df`` with a flag whether the shape, a polygon table or rings on the plane (see ``geo.polygons``), covers (x, y);
+    null without a position. A few edges are tried directly, more by the index."""
+    if isinstance(shape, DataFrame):
+        return covered(df, shape, x, y, boundary, out)
+    parts = geo.polygons(shape)
+    if sum(len(r) for p in parts for r in p) > INLINE:
+        return covered(df, edges_of(df.sparkSession, parts), x, y, boundary, out)
+    known = C(x).isNotNull() & C(y).isNotNull()
+    hit = F.lit(False)
+    for rings in parts:
+        hit = hit | geo.in_polygon(C(x), C(y), rings)
+    return df.withColumn(out, F.when(known, hit))
+
+
 def distance(x: Column, y: Column, e: Column) -> Column:
     """Planar distance from a point to an edge."""
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]

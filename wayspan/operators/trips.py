@@ -7,33 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
+from wayspan.functions.crs import Crs
+from wayspan.operators import spatial
 from wayspan.operators.schema import ORDER, Order, micros, seconds_between
 
 C = F.col
 
 
-def inside(df: DataFrame, method: str = "rect", lls: tuple[float, ...] | None = None, radius: float = 1000, rings: list[geo.Ring] | None = None, flag: str | None = None, flag_option: str | None = None) -> DataFrame:
+def inside(df: DataFrame, method: str = "rect", lls: tuple[float, ...] | None = None, radius: float = 1000, rings: DataFrame | list | None = None, flag: str | None = None, flag_option: str | None = None, crs: int = 3035) -> DataFrame:
     """Adds Col: 1 inside the central place.
 
     ``rect``: lls = (lon0, lat0, lon1, lat1), the four corners projected. ``circ``: lls = (lon, lat) and a radius in
-    metres on the plane. ``shape``: projected rings. ``flag``: a 0/1 column. A flag column also refines the other
+    metres on the plane. ``shape``: projected rings, polygons or a polygon table. ``flag``: a 0/1 column. A flag column also refines the other
     methods: ``maximal`` counts a fix in by either, ``minimal`` by both.
     """
-    x, y = geo.project(C("longitude"), C("latitude"))
+    x, y = Crs(crs).project(C("longitude"), C("latitude"))
+    columns = df.columns
     if method == "rect":
-        test = geo.in_polygon(x, y, [geo.rectangle(*lls)])
+        test = geo.in_polygon(x, y, [geo.rectangle(*lls, Crs(crs).point)])
     elif method == "circ":
-        cx, cy = geo.project_point(*lls)
+        cx, cy = Crs(crs).point(*lls)
         test = F.hypot(x - cx, y - cy) <= radius
     elif method == "shape":
-        test = geo.in_polygon(x, y, rings)
+        df = spatial.within_shape(df.withColumns({"__x": x, "__y": y}), rings, "__x", "__y", "__in")
+        test = C("__in")
     else:
         test = C(flag) == 1
     col = F.coalesce(test, F.lit(False)).cast("int")
     if flag and method != "flag" and flag_option:
         f = F.coalesce(C(flag), F.lit(0)).cast("int")
         col = F.greatest(col, f) if flag_option.lower() == "maximal" else F.least(col, f)
-    return df.withColumn("Col", col)
+    return df.withColumn("Col", col).select(*(c for c in columns if c != "Col"), "Col")
 
 
 def segment(df: DataFrame, by: str | None = None, bird_year: bool = True, new_after_gap: bool = True, consistent: bool = True, label_no_end: bool = False, label_no_start: bool = False, order: Order = ORDER) -> DataFrame:
@@ -73,13 +77,14 @@ def segment(df: DataFrame, by: str | None = None, bird_year: bool = True, new_af
 
 def define_trips(df: DataFrame, method: str = "rect", keep_extra_row: bool = True, order: Order = ORDER, **how) -> DataFrame:
     """``inside`` then ``segment``; doubled fixes are kept as extra rows unless told otherwise."""
-    place = {k: how.pop(k) for k in ("lls", "radius", "rings", "flag", "flag_option") if k in how}
+    place = {k: how.pop(k) for k in ("lls", "radius", "rings", "flag", "flag_option", "crs") if k in how}
     d = segment(inside(df, method, **place), order=order, **how)
     return d if keep_extra_row else reset_cag(d)
 
 
-def make_shape(method: str, lls: tuple[float, ...], radius: float = 1000) -> geo.Ring:
-    return geo.rectangle(*lls) if method == "rect" else geo.circle(*lls, radius)
+def make_shape(method: str, lls: tuple[float, ...], radius: float = 1000, crs: int = 3035) -> geo.Ring:
+    point = Crs(crs).point
+    return geo.rectangle(*lls, point) if method == "rect" else geo.circle(*lls, radius, point=point)
 
 
 def get_cag(df: DataFrame) -> DataFrame:
@@ -95,11 +100,11 @@ def add_cag(df: DataFrame, extra: DataFrame) -> DataFrame:
     return df.unionByName(extra, allowMissingColumns=True)
 
 
-def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = None, nest_lls: tuple[float, float] | None = None, rings: list[geo.Ring] | None = None, phase: str = "br", incompl_meth: str = "all", radius: float = geo.MEAN_EARTH, order: Order = ORDER) -> DataFrame:
+def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = None, nest_lls: tuple[float, float] | None = None, rings: list | None = None, phase: str = "br", incompl_meth: str = "all", radius: float = geo.MEAN_EARTH, crs: int = 3035, order: Order = ORDER) -> DataFrame:
     """A row per tag, year (and ``by``) and trip.
 
     The central place is that of the ``nest`` table (by tag, and year if it has one; the tag's mean, then everyone's,
-    where that is missing), a given point, the mean of a shape's corners, or the trip's first fix. Distances are in km,
+    where that is missing), a given point, the centroid of a shape's area, or the trip's first fix. Distances are in km,
     TripDur in hours, TotalMon and ActiveMon in days. With columns ``offshore`` or ``dist2coast`` the maxima are given
     on, off and at the coast too.
     """
@@ -107,7 +112,7 @@ def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = No
     d = df.filter("tripNo <> 0")
     extra = ["extra_row"] if "extra_row" in df.columns else []
     w = W.partitionBy(*keys).orderBy(*order.by, *extra)
-    x, y = geo.project(C("longitude"), C("latitude"))
+    x, y = Crs(crs).project(C("longitude"), C("latitude"))
     d = d.withColumns({"__x": x, "__y": y})
     d = d.withColumn("__step", F.hypot(F.lead("__x").over(w) - C("__x"), F.lead("__y").over(w) - C("__y")))
     planar = nest_lls is not None or rings is not None
@@ -122,13 +127,13 @@ def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = No
     elif nest_lls is not None:
         d = d.withColumns({"col_lon": F.lit(float(nest_lls[0])), "col_lat": F.lit(float(nest_lls[1]))})
     elif rings is not None:
-        points = [p for r in rings for p in r]
-        d = d.withColumns({"col_lon": F.lit(None).cast("double"), "col_lat": F.lit(None).cast("double")})
-        cx, cy = sum(p[0] for p in points) / len(points), sum(p[1] for p in points) / len(points)
+        cx, cy = geo.area_centroid(rings)
+        lon, lat = Crs(crs).degrees(cx, cy)
+        d = d.withColumns({"col_lon": F.lit(lon), "col_lat": F.lit(lat)})
     else:
         d = d.withColumns({"col_lon": F.first("longitude").over(w), "col_lat": F.first("latitude").over(w)})
     if planar:
-        px, py = geo.project_point(*nest_lls) if nest_lls is not None else (cx, cy)
+        px, py = Crs(crs).point(*nest_lls) if nest_lls is not None else (cx, cy)
         d = d.withColumn("__d", F.hypot(C("__x") - px, C("__y") - py) / 1000)
     else:
         d = d.withColumn("__d", geo.haversine(C("longitude"), C("latitude"), C("col_lon"), C("col_lat"), radius) / 1000)

@@ -108,3 +108,40 @@ def xy(lon: str = "longitude", lat: str = "latitude") -> tuple[str, str]:
     sb, cb = math.sin(g._B0), math.cos(g._B0)
     k = f"({g._RQ!r} * sqrt(2 / (1 + {sb!r} * sin({b}) + {cb!r} * cos({b}) * cos({d}))))"
     return f"({g._FE!r} + {k} * {g._D!r} * cos({b}) * sin({d}))", f"({g._FN!r} + {k} / {g._D!r} * ({cb!r} * sin({b}) - {sb!r} * cos({b}) * cos({d})))"
+
+
+def lonlat(x: str, y: str) -> tuple[str, str]:
+    """Degrees of EPSG:3035 coordinates in SQL: the authalic latitude, then its series and one step of Newton's."""
+    import math
+
+    from wayspan.functions import geo as g
+
+    e2, e, sb, cb = g._E2, g._E, math.sin(g._B0), math.cos(g._B0)
+    dx, dy = f"(({x} - {g._FE!r}) / {g._D!r})", f"(({y} - {g._FN!r}) * {g._D!r})"
+    rho = f"sqrt({dx} * {dx} + {dy} * {dy})"
+    c = f"(2 * asin({rho} / {2 * g._RQ!r}))"
+    b = f"asin(cos({c}) * {sb!r} + {dy} * sin({c}) * {cb!r} / coalesce(nullif({rho}, 0), 1))"
+    s1, s2, s3 = e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360
+    lat = f"({b} + {s1!r} * sin(2 * {b}) + {s2!r} * sin(4 * {b}) + {s3!r} * sin(6 * {b}))"
+    w = f"(1 - {e2!r} * sin({lat}) * sin({lat}))"
+    off = f"({g._QP!r} * sin({b}) / {1 - e2!r} - sin({lat}) / {w} + ln((1 - {e!r} * sin({lat})) / (1 + {e!r} * sin({lat}))) / {2 * e!r})"
+    lon = f"{g._LON0!r} + atan2({dx} * sin({c}), {rho} * {cb!r} * cos({c}) - {dy} * {sb!r} * sin({c}))"
+    return f"degrees({lon})", f"degrees({lat} + {w} * {w} / (2 * cos({lat})) * {off})"
+
+
+def utm(zone: int, lon: str = "longitude", lat: str = "latitude") -> tuple[str, str]:
+    """UTM coordinates (WGS84, north) in SQL."""
+    import math
+
+    f = 1 / 298.257223563
+    e, n = math.sqrt(f * (2 - f)), f / (2 - f)
+    k = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3 + 41 / 180 * n**4, 13 / 48 * n**2 - 3 / 5 * n**3 + 557 / 1440 * n**4, 61 / 240 * n**3 - 103 / 140 * n**4, 49561 / 161280 * n**4)
+    atanh = lambda v: f"(0.5 * ln((1 + {v}) / (1 - {v})))"
+    sinh, cosh = (lambda v: f"((exp({v}) - exp(-{v})) / 2)"), (lambda v: f"((exp({v}) + exp(-{v})) / 2)")
+    s, d = f"sin(radians({lat}))", f"radians({lon} - ({6 * zone - 183}))"
+    t = sinh(f"({atanh(s)} - {e!r} * {atanh(f'({e!r} * {s})')})")
+    xi, eta = f"atan2({t}, cos({d}))", atanh(f"(sin({d}) / sqrt(1 + {t} * {t}))")
+    north = " + ".join([xi, *(f"{c!r} * sin({2 * j} * {xi}) * {cosh(f'({2 * j} * {eta})')}" for j, c in enumerate(a, 1))])
+    east = " + ".join([eta, *(f"{c!r} * cos({2 * j} * {xi}) * {sinh(f'({2 * j} * {eta})')}" for j, c in enumerate(a, 1))])
+    return f"(500000 + {k!r} * ({east}))", f"({k!r} * ({north}))"

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
-from wayspan.operators import checks, duplicates, enrich, movement, outliers, pipeline, rates, reports, schema, subsample, trips
-from wayspan.plans.adapter import DOUBLED, ORDER, TRACK, doubled, gapped, haversine, placed, speeds, track, xy
+from wayspan.operators import checks, duplicates, enrich, movement, outliers, pipeline, rates, reports, schema, spatial, subsample, trips
+from wayspan.plans.adapter import DOUBLED, ORDER, TRACK, doubled, gapped, haversine, lonlat, placed, speeds, track, utm, xy
 from wayspan.sources import simulate, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,6 +552,89 @@ def dist2coast(spark, sf_dir):
     return rounded(enrich.dist2coast(placed(spark, sf_dir), LAND).select("TagID", "event_id", "onshore", "dist2coast"), dist2coast=2)
 
 
+# Polygons from the suppliers, on a lattice of halves, so that many points lie exactly on edges and corners: squares that
+# overlap and touch, every third with a hole, every ninth with an island in the hole.
+def _squares(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_suppkey AS INT) AS poly", "CAST((s_suppkey * 37) % 200 AS DOUBLE) AS x", "CAST((s_suppkey * 53) % 200 AS DOUBLE) AS y", "CAST(8 + s_suppkey % 13 AS DOUBLE) AS s", "s_suppkey % 3 = 0 AS holed", "s_suppkey % 9 = 0 AS island")
+    rings = F.array(
+        F.struct(F.lit(0).alias("ring"), C("x").alias("a"), C("y").alias("b"), C("s").alias("w"), F.lit(True).alias("has")),
+        F.struct(F.lit(1).alias("ring"), (C("x") + 2).alias("a"), (C("y") + 2).alias("b"), (C("s") - 4).alias("w"), C("holed").alias("has")),
+        F.struct(F.lit(2).alias("ring"), (C("x") + 3).alias("a"), (C("y") + 3).alias("b"), F.lit(1.0).alias("w"), C("island").alias("has")),
+    )
+    d = d.select("poly", F.explode(F.filter(rings, lambda r: r["has"])).alias("r"))
+    corner = F.array(*(F.struct(F.lit(i).alias("seq"), (C("r.a") + p * C("r.w")).alias("x"), (C("r.b") + q * C("r.w")).alias("y")) for i, (p, q) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))))
+    return spatial.edge_table(d.select("poly", C("r.ring").alias("ring"), F.explode(corner).alias("c")).select("poly", "ring", "c.seq", "c.x", "c.y"))
+
+
+def _lattice(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST((o_orderkey * 7919) % 460 AS DOUBLE) / 2 END AS x", "CAST((o_orderkey * 104729) % 460 AS DOUBLE) / 2 AS y")
+
+
+SQUARES = """s AS (SELECT CAST(s_suppkey AS INT) AS poly, CAST((s_suppkey * 37) % 200 AS DOUBLE) AS a, CAST((s_suppkey * 53) % 200 AS DOUBLE) AS b, CAST(8 + s_suppkey % 13 AS DOUBLE) AS w, s_suppkey % 3 = 0 AS holed, s_suppkey % 9 = 0 AS island FROM supplier),
+o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST((o_orderkey * 7919) % 460 AS DOUBLE) / 2 END AS x, CAST((o_orderkey * 104729) % 460 AS DOUBLE) / 2 AS y FROM orders),
+j AS (SELECT id, poly, x, y, x > a AND x < a + w AND y > b AND y < b + w AS inside, x >= a AND x <= a + w AND y >= b AND y <= b + w AS closed,
+  x > a + 2 AND x < a + w - 2 AND y > b + 2 AND y < b + w - 2 AS in_hole, x >= a + 2 AND x <= a + w - 2 AND y >= b + 2 AND y <= b + w - 2 AS hole_closed,
+  x > a + 3 AND x < a + 4 AND y > b + 3 AND y < b + 4 AS on_island, x >= a + 3 AND x <= a + 4 AND y >= b + 3 AND y <= b + 4 AS island_closed, holed, island FROM o JOIN s ON x BETWEEN a AND a + w AND y BETWEEN b AND b + w)"""
+
+
+@query("spatial_join", f"""WITH {SQUARES} SELECT id, poly FROM j WHERE closed AND (NOT (holed AND in_hole) OR (island AND island_closed))""")
+def spatial_join(spark, sf_dir):
+    return spatial.spatial_join(_lattice(spark, sf_dir), _squares(spark, sf_dir)).select("id", "poly")
+
+
+@query("spatial_within", f"""WITH {SQUARES}, k AS (SELECT id, count(*) AS n FROM j WHERE inside AND (NOT (holed AND hole_closed) OR (island AND on_island)) GROUP BY id) SELECT o.id, coalesce(n, 0) AS n_polygons FROM o LEFT JOIN k USING (id)""")
+def spatial_within(spark, sf_dir):
+    return spatial.covering(_lattice(spark, sf_dir), _squares(spark, sf_dir), boundary=False).select("id", F.size("covering").cast("long").alias("n_polygons"))
+
+
+# Islands around the suppliers: eight corners each, many of them overlapping, as a polygon table on the plane.
+def _islands(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("CAST(s_suppkey AS INT) AS poly", "0 AS ring", "-0.5D + CAST((s_suppkey * 7919) % 1009 AS DOUBLE) / 1009D AS lon", "50D + CAST((s_suppkey * 104729) % 1013 AS DOUBLE) / 1013D AS lat", "0.01D + CAST(s_suppkey % 7 AS DOUBLE) / 200D AS r")
+    d = d.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    far = C("r") * F.when((C("seq") + C("poly")) % 2 == 0, 1.0).otherwise(0.55)
+    x, y = geo.project(C("lon") + far * F.cos(C("seq") * math.pi / 4), C("lat") + far * 0.6 * F.sin(C("seq") * math.pi / 4))
+    return spatial.edge_table(d.select("poly", "ring", "seq", x.alias("x"), y.alias("y")))
+
+
+_IX, _IY = (c.replace("longitude", "vlon").replace("latitude", "vlat") for c in (X, Y))
+ISLANDS = f"""v0 AS (SELECT s_suppkey AS poly, CAST(-0.5 AS DOUBLE) + CAST((s_suppkey * 7919) % 1009 AS DOUBLE) / 1009 AS lon, 50 + CAST((s_suppkey * 104729) % 1013 AS DOUBLE) / 1013 AS lat, CAST(0.01 AS DOUBLE) + CAST(s_suppkey % 7 AS DOUBLE) / 200 AS r, unnest(range(8)) AS seq FROM supplier),
+v1 AS (SELECT poly, seq, lon + r * CASE WHEN (seq + poly) % 2 = 0 THEN 1 ELSE CAST(0.55 AS DOUBLE) END * cos(seq * pi() / 4) AS vlon, lat + r * CASE WHEN (seq + poly) % 2 = 0 THEN 1 ELSE CAST(0.55 AS DOUBLE) END * CAST(0.6 AS DOUBLE) * sin(seq * pi() / 4) AS vlat FROM v0),
+v2 AS MATERIALIZED (SELECT poly, seq, {_IX} AS x1, {_IY} AS y1 FROM v1),
+ie AS MATERIALIZED (SELECT a.poly, a.x1, a.y1, b.x1 AS x2, b.y1 AS y2 FROM v2 a JOIN v2 b ON a.poly = b.poly AND b.seq = (a.seq + 1) % 8),
+iq AS MATERIALIZED (SELECT "TagID", event_id, {X} AS x, {Y} AS y FROM placed),
+ip AS MATERIALIZED (SELECT "TagID", event_id, poly, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS covered,
+  min(sqrt(pow(x - (x1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (x2 - x1)), 2) + pow(y - (y1 + greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) * (y2 - y1)), 2))) AS dist
+  FROM iq CROSS JOIN ie GROUP BY ALL)"""
+
+
+@query("offshore_islands", f"""WITH {TRACK}, {ISLANDS} SELECT "TagID", event_id, CAST(NOT bool_or(covered) AS INT) AS offshore FROM ip GROUP BY ALL""")
+def offshore_islands(spark, sf_dir):
+    return enrich.offshore(placed(spark, sf_dir), _islands(spark, sf_dir)).select("TagID", "event_id", "offshore")
+
+
+@query("dist2coast_islands", f"""WITH {TRACK}, {ISLANDS}, d AS (SELECT "TagID", event_id, bool_or(covered) AS onshore, min(dist) AS dist FROM ip GROUP BY ALL) SELECT "TagID", event_id, onshore, CASE WHEN NOT onshore THEN round(dist, 2) END AS dist_at_sea FROM d""")
+def dist2coast_islands(spark, sf_dir):
+    # At sea the outline of all islands together is as near as the nearest island's; on land inner edges are none, which the tests hold.
+    d = enrich.dist2coast(placed(spark, sf_dir).select("TagID", "event_id", "longitude", "latitude"), _islands(spark, sf_dir))
+    return d.select("TagID", "event_id", "onshore", F.when(~C("onshore"), F.round("dist2coast", 2)).alias("dist_at_sea"))
+
+
+_UX, _UY = utm(31)
+
+
+@query("reproject_utm", f'WITH {TRACK} SELECT "TagID", event_id, round({_UX}, 3) AS "X", round({_UY}, 3) AS "Y" FROM placed')
+def reproject_utm(spark, sf_dir):
+    return rounded(enrich.project(placed(spark, sf_dir), 32631).select("TagID", "event_id", "X", "Y"), X=3, Y=3)
+
+
+@query("unproject", f'WITH {TRACK} SELECT "TagID", event_id, round(longitude, 9) AS longitude, round(latitude, 9) AS latitude, round(longitude, 9) AS utm_longitude, round(latitude, 9) AS utm_latitude FROM placed')
+def unproject(spark, sf_dir):
+    d = placed(spark, sf_dir).select("TagID", "event_id", "longitude", "latitude")
+    d = enrich.unproject(enrich.project(d), 3035, (("X", "Y", "lon", "lat"),))
+    d = enrich.unproject(enrich.project(d, 32631), 32631, (("X", "Y", "utm_longitude", "utm_latitude"),))
+    return rounded(d.select("TagID", "event_id", C("lon").alias("longitude"), C("lat").alias("latitude"), "utm_longitude", "utm_latitude"), longitude=9, latitude=9, utm_longitude=9, utm_latitude=9)
+
+
 def _sun_sql() -> str:
     """The solar equations of ``geo.sun_times`` in SQL; seconds from 1970."""
     up = ", ".join(f"acos(CASE WHEN (sin(radians({a})) - sin(radians(latitude)) * sin(de)) / (cos(radians(latitude)) * cos(de)) BETWEEN -1 AND 1 THEN (sin(radians({a})) - sin(radians(latitude)) * sin(de)) / (cos(radians(latitude)) * cos(de)) END) AS w_{s}" for (_, s), a in geo.SUN_ALTITUDES.items())
@@ -915,10 +998,10 @@ SELECT "TagID", CAST("year" AS INT) AS "year", "tripNo", round(max(d), 4) AS "Di
   round(max(coast), 2) AS "DistCoastMax", round(max(CASE WHEN NOT onshore THEN coast END), 2) AS "DistCoastMax_off", round(max(CASE WHEN onshore THEN coast END), 2) AS "DistCoastMax_on" FROM o GROUP BY ALL"""
 
 
-def _coast_stats(spark, sf_dir, **place):
+def _coast_stats(spark, sf_dir, more=None, **place):
     d = trips.trip_stats(_coastal(spark, sf_dir), order=ORDER, **place)
-    d = d.select("TagID", "year", "tripNo", "DistMax", "DistN", "DistMax_off", "DistMax_on", "DistalPointOff", "DistCoastMax", "DistCoastMax_off", "DistCoastMax_on")
-    return rounded(d, DistMax=4, DistMax_off=4, DistMax_on=4, DistCoastMax=2, DistCoastMax_off=2, DistCoastMax_on=2)
+    d = d.select("TagID", "year", "tripNo", "DistMax", "DistN", "DistMax_off", "DistMax_on", "DistalPointOff", "DistCoastMax", "DistCoastMax_off", "DistCoastMax_on", *(more or {}))
+    return rounded(d, **(more or {}), DistMax=4, DistMax_off=4, DistMax_on=4, DistCoastMax=2, DistCoastMax_off=2, DistCoastMax_on=2)
 
 
 @query("trip_stats_nests", _stats_sql(f"""o AS (SELECT p.*, {haversine('longitude', 'latitude', 'home_x', 'home_y', geo.MEAN_EARTH)} / 1000 AS d FROM p JOIN home USING ("TagID"))""", ", " + NESTS))
@@ -932,12 +1015,32 @@ def trip_stats_first_fix(spark, sf_dir):
     return _coast_stats(spark, sf_dir)
 
 
-_CX, _CY = (sum(p[i] for p in LAND[0]) / len(LAND[0]) for i in (0, 1))
+_RING = ", ".join(f"({i}, CAST({x!r} AS DOUBLE), CAST({y!r} AS DOUBLE))" for i, (x, y) in enumerate(LAND[0]))
+_CLON, _CLAT = lonlat("cx", "cy")
+#: The island's centre of mass by the shoelace formula, about its first corner, and back in degrees.
+CENTRE = f"""rv(i, x, y) AS (VALUES {_RING}), rs AS (SELECT a.x - o.x AS p1, a.y - o.y AS q1, b.x - o.x AS p2, b.y - o.y AS q2, o.x AS ox, o.y AS oy FROM rv a JOIN rv b ON b.i = (a.i + 1) % {len(LAND[0])} JOIN rv o ON o.i = 0),
+rc AS (SELECT ox + sum((p1 + p2) * (p1 * q2 - p2 * q1)) / (3 * sum(p1 * q2 - p2 * q1)) AS cx, oy + sum((q1 + q2) * (p1 * q2 - p2 * q1)) / (3 * sum(p1 * q2 - p2 * q1)) AS cy FROM rs GROUP BY ox, oy),
+centre AS (SELECT cx, cy, {_CLON} AS clon, {_CLAT} AS clat FROM rc)"""
 
 
-@query("trip_stats_shape", _stats_sql(f"o AS (SELECT *, sqrt(pow(x - {_CX!r}, 2) + pow(y - {_CY!r}, 2)) / 1000 AS d FROM p)"))
+@query("trip_stats_shape", _stats_sql("o AS (SELECT p.*, clon, clat, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) / 1000 AS d FROM p, centre)", ", " + CENTRE).replace(
+    "FROM o GROUP BY ALL", ', round(arg_max(longitude, d), 6) AS max_lon, round(arg_max(latitude, d), 6) AS max_lat, round(any_value(clon), 7) AS col_lon, round(any_value(clat), 7) AS col_lat, round(degrees(atan2(arg_max(longitude, d) - any_value(clon), arg_max(latitude, d) - any_value(clat))) + CASE WHEN arg_max(longitude, d) < any_value(clon) THEN 360 ELSE 0 END, 5) AS "MaxBear" FROM o GROUP BY ALL'))
 def trip_stats_shape(spark, sf_dir):
-    return _coast_stats(spark, sf_dir, rings=LAND)
+    return _coast_stats(spark, sf_dir, more=dict(max_lon=6, max_lat=6, col_lon=7, col_lat=7, MaxBear=5), rings=LAND)
+
+
+_RX, _RY = lonlat("px", "py")
+
+
+@query("resample_degrees", f"""WITH {TRACK}, q AS (SELECT "TagID", "DateTime", event_id, {X} AS x, {Y} AS y FROM placed), l AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM q {W}),
+d AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS leg FROM l), a AS (SELECT *, coalesce(sum(leg) OVER (PARTITION BY "TagID" ORDER BY "DateTime", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d),
+g AS (SELECT *, unnest(CASE WHEN leg IS NULL THEN CASE WHEN floor(pos / 5000) * 5000 = pos THEN [CAST(floor(pos / 5000) AS BIGINT)] ELSE [] END ELSE range(CAST(ceil(pos / 5000) AS BIGINT), CAST(ceil((pos + leg) / 5000) AS BIGINT)) END) AS step FROM a),
+p AS (SELECT "TagID", step, x + coalesce((x2 - x) * (step * 5000 - pos) / leg, 0) AS px, y + coalesce((y2 - y) * (step * 5000 - pos) / leg, 0) AS py FROM g), r AS (SELECT *, atan2(lead(py) OVER v - py, lead(px) OVER v - px) AS an FROM p WINDOW v AS (PARTITION BY "TagID" ORDER BY step)), h AS (SELECT *, px - 50 * cos(an + pi() / 6) AS qx, py - 50 * sin(an + pi() / 6) AS qy, px - 50 * cos(an - pi() / 6) AS sx, py - 50 * sin(an - pi() / 6) AS sy FROM r)
+SELECT "TagID", step, round({_RX}, 5) AS longitude, round({_RY}, 5) AS latitude, round({_RX.replace("px", "qx").replace("py", "qy")}, 5) AS left_lon, round({_RY.replace("px", "qx").replace("py", "qy")}, 5) AS left_lat, round({_RX.replace("px", "sx").replace("py", "sy")}, 5) AS right_lon, round({_RY.replace("px", "sx").replace("py", "sy")}, 5) AS right_lat FROM h""")
+def resample_degrees(spark, sf_dir):
+    d = movement.arrow_heads(movement.resample_path(enrich.project(placed(spark, sf_dir)), 5000, ORDER))
+    d = enrich.unproject(d, 3035, (("X", "Y", "longitude", "latitude"), ("left_x", "left_y", "left_lon", "left_lat"), ("right_x", "right_y", "right_lon", "right_lat")))
+    return rounded(d.select("TagID", "step", "longitude", "latitude", "left_lon", "left_lat", "right_lon", "right_lat"), longitude=5, latitude=5, left_lon=5, left_lat=5, right_lon=5, right_lat=5)
 
 
 @query("trips_made_shape", f'WITH {TRACK}, {gapped()} SELECT "TagID", event_id, CAST({_inside([trips.make_shape("circ", COLONY, RADIUS)])} AS INT) AS "Col" FROM gapped')

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "wayspan", cpus: int | str | None = None, partitions: int | None = None) -> SparkSession:
@@ -29,6 +29,19 @@ def build_session(app: str = "wayspan", cpus: int | str | None = None, partition
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, into the folder that driver and executors share (spark.checkpoint.dir); a temporary one
+    only where that is unset and everything runs on this machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="wayspan-")
+        atexit.register(shutil.rmtree, d, True)
+        sc.setCheckpointDir(d)
+    return df.checkpoint()
+
+
 _shipped: set[str] = set()
 
 
