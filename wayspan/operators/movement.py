@@ -6,6 +6,7 @@ anew. Nulls in coordinates or times give null distances and speeds, and such row
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -203,54 +204,185 @@ def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return 2 * EARTH * math.asin(math.sqrt(min(1.0, h)))
 
 
+def _smoothed(v: np.ndarray, p: int, include_centre: bool, clip: bool) -> np.ndarray:
+    """Root mean square of the speeds in a frame of p each side: over what there is, or null unless all are there."""
+    pad = np.r_[np.full(p, np.nan), v, np.full(p, np.nan)]
+    rows = np.lib.stride_tricks.sliding_window_view(pad, 2 * p + 1)
+    sq = rows**2
+    sq = sq if include_centre else np.delete(sq, p, axis=1)
+    n = (~np.isnan(sq)).sum(1)
+    with np.errstate(invalid="ignore"):
+        out = np.sqrt(np.nansum(sq, 1) / np.maximum(n, 1))
+    return np.where(~np.isnan(rows).any(1) if clip else n > 0, out, np.nan)
+
+
+def smooth_flags(us: np.ndarray, lon: np.ndarray, lat: np.ndarray, limit: float, p: int, include_centre: bool, clip: bool, fall_back: bool) -> np.ndarray:
+    """1 for the fixes of a section (in order, times in microseconds) that the filter on smoothed speeds removes.
+
+    As long as some smoothed speed exceeds the limit, the first fix at or over it goes and speeds are worked out anew; the
+    first round prefers a fix that both its speeds exceed by 20, and takes one at the limit too. Kept fixes are a linked
+    list and offences a heap, so a removal works out only the next fix's speed and the smoothed ones of the 2p + 1 fixes
+    around it. Where no smoothed speed is left, raw ones decide if ``fall_back`` is set.
+    """
+    out = np.zeros(len(us), np.int32)
+    use = np.flatnonzero(~(np.isnan(us) | np.isnan(lon) | np.isnan(lat)))
+    n = len(use)
+    if n < 2:
+        return out
+    t, x, y = us[use] / 1e6, lon[use], lat[use]
+    a, b = np.radians(y[:-1]), np.radians(y[1:])
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(np.diff(x)) / 2) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        raw = np.r_[np.nan, 2 * EARTH * np.arcsin(np.sqrt(np.minimum(h, 1))) / np.diff(t)].tolist()
+    v = _smoothed(np.array(raw), p, include_centre, clip).tolist()
+    t, x, y = t.tolist(), x.tolist(), y.tolist()
+    before, after, live = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+    nan = math.nan
+
+    def speed(i: int) -> float:
+        j = before[i]
+        if j < 0:
+            return nan
+        d, dt = _metres(x[j], y[j], x[i], y[i]), t[i] - t[j]
+        return d / dt if dt else (math.inf if d else nan)
+
+    def frame(i: int) -> float:
+        left, right, j, k = [], [], i, i
+        for _ in range(p):
+            j = before[j] if j >= 0 else -1
+            k = after[k] if k >= 0 else -1
+            left.append(raw[j] if j >= 0 else nan)
+            right.append(raw[k] if k >= 0 else nan)
+        around = [*left[::-1], raw[i], *right]
+        if clip and any(s != s for s in around):
+            return nan
+        sq = [s * s for k, s in enumerate(around) if s == s and (include_centre or k != p)]
+        return math.sqrt(sum(sq) / len(sq)) if sq else nan
+
+    sm, known, first = v, sum(s == s for s in v), True
+
+    def choose() -> tuple[list[float], int, list[int]]:
+        """The speeds that decide, how many exceed the limit, and the heap of those at or over it."""
+        now = sm if known else list(raw) if fall_back else []
+        return now, sum(s > limit and live[i] for i, s in enumerate(now)), [i for i, s in enumerate(now) if s >= limit and live[i]]  # in order, so a heap
+
+    v, over, heap = choose()
+    while over or (first and heap):
+        k = None
+        if first:
+            k = next((i for i in range(n - 1) if v[i] > limit + 20 and v[i + 1] > limit + 20), None)
+            first = False
+        while k is None:
+            i = heapq.heappop(heap)
+            k = i if live[i] and v[i] >= limit else None
+        had = known
+        out[use[k]], live[k] = 1, False
+        over -= v[k] > limit
+        known -= sm[k] == sm[k]
+        q, r = before[k], after[k]
+        if q >= 0:
+            after[q] = r
+        if r >= 0:
+            before[r] = q
+            raw[r] = speed(r)
+        touched, i, j = [], q, r
+        for _ in range(p):
+            if i >= 0:
+                touched.append(i)
+                i = before[i]
+        for _ in range(p + 1):
+            if j >= 0:
+                touched.append(j)
+                j = after[j]
+        for i in touched:
+            new = frame(i)
+            known += (new == new) - (sm[i] == sm[i])
+            now = new if had else raw[i]
+            over += (now > limit) - (v[i] > limit)
+            if now >= limit:
+                heapq.heappush(heap, i)
+            sm[i] = new
+            v[i] = now
+        if bool(had) != bool(known):
+            v, over, heap = choose()
+    return out
+
+
+def _looped_flags(us: np.ndarray, lon: np.ndarray, lat: np.ndarray, limit: float, fun: Callable, fall_back: bool) -> np.ndarray:
+    """The like for smoothed speeds by any function of a whole section: worked out anew after each removal."""
+    out = np.zeros(len(us), np.int32)
+    alive = list(np.flatnonzero(~(np.isnan(us) | np.isnan(lon) | np.isnan(lat))))
+    first = True
+    while len(alive) > 1:
+        i = np.array(alive)
+        a, b = np.radians(lat[i][:-1]), np.radians(lat[i][1:])
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(np.diff(lon[i])) / 2) ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            raw = np.r_[np.nan, 2 * EARTH * np.arcsin(np.sqrt(np.minimum(h, 1))) / np.diff(us[i] / 1e6)]
+        v = np.asarray(fun(np.arange(1, len(raw) + 1), raw), float)
+        v = raw if np.isnan(v).all() and fall_back else v
+        if np.isnan(v).all() or np.nanmax(v) < limit or (np.nanmax(v) == limit and not first):
+            break  # at the limit the first round alone removes one
+        leaving = np.r_[v[1:], np.nan]
+        both = np.flatnonzero((v > limit + 20) & (leaving > limit + 20)) if first else []
+        out[alive.pop(int(both[0] if len(both) else np.flatnonzero(v >= limit)[0]))] = 1
+        first = False
+    return out
+
+
 def _smooth_filter(df: DataFrame, limit: float, method: str, points: int, include_centre: bool, fun: Callable | None, fall_back: bool, order: Order, keys: list[str]) -> DataFrame:
-    """The like on smoothed speeds; removing a fix changes its neighbours', so each section is a loop of its own; a tag's sections share a task."""
+    """speed_rm by smoothed speeds. Sections are dealt out one by one and read as a stream of sorted Arrow batches; a task
+    holds the batches of one section, and of its rows' numbers only times and places."""
+    w = order.window(*(k for k in keys if k != order.key))
+    d = df.withColumns({"__us": micros(order.time).cast("double"), "__lon": C("longitude").cast("double"), "__lat": C("latitude").cast("double"), "__id": F.row_number().over(w)})
+    d = d.sortWithinPartitions(*keys, *order.by)
     schema = T.StructType([*df.schema, T.StructField("speed_rm", T.IntegerType())])
+    names = list(df.columns)
+    p, centre, clip = (2, False, True) if method == "mcconnell" else (points, include_centre, method == "flexi_clip")
 
-    def smooth(v: np.ndarray) -> np.ndarray:
+    def flags(us: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
         if fun is not None:
-            return np.asarray(fun(np.arange(1, len(v) + 1), v), float)
-        p = 2 if method == "mcconnell" else points
-        pad = np.r_[np.full(p, np.nan), v, np.full(p, np.nan)]
-        rows = np.lib.stride_tricks.sliding_window_view(pad, 2 * p + 1)
-        full = ~np.isnan(rows).any(1)
-        sq = rows**2
-        if method == "mcconnell" or not include_centre:
-            sq = np.delete(sq, p, axis=1)
-        n = (~np.isnan(sq)).sum(1)
-        with np.errstate(invalid="ignore"):
-            out = np.sqrt(np.nansum(sq, 1) / np.maximum(n, 1))
-        return np.where(full if method in ("mcconnell", "flexi_clip") else n > 0, out, np.nan)
-
-    def flags(b: pd.DataFrame) -> np.ndarray:
-        t = b[order.time].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        lon, lat = np.radians(b["longitude"].to_numpy(float)), np.radians(b["latitude"].to_numpy(float))
-        alive = list(np.flatnonzero(~(np.isnan(lon) | np.isnan(lat) | b[order.time].isna().to_numpy())))
-        out, first = np.zeros(len(b), int), True
-        while len(alive) > 1:
-            i = np.array(alive)
-            a = np.sin(np.diff(lat[i]) / 2) ** 2 + np.cos(lat[i][:-1]) * np.cos(lat[i][1:]) * np.sin(np.diff(lon[i]) / 2) ** 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                raw = np.r_[np.nan, 2 * EARTH * np.arcsin(np.sqrt(np.minimum(a, 1))) / np.diff(t[i])]
-            v = smooth(raw)
-            if np.isnan(v).all() and fall_back:
-                v = raw
-            if np.isnan(v).all() or np.nanmax(v) < limit or (np.nanmax(v) == limit and not first):
-                break  # at the limit the first round alone removes one
-            leaving = np.r_[v[1:], np.nan]
-            both = np.flatnonzero((v > limit + 20) & (leaving > limit + 20)) if first else []
-            k = both[0] if len(both) else np.flatnonzero(v >= limit)[0]
-            out[alive.pop(int(k))] = 1
-            first = False
-        return out
+            return _looped_flags(us, lon, lat, limit, fun, fall_back)
+        return smooth_flags(us, lon, lat, limit, p, centre, clip, fall_back)
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values([*keys[1:], *order.by]).reset_index(drop=True)
-        parts = [b] if len(keys) == 1 else [s for _, s in b.groupby(keys[1:], sort=False)]
-        return b.assign(speed_rm=np.concatenate([flags(s) for s in parts]))
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # batches not yet given out
+        parts: list[list[np.ndarray]] = []  # the open section's columns
+        done: list[np.ndarray] = []  # flags of ended sections
+
+        def end() -> None:
+            if parts:
+                done.append(flags(*(np.concatenate(c) for c in zip(*parts))))
+                parts.clear()
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            have = np.concatenate(done) if done else np.zeros(0, np.int32)
+            at = 0
+            while waiting and waiting[0].num_rows <= len(have) - at:
+                b = waiting.pop(0)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(have[at : at + b.num_rows], pa.int32())], names=[*names, "speed_rm"])
+                at += b.num_rows
+            done[:] = [have[at:]]
+
+        for b in batches:
+            get = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            cols = [get(c) for c in ("__us", "__lon", "__lat")]
+            starts = np.flatnonzero(get("__id") == 1)
+            waiting.append(b)
+            at = 0
+            for s in [*starts.tolist(), b.num_rows]:
+                if s > at:
+                    parts.append([c[at:s] for c in cols])
+                if s < b.num_rows:
+                    end()
+                at = s
+            if len(starts):
+                yield from ready()
+        end()
+        yield from ready()
 
     ship(df.sparkSession)
-    return df.groupBy(order.key).applyInPandas(run, schema)
+    return d.mapInArrow(passed, schema)
 
 
 def speed_filt(df: DataFrame, limit: float = 50, method: str = "none", hybrid: bool = False, points: int = 2, include_centre: bool = True, fun: Callable | None = None, fall_back: bool = True, has_gaps: bool = True, annotate: bool = True, order: Order = ORDER) -> DataFrame:
