@@ -198,6 +198,34 @@ class _Pass:
         return out
 
 
+def section_flags(us: np.ndarray, lon: np.ndarray, lat: np.ndarray, limit: float) -> np.ndarray:
+    """speed_rm of one section held in arrays (in order, times in microseconds, NaN for what is missing): what
+    ``speed_filt`` gives for it."""
+    n = len(us)
+    placed = ~(np.isnan(us) | np.isnan(lon) | np.isnan(lat))
+
+    def speeds(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = np.radians(lat[i]), np.radians(lat[j])
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon[j] - lon[i]) / 2) ** 2
+        dt = (us[j] - us[i]) / 1e6
+        return 2 * EARTH * np.arcsin(np.sqrt(np.minimum(h, 1))) / np.where(dt == 0, np.nan, dt)
+
+    at = np.arange(n)
+    fast = np.r_[np.nan, speeds(at[:-1], at[1:])]
+    first = np.zeros(n, bool)
+    if (fast > limit).any():
+        both = np.flatnonzero((fast > limit + 20) & (np.r_[fast[1:], np.nan] > limit + 20))
+        first[both[:1]] = True
+    use = placed & ~first
+    rows, v = np.flatnonzero(use), np.full(n, np.nan)
+    v[rows[1:]] = speeds(rows[:-1], rows[1:])
+    over = np.flatnonzero(v > limit)
+    offence = np.full(n, over[-1] + 1 if len(over) else 0)
+    fix = pa.StructArray.from_arrays([pa.array(c) for c in (us, lon, lat)], ["us", "lon", "lat"])
+    columns = {"__fix": fix, "__id": pa.array(at + 1), "__v": pa.array(v), "__last": pa.array(offence), "__alone": pa.array(np.full(n, not len(over) and not first.any())), "__first": pa.array(first), "__use": pa.array(use)}
+    return _Pass(limit).batch(pa.RecordBatch.from_arrays(list(columns.values()), list(columns)))
+
+
 def _metres(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     p, q = math.radians(lat1), math.radians(lat2)
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
