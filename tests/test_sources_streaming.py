@@ -29,13 +29,15 @@ def test_streams(spark, tmp_path):
     d = placed(spark, "/root/testdata/sf0.001").select("TagID", F.col("DateTime").cast("timestamp").alias("DateTime"), "longitude", "latitude")
     d.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    for name, q, mode in (("sect", live.sections(s, late="0 seconds"), "append"), ("fast", live.speed_flags(s, 5.0), "append")):
+    for name, q, mode in (("sect", live.sections(s, late="0 seconds"), "append"), ("fast", live.speed_flags(s, 5.0), "append"), ("days", live.day_counts(s), "complete")):
         run = q.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         run.processAllAvailable()
         run.stop()
     assert spark.table("fast").count() == d.count()
     assert 0 < spark.table("fast").filter("speed_rm = 1").count() < d.count()
     assert spark.table("sect").count() > 0
+    days = d.groupBy("TagID", F.to_date("DateTime").alias("day")).count()
+    assert sorted((r.TagID, r.day.date(), r.n) for r in spark.table("days").collect()) == sorted((r["TagID"], r["day"], r["count"]) for r in days.collect())
 
 
 def test_entry_without_the_corpus_part(spark):

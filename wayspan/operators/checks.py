@@ -25,7 +25,8 @@ def highest(flags: Sequence[str]) -> Column:
 
 
 def bound_flag(df: DataFrame, name: str, lower: Bound, upper: Bound, inclusive: bool = True) -> Column:
-    """1 outside the bounds (on them too if inclusive); text equals its one bound; a function gives the test itself."""
+    """1 outside the bounds (on them too if inclusive); text equals its one bound; a function of the column gives the test
+    itself (one of numpy arrays by ``functions.user.over_values``)."""
     x = C(name)
     calls = [b for b in (lower, upper) if callable(b)]
     if calls:

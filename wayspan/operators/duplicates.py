@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayspan.functions.user import aggregate
 from wayspan.operators.schema import ORDER, Order, micros
 
 C = F.col
@@ -56,7 +57,7 @@ def _centroid(df: DataFrame, keys: list[str], center: dict[str, Callable[[Column
     """Rows of a key become one: chosen columns by an aggregate, the rest from the first row."""
     rest = [c for c in df.columns if c not in keys and c not in center]
     first = F.min_by(F.struct(*rest), F.struct(*order.by)).alias("__f")
-    g = df.groupBy(*keys).agg(first, *[f(C(c)).alias(c) for c, f in center.items()])
+    g = df.groupBy(*keys).agg(first, *[aggregate(f)(C(c)).alias(c) for c, f in center.items()])
     return g.select(*[C(f"__f.{c}").alias(c) if c in rest else C(c) for c in df.columns])
 
 
@@ -78,7 +79,7 @@ def resolve_same_place(df: DataFrame, method: str = "first", variables: Sequence
     known, open_ = df.filter("longitude is not null and latitude is not null"), df.filter("longitude is null or latitude is null")
     if method == "avg_time":
         kind = df.schema[order.time].dataType
-        mean = lambda c: F.timestamp_micros(F.floor(time_fun(micros(c))).cast("long")).cast(kind)
+        mean = lambda c: F.timestamp_micros(F.floor(aggregate(time_fun)(micros(c))).cast("long")).cast(kind)
         done = _centroid(known, [order.key, "longitude", "latitude"], {order.time: mean}, order)
     else:
         w = order.whole("longitude", "latitude").orderBy(*_ranking(method, order, variables, directions, seed))
@@ -121,7 +122,7 @@ def resolve_parallel(df: DataFrame, method: str = "first", variables: Sequence[s
     d = parallel_streams(df, order)
     if method == "merge":
         return d.drop("brksec", "parallel_issue", "overlap_block")
-    q = quality_fun(quality(variables, directions)) if variables else F.lit(0.0)
+    q = aggregate(quality_fun)(quality(variables, directions)) if variables else F.lit(0.0)
     seg = d.filter("overlap_block is not null").groupBy(order.key, "overlap_block", "brksec").agg(q.alias("q"))
     rank = {"first": [C("brksec")], "last": [C("brksec").desc()], "best_quality": [C("q").desc(), C("brksec")], "random": [F.xxhash64(C(order.key).cast("string"), "overlap_block", "brksec", F.lit(seed))]}[method]
     best = seg.withColumn("__r", F.row_number().over(W.partitionBy(order.key, "overlap_block").orderBy(*rank))).filter("__r = 1").select(order.key, "overlap_block", C("brksec").alias("__best"))
@@ -134,8 +135,9 @@ def duplicate_track(
     quality_fun: Callable[[Column], Column] = F.avg, centroid_fun: Callable[[Column], Column] = median, time_fun: Callable[[Column], Column] = F.avg,
 ) -> DataFrame:
     """All steps in turn. ``mode``: resolve, annotate (flags), or detect (report). ``methods`` overrides per step:
-    parallel, same_time, same_loc, exact. The three functions are aggregates of columns: of a parallel segment's
-    quality, of coordinates at one time, and of times at one place."""
+    parallel, same_time, same_loc, exact. The three functions are aggregates of columns, or numpy's (see
+    ``functions.user`` for one's own): of a parallel segment's quality, of coordinates at one time, and of times at one
+    place."""
     of = lambda step: (methods or {}).get(step, method)
     if mode == "detect":
         return detect(df, use_coords, order)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayspan.operators import checks, duplicates, enrich, movement
-from wayspan.operators.schema import ORDER, Order, Tracked, validate
+from wayspan.operators.schema import ORDER, Order, Tracked, stamp, validate
 
 C = F.col
 
@@ -47,7 +47,8 @@ class Cleaning:
 
 
 def clean_track(df: DataFrame, how: Cleaning | None = None, annotate: bool = True, order: Order = ORDER) -> Tracked:
-    """The cleaned table with its parameters and the flags in stage order (``attributes['flags']``)."""
+    """The cleaned table with its parameters and the flags in stage order (``attributes['flags']``); the table's schema remembers
+    them too (``schema.attributes``)."""
     p = how or Cleaning()
     d, flags = validate(df), []
 
@@ -104,4 +105,5 @@ def clean_track(df: DataFrame, how: Cleaning | None = None, annotate: bool = Tru
     if annotate:
         d = checks.combined(d, flags)
     d = movement.time_steps(d, order)
-    return Tracked(d, {"cleaning": p, "flags": flags, "annotate": annotate})
+    told = {f.name: getattr(p, f.name) for f in fields(p)}
+    return Tracked(stamp(d, "clean_track", order.key, flags=flags, annotate=annotate, **told), {"cleaning": p, "flags": flags, "annotate": annotate})

@@ -6,6 +6,7 @@ there are several. Row order is never implied; operators take an ``Order``.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -69,6 +70,12 @@ def is_kind(df: DataFrame, kind: str, strict: bool = True) -> bool:
     return not strict or "DateTime" not in KINDS[kind] or df.schema["DateTime"].dataType.typeName().startswith("timestamp")
 
 
+def is_stack(df: DataFrame, kind: str, stack_col: str = "stack", strict: bool = True) -> bool:
+    """Whether ``df`` is a stack of stacks of ``kind``: its columns, and one that names the stack. (A table of several tags
+    is a stack of one level as it is.)"""
+    return stack_col in df.columns and is_kind(df, kind, strict)
+
+
 def validate(df: DataFrame, kind: str = "track") -> DataFrame:
     """``df`` itself, or an error that names what it lacks."""
     if lacks := missing(df, kind):
@@ -161,6 +168,26 @@ def show(df: DataFrame) -> None:
     df.show(o.rows, o.truncate, o.vertical)
 
 
+def stamp(df: DataFrame, step: str, key: str = "TagID", **parameters) -> DataFrame:
+    """``df`` that remembers a step and its parameters in the schema, beside what it remembers already: on the tag's column,
+    so that it survives writing to formats that keep Spark's schema, and every operator that keeps the column."""
+    known = attributes(df, key)
+    known[step] = json.loads(json.dumps(parameters, default=str))
+    return df.withMetadata(key, {**df.schema[key].metadata, "attributes": json.dumps(known)})
+
+
+def attributes(df: DataFrame, key: str = "TagID") -> dict[str, dict]:
+    """Steps and parameters that ``df`` remembers, in the order they came."""
+    return json.loads(df.schema[key].metadata.get("attributes", "{}"))
+
+
+def give_attributes(df: DataFrame, given: dict[str, dict], key: str = "TagID") -> DataFrame:
+    """``df`` with attributes got from another table, for operators that make new rows from scratch."""
+    for step, parameters in given.items():
+        df = stamp(df, step, key, **parameters)
+    return df
+
+
 @dataclass
 class Tracked:
     """A DataFrame with the parameters that made it."""

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
 from wayspan.operators import checks, duplicates, enrich, movement, outliers, pipeline, rates, reports, schema, spatial, subsample, trips
 from wayspan.plans.adapter import DOUBLED, ORDER, TRACK, doubled, gapped, haversine, lonlat, placed, speeds, track, utm, xy
-from wayspan.sources import simulate, tracks
+from wayspan.sources import tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -316,6 +317,12 @@ def duplicates_centroid(spark, sf_dir):
     return rounded(d.select("TagID", "DateTime", "event_id", "longitude", "latitude"), longitude=9, latitude=9)
 
 
+@query("duplicates_numpy", ORACLE["duplicates_centroid"])  # the same medians, by numpy
+def duplicates_numpy(spark, sf_dir):
+    d = duplicates.resolve_same_time(doubled(spark, sf_dir), "centroid", centroid=np.median, order=ORDER)
+    return rounded(d.select("TagID", "DateTime", "event_id", "longitude", "latitude"), longitude=9, latitude=9)
+
+
 @query("duplicates_same_place", f"""WITH {TRACK}, {DOUBLED}, q AS (SELECT *, row_number() OVER (PARTITION BY "TagID", longitude, latitude ORDER BY "DateTime" DESC, event_id DESC) AS r FROM doubled) SELECT "TagID", event_id FROM q WHERE r = 1""")
 def duplicates_same_place(spark, sf_dir):
     return duplicates.resolve_same_place(doubled(spark, sf_dir), "last", order=ORDER).select("TagID", "event_id")
@@ -763,11 +770,6 @@ def resample_path(spark, sf_dir):
     return rounded(d, X=2, Y=2, angle=5, left_x=2, left_y=2, right_x=2, right_y=2)
 
 
-@query("simulate_trips")
-def simulate_trips(spark, sf_dir):
-    return simulate.sim_data(spark, 3, 4, 40)
-
-
 def _customer_orders(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.selectExpr("o_custkey AS TagID", "o_orderdate AS DateTime", "o_orderkey AS event_id", "CAST(o_totalprice AS DOUBLE) AS longitude", "CAST(o_custkey AS DOUBLE) AS latitude")

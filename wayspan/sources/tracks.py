@@ -59,12 +59,14 @@ def read_tracks(spark: SparkSession, path: str, fmt: str = "parquet", schema: st
     return finish(time_windows(d, bounds, order) if bounds is not None else d, order=order, **how)
 
 
-def jdbc_table(spark: SparkSession, url: str, dbtable: str, ranges: list[tuple[str, str]] | None = None, options: dict | None = None, order: Order = ORDER) -> DataFrame:
-    """A database table; with ``ranges`` of times (from, before) it is read by one connection each, side by side."""
+def jdbc_table(spark: SparkSession, url: str, dbtable: str, ranges: list[tuple[str, str]] | None = None, options: dict | None = None, order: Order = ORDER, quote: str = '"') -> DataFrame:
+    """A database table; with ``ranges`` of times (from, before) it is read by one connection each, side by side. ``quote``
+    is the database's mark around names, which keeps their capitals."""
     r = spark.read.options(**(options or {}))
     if not ranges:
         return r.format("jdbc").options(url=url, dbtable=dbtable).load()
-    parts = [f"{order.time} >= '{a}' AND {order.time} < '{b}'" for a, b in ranges]
+    time = f"{quote}{order.time}{quote}"
+    parts = [f"{time} >= '{a}' AND {time} < '{b}'" for a, b in ranges]
     return r.jdbc(url, dbtable, predicates=parts)
 
 

@@ -35,7 +35,9 @@ def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
 def speed_flags(df: DataFrame, limit: float = 50) -> DataFrame:
     """Fixes with speed_rm, by the speed from the last kept fix of the tag, which is the state (three numbers a tag).
 
-    Fixes are taken in the order of their time within a batch; ones older than the state are flagged.
+    Fixes are taken in the order of their time within a batch; ones older than the state are flagged. What the batch
+    filter decides by the whole section (speeds at the limit, the first round) is left out; ``ordered.ordered_tracks``
+    gives the batch's very flags, once a section is closed.
     """
     key = df.schema["TagID"].dataType.simpleString()
 
@@ -44,7 +46,7 @@ def speed_flags(df: DataFrame, limit: float = 50) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("DateTime")
         flags = []
         for t, x, y in zip(rows["DateTime"].astype("datetime64[us]").astype("int64") / 1e6, rows["longitude"], rows["latitude"]):
-            bad = last is not None and (t <= last[0] or _metres((last[1], last[2]), (x, y)) / (t - last[0]) >= limit)
+            bad = last is not None and (t <= last[0] or _metres((last[1], last[2]), (x, y)) / (t - last[0]) > limit)
             flags.append(int(bad))
             if not bad:
                 last = (t, x, y)
