@@ -534,6 +534,59 @@ def test_the_wrapper_decides_without_tags_and_names():
     assert not any("Share" in g for g in got) and not any(wrappers.extract(p, None) == x for p, x in zip(pages, want))
 
 
+@pytest.mark.parametrize("share", [10, 30, 50, 70, 85, 95])
+@pytest.mark.parametrize("article", [False, True])
+def test_no_share_of_boilerplate_decides(share, article):
+    """Fixed text around articles, in plain containers, from a tenth to 95 % of the page; headline and lead in containers
+    of their own."""
+    rng = np.random.default_rng(share)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    fixed = [word(70), word(70)]
+    pages, want = [], []
+    for _ in range(20):
+        n = max(20, int(140 * (100 - share) / share))
+        parts = [word(8), word(n // 4), word(n)]
+        inner = f"<div class='t'><h1>{parts[0]}</h1></div><div class='lead'>{parts[1]}</div><div class='txt'><p>{parts[2]}</p></div>"
+        inner = f"<article>{inner}</article>" if article else inner
+        links = "".join(f"<li><a href=x>{word(3)}</a></li>" for _ in range(6))
+        pages.append(f"<body><div class='xa'>{fixed[0]}</div><div class='xb'>{inner}</div><div class='xc'><ul>{links}</ul></div><div class='xd'>{fixed[1]}</div></body>")
+        want.append(" ".join(parts))
+    w = wrappers.infer(pages)
+    assert not w["copies"] and [wrappers.extract(p, w) for p in pages] == want
+
+
+def test_headline_beside_the_place():
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    pages, want = [], []
+    for _ in range(12):
+        head, text, date = word(8), [word(60), word(60)], word(1)
+        pages.append(f"<body><div id=m><div class='t'><h2>{head}</h2></div><div class='txt'><p>{text[0]}</p><p>{text[1]}</p></div><div class='d'>{date}</div></div></body>")
+        want.append(" ".join([head, *text]))
+    w = wrappers.infer(pages)
+    assert [wrappers.extract(p, w) for p in pages] == want and w["place"][-1] == "div.txt"
+
+
+def test_copies_single_pages_and_pages_within_a_form():
+    text = " ".join(f"t{i}" for i in range(80))
+    page = lambda n: f"<body><div class='top'>Shop {n}</div><article><h1>Head</h1><p>{text}</p></article></body>"
+    copies = [page(n) for n in range(9)]  # they differ in a number only
+    assert wrappers.extract(copies[3], wrappers.infer(copies)) == "Head " + text
+    one = "<body><div class='a'>Top words here</div><div class='b'><p>" + text + "</p></div></body>"
+    assert wrappers.extract(one, wrappers.infer([one])) == text
+    two = [f"<body><div class='c'><p>{text}</p><p>{x * 40}</p></div></body>" for x in "AB"]  # near copies rather than a template
+    assert [wrappers.extract(p, wrappers.infer(two)) for p in two] == [text + " " + "A" * 40, text + " " + "B" * 40]
+    forms = [f"<body><form id=aspnet><div class='n'>Menu of the site</div><div class='c'><p>{x * 100}</p></div></form></body>" for x in "ABCDEF"]
+    assert [wrappers.extract(p, wrappers.infer(forms)) for p in forms] == [x * 100 for x in "ABCDEF"]
+
+
+def test_hosts_merged_in_parts_give_the_same(spark):
+    rows = [(i, f"http://h{i % 2}.net/{i}", f"<body><div class='x'>The fixed words of the site</div><div class='c'><h1>{chr(65 + i % 26) * 9}</h1><p>{chr(65 + i % 7) * (90 + i)}</p></div></body>") for i in range(120)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({(r.page_id, r.text) for r in wrappers.main_text(d.repartition(n)).collect()} for n in (1, 24))
+    assert one == many == {(i, f"{chr(65 + i % 26) * 9} {chr(65 + i % 7) * (90 + i)}") for i in range(120)}
+
+
 def test_deep_parts_are_left_out_too():
     deep = "<div>" * 400
     pages = [f"<body>{deep}<p>{x * 50}</p><nav>menu {x}</nav><p>{x * 20}</p>" for x in "ABC"]

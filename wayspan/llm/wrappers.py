@@ -3,18 +3,25 @@
 Every page of a host is read as a stream of block tags and texts. Runs of alike groups are folded into repeated groups;
 the streams are then aligned one after the other with the wrapper so far: equal texts stay fixed, unequal ones become
 slots, and groups that only some pages have become optional. Each task aligns the pages it reads and the tasks' wrappers
-of a host are aligned in turn, so no page is left out. A text is template if every page that has its place agrees and
-at least two different pages do; the innermost container that holds most of what fills the slots is the host's content
-place. Each page is then matched against its host's wrapper and its text is what fills the slots (and what the wrapper
-doesn't know) in the content place. Tags and class names take no part in that. They only check behind it: parts of the
-content place that say that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left
-out, and where a host's pages are copies of one, so that there are no slots, an article narrows the place.
+of a host are aligned in two rounds, so no page is left out. A text is template if every page that has its place agrees
+and at least two different pages do, whatever its share of the page.
+
+The host's content place follows from what fills the slots. Parts whose text is mostly links, and parts that hold less
+than a tenth of what the largest holds, don't decide; the innermost container of the others is the place. Beside it,
+under the same element, headings and prose that varies from page to page belong to it too. Each page is then matched
+against its host's wrapper and its text is what fills the slots (and what the wrapper doesn't know) there. Parts that say
+that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out, and decide nothing
+about the place unless all text lies in such parts.
+
+Two articles on one template and two copies of one article can't be told apart by few pages. Where pages differ in less
+than SLOT_CHARS characters each, or a host has fewer than FEW different pages that agree on more than they differ in, they
+are taken for copies: what they share is not template, and an article narrows the place.
 
 Nulls: a null html counts as empty and has an empty text. A null url has the empty host. Markup may be cut off or
 nested wrongly: whatever is open at the end is closed there; elements nested more than DEPTH deep are one place with the
-last of that depth. Repeated pages get equal texts and count once. A host with one page has a wrapper without slots and
-its content place is where that page's text is. Very long pages are read whole. Columns of the input named text, n_chars
-or wrapper are replaced or left out.
+last of that depth. Repeated pages get equal texts and weigh as often as they come. A host with one page has a wrapper
+without slots and its content place is where that page's text is. Very long pages are read whole. Columns of the input
+named text, n_chars or wrapper are replaced or left out.
 """
 
 from __future__ import annotations
@@ -23,7 +30,6 @@ import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +43,16 @@ from wayspan.session import ship
 #: Bytes of wrappers up to which they are broadcast; beyond, those of a host are dealt out in SALTS parts.
 BROADCAST_BYTES, SALTS = 8_000_000, 16
 DEPTH = 150
+#: Different pages from which on what they agree on is template; characters a page that must differ.
+FEW, SLOT_CHARS = 5, 30
+#: A part decides the place if it holds at least the largest one's share of one in so many.
+TENTH = 10
+#: Characters from which on a text beside the place is prose.
+PROSE = 60
+#: Wrappers of a host are merged in so many parts first.
+MERGE_PARTS = 64
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LEAVES = frozenset("p li td th tr dd dt h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 #: Hosts whose wrappers a task holds before it passes them on.
 OPEN_HOSTS = 500
 _TOKEN = re.compile(
@@ -57,6 +73,17 @@ SELF_CLOSE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+class Text(str):
+    """A run of text that knows how many of its characters are a link's."""
+
+    linked = 0
+
+    def __add__(self, other: str) -> Text:
+        out = Text(str.__add__(self, other))
+        out.linked = self.linked + getattr(other, "linked", 0)
+        return out
+
+
 class Node:
     __slots__ = ("cls", "kids", "marked", "tag")
 
@@ -78,10 +105,12 @@ class Node:
 def parse(page: str) -> Node:
     """The page as a tree of block elements; inline tags vanish, a break is a space between texts."""
     root = Node("")
-    stack, at = [root], 0
+    stack, at, link = [root], 0, False
 
     def text(s: str) -> None:
         if s:
+            s = Text(s)
+            s.linked = len(s) if link else 0
             kids = stack[-1].kids
             if kids and isinstance(kids[-1], str):
                 kids[-1] += s
@@ -97,6 +126,8 @@ def parse(page: str) -> Node:
         text(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
+        if tag == "a":
+            link = not m[2]
         if not tag or tag in INLINE:
             continue
         if m[2]:
@@ -129,18 +160,19 @@ def clean(s: str) -> str:
     return " ".join(entities.unescape(s).split())
 
 
-def texts(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path of containers, text) of each block of the page; its head has none."""
+def texts(node: Node, path: tuple[str, ...] = (), left_out: bool = False) -> Iterator[tuple[tuple[str, ...], str, bool, bool]]:
+    """(path of containers, text, whether mostly links, whether in a part to leave out) of each block of the page; its
+    head has none."""
     for k in node.kids:
         if isinstance(k, str):
             if t := clean(k):
-                yield path, t
+                yield path, t, 2 * getattr(k, "linked", 0) > len(k), left_out
         elif k is not None and k.tag not in ("head", "title"):
-            yield from texts(k, (*path, k.name))
+            yield from texts(k, (*path, k.name), left_out or k.left_out())
 
 
-# Wrappers: a list of items ("tag", name), ("text", fixed, pages), ("slot",), ("rep", items) and ("opt", items); of the
-# pages that have a fixed text, the two least hashes are kept.
+# Wrappers: a list of items ("tag", name), ("text", fixed, pages, times), ("slot",), ("rep", items) and ("opt", items); of
+# the pages that have a fixed text, the two least hashes are kept.
 
 
 def stream(node: Node, page: int = 0) -> list[tuple]:
@@ -148,7 +180,7 @@ def stream(node: Node, page: int = 0) -> list[tuple]:
     for k in node.kids:
         if isinstance(k, str):
             if t := clean(k):
-                out.append(("text", t, (page,)))
+                out.append(("text", t, (page,), 1))
         elif k is not None:
             out += [("tag", k.name), *fold(stream(k, page)), ("tag", "/" + k.name)]
     return fold(out)
@@ -238,7 +270,7 @@ def merge(x: tuple, y: tuple) -> tuple:
         p, q = (v[1] if v[0] == "rep" else [v] for v in (x, y))
         return ("rep", align(p, q))
     if x[0] in ("text", "slot"):
-        return ("text", x[1], tuple(sorted({*x[2], *y[2]})[:2])) if x[0] == y[0] == "text" and x[1] == y[1] else ("slot",)
+        return ("text", x[1], tuple(sorted({*x[2], *y[2]})[:2]), x[3] + y[3]) if x[0] == y[0] == "text" and x[1] == y[1] else ("slot",)
     return x
 
 
@@ -248,64 +280,84 @@ def written(items: list[tuple]) -> str:
     return " ".join(how[i[0]](i) for i in items)
 
 
-def fixed(items: list[tuple], path: tuple[str, ...] = (), sure: bool = True) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, whether on every page) of the template: texts that two different pages agree on."""
+def fixed(items: list[tuple], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str, int]]:
+    """(path, text, how often) of the template: texts that two different pages agree on."""
     for i in items:
         if i[0] == "text" and len(i[2]) > 1:
-            yield path, i[1], sure
+            yield path, i[1], i[3]
         elif i[0] == "opt":
-            yield from fixed(i[1], path, False)
+            yield from fixed(i[1], path)
         elif i[0] == "rep":
-            yield from fixed(i[1][1:-1], (*path, i[1][0][1]), sure)
+            yield from fixed(i[1][1:-1], (*path, i[1][0][1]))
 
 
 class Host:
-    """What is known of a host from the pages read so far."""
+    """What is known of a host from the pages read so far: the wrapper, its pages' number and the least hashes of
+    different ones, and by path [characters, those of links, those in parts to leave out, texts, pages]."""
 
-    def __init__(self, items: list[tuple] | None = None, mass: Counter | None = None, n: int = 0):
-        self.items, self.mass, self.n = items, mass or Counter(), n
+    def __init__(self, items: list[tuple] | None = None, mass: dict | None = None, n: int = 0, pages: list[int] | None = None):
+        self.items, self.mass, self.n, self.pages = items, mass or {}, n, pages or []
 
     def add(self, page: str) -> None:
         tree = parse(page)
         h = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=6).digest())
-        mass: Counter = Counter()
-        for path, t in texts(tree):
-            mass[path] += len(t)
-        self.join(Host(stream(tree, h), mass, 1))
+        mass: dict = {}
+        for path, t, link, left_out in texts(tree):
+            m = mass.setdefault(path, [0, 0, 0, 0, 1])
+            m[0] += len(t)
+            m[1] += len(t) * link
+            m[2] += len(t) * left_out
+            m[3] += 1
+        self.join(Host(stream(tree, h), mass, 1, [h]))
 
     def join(self, other: Host) -> None:
         self.items = other.items if self.items is None else align(self.items, other.items)
-        self.mass.update(other.mass)
+        for path, m in other.mass.items():
+            mine = self.mass.setdefault(path, [0] * 5)
+            self.mass[path] = [a + b for a, b in zip(mine, m)]
         self.n += other.n
+        self.pages = sorted({*self.pages, *other.pages})[:FEW]
 
     def dumps(self) -> str:
-        return json.dumps([self.items, [[p, m] for p, m in self.mass.items()], self.n])
+        return json.dumps([self.items, [[p, m] for p, m in self.mass.items()], self.n, self.pages])
 
     @classmethod
     def loads(cls, s: str) -> Host:
-        items, mass, n = json.loads(s)
-        return cls(as_items(items), Counter({tuple(p): m for p, m in mass}), n)
+        items, mass, n, pages = json.loads(s)
+        return cls(as_items(items), {tuple(p): m for p, m in mass}, n, pages)
 
     def wrapper(self) -> dict:
         const = list(fixed(self.items or []))
-        left = Counter(self.mass)
-        for path, t, sure in const:
-            if sure:
-                left[path] -= len(t) * self.n
-        slots = sum(m for m in left.values() if m > 0)
-        copies = 2 * slots < self.mass.total()  # copies of one page: what they share isn't their template
+        left = {p: m[0] for p, m in self.mass.items()}
+        for path, t, times in const:
+            left[path] = left.get(path, 0) - len(t) * times
+        slots = {p: v for p, v in left.items() if v > 0}
+        total = sum(m[0] for m in self.mass.values())
+        copies = sum(slots.values()) < SLOT_CHARS * self.n or (len(self.pages) < FEW and 2 * sum(slots.values()) < total)
         if copies:
-            left, slots = self.mass, self.mass.total()
-        mass: Counter = Counter()
-        for path, m in left.items():
-            for k in range(len(path) + 1):
-                mass[path[:k]] += max(m, 0)
-        place = max((p for p in mass if mass[p] >= 0.7 * slots and not (p and p[-1].split(".")[0] in ("p", "li", "td", "tr", "h1", "h2", "h3"))), key=len, default=())
-        return {"items": self.items or [], "copies": copies, "fixed": [] if copies else sorted({t for _, t, _ in const}), "place": list(place), "expression": written(self.items or [])}
+            slots = {p: m[0] for p, m in self.mass.items() if m[0]}
+        linked, left_out = (lambda p: 2 * self.mass[p][1] > self.mass[p][0]), (lambda p: 2 * self.mass[p][2] > self.mass[p][0])
+        open_ = {p: v for p, v in slots.items() if not left_out(p)}
+        wrapped = not open_  # all text lies in parts that say they are something else: then they don't
+        open_ = open_ or slots
+        prose = {p: v for p, v in open_.items() if not linked(p)} or open_
+        most = max(prose.values(), default=0)
+        place: tuple[str, ...] | None = None
+        for p, v in prose.items():
+            if TENTH * v < most:
+                continue
+            while p and (p[-1].split(".")[0] in LEAVES or (p in self.mass and self.mass[p][3] > 1.2 * self.mass[p][4])):
+                p = p[:-1]  # one of several texts side by side
+            place = p if place is None else place[: next((i for i, (a, b) in enumerate(zip(place, p)) if a != b), min(len(place), len(p)))]
+        place = place or ()
+        around = place[:-1]
+        tags = lambda p: {c.split(".")[0] for c in p[len(around) :]}
+        beside = [p for p in prose if around and p[: len(around)] == around and p[: len(place)] != place and not linked(p) and (tags(p) & HEADINGS or self.mass[p][0] >= PROSE * self.mass[p][3])]
+        return {"items": self.items or [], "copies": copies, "fixed": [] if copies else sorted({t for _, t, _ in const}), "place": list(place), "beside": sorted(map(list, beside)), "wrapped": wrapped, "expression": written(self.items or [])}
 
 
 def as_items(found: list) -> list[tuple]:
-    return [(i[0], as_items(i[1])) if i[0] in ("rep", "opt") else (i[0], i[1], tuple(i[2])) if i[0] == "text" else tuple(i) for i in found]
+    return [(i[0], as_items(i[1])) if i[0] in ("rep", "opt") else (i[0], i[1], tuple(i[2]), i[3]) if i[0] == "text" else tuple(i) for i in found]
 
 
 def infer(pages: list[str]) -> dict:
@@ -341,15 +393,16 @@ def match(node: Node, items: list[tuple], path: tuple[str, ...] = (), inside: bo
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page: what fills its host's wrapper in the content place, less the parts that the tags leave
-    out. Without a wrapper it is all of the page's text."""
+    """The main text of a page: what fills its host's wrapper in the content place and beside it, less the parts that say
+    they are something else. Without a wrapper it is all of the page's text."""
     tree = parse(page or "")
     if wrapper is None:
-        return " ".join(t for _, t in texts(tree))
-    place = tuple(wrapper["place"])
+        return " ".join(t for _, t, _, _ in texts(tree))
+    place, beside = tuple(wrapper["place"]), {tuple(p) for p in wrapper["beside"]}
     found = list(match(tree, [] if wrapper["copies"] else wrapper["items"]))
-    kept = [x for x in found if x[0][: len(place)] == place] or found
-    kept = [x for x in kept if not x[3]]
+    kept = [x for x in found if x[0][: len(place)] == place or x[0] in beside] or found
+    if not wrapper["wrapped"]:
+        kept = [x for x in kept if not x[3]]
     if wrapper["copies"]:  # no slots decide
         kept = [x for x in kept if x[2]] or kept
     return " ".join(x[1] for x in kept)
@@ -374,14 +427,23 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
                 yield flush()
         yield flush()
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
+    def merged(b: pd.DataFrame) -> Host:
         host = Host()
         for p in sorted(b["part"]):
             host.join(Host.loads(p))
-        return pd.DataFrame({"host": b["host"][:1], "wrapper": [json.dumps(host.wrapper())]})
+        return host
+
+    def some(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": b["host"][:1], "part": [merged(b).dumps()]})
+
+    def all_(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": b["host"][:1], "wrapper": [json.dumps(merged(b).wrapper())]})
 
     ship(pages.sparkSession)
-    return rows.mapInPandas(part, "host string, part string").groupBy("host").applyInPandas(one, "host string, wrapper string")
+    parts = rows.mapInPandas(part, "host string, part string")
+    # A host that every task has seen is merged in parts first, so none of its groups grows with the number of tasks alone.
+    parts = parts.groupBy("host", F.pmod(F.xxhash64("part"), F.lit(MERGE_PARTS)).alias("salt")).applyInPandas(some, "host string, part string")
+    return parts.groupBy("host").applyInPandas(all_, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
