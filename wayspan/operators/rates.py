@@ -39,7 +39,7 @@ def assign_rates(df: DataFrame, by: str | None = None, breaks: tuple[float, ...]
 
 
 def rate_tables(df: DataFrame, thresh: float = 20, top: int = 2, breaks: tuple[float, ...] = BREAKS, tol: tuple[float, ...] = TOL, order: Order = ORDER) -> dict[str, DataFrame]:
-    """counts and percentages per tag and rate (with the tag "all"), wide counts, top rates, and rates over ``thresh``.
+    """counts and percentages per tag and rate (with the tag "all"), wide counts, top rates, and rates over ``thresh`` percent.
 
     Open bins are one rate, ``<last break>+``.
     """
@@ -55,5 +55,38 @@ def rate_tables(df: DataFrame, thresh: float = 20, top: int = 2, breaks: tuple[f
         "counts": counts,
         "wide": wide,
         "top": per.withColumn("rank", rank).filter(F.col("rank") <= top),
-        "over": counts.filter(F.col("pct") >= thresh),
+        "over": counts.filter(F.col("pct") > thresh),
     }
+
+
+def rate_text(df: DataFrame, thresh: float = 20, max_show: int = 3, breaks: tuple[float, ...] = BREAKS, tol: tuple[float, ...] = TOL, order: Order = ORDER) -> DataFrame:
+    """The extended report, as (line, text): the two top rates over all tags; tags whose finest rate with more than
+    ``thresh`` % of their fixes is the coarsest, and the finest, of all (``max_show`` of them by name, then "..."); and how
+    many fixes lie beyond the last rate, most of all for which tag. Equal counts go to the finer rate, equal shares to the
+    tag first by name."""
+    t = rate_tables(df, thresh, breaks=breaks, tol=tol, order=order)
+    num = lambda c: F.regexp_replace(c, r"\+", "").cast("double")
+    tag, two = F.col(order.key), lambda c: F.format_string("%.2f", c.cast("double"))
+    counts = t["counts"].withColumn("num", num("rate"))
+    first = W.partitionBy(order.key).orderBy(F.desc("N"), "num", F.length("rate"))
+    lead = counts.filter(tag == "all").withColumn("line", F.row_number().over(first)).filter("line <= 2")
+    lines = [lead.select("line", F.concat(F.col("line").cast("string"), F.lit(". "), "rate", F.lit(" s ("), two(F.col("pct")), F.lit("% GPS fixes)")).alias("text"))]
+    fine = t["over"].withColumn("num", num("rate")).groupBy(order.key).agg(F.min("num").alias("y"))
+    ends = fine.agg(F.max("y").alias("hi"), F.min("y").alias("lo"))
+    named = fine.filter(tag != "all").crossJoin(F.broadcast(ends))  # one row
+    for line, end, word in ((3, "hi", "coarser"), (4, "lo", "finer")):
+        mine = named.filter(F.col("y") == F.col(end)).withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(order.key))).filter(F.col("r") <= max_show + 1)
+        shown = F.transform(F.sort_array(F.collect_list(F.struct("r", order.key))), lambda x: F.when(x["r"] <= max_show, x[order.key]).otherwise(F.lit("...")))
+        text = F.concat(F.lit("For animal(s) "), F.array_join(shown, ", "), F.lit(f": {thresh:g}% or more data was collected at {word} rates of "), F.regexp_replace(F.max("y").cast("string"), r"\.0$", ""), F.lit(" s"))
+        lines.append(mine.groupBy("y").agg(text.alias("text")).select(F.lit(line).alias("line"), "text"))
+    beyond = counts.filter(F.col("rate").endswith("+"))
+    share = beyond.filter(tag == "all").select(F.lit(5).alias("line"), F.concat(two(F.col("pct")), F.lit("% fixes above the max rate")).alias("text"))
+    most = beyond.filter(tag != "all").agg(F.max("pct").alias("p"), F.min_by(order.key, F.struct(-F.col("pct"), order.key)).alias("tag")).filter("tag is not null")
+    most = most.select(F.lit(6).alias("line"), F.concat(F.lit("Animal: "), "tag", F.lit(" has the greatest percentage ("), two(F.col("p")), F.lit("%) fixes above the max rate")).alias("text"))
+    none = beyond.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(5).alias("line"), F.lit("No fixes detected beyond the max rate specified").alias("text"))
+    for d in (share, most, none):
+        lines.append(d)
+    out = lines[0]
+    for d in lines[1:]:
+        out = out.unionByName(d)
+    return out

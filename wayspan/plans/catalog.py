@@ -230,6 +230,34 @@ def rate_wide(spark, sf_dir):
     return rates.rate_tables(placed(spark, sf_dir), order=ORDER)["wide"].select("TagID", C("3600").alias("r3600"), C("10800").alias("r10800"), C("`10800+`").alias("over_"))
 
 
+_WIDE = [f"{b:g}" for b in rates.BREAKS[1:]]
+_OVER = """p AS (SELECT CAST("TagID" AS VARCHAR) AS "TagID", CASE WHEN likely_rate LIKE '<%' THEN '10800+' ELSE likely_rate END AS rate, count(*) AS "N" FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT * FROM p UNION ALL SELECT 'all', rate, CAST(sum("N") AS BIGINT) FROM p GROUP BY rate), c AS (SELECT *, CAST(replace(rate, '+', '') AS DOUBLE) AS num, 100.0 * "N" / sum("N") OVER (PARTITION BY "TagID") AS pct FROM u)"""
+
+
+@query("rate_wide_all", f"""WITH {TRACK}, {RATES} SELECT CAST("TagID" AS VARCHAR) AS "TagID", {", ".join(f"count(*) FILTER (likely_rate = '{b}') AS r{b}" for b in _WIDE)}, count(*) FILTER (likely_rate LIKE '<%') AS beyond FROM rated WHERE likely_rate IS NOT NULL GROUP BY 1""")
+def rate_wide_all(spark, sf_dir):
+    d = rates.rate_tables(placed(spark, sf_dir), order=ORDER)["wide"]
+    return d.select("TagID", *(C(f"`{b}`").alias(f"r{b}") for b in _WIDE), C("`10800+`").alias("beyond"))
+
+
+@query("rate_over", f"""WITH {TRACK}, {RATES}, {_OVER} SELECT "TagID", rate, "N", round(pct, 6) AS pct FROM c WHERE pct > 20""")
+def rate_over(spark, sf_dir):
+    return rounded(rates.rate_tables(placed(spark, sf_dir), order=ORDER)["over"], pct=6)
+
+
+@query("rate_text", f"""WITH {TRACK}, {RATES}, {_OVER}, f AS (SELECT "TagID", min(num) AS y FROM c WHERE pct > 20 GROUP BY 1), e AS (SELECT max(y) AS hi, min(y) AS lo FROM f),
+n AS (SELECT "TagID", y, row_number() OVER (PARTITION BY y ORDER BY "TagID") AS r FROM f WHERE "TagID" <> 'all'),
+k AS (SELECT y, string_agg(CASE WHEN r <= 3 THEN "TagID" ELSE '...' END, ', ' ORDER BY r) AS names FROM n WHERE r <= 4 GROUP BY y)
+SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY "N" DESC, num, length(rate)) AS INT) AS line, row_number() OVER (ORDER BY "N" DESC, num, length(rate)) || '. ' || rate || ' s (' || format('{{:.2f}}', pct) || '% GPS fixes)' AS text FROM c WHERE "TagID" = 'all') WHERE line <= 2
+UNION ALL SELECT 3, 'For animal(s) ' || names || ': 20% or more data was collected at coarser rates of ' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ' s' FROM k, e WHERE y = hi
+UNION ALL SELECT 4, 'For animal(s) ' || names || ': 20% or more data was collected at finer rates of ' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ' s' FROM k, e WHERE y = lo
+UNION ALL SELECT 5, format('{{:.2f}}', pct) || '% fixes above the max rate' FROM c WHERE "TagID" = 'all' AND rate = '10800+'
+UNION ALL SELECT 6, 'Animal: ' || arg_min("TagID", (-pct, "TagID")) || ' has the greatest percentage (' || format('{{:.2f}}', max(pct)) || '%) fixes above the max rate' FROM c WHERE "TagID" <> 'all' AND rate = '10800+'""")
+def rate_text(spark, sf_dir):
+    return rates.rate_text(placed(spark, sf_dir), order=ORDER)
+
+
 STEP = 43200
 
 
@@ -1081,6 +1109,58 @@ def quality_report(spark, sf_dir):
     return schema.reduce(lambda a, b: a.unionByName(b), one)
 
 
+# The contents of the quality report, one query each beside those of spans and timeline.
+def _quality(spark, sf_dir, name):
+    return reports.quality_report(doubled(spark, sf_dir) if name == "duplicates" else track(spark, sf_dir), (name,), ORDER)[name]
+
+
+@query("report_na", f"""WITH {TRACK} SELECT "TagID", CAST(sum(CAST(longitude IS NULL OR latitude IS NULL AS INT)) AS BIGINT) AS n_na, round(avg(CAST(longitude IS NULL OR latitude IS NULL AS INT)), 6) AS prop_na FROM track GROUP BY 1""")
+def report_na(spark, sf_dir):
+    return rounded(_quality(spark, sf_dir, "na"), prop_na=6)
+
+
+@query("report_satellites", f"""WITH {TRACK} SELECT "TagID", min(satellites_used) AS "min", round(avg(satellites_used), 6) AS "mean", max(satellites_used) AS "max", CAST(count(*) FILTER (satellites_used <= 3) AS BIGINT) AS n_low, CAST(count(*) FILTER (satellites_used IS NULL) AS BIGINT) AS n_na FROM track GROUP BY 1""")
+def report_satellites(spark, sf_dir):
+    return rounded(_quality(spark, sf_dir, "satellites"), mean=6)
+
+
+@query("report_rates", f"""WITH {TRACK}, {RATES.replace("FROM placed", "FROM track")}, {_OVER} SELECT "TagID", rate, "N", round(pct, 6) AS pct FROM c""")
+def report_rates(spark, sf_dir):
+    return rounded(_quality(spark, sf_dir, "rates"), pct=6)
+
+
+@query("report_duplicates", PARALLEL + """, d AS (SELECT *, list(DISTINCT [longitude, latitude]) OVER (PARTITION BY "TagID", "DateTime") AS places, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude) AS n, count(*) OVER (PARTITION BY "TagID", "DateTime", longitude, latitude, satellites_used) AS r FROM m),
+l AS (SELECT "TagID", 'same_time' AS step, len(places) > 1 AS f, NULL AS seg FROM d UNION ALL SELECT "TagID", 'exact', n > 1, NULL FROM d UNION ALL SELECT "TagID", 'full_row', r > 1, NULL FROM d UNION ALL SELECT "TagID", 'parallel', parallel_issue = 1, brksec FROM d)
+SELECT "TagID", step, bool_or(f) AS issue_detected, count(*) FILTER (f) AS n_affected_rows, count(DISTINCT seg) FILTER (f) AS n_segments FROM l GROUP BY 1, 2""")
+def report_duplicates(spark, sf_dir):
+    return _quality(spark, sf_dir, "duplicates")
+
+
+@query("pressure_calibration", f"""WITH {TRACK} SELECT DISTINCT "TagID", CAST("TagID" % 7 AS DOUBLE) AS c1, CAST("TagID" % 11 AS DOUBLE) AS c6, 'x' || "TagID" AS tracker_id FROM track""")
+def pressure_calibration(spark, sf_dir):
+    d = track(spark, sf_dir).select("TagID").distinct().selectExpr("TagID", *(f"CAST(TagID % {6 + i} AS DOUBLE) AS c{i}" for i in (1, 2, 3, 4)), "CAST(TagID % 3 AS DOUBLE) AS c5", "CAST(TagID % 11 AS DOUBLE) AS c6", "concat('x', TagID) AS tracker_id", "1 AS more")
+    return tracks.read_pressure(d, "calibration").select("TagID", "c1", "c6", "tracker_id")
+
+
+@query("trips_flag", f"""WITH {TRACK} SELECT "TagID", event_id, CASE WHEN flt_switch = 1 THEN 1 ELSE 0 END AS by_flag, CAST(flt_switch IS NOT DISTINCT FROM 1 OR {_CIRCLE} AS INT) AS either, CAST(flt_switch IS NOT DISTINCT FROM 1 AND {_CIRCLE} AS INT) AS both_ FROM placed""")
+def trips_flag(spark, sf_dir):
+    d = placed(spark, sf_dir).select("TagID", "event_id", "longitude", "latitude", "flt_switch")
+    d = trips.inside(d, "flag", flag="flt_switch").withColumnRenamed("Col", "by_flag")
+    d = trips.inside(d, "circ", lls=COLONY, radius=RADIUS, flag="flt_switch", flag_option="maximal").withColumnRenamed("Col", "either")
+    d = trips.inside(d, "circ", lls=COLONY, radius=RADIUS, flag="flt_switch", flag_option="minimal").withColumnRenamed("Col", "both_")
+    return d.select("TagID", "event_id", "by_flag", "either", "both_")
+
+
+@query("transformed_scales", f"""WITH {TRACK} SELECT "TagID", event_id, round(ln(gps_pdop), 9) AS ln, round(sqrt(gps_pdop), 9) AS "sqrt" FROM track WHERE gps_pdop > 0 AND gps_pdop <= 50""")
+def transformed_scales(spark, sf_dir):
+    d = track(spark, sf_dir).select("TagID", "event_id", "gps_pdop")
+    name = [c for c in checks.transformed(d, "gps_pdop", "log", 50).columns if c not in d.columns]
+    a = checks.transformed(d, "gps_pdop", "log", 50)
+    b = checks.transformed(d, "gps_pdop", "sqrt", 50)
+    at = name[0] if name else "gps_pdop"
+    return rounded(a.select("TagID", "event_id", C(at).alias("ln")).join(b.select("event_id", C(at).alias("sqrt")), "event_id"), ln=9, sqrt=9)
+
+
 @query("boot_rate")
 def boot_rate(spark, sf_dir):
     return subsample.sub_samp(placed(spark, sf_dir), 6, "hours", "boot_rate", rate_l=4, n_boot=2, strict=False, order=ORDER)
