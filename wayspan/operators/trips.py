@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions import geo
 from wayspan.functions.crs import Crs
-from wayspan.operators import spatial
+from wayspan.operators import outliers, spatial
 from wayspan.operators.schema import ORDER, Order, micros, seconds_between
 
 C = F.col
@@ -161,18 +161,27 @@ def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = No
     return g.join(mon.select(*every, "TotalMon", (C("TotalMon") - C("__lost")).alias("ActiveMon")), every)
 
 
-def _shown(c: Column, how: str, digits: int) -> Column:
-    f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double")))
-    if how == "means":
-        return F.when(F.count(c) > 0, F.concat(f(F.avg(c)), F.lit("±"), F.coalesce(f(F.stddev(c)), F.lit("NA")), F.lit(" ("), f(F.max(c)), F.lit(")")))
-    q = lambda p: f(F.percentile(c, F.lit(p)))
-    return F.when(F.count(c) > 0, F.concat(q(0.5), F.lit(" ("), q(0.25), F.lit(","), q(0.75), F.lit(") ["), f(F.max(c)), F.lit("]")))
+def _digits(v: Column, digits: int) -> Column:
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double")))
+
+
+def _means(c: Column, digits: int) -> Column:
+    f = lambda v: _digits(v, digits)
+    return F.when(F.count(c) > 0, F.concat(f(F.avg(c)), F.lit("±"), F.coalesce(f(F.stddev(c)), F.lit("NA")), F.lit(" ("), f(F.max(c)), F.lit(")")))
+
+
+def _box(low: Column, mid: Column, high: Column, top: Column, digits: int) -> Column:
+    f = lambda v: _digits(v, digits)
+    return F.when(mid.isNotNull(), F.concat(f(mid), F.lit(" ("), f(low), F.lit(","), f(high), F.lit(") ["), f(top), F.lit("]")))
 
 
 def tabulate_trips(trips: DataFrame, by: str | None = None, digits: int = 2, unit: str = "days", drop_incomplete: bool = True, option: str = "means", order: Order = ORDER) -> DataFrame:
     """Complete and incomplete trips and their distances and durations: per tag (and ``by``), per ``by``, and for all.
 
-    Rows over all tags have the tag "all"; those over all levels have the level "all".
+    Rows over all tags have the tag "all"; those over all levels have the level "all". ``means`` gives mean, deviation and
+    greatest value; any other option the median, quartiles and greatest value. Quartiles are order statistics: by rank
+    within tags and levels (sorted windows, which spill), and for the row over everything by ``order_stats``, which runs
+    while the frame is being built; no group's values are gathered in one place.
     """
     hours = {"hours": 1, "days": 24, "mins": 1 / 60}[unit]
     t = trips.withColumn("__tag", C(order.key).cast("string")).withColumn("__by", (C(by).cast("string") if by else F.lit("all")))
@@ -180,11 +189,26 @@ def tabulate_trips(trips: DataFrame, by: str | None = None, digits: int = 2, uni
     use = lambda c: F.when(whole, c) if drop_incomplete else c
     measures = {"DistMax": C("DistMax"), "DistTotal": C("DistTotal"), "TripDur": C("TripDur") / hours}
     measures |= {c: C(c) for c in ("DistMax_off", "DistMax_on", "DistCoastMax", "DistCoastMax_off", "DistCoastMax_on") if c in trips.columns}
+    t = t.select("__tag", "__by", whole.alias("__whole"), *(use(c).cast("double").alias(n) for n, c in measures.items()))
+    counts = [F.sum(C("__whole").cast("long")).alias("complete"), F.sum((~C("__whole")).cast("long")).alias("incomplete")]
+    keys = [C("__g.tag").alias(order.key), C("__g.by").alias(by or "by")]
     # One row per trip and grouping set.
     sets = [("__tag", "__by"), ("all", "__by"), ("all", "all")] if by else [("__tag", "all"), ("all", "all")]
     cell = lambda v: F.lit("all") if v == "all" else C(v)
-    t = t.withColumn("__g", F.explode(F.array(*[F.struct(cell(a).alias("tag"), cell(b).alias("by")) for a, b in sets])))
-    out = t.groupBy(C("__g.tag").alias(order.key), C("__g.by").alias(by or "by")).agg(F.sum(whole.cast("long")).alias("complete"), F.sum((~whole).cast("long")).alias("incomplete"), *[_shown(use(c), option, digits).alias(n) for n, c in measures.items()])
+    grouped = lambda s: t.withColumn("__g", F.explode(F.array(*[F.struct(cell(a).alias("tag"), cell(b).alias("by")) for a, b in s])))
+    if option == "means":
+        out = grouped(sets).groupBy(*keys).agg(*counts, *[_means(C(n), digits).alias(n) for n in measures])
+    else:
+        d, w = grouped(sets[:-1]), W.partitionBy("__g")
+        for n in measures:
+            d = d.withColumns({f"__n_{n}": F.count(n).over(w), f"__r_{n}": F.row_number().over(w.orderBy(F.asc_nulls_last(n)))})
+        box = lambda n: _box(*(outliers.quantile(q, n, f"__r_{n}", f"__n_{n}") for q in (0.25, 0.5, 0.75)), F.max(n), digits)
+        out = d.groupBy(*keys).agg(*counts, *[box(n).alias(n) for n in measures])
+        with outliers.kept(t) as held:
+            q = {n: outliers.pooled_quantiles(held.filter(C(n).isNotNull()).select(C(n).alias("v")), [0.25, 0.5, 0.75]) for n in measures}
+        all_ = t.agg(F.count("*").alias("__c"), *counts, *[F.max(n).alias(f"__top_{n}") for n in measures]).filter("__c > 0")
+        number = lambda v: F.lit(v).cast("double")
+        out = out.unionByName(all_.select(F.lit("all").alias(order.key), F.lit("all").alias(by or "by"), "complete", "incomplete", *[_box(*map(number, q[n]), C(f"__top_{n}"), digits).alias(n) for n in measures]))
     return out if by else out.drop("by")
 
 

@@ -93,9 +93,9 @@ def merge_pressure(track: DataFrame, pressure: DataFrame, order: Order = ORDER)
 
 
 def read_acceleration(df: DataFrame, tags: list | None = None, start: str | None = None, end: str | None = None, order: Order = ORDER) -> DataFrame:
-    """Acceleration bursts ordered by tag, time and index; sorted at output only."""
+    """Acceleration bursts by tag, time and index; whoever writes them sorts them."""
     d = _picked(df, tags, start, end, order)
-    return d.select(order.key, order.time, "index", "x_acceleration", "y_acceleration", "z_acceleration").orderBy(order.key, order.time, "index")
+    return d.select(order.key, order.time, "index", "x_acceleration", "y_acceleration", "z_acceleration")
 
 
 PRESSURE_FORMS = {
