@@ -103,13 +103,17 @@ def parallel_streams(df: DataFrame, order: Order = ORDER) -> DataFrame:
     ingest = W.partitionBy(order.key).orderBy(order.seq)
     back = F.coalesce((C(order.time) < F.lag(order.time).over(ingest)).cast("int"), F.lit(0))
     d = df.withColumn("__back", back).withColumn("brksec", (1 + F.sum("__back").over(ingest.rowsBetween(W.unboundedPreceding, 0))).cast("long")).drop("__back")
-    seg = d.groupBy(order.key, "brksec").agg(F.min(order.time).alias("lo"), F.max(order.time).alias("hi"))
-    # A time that two or more segments cover lies in an overlap: a sweep over starts and ends replaces pairs.
-    ends = seg.select(order.key, C("lo").alias("t"), F.lit(1).alias("step"), F.lit(0).alias("kind")).unionByName(seg.select(order.key, C("hi").alias("t"), F.lit(-1).alias("step"), F.lit(2).alias("kind")))
-    rows = d.select(order.key, C(order.time).alias("t"), F.lit(0).alias("step"), F.lit(1).alias("kind")).distinct()
-    sweep = W.partitionBy(order.key).orderBy("t", "kind").rowsBetween(W.unboundedPreceding, 0)
-    cover = ends.unionByName(rows).withColumn("open", F.sum("step").over(sweep)).filter("kind = 1").select(order.key, C("t").alias(order.time), (C("open") > 1).cast("int").alias("parallel_issue"))
-    d = d.join(cover, [order.key, order.time], "left").withColumn("parallel_issue", F.coalesce("parallel_issue", F.lit(0)))
+    # A time that two or more segments cover lies in an overlap: of the segments begun by then more than one hasn't ended
+    # before. Each segment's first and last row stand for it, so the sweep is a sum over the tag's own rows.
+    d = d.withColumn("__us", micros(order.time))
+    seg = W.partitionBy(order.key, "brksec")
+    d = d.withColumns({"__open": F.row_number().over(seg.orderBy(F.asc_nulls_last("__us"), order.seq)), "__shut": F.row_number().over(seg.orderBy(F.desc_nulls_last("__us"), F.desc(order.seq)))})
+    one = lambda n: ((C(n) == 1) & C("__us").isNotNull()).cast("int")
+    d = d.withColumns({"__open": one("__open"), "__shut": one("__shut")})
+    line = W.partitionBy(order.key).orderBy("__us")
+    begun = F.sum("__open").over(line.rangeBetween(W.unboundedPreceding, 0))
+    ended = F.coalesce(F.sum("__shut").over(line.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("parallel_issue", F.when(C("__us").isNull(), 0).otherwise((begun - ended > 1).cast("int")))
     timed = W.partitionBy(order.key).orderBy(order.time, order.seq)
     start = ((C("parallel_issue") == 1) & (F.coalesce(F.lag("parallel_issue").over(timed), F.lit(0)) == 0)).cast("int")
     d = d.withColumn("__start", start).withColumn("__b", F.sum("__start").over(timed.rowsBetween(W.unboundedPreceding, 0)))

@@ -50,7 +50,8 @@ def clean_track(df: DataFrame, how: Cleaning | None = None, annotate: bool = Tru
     """The cleaned table with its parameters and the flags in stage order (``attributes['flags']``); the table's schema remembers
     them too (``schema.attributes``)."""
     p = how or Cleaning()
-    d, flags = validate(df), []
+    # One exchange by tag: windows by tag and time, tag and place, or whole rows find their rows together already.
+    d, flags = validate(df).repartition(order.key), []
 
     def stage(d: DataFrame, *names: str) -> DataFrame:
         flags.extend(names)

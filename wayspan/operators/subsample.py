@@ -18,8 +18,18 @@ C = F.col
 def asof(left: DataFrame, right: DataFrame, value: list[str], direction: str = "nearest", within: float | None = None, order: Order = ORDER) -> DataFrame:
     """``left`` with ``value`` columns of the right row before, after or nearest in time of the same tag.
 
-    Both tables are laid in one time line per tag and filled from either side, so no pairs are formed. Of equally near
-    rows the earlier wins; beyond ``within`` seconds the values are null.
+    Of equally near rows the earlier wins; beyond ``within`` seconds the values are null.
+    """
+    d = asof_ways(left, right, value, {"__m": (direction, within)}, order)
+    return d.withColumnsRenamed({f"__m_{v}": v for v in value})
+
+
+def asof_ways(left: DataFrame, right: DataFrame, value: list[str], ways: dict[str, tuple[str, float | None]], order: Order = ORDER) -> DataFrame:
+    """``left`` with the ``value`` columns of several ways at once, each a direction (backward, forward, nearest) and a
+    bound in seconds or None; a column's name is the way's and the value's, joined by an underscore.
+
+    Both tables are laid in one time line per tag and filled from either side, so no pairs are formed and all ways share
+    one exchange.
     """
     k, t = order.key, order.time
     box = F.struct(micros(t).alias("us"), *value)
@@ -29,12 +39,17 @@ def asof(left: DataFrame, right: DataFrame, value: list[str], direction: str = "
     line = r.unionByName(lft)
     back = W.partitionBy(k).orderBy("__us", "__side").rowsBetween(W.unboundedPreceding, 0)
     fore = W.partitionBy(k).orderBy("__us", F.desc("__side")).rowsBetween(0, W.unboundedFollowing)
-    d = line.withColumns({"__p": F.last("__box", ignorenulls=True).over(back), "__n": F.first("__box", ignorenulls=True).over(fore)}).filter("__side = 1")
+    need = {d for d, _ in ways.values()}
+    none = F.lit(None).cast(kind)
+    d = line.withColumns({"__p": F.last("__box", ignorenulls=True).over(back) if need - {"forward"} else none, "__n": F.first("__box", ignorenulls=True).over(fore) if need - {"backward"} else none}).filter("__side = 1")
     before, after = C("__us") - C("__p.us"), C("__n.us") - C("__us")
-    pick = {"backward": C("__p"), "forward": C("__n"), "nearest": F.when(C("__n").isNull() | (before <= after), C("__p")).otherwise(C("__n"))}[direction]
-    d = d.withColumn("__m", pick)
-    far = F.abs(C("__m.us") - C("__us")) > F.lit((within or 0) * 1e6) if within is not None else F.lit(False)
-    return d.select("__row.*", *[F.when(~far, C(f"__m.{v}")).alias(v) for v in value])
+    pick = {"backward": C("__p"), "forward": C("__n"), "nearest": F.when(C("__n").isNull() | (before <= after), C("__p")).otherwise(C("__n"))}
+    d = d.withColumns({f"__at_{name}": pick[direction] for name, (direction, _) in ways.items()})
+    out = []
+    for name, (_, within) in ways.items():
+        far = F.abs(C(f"__at_{name}.us") - C("__us")) > F.lit(within * 1e6) if within is not None else F.lit(False)
+        out += [F.when(~far, C(f"__at_{name}.{v}")).alias(f"{name}_{v}") for v in value]
+    return d.select("__row.*", *out)
 
 
 def _limits(dt: float, lower: float | None, upper: float | None, tol: float) -> tuple[float, float]:

@@ -304,9 +304,8 @@ def asof_join(spark, sf_dir):
 
 
 def _three_ways(left, right):
-    d = subsample.asof(left, right, ["longitude"], "backward", order=ORDER).withColumnRenamed("longitude", "backward")
-    d = subsample.asof(d, right, ["longitude"], "forward", order=ORDER).withColumnRenamed("longitude", "forward")
-    return subsample.asof(d, right, ["longitude"], "nearest", 7200, ORDER).select("TagID", "event_id", "backward", "forward", C("longitude").alias("nearest"))
+    d = subsample.asof_ways(left, right, ["longitude"], {"backward": ("backward", None), "forward": ("forward", None), "nearest": ("nearest", 7200)}, ORDER)
+    return d.select("TagID", "event_id", *(C(f"{w}_longitude").alias(w) for w in ("backward", "forward", "nearest")))
 
 
 #: Placed fixes ten minutes later, so that a whole table meets a whole table.
