@@ -107,6 +107,47 @@ def test_surrogates_edge(spark):
     assert re.fullmatch(re.escape(LONG) + r" \d+\.\d+\.\d+\.\d+ " + re.escape(LONG), replaced(spark, [long])[0])
 
 
+#: Sentences with the entities that a reader would mark.
+LABELLED = [
+    ("Mary Jones and Robert Brown met David Lee.", {"Mary Jones", "Robert Brown", "David Lee"}),
+    ("Barbara County lies north of Clara Valley.", set()),
+    ("Charlotte North Station opens at nine.", set()),
+    ("Thomas The Tank came late.", set()),
+    ("Please install version 1.2.3.4 or v1.2.3.5 first.", set()),
+    ("The host 10.0.0.1 answers, 8.8.8.8 too.", {"10.0.0.1", "8.8.8.8"}),
+    ("Call 4155552671 or 415-555-2671 now; order 4155552672 shipped.", {"4155552671", "415-555-2671"}),
+    ("Señora López García wrote to Sr. Pérez.", {"Señora López García", "Sr. Pérez"}),
+    ("Dr. Emily Stone lives in Victoria Street.", {"Dr. Emily Stone"}),
+    ("Jennifer van der Berg and Patrick O'Neil agreed.", {"Jennifer van der Berg", "Patrick O'Neil"}),
+    ("The James River and Washington Square are quiet.", set()),
+    ("Chapter 1.2.3.4 names Wilhelm Busch.", {"Wilhelm Busch"}),
+    ("Ask Olumide Adeyemi about it.", {"Olumide Adeyemi"}),  # in no list
+    ("Write to ann.lee@mail.example.org, card 4111 1111 1111 1111.", {"ann.lee@mail.example.org", "4111 1111 1111 1111"}),
+]
+
+
+def test_detection_on_labelled_sentences(spark):
+    d = frame(spark, [(i, t) for i, (t, _) in enumerate(LABELLED)])
+    got = {r.doc_id: set(r.e) for r in d.select("doc_id", surrogates.entities(F.col("text")).alias("e")).collect()}
+    right = sum(len(got[i] & want) for i, (_, want) in enumerate(LABELLED))
+    assert right / sum(map(len, got.values())) == 1.0 and right / sum(len(w) for _, w in LABELLED) >= 0.9, got
+    assert [i for i, (_, want) in enumerate(LABELLED) if got[i] != want] == [12]
+
+
+def test_addresses_keep_their_range_and_surnames_stay_surnames(spark):
+    import ipaddress
+
+    ips = ["10.0.0.1", "10.20.30.40", "192.168.1.7", "172.16.0.9", "172.31.255.1", "127.0.0.1", "169.254.3.4", "8.8.8.8", "203.0.113.9", "198.51.100.7", "193.99.144.80"]
+    out = [t.split()[1] for t in replaced(spark, [f"ip {x}" for x in ips])]
+    for a, b in zip(map(ipaddress.ip_address, ips), map(ipaddress.ip_address, out)):
+        assert a != b and (a.is_private, a.is_loopback, a.is_link_local, a.is_global, a.is_reserved) == (b.is_private, b.is_loopback, b.is_link_local, b.is_global, b.is_reserved), (a, b)
+    assert out[0].startswith("10.") and out[2].startswith("192.168.") and 16 <= int(out[3].split(".")[1]) < 32 and len(set(out)) == len(out)
+    both, one = replaced(spark, ["Señora López García came", "Sra García left"])
+    assert both.split()[2] == one.split()[1] and both.split()[1].lower() not in {n.lower() for names in surrogates.GIVEN.values() for n in names}
+    a, b = replaced(spark, ["tel 4155552671 there", "or 415-555-2671 here"])
+    assert a.split()[1] == b.split()[1].replace("-", "") != "4155552671"
+
+
 # 2 quality
 
 

@@ -19,8 +19,11 @@ from the key and the corpus's set of entities.
 
 The key is the caller's secret: without it the surrogates can't be undone or linked.
 
-Not found: names with neither a title nor a listed given name, a given name alone, phones without separators or plus
-sign. Letters outside the classes (such as ł) stay where they are in mail names.
+- Addresses keep their range: private, local and reserved ones stay in theirs, public ones stay public.
+
+Not found: names with neither a title nor a listed given name, a given name alone, ten-digit phones without separators,
+plus sign or a word that tells (tel, phone, call ..). A listed given name before a word such as County, Street or Valley
+is no person's, and four numbers after "version" no address. Letters outside the classes (such as ł) stay where they are in mail names.
 
 Nulls: a null text stays null with no entities; so does an empty one. Texts without entities are returned unchanged.
 Entities that touch or repeat are each replaced. Whole texts are searched, whatever their length. Empty tables stay
@@ -45,8 +48,8 @@ TITLES = {
     "n": "Dr Prof Professor".split(),
 }
 GIVEN = {
-    "latin:f": "Adelheid Andrea Anna Barbara Camille Carmen Catherine Charlotte Clara Claudia Elena Elisabeth Emily Emma Hannah Helena Isabel Johanna Julia Katharina Laura Lucía Margaret María Nicole Paula Rebecca Sophie Susanne Teresa".split(),
-    "latin:m": "Albert Alexander Andreas Antoine Antonio Bernhard Carlos Charles Christian Daniel Edward Emilio Fernando Friedrich George Heinrich Henri Jacques Javier Johannes John Laurent Michael Miguel Philippe Richard Sebastian Thomas Wilhelm William".split(),
+    "latin:f": "Adelheid Andrea Anna Barbara Camille Carmen Catherine Charlotte Clara Claudia Elena Elisabeth Emily Emma Hannah Helena Isabel Johanna Julia Katharina Laura Lucía Margaret María Nicole Paula Rebecca Sophie Susanne Teresa Amanda Angela Barbra Beatrice Caroline Christine Deborah Dorothy Eleanor Francesca Gabriele Ingrid Jennifer Jessica Karen Linda Mary Nancy Patricia Rachel Sandra Sarah Stephanie Sylvie Ursula Victoria Virginia".split(),
+    "latin:m": "Albert Alexander Andreas Antoine Antonio Bernhard Carlos Charles Christian Daniel Edward Emilio Fernando Friedrich George Heinrich Henri Jacques Javier Johannes John Laurent Michael Miguel Philippe Richard Sebastian Thomas Wilhelm William Andrew Anthony Benjamin Brian Christopher David Dennis Donald Eduardo Francisco Gregory Harold James Jonathan Joseph Joshua Kenneth Manuel Matthew Nicolas Patrick Peter Rafael Robert Ronald Stephen Steven Vincent Walter".split(),
     "cyrillic:f": "Анна Валентина Дарья Екатерина Елена Ирина Людмила Мария Наталья Ольга Светлана Татьяна".split(),
     "cyrillic:m": "Александр Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей Юрий".split(),
     "greek:f": "Άννα Αικατερίνη Βασιλική Ελένη Ευαγγελία Ιωάννα Κωνσταντίνα Μαρία Παναγιώτα Σοφία".split(),
@@ -61,6 +64,17 @@ SURNAME_PARTS = {
     "cyrillic": ("Бар Бел Вер Гор Дуб Ель Жар Зим Кал Кар Лап Лес Мал Мор Нов Ор Пал Рад Сав Сол Тар Том Фад Чер".split(), ["", "ан", "ен", "ич", "ник", "ош", "ул", "ыш"], "ов ев ин".split()),
     "greek": ("Αλεξ Ανδρ Βασ Γεωρ Δημ Ζαχ Θεοδ Καρ Λαμπ Μαρκ Νικ Ξεν Παπ Πετρ Σταμ Στεφ Τριαντ Φωτ Χατζ Χρυσ".split(), ["", "αν", "ατ", "ερ", "ιν", "ογ", "ολ", "ουλ"], "όπουλος ίδης άκης άτος έας ώνης".split()),
 }
+#: Words that make a place, a street or a title of what a given name begins.
+NO_SURNAME = "Airport Avenue Bay Beach Bridge Castle Church City College County Court Creek East Falls Fund Gardens Gate Heights Hills Hospital Hotel House Island Lake Lane Museum North Park Place Prize River Road School South Springs Square Station Street The Theatre Tower University Valley West".split()
+#: First octets all of whose addresses are public.
+PUBLIC = tuple(n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203))
+#: Second octets that are public behind the others.
+BEHIND = {
+    f: tuple(n for n in range(256) if n not in shut)
+    for f, shut in ((100, range(64, 128)), (169, (254,)), (172, range(16, 32)), (192, (0, 88, 168)), (198, (18, 19, 51)), (203, (0,)))
+}
+#: Titles of languages in which two surnames follow.
+TWO_SURNAMES = "Señor Señora Señorita Sr Sra Srta".split()
 PARTICLES = "af av bin da de del della den der di dos du el la le ten ter van von zu zum zur".split()
 #: International dialling codes: one digit, two digits of these, else three.
 DIAL = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
@@ -69,18 +83,19 @@ _every = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))  # no
 _TITLE = rf"(?<!\p{{L}})(?:{_every(sum(TITLES.values(), []))})\.?"
 _CAP = r"[\p{Lu}&&[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]](?:[\p{L}-]|['’](?!s\b))*"
 _MORE = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_CAP})"
+_NEXT = rf"(?! (?:{'|'.join(NO_SURNAME)})(?!\p{{L}})){_MORE}"
 _LISTED = rf"(?<![\p{{L}}'’-])(?=\p{{Lu}})(?:{_every(sum(GIVEN.values(), []))})"
 #: One pattern per type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)+",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ip": r"(?<![0-9.])(?<![vV])(?<!(?i:version|ver|release|build|firmware|section|chapter)[ .:]{1,2})(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,4}(?![0-9])|\+[0-9]{8,15}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<=(?i:tel|phone|telephone|call|mobile|cell|fax|dial)[.: ]{1,3})[0-9]{10}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
-    "name": rf"{_TITLE} {_CAP}{_MORE}{{0,2}}|{_LISTED}{_MORE}{{1,2}}",
+    "name": rf"{_TITLE} {_CAP}{_MORE}{{0,2}}|{_LISTED}(?:{_NEXT}){{1,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No entity without one of these; spares most texts the full search.
@@ -96,8 +111,9 @@ CLASSES = (
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
 )
 DIGITS, HEX = "0123456789", "0123456789abcdef"
-_DIGIT, _HEX, _OCTET = range(len(CLASSES), len(CLASSES) + 3)
-SIZES = (*map(len, CLASSES), len(DIGITS), len(HEX), 256)
+_DIGIT, _HEX, _OCTET, _FIRST, _SIXTEEN = range(len(CLASSES), len(CLASSES) + 5)
+_SECOND = {f: _SIXTEEN + 1 + i for i, f in enumerate(BEHIND)}
+SIZES = (*map(len, CLASSES), len(DIGITS), len(HEX), 256, len(PUBLIC), 16, *map(len, BEHIND.values()))
 #: Exceptions up to which their tweaks stand in the plan; more are joined by text.
 INLINE = 200
 ROUNDS = 60
@@ -110,7 +126,8 @@ def entities(text: Column) -> Column:
 
 def kind(entity: Column) -> Column:
     """Type of an entity: the first pattern that it matches as a whole."""
-    return F.coalesce(*[F.when(F.regexp_like(entity, F.lit(f"^(?:{p})$")), k) for k, p in PATTERNS.items()])
+    alone = F.when(F.regexp_like(entity, F.lit("^[0-9]{10}$")), "phone")  # what was before it told so
+    return F.coalesce(*[F.when(F.regexp_like(entity, F.lit(f"^(?:{p})$")), k) for k, p in PATTERNS.items()], alone)
 
 
 def canonical(entity: Column, k: Column) -> Column:
@@ -140,7 +157,8 @@ def pieces(text: Column, found: Column) -> Column:
         def part(w: Column, i: Column) -> Column:
             low = F.lower(w)
             given = F.concat_ws(":", F.lit("given"), _script(w), F.coalesce(F.element_at(gender, low), said))
-            role = F.when(i == F.size(tokens) - 1, F.concat(F.lit("surname:"), _script(w))).when(low == w, "particle").otherwise(given)
+            second = (i == 0) & (F.size(tokens) == 2) & F.element_at(gender, low).isNull() & F.regexp_like(title, F.lit(rf"^(?:{'|'.join(TWO_SURNAMES)})\.? $"))
+            role = F.when((i == F.size(tokens) - 1) | second, F.concat(F.lit("surname:"), _script(w))).when(low == w, "particle").otherwise(given)
             # A Russian surname's feminine ending isn't part of what identifies it.
             own = F.when(role == "surname:cyrillic", F.regexp_replace(low, "(?<=ов|ев|ёв|ин|ын)а$", "")).otherwise(low)
             return F.struct(F.when(i == 0, F.concat(gap, title)).otherwise(F.lit(" ")).alias("pre"), w.alias("t"), role.alias("k"), own.alias("c"))
@@ -177,7 +195,25 @@ def _units(k: Column, body: Column) -> Column:
         return F.struct(cls.alias("s"), F.when(hexed, F.instr(F.lit(HEX), c) - 1).when(any_digit, digit - 1).otherwise(at).alias("v"), c.alias("f"))
 
     chars = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), unit)
-    octets = F.transform(F.split(body, r"\."), lambda o: F.struct(F.lit(_OCTET).alias("s"), F.coalesce(o.cast("int"), F.lit(0)).alias("v"), F.lit("").alias("f")))
+    four = F.transform(F.split(body, r"\."), lambda o: F.coalesce(o.try_cast("int"), F.lit(0)))
+    first, second = F.get(four, F.lit(0)), F.get(four, F.lit(1))
+    place = F.array_position(F.lit(list(PUBLIC)), first).cast("int")
+
+    def octet(v: Column, i: Column) -> Column:
+        """Private, local and reserved ranges stay what they are, and public addresses public."""
+        cls, at, own = F.lit(_OCTET), v, F.lit("")
+        sixteen = (first == 172) & second.between(16, 31)
+        cls = F.when((i == 0) & (place > 0), _FIRST).when(i == 0, -1).when((i == 1) & sixteen, _SIXTEEN).when((i == 1) & (place == 0) & ~first.isin(10, 127), -1).otherwise(cls)
+        documents = ((first == 192) & (second == 0)) | ((first == 198) & (second == 51)) | ((first == 203) & (second == 0))
+        cls = F.when((i == 2) & documents, -1).otherwise(cls)
+        at = F.when(cls == _FIRST, place - 1).when(cls == _SIXTEEN, v - 16).otherwise(at)
+        for f, seconds in BEHIND.items():
+            there = F.array_position(F.lit(list(seconds)), v).cast("int")
+            here = (i == 1) & (first == f) & (there > 0)
+            cls, at = F.when(here, _SECOND[f]).otherwise(cls), F.when(here, there - 1).otherwise(at)
+        return F.struct(cls.alias("s"), at.alias("v"), F.when(cls == -1, v.cast("string")).otherwise(own).alias("f"))
+
+    octets = F.transform(four, octet)
     return F.when(k == "ip", octets).otherwise(chars)
 
 
@@ -186,7 +222,9 @@ def _shape(units: Column) -> Column:
 
 
 def _char(u: Column) -> Column:
-    out = F.when(u["s"] == _OCTET, u["v"].cast("string"))
+    out = F.when(u["s"] == _OCTET, u["v"].cast("string")).when(u["s"] == _FIRST, F.element_at(F.lit(list(PUBLIC)), u["v"] + 1).cast("string")).when(u["s"] == _SIXTEEN, (u["v"] + 16).cast("string"))
+    for f, seconds in BEHIND.items():
+        out = out.when(u["s"] == _SECOND[f], F.element_at(F.lit(list(seconds)), u["v"] + 1).cast("string"))
     for i, chars in enumerate((*CLASSES, DIGITS, HEX)):
         out = out.when(u["s"] == i, F.substring(F.lit(chars), u["v"] + 1, F.lit(1)))
     return out.otherwise(u["f"])
