@@ -601,9 +601,10 @@ def test_headline_beside_the_place():
     word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
     pages, want = [], []
     for _ in range(12):
-        head, text, date = word(8), [word(60), word(60)], word(1)
-        pages.append(f"<body><div id=m><div class='t'><h2>{head}</h2></div><div class='txt'><p>{text[0]}</p><p>{text[1]}</p></div><div class='d'>{date}</div></div></body>")
-        want.append(" ".join([head, *text]))
+        head, text, date = word(8), [word(200), word(200)], word(1)
+        short, foot = word(12), word(12)
+        pages.append(f"<body><div id=m><div class='t'><h2>{head}</h2></div><div class='s'>{short}</div><div class='txt'><p>{text[0]}</p><p>{text[1]}</p></div><div class='d'>{date}</div><div class='f'>{foot}</div></div></body>")
+        want.append(" ".join([head, short, *text]))
     w = wrappers.infer(pages)
     assert [wrappers.extract(p, w) for p in pages] == want and w["place"][-1] == "div.txt"
 

@@ -8,7 +8,8 @@ and at least two different pages do, whatever its share of the page.
 
 The host's content place follows from what fills the slots. Parts whose text is mostly links, and parts that hold less
 than a tenth of what the largest holds, don't decide; the innermost container of the others is the place. Beside it,
-under the same element, headings and prose that varies from page to page belong to it too. Each page is then matched
+under the same element, headings that vary from page to page belong to it too, and prose between them and the place.
+Each page is then matched
 against its host's wrapper and its text is what fills the slots (and what the wrapper doesn't know) there. Parts that say
 that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out, and decide nothing
 about the place unless all text lies in such parts.
@@ -47,7 +48,7 @@ DEPTH = 150
 FEW, SLOT_CHARS = 5, 30
 #: A part decides the place if it holds at least the largest one's share of one in so many.
 TENTH = 10
-#: Characters from which on a text beside the place is prose.
+#: Characters from which on a text between a heading and the place is prose.
 PROSE = 60
 #: Wrappers of a host are merged in so many parts first.
 MERGE_PARTS = 64
@@ -350,9 +351,12 @@ class Host:
                 p = p[:-1]  # one of several texts side by side
             place = p if place is None else place[: next((i for i, (a, b) in enumerate(zip(place, p)) if a != b), min(len(place), len(p)))]
         place = place or ()
-        around = place[:-1]
-        tags = lambda p: {c.split(".")[0] for c in p[len(around) :]}
-        beside = [p for p in prose if around and p[: len(around)] == around and p[: len(place)] != place and not linked(p) and (tags(p) & HEADINGS or self.mass[p][0] >= PROSE * self.mass[p][3])]
+        around, order = place[:-1], {p: i for i, p in enumerate(self.mass)}  # paths come in the order of a page
+        near = [p for p in prose if around and p[: len(around)] == around and p[: len(place)] != place and not linked(p)]
+        heads = [p for p in near if {c.split(".")[0] for c in p[len(around) :]} & HEADINGS]
+        begin = min((order[p] for p in self.mass if p[: len(place)] == place), default=0)
+        after = min((order[p] for p in heads), default=begin)
+        beside = heads + [p for p in near if p not in heads and after < order[p] < begin and self.mass[p][0] >= PROSE * self.mass[p][3]]
         return {"items": self.items or [], "copies": copies, "fixed": [] if copies else sorted({t for _, t, _ in const}), "place": list(place), "beside": sorted(map(list, beside)), "wrapped": wrapped, "expression": written(self.items or [])}
 
 
