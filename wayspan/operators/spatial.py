@@ -6,8 +6,10 @@ holes and touching parts need no marks; polygons of one table may overlap.
 
 The index lays edges into square cells. Each cell has a fixed inner point, and scanning each row of cells once tells for
 all inner points of that row whether they are inside. A point is then inside as its cell's inner point is, unless an odd
-number of the cell's own edges lies between the two: a cell without edges needs no test at all. Sixteen cells of a row are
-one strip, the key that points and index are joined on by equality.
+number of the cell's own edges lies between the two. The index is two tables, joined by equality: per strip of sixteen
+cells of a row the polygons that cover some of them whole, as bits, and per cell the edges in it. Where polygons lie on one
+another cells are made smaller until few edges share one; where only a flag is asked for, or the outline of all, edges in
+a cell that another polygon covers whole are left out.
 
 The nearest edge is found from the top of a pyramid of cells, four times as wide on each level: of a cell's candidates
 those stay that are no farther than the farthest point of the best one. That is done once for each distinct cell with
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -42,6 +45,8 @@ INNER_X, INNER_Y = 0.5130177, 0.4870429
 #: An index of up to so many edges, or strips, is sent to all executors; beyond that points and index are both shuffled.
 SENT = 200_000
 FAN = 4
+#: Edges that share a cell with an edge, on the average, beyond which cells are made smaller; rows per edge that they may come to.
+CROWD, LAID = 16, 16
 
 
 def edge_table(vertices: DataFrame, poly: str = "poly", ring: str = "ring", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
@@ -61,7 +66,7 @@ def edges_of(spark: SparkSession, polygons: list[list[geo.Ring]]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grid:
-    """Cell size, the table's box, and whether its index may be sent to all executors."""
+    """Cell size, the table's box, and whether its index (of strips and of edges by cell) may be sent to all executors."""
 
     size: float
     box: tuple[float, float, float, float] | None
@@ -75,8 +80,9 @@ class Grid:
 
 
 def grid(edges: DataFrame, size: float | None = None) -> Grid:
-    """A grid for a polygon table, from one pass over it: cells of four mean edge lengths, wider where the polygons'
-    boxes would else hold more strips than four for each edge."""
+    """A grid for a polygon table: cells of four mean edge lengths, smaller where more than ``CROWD`` edges share one
+    and edges don't come to more than ``LAID`` rows each, wider where the polygons' boxes would else hold more strips than
+    four for each edge. Takes one pass over the table and up to three over its cells."""
     by = edges.groupBy("poly").agg(
         F.count("*").alias("n"), F.sum(F.hypot(C("x2") - C("x1"), C("y2") - C("y1"))).alias("len"),
         *(f(f2(f"{c}1", f"{c}2")).alias(n) for f, f2, c, n in ((F.min, F.least, "x", "x0"), (F.min, F.least, "y", "y0"), (F.max, F.greatest, "x", "x1"), (F.max, F.greatest, "y", "y1"))),
@@ -84,12 +90,22 @@ def grid(edges: DataFrame, size: float | None = None) -> Grid:
     r = by.agg(F.sum("n").alias("n"), F.sum("len").alias("len"), F.sum((C("x1") - C("x0")) * (C("y1") - C("y0"))).alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).head()
     if not r["n"]:
         return Grid(size or 1.0, None, True)
-    size = size or max(4 * r["len"] / r["n"], math.sqrt(r["area"] / STRIP / (4 * r["n"] + 1000)), 1e-9)
-    return Grid(size, (r["x0"], r["y0"], r["x1"], r["y1"]), r["n"] <= SENT and r["area"] / STRIP / size**2 <= SENT)
+    box, n = (r["x0"], r["y0"], r["x1"], r["y1"]), r["n"]
+    least = max(math.sqrt(r["area"] / STRIP / (4 * n + 1000)), 1e-9)
+    fixed, size = size is not None, size or max(4 * r["len"] / n, least)
+    for _ in range(3):
+        c = in_cells(edges, Grid(size, box, False)).groupBy("ix", "iy").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(C("c").cast("double") * C("c")).alias("squares")).head()
+        smaller = max(size * CROWD / (c["squares"] / c["rows"]), size * c["rows"] / (LAID * n), least)
+        if fixed or smaller > size / 2:
+            break
+        size = smaller
+    return Grid(size, box, n <= SENT and c["rows"] <= 4 * SENT and r["area"] / STRIP / size**2 <= SENT)
 
 
 def in_cells(edges: DataFrame, g: Grid) -> DataFrame:
     """Edges with the cells (ix, iy) they pass, a hair's breadth around them counted in; a row per edge and cell."""
+    if not g.small:  # a table of few bytes is read by few tasks, whatever its rows come to
+        edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x1", "y1")
     pad = g.size * 1e-9
     lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
     d = edges.withColumn("ix", F.explode(F.sequence(g.ix(lo - pad), g.ix(hi + pad))))
@@ -99,12 +115,14 @@ def in_cells(edges: DataFrame, g: Grid) -> DataFrame:
     return d.withColumn("iy", F.explode(F.sequence(g.ix(F.least(ya, yb) - pad), g.ix(F.greatest(ya, yb) + pad))))
 
 
-def index(edges: DataFrame, g: Grid) -> DataFrame:
-    """The cover index: per strip (jx, iy) its polygons, each with a bit per cell whose inner point it covers (``mask``)
-    and the strip's edges, numbered by cell (``t``)."""
-    t = C("ix") - C("jx") * STRIP
-    laid = in_cells(edges, g).withColumn("jx", F.floor(C("ix") / STRIP))
-    laid = laid.groupBy("jx", "iy", "poly").agg(F.collect_list(F.struct(t.cast("int").alias("t"), "x1", "y1", "x2", "y2")).alias("edges"), F.lit(0).alias("mask"))
+def _bit(mask: Column | str, t: Column) -> Column:
+    return F.call_function("shiftright", C(mask) if isinstance(mask, str) else mask, t).bitwiseAND(F.lit(1)) == 1
+
+
+def _strips(edges: DataFrame, g: Grid) -> DataFrame:
+    """Per strip (jx, iy) and polygon a bit per cell: ``inner`` where it covers the cell's inner point, ``cut`` where it has
+    edges."""
+    laid = in_cells(edges, g).select(F.floor(C("ix") / STRIP).alias("jx"), "iy", "poly", F.lit(0).alias("inner"), F.call_function("shiftleft", F.lit(1), F.pmod("ix", F.lit(STRIP)).cast("int")).alias("cut"))
     # Where a row's line of inner points meets the polygon's edges: between an odd crossing and the next it is inside.
     rows = edges.withColumn("iy", F.explode(F.sequence(g.ix(F.least("y1", "y2")) - 1, g.ix(F.greatest("y1", "y2")) + 1)))
     line = (C("iy") + INNER_Y) * g.size
@@ -114,10 +132,39 @@ def index(edges: DataFrame, g: Grid) -> DataFrame:
     runs = rows.select("poly", "iy", (C("k") + 1).alias("a"), F.lead("k").over(w).alias("b"), F.row_number().over(w).alias("n")).filter("n % 2 = 1 AND a <= b")
     runs = runs.withColumn("jx", F.explode(F.sequence(F.floor(C("a") / STRIP), F.floor(C("b") / STRIP))))
     first, last = F.greatest(C("a") - C("jx") * STRIP, F.lit(0)), F.least(C("b") - C("jx") * STRIP, F.lit(STRIP - 1))
-    bits = F.expr("shiftleft(1, int(__last) + 1) - shiftleft(1, int(__first))")
-    inside = runs.withColumns({"__first": first, "__last": last}).groupBy("jx", "iy", "poly").agg(F.array().cast(EDGE).alias("edges"), F.bit_or(bits).alias("mask"))
-    both = laid.unionByName(inside).groupBy("jx", "iy", "poly").agg(F.flatten(F.collect_list("edges")).alias("edges"), F.bit_or("mask").alias("mask"))
-    return both.groupBy("jx", "iy").agg(F.collect_list(F.struct("poly", "mask", "edges")).alias("polys"))
+    runs = runs.withColumns({"__first": first, "__last": last}).select("jx", "iy", "poly", F.expr("shiftleft(1, int(__last) + 1) - shiftleft(1, int(__first))").alias("inner"), F.lit(0).alias("cut"))
+    return laid.unionByName(runs).groupBy("jx", "iy", "poly").agg(F.bit_or("inner").alias("inner"), F.bit_or("cut").alias("cut"))
+
+
+def whole_cells(edges: DataFrame, g: Grid) -> DataFrame:
+    """Per strip (jx, iy) a bit per cell that some polygon covers whole, as ``whole``; strips without one are left out."""
+    return _strips(edges, g).select("jx", "iy", C("inner").bitwiseAND(F.bitwise_not("cut")).alias("whole")).filter("whole <> 0").groupBy("jx", "iy").agg(F.bit_or("whole").alias("whole"))
+
+
+def _open(laid: DataFrame, whole: DataFrame, g: Grid) -> DataFrame:
+    """Rows of ``in_cells`` whose cell no polygon covers whole."""
+    d = laid.withColumn("jx", F.floor(C("ix") / STRIP)).join(F.broadcast(whole) if g.small else whole, ["jx", "iy"], "left")
+    return d.filter(~F.coalesce(_bit("whole", F.pmod("ix", F.lit(STRIP)).cast("int")), F.lit(False))).drop("whole")
+
+
+def index(edges: DataFrame, g: Grid, any_of: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The cover index: per strip (jx, iy) the polygons that cover cells whole, with a bit per cell (``whole``), and per
+    cell (ix, iy) the polygons with edges in it, these, and whether they cover its inner point (``parts``).
+
+    With ``any_of`` it only tells whether any polygon covers a point: bits of all together, and no edges in such cells.
+    """
+    strips, laid = _strips(edges, g), in_cells(edges, g)
+    if any_of:
+        whole = whole_cells(edges, g)
+        laid = _open(laid, whole, g)
+    else:
+        bits = C("inner").bitwiseAND(F.bitwise_not("cut"))
+        whole = strips.select("jx", "iy", F.struct("poly", bits.alias("bits")).alias("p")).filter("p.bits <> 0").groupBy("jx", "iy").agg(F.collect_list("p").alias("whole"))
+        laid = laid.withColumn("jx", F.floor(C("ix") / STRIP))
+    laid = laid.groupBy("jx", "iy", "poly", "ix").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    laid = laid.join(strips.select("jx", "iy", "poly", "inner"), ["jx", "iy", "poly"])
+    inner = _bit("inner", F.pmod("ix", F.lit(STRIP)).cast("int"))
+    return whole, laid.groupBy("ix", "iy").agg(F.collect_list(F.struct("poly", inner.cast("int").alias("inner"), "edges")).alias("parts"))
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
@@ -129,27 +176,47 @@ def on_edge(x: Column, y: Column, e: Column) -> Column:
     return within & (_side(e["x1"], e["y1"], e["x2"], e["y2"], x, y) == 0)
 
 
-def _covers(p: Column, t: Column, x: Column, y: Column, rx: Column, ry: Column, boundary: bool) -> Column:
-    """Whether polygon ``p`` of a strip covers (x, y) of cell ``t``. Both ends of an edge are put on a side of the line to
+def _covers(p: Column, x: Column, y: Column, rx: Column, ry: Column, boundary: bool) -> Column:
+    """Whether polygon ``p`` with edges in a cell covers (x, y) there. Both ends of an edge are put on a side of the line to
     the inner point by the same formula as the next edge's, so no corner is counted twice."""
-    mine = F.filter(p["edges"], lambda e: e["t"] == t)
     between = lambda e: ((_side(x, y, rx, ry, e["x1"], e["y1"]) >= 0) != (_side(x, y, rx, ry, e["x2"], e["y2"]) >= 0)) & ((_side(e["x1"], e["y1"], e["x2"], e["y2"], x, y) >= 0) != (_side(e["x1"], e["y1"], e["x2"], e["y2"], rx, ry) >= 0))
-    inside = (F.size(F.filter(mine, between)) + F.call_function("shiftright", p["mask"], t).bitwiseAND(F.lit(1))) % 2 == 1
-    touched = F.exists(mine, lambda e: on_edge(x, y, e))
+    inside = (F.size(F.filter(p["edges"], between)) + p["inner"]) % 2 == 1
+    touched = F.exists(p["edges"], lambda e: on_edge(x, y, e))
     return inside | touched if boundary else inside & ~touched
 
 
+def _found(points: DataFrame, edges: DataFrame, x: str, y: str, g: Grid, any_of: bool) -> tuple[DataFrame, Column]:
+    """``points`` with the index's columns of their cells, and the cell's bit."""
+    whole, parts = (F.broadcast(d) if g.small else d for d in index(edges, g, any_of))
+    p = points.withColumns({"__ix": g.ix(C(x)), "__iy": g.ix(C(y))}).withColumn("__jx", F.floor(C("__ix") / STRIP))
+    p = p.join(whole.select(C("jx").alias("__jx"), C("iy").alias("__iy"), C("whole").alias("__whole")), ["__jx", "__iy"], "left")
+    p = p.join(parts.select(C("ix").alias("__ix"), C("iy").alias("__iy"), C("parts").alias("__parts")), ["__ix", "__iy"], "left")
+    return p, F.pmod("__ix", F.lit(STRIP)).cast("int")
+
+
+def _by_spot(points: DataFrame, x: str, y: str, work: Callable[[DataFrame, str, str], DataFrame], out: str) -> DataFrame:
+    """``points`` with column ``out`` of ``work``, which is done once for each place where places repeat."""
+    at = points.filter(C(x).isNotNull() & C(y).isNotNull()).select(C(x).alias("__px"), C(y).alias("__py"))
+    n, spots = at.agg(F.count("*"), F.approx_count_distinct(F.struct("__px", "__py"))).head()
+    if n < 4 * spots:
+        return work(points, x, y)
+    done = work(at.distinct(), "__px", "__py")
+    return points.withColumns({"__px": C(x), "__py": C(y)}).join(done, ["__px", "__py"], "left").select(*points.columns, out)
+
+
 def covering(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", boundary: bool = True, out: str = "covering", g: Grid | None = None) -> DataFrame:
     """``points`` with the sorted ids of the polygons that cover each; points on an edge count unless ``boundary`` is off."""
     g = g or grid(edges)
-    found = index(edges, g).select(C("jx").alias("__jx"), C("iy").alias("__iy"), "polys")
-    p = points.withColumns({"__ix": g.ix(C(x)), "__iy": g.ix(C(y))}).withColumn("__jx", F.floor(C("__ix") / STRIP))
-    d = p.join(F.broadcast(found) if g.small else found, ["__jx", "__iy"], "left")
-    rx, ry = g.inner(C("__ix"), C("__iy"))
-    t = (C("__ix") - C("__jx") * STRIP).cast("int")
-    hit = F.filter("polys", lambda q: _covers(q, t, C(x), C(y), rx, ry, boundary))
-    ids = F.array_sort(F.transform(hit, lambda q: q["poly"]))
-    return d.select(*points.columns, F.coalesce(ids, F.array().cast(f"array<{edges.schema['poly'].dataType.simpleString()}>")).alias(out))
+    none = F.array().cast(f"array<{edges.schema['poly'].dataType.simpleString()}>")
+
+    def work(p: DataFrame, x: str, y: str) -> DataFrame:
+        d, t = _found(p, edges, x, y, g, False)
+        rx, ry = g.inner(C("__ix"), C("__iy"))
+        sure = F.transform(F.filter("__whole", lambda q: _bit(q["bits"], t)), lambda q: q["poly"])
+        tried = F.transform(F.filter("__parts", lambda q: _covers(q, C(x), C(y), rx, ry, boundary)), lambda q: q["poly"])
+        return d.select(*p.columns, F.sort_array(F.concat(F.coalesce(sure, none), F.coalesce(tried, none))).alias(out))
+
+    return _by_spot(points, x, y, work, out).withColumn(out, F.coalesce(out, none))
 
 
 def spatial_join(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", how: str = "inner", boundary: bool = True) -> DataFrame:
@@ -159,9 +226,14 @@ def spatial_join(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y"
     return d.select(*points.columns, explode("__c").alias("poly"))
 
 
-def covered(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", boundary: bool = True, out: str = "covered") -> DataFrame:
+def covered(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", boundary: bool = True, out: str = "covered", g: Grid | None = None) -> DataFrame:
     """``points`` with a flag: whether any polygon covers it; null without a position."""
-    return covering(points, edges, x, y, boundary, "__c").withColumn(out, F.when(C(x).isNotNull() & C(y).isNotNull(), F.size("__c") > 0)).drop("__c")
+    g = g or grid(edges)
+    d, t = _found(points, edges, x, y, g, True)
+    rx, ry = g.inner(C("__ix"), C("__iy"))
+    sure = F.coalesce(_bit("__whole", t), F.lit(False))
+    tried = F.coalesce(F.exists("__parts", lambda q: _covers(q, C(x), C(y), rx, ry, boundary)), F.lit(False))
+    return d.select(*points.columns, F.when(C(x).isNotNull() & C(y).isNotNull(), sure | tried).alias(out))
 
 
 #: Edges of a shape held by the caller up to which it is a literal of the plan instead of a table.
@@ -250,10 +322,13 @@ def union_edges(edges: DataFrame, g: Grid | None = None, off: float = 1e-4) -> D
     Edges are cut where another one crosses, touches or overlaps them, found by a join on cells. A piece belongs to the
     outline if exactly one of the two points ``off`` beside its middle is covered: pieces inside another polygon have land
     on both sides, borders between neighbours too, and of equal pieces one stays. Self-crossing rings come out valid.
+    The outline meets no cell that a polygon covers whole: edges are cut in the other cells only, and those that pass none
+    of these are left out.
     """
     g = g or grid(edges)
     e = edges.withColumn("id", F.struct("poly", "ring", "seq"))
-    cells = in_cells(e, g).select("ix", "iy", "id", "x1", "y1", "x2", "y2")
+    cells = _open(in_cells(e, g), whole_cells(edges, g), g).select("ix", "iy", "id", "x1", "y1", "x2", "y2")
+    e = cells.select("id", "x1", "y1", "x2", "y2").distinct()
     a, b = cells, cells.select("ix", "iy", *(C(c).alias(f"b_{c}") for c in ("id", "x1", "y1", "x2", "y2")))
     meet = (F.least("x1", "x2") <= F.greatest("b_x1", "b_x2")) & (F.greatest("x1", "x2") >= F.least("b_x1", "b_x2")) & (F.least("y1", "y2") <= F.greatest("b_y1", "b_y2")) & (F.greatest("y1", "y2") >= F.least("b_y1", "b_y2"))
     pairs = a.join(b, (a["ix"] == b["ix"]) & (a["iy"] == b["iy"]) & (C("id") < C("b_id")) & meet).select("id", "x1", "y1", "x2", "y2", "b_id", "b_x1", "b_y1", "b_x2", "b_y2")
@@ -283,7 +358,7 @@ def union_edges(edges: DataFrame, g: Grid | None = None, off: float = 1e-4) -> D
     n = F.hypot(C("x2") - C("x1"), C("y2") - C("y1"))
     mx, my, nx, ny = (C("x1") + C("x2")) / 2, (C("y1") + C("y2")) / 2, (C("y1") - C("y2")) / n * off, (C("x2") - C("x1")) / n * off
     d = d.withColumns({"lx": mx + nx, "ly": my + ny, "rx": mx - nx, "ry": my - ny})
-    d = covered(covered(d, edges, "lx", "ly", out="left_in"), edges, "rx", "ry", out="right_in").filter("left_in <> right_in")
+    d = covered(covered(d, edges, "lx", "ly", out="left_in", g=g), edges, "rx", "ry", out="right_in", g=g).filter("left_in <> right_in")
     turn = lambda p, q: F.when(C("left_in"), C(p)).otherwise(C(q))
     return d.select(turn("x1", "x2").alias("x1"), turn("y1", "y2").alias("y1"), turn("x2", "x1").alias("x2"), turn("y2", "y1").alias("y2"))
 
