@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayspan.functions.text import fixed
 from wayspan.operators.movement import time_steps
 from wayspan.operators.schema import ORDER, Order
 
@@ -66,7 +67,7 @@ def rate_text(df: DataFrame, thresh: float = 20, max_show: int = 3, breaks: tupl
     tag first by name."""
     t = rate_tables(df, thresh, breaks=breaks, tol=tol, order=order)
     num = lambda c: F.regexp_replace(c, r"\+", "").cast("double")
-    tag, two = F.col(order.key), lambda c: F.format_string("%.2f", c.cast("double"))
+    tag, two = F.col(order.key), lambda c: fixed(c, 2)
     counts = t["counts"].withColumn("num", num("rate"))
     first = W.partitionBy(order.key).orderBy(F.desc("N"), "num", F.length("rate"))
     lead = counts.filter(tag == "all").withColumn("line", F.row_number().over(first)).filter("line <= 2")

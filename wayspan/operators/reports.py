@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions import geo
 from wayspan.functions.crs import Crs
+from wayspan.functions.text import fixed
 from wayspan.operators import checks, duplicates, outliers, rates
 from wayspan.operators.movement import time_steps
 from wayspan.operators.schema import ORDER, Order, micros
@@ -79,7 +80,7 @@ def summary(df: DataFrame, stat: str = "mean", dispersion: str = "MAD", digits:
     out = d.groupBy(order.key).agg(*per).rollup(order.key).agg(every.alias("__every"), *merged)
     if mode != "simple":
         out = out.crossJoin(F.broadcast(times)).withColumn("gap_mode", F.when(C("__every"), C("__gap_mode")).otherwise(C("gap_mode"))).drop("__gap_mode")  # one row
-    f = lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double"))).otherwise("NA")
+    f = lambda v: F.coalesce(fixed(v, digits), F.lit("NA"))
     for c in cols:
         text = F.concat(f(C(f"__mid_{c}")), F.lit(" ± "), f(C(f"__width_{c}")))
         text = F.concat(text, F.lit(" ["), f(C(f"__min_{c}")), F.lit(", "), f(C(f"__max_{c}")), F.lit("]")) if add_ranges else text

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayspan.functions import geo
 from wayspan.functions.crs import Crs
+from wayspan.functions.text import fixed
 from wayspan.operators import outliers, spatial
 from wayspan.operators.schema import ORDER, Order, micros, seconds_between
 
@@ -161,17 +162,13 @@ def trip_stats(df: DataFrame, by: str | None = None, nest: DataFrame | None = No
     return g.join(mon.select(*every, "TotalMon", (C("TotalMon") - C("__lost")).alias("ActiveMon")), every)
 
 
-def _digits(v: Column, digits: int) -> Column:
-    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", v.cast("double")))
-
-
 def _means(c: Column, digits: int) -> Column:
-    f = lambda v: _digits(v, digits)
+    f = lambda v: fixed(v, digits)
     return F.when(F.count(c) > 0, F.concat(f(F.avg(c)), F.lit("±"), F.coalesce(f(F.stddev(c)), F.lit("NA")), F.lit(" ("), f(F.max(c)), F.lit(")")))
 
 
 def _box(low: Column, mid: Column, high: Column, top: Column, digits: int) -> Column:
-    f = lambda v: _digits(v, digits)
+    f = lambda v: fixed(v, digits)
     return F.when(mid.isNotNull(), F.concat(f(mid), F.lit(" ("), f(low), F.lit(","), f(high), F.lit(") ["), f(top), F.lit("]")))
 
 
