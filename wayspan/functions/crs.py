@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 from types import SimpleNamespace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayspan.functions import geo
@@ -32,6 +32,22 @@ def _let_columns(values: dict[str, Column], f):
 COLUMNS = SimpleNamespace(**{n: getattr(F, n) for n in _NAMES}, pick=lambda c, a, b: F.when(c, a).otherwise(b), let=_let_columns)
 NUMBERS = SimpleNamespace(**{n: getattr(math, n) for n in _NAMES}, pick=lambda c, a, b: a if c else b, let=lambda values, f: f(SimpleNamespace(**values)))
 
+
+class _Stages:
+    """The functions over columns of a table, where values that are worked out once become columns of it for a while: those
+    are compiled, unlike an array's variable."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.names = df, []
+        self.functions = SimpleNamespace(**{**vars(COLUMNS), "let": self.let})
+
+    def let(self, values: dict[str, Column], f):
+        names = {n: f"__crs_{len(self.names)}_{n}" for n in values}
+        self.df = self.df.withColumns({names[n]: c for n, c in values.items()})
+        self.names += names.values()
+        return f(SimpleNamespace(**{n: F.col(c) for n, c in names.items()}))
+
+
 #: Semi-major axis and flattening, fixed values: GRS80 and WGS84.
 GRS80, WGS84 = (6378137.0, 1 / 298.257222101), (6378137.0, 1 / 298.257223563)
 
@@ -61,7 +77,7 @@ class EqualArea:
     """EPSG:3035; the way back is by the authalic latitude's series and one step of Newton's, good to a micrometre."""
 
     def forward(self, m, lon, lat):
-        return geo.project(lon, lat) if m is COLUMNS else geo.project_point(lon, lat)
+        return geo.project_point(lon, lat) if m is NUMBERS else geo.project(lon, lat)
 
     def back(self, m, x, y):
         e2, e, rq, d, b0 = geo._E2, geo._E, geo._RQ, geo._D, geo._B0
@@ -175,6 +191,15 @@ class Crs:
         """(longitude, latitude) in degrees."""
         return _pair(self.system.back(COLUMNS, x, y))
 
+    def add(self, df: DataFrame, pairs: list[tuple[str, str, str, str]], back: bool = False) -> DataFrame:
+        """``df`` with columns on the plane, or in degrees on the way ``back``: each of ``pairs`` names those of two
+        coordinates and of the two worked out."""
+        s, out = _Stages(df), {}
+        for a, b, x, y in pairs:
+            r = (self.system.back if back else self.system.forward)(s.functions, F.col(a), F.col(b))
+            out |= {x: r[0], y: r[1]}
+        return s.df.withColumns(out).drop(*s.names)
+
     def point(self, lon: float, lat: float) -> tuple[float, float]:
         return self.system.forward(NUMBERS, lon, lat)
 

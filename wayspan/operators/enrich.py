@@ -16,24 +16,19 @@ C = F.col
 
 def project(df: DataFrame, crs: int = 3035) -> DataFrame:
     """Adds X and Y, the position on the plane of an EPSG code (see ``functions.crs``)."""
-    x, y = Crs(crs).project(C("longitude"), C("latitude"))
-    return df.withColumns({"X": x, "Y": y})
+    return Crs(crs).add(df, [("longitude", "latitude", "X", "Y")])
 
 
 def unproject(df: DataFrame, crs: int = 3035, pairs: tuple[tuple[str, str, str, str], ...] = (("X", "Y", "longitude", "latitude"),)) -> DataFrame:
     """Adds degrees to columns on the plane: each of ``pairs`` names (x, y, longitude, latitude)."""
-    for x, y, lon, lat in pairs:
-        a, b = Crs(crs).unproject(C(x), C(y))
-        df = df.withColumns({lon: a, lat: b})
-    return df
+    return Crs(crs).add(df, list(pairs), back=True)
 
 
 Land = DataFrame | list
 
 
 def _placed(df: DataFrame, crs: int) -> DataFrame:
-    x, y = Crs(crs).project(C("longitude"), C("latitude"))
-    return df.withColumns({"__x": x, "__y": y})
+    return Crs(crs).add(df, [("longitude", "latitude", "__x", "__y")])
 
 
 def _near(land: Land, box: tuple[float, float, float, float] | None, buffer: float) -> Land:
