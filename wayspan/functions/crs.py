@@ -77,7 +77,9 @@ class EqualArea:
     """EPSG:3035; the way back is by the authalic latitude's series and one step of Newton's, good to a micrometre."""
 
     def forward(self, m, lon, lat):
-        return geo.project_point(lon, lat) if m is NUMBERS else geo.project(lon, lat)
+        if m is NUMBERS:
+            return geo.project_point(lon, lat)
+        return geo.project(lon, lat) if m is COLUMNS else geo.project(lon, lat, lambda values, f: m.let(values, lambda v: f(**vars(v))))
 
     def back(self, m, x, y):
         e2, e, rq, d, b0 = geo._E2, geo._E, geo._RQ, geo._D, geo._B0

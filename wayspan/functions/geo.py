@@ -47,17 +47,22 @@ _RQ = _A * math.sqrt(_QP / 2)
 _D = _A * math.cos(_LAT0) / math.sqrt(1 - _E2 * math.sin(_LAT0) ** 2) / (_RQ * math.cos(_B0))
 
 
-def project(lon: Column, lat: Column) -> tuple[Column, Column]:
+def project(lon: Column, lat: Column, let=lambda values, f: f(**values)) -> tuple[Column, Column]:
     """(X, Y) in EPSG:3035: Lambert azimuthal equal area, by authalic latitude.
 
     Null just where a coordinate is, and written so that Spark knows: "X is not null" before a scan then looks at the
-    coordinates instead of working X out by a formula too long to be compiled.
+    coordinates instead of working X out by a formula too long to be compiled. ``let`` may make columns of values used often.
     """
     known = lambda v: F.when(lon.isNotNull() & lat.isNotNull(), F.coalesce(v, F.lit(math.nan)))
-    b = F.asin(_q(F.sin(F.radians(lat)), F.log) / _QP)
-    d = F.radians(lon) - _LON0
-    k = F.sqrt(2 / (1 + math.sin(_B0) * F.sin(b) + math.cos(_B0) * F.cos(b) * F.cos(d))) * _RQ
-    return known(_FE + k * _D * F.cos(b) * F.sin(d)), known(_FN + k / _D * (math.cos(_B0) * F.sin(b) - math.sin(_B0) * F.cos(b) * F.cos(d)))
+
+    def scaled(b: Column, d: Column) -> tuple[Column, Column]:
+        k = F.sqrt(2 / (1 + math.sin(_B0) * F.sin(b) + math.cos(_B0) * F.cos(b) * F.cos(d))) * _RQ
+        return let({"b": b, "d": d, "k": k}, placed)
+
+    def placed(b: Column, d: Column, k: Column) -> tuple[Column, Column]:
+        return known(_FE + k * _D * F.cos(b) * F.sin(d)), known(_FN + k / _D * (math.cos(_B0) * F.sin(b) - math.sin(_B0) * F.cos(b) * F.cos(d)))
+
+    return let({"b": F.asin(_q(F.sin(F.radians(lat)), F.log) / _QP), "d": F.radians(lon) - _LON0}, scaled)
 
 
 def project_point(lon: float, lat: float) -> tuple[float, float]:

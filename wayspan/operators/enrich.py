@@ -71,6 +71,7 @@ def dist2coast(df: DataFrame, land: Land, box: tuple[float, float, float, float]
         return d.withColumns({"onshore": on, "dist2coast": far}).drop("__x", "__y")
     coast = coastline(df.sparkSession, land, simplify, keep)
     g = spatial.grid(coast)
+    d = settled(d)  # read five times: places are worked out once
     d = spatial.covering(d, coast, "__x", "__y", False, "__in", g)
     d = spatial.nearest_edge(d, coast, "__x", "__y", "dist2coast", g=g)
     return d.withColumn("onshore", F.when(C("__x").isNotNull() & C("__y").isNotNull(), F.size("__in") > 0)).select(*(c for c in df.columns if c not in ("onshore", "dist2coast")), "onshore", "dist2coast")

@@ -13,7 +13,8 @@ a cell that another polygon covers whole are left out.
 
 The nearest edge is found from the top of a pyramid of cells, four times as wide on each level: of a cell's candidates
 those stay that are no farther than the farthest point of the best one. That is done once for each distinct cell with
-points, not for each point.
+points, not for each point, and goes on in smaller cells with points, by the edges themselves, so that few are left to
+be measured for a point.
 
 Nulls: points without coordinates are covered by nothing (null where asked for a flag) and have no nearest edge. Edges with
 a null coordinate are left out. Edges of no length are too; a ring with fewer than three corners covers nothing but itself.
@@ -45,6 +46,8 @@ INNER_X, INNER_Y = 0.5130177, 0.4870429
 #: An index of up to so many edges, or strips, is sent to all executors; beyond that points and index are both shuffled.
 SENT = 200_000
 FAN = 4
+#: Times that a cell with points is cut into FAN by FAN smaller ones for the nearest edge, each with edges of its own.
+FINER = 2
 #: Edges that share a cell with an edge, on the average, beyond which cells are made smaller; rows per edge that they may come to.
 CROWD, LAID = 16, 16
 
@@ -275,12 +278,20 @@ def _gap(a: Column, b: Column, wide: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), lo - (a + 1), a - hi), F.greatest(hi - a, a + 1 - lo)
 
 
+def _where_most(array: str, value: Callable[[Column], Column], most: Column) -> Column:
+    """The array's entries whose value is at most ``most``, which is worked out once: a column of its own would be put into
+    the condition, and worked out anew for each entry."""
+    return F.flatten(F.transform(F.array(most), lambda m: F.filter(array, lambda q: value(q) <= m)))
+
+
 def candidates(cells: DataFrame, edges: DataFrame, g: Grid) -> DataFrame:
     """Distinct cells (ix, iy) with ``edges``: all that can be nearest to some point of the cell (an edge comes once for each cell that it passes)."""
     if g.box is None:
         return cells.distinct().withColumn("edges", F.array().cast(EDGE))
     laid = in_cells(edges, g).groupBy("ix", "iy").agg(F.collect_list(F.struct(F.lit(0).alias("t"), "x1", "y1", "x2", "y2")).alias("edges"))
     sent = F.broadcast if g.small else (lambda d: d)
+    # Few bytes, but long work: tasks must not be merged. Another number than that of the shuffle before, else this one is left out.
+    tasks = 2 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = max(g.box[2] - g.box[0], g.box[3] - g.box[1]) / g.size
     top = max(0, math.ceil(math.log(max(side, 1) / 4, FAN)))  # at most 6 by 6 cells there
     at = lambda c, level: F.floor(C(c) / FAN**level)
@@ -289,28 +300,46 @@ def candidates(cells: DataFrame, edges: DataFrame, g: Grid) -> DataFrame:
     far = lambda level: lambda q: sum(_sq(_gap(C("ix"), q["cx"], FAN**level)[1], _gap(C("iy"), q["cy"], FAN**level)[1]))
 
     def prune(d: DataFrame, level: int) -> DataFrame:
-        d = d.withColumn("__far", F.array_min(F.transform("cand", far(level))))
-        return d.select("ix", "iy", F.filter("cand", lambda q: near(level)(q) <= C("__far")).alias("cand"))
+        return d.select("ix", "iy", _where_most("cand", near(level), F.array_min(F.transform("cand", far(level)))).alias("cand"))
 
     roots = occupied.select(at("ix", top).alias("cx"), at("iy", top).alias("cy")).distinct().agg(F.collect_list(F.struct("cx", "cy")).alias("cand"))
-    d = prune(cells.filter("ix IS NOT NULL AND iy IS NOT NULL").distinct().join(F.broadcast(roots)), top)  # one row of at most 36 cells
+    cells = cells.filter("ix IS NOT NULL AND iy IS NOT NULL").distinct().repartition(tasks, "ix", "iy")
+    d = prune(cells.join(F.broadcast(roots)), top)  # one row of at most 36 cells
     for level in range(top, 0, -1):
         kids = occupied.groupBy(at("ix", level).alias("cx"), at("iy", level).alias("cy")).agg(F.collect_set(F.struct(at("ix", level - 1).alias("cx"), at("iy", level - 1).alias("cy"))).alias("kids"))
         d = d.select("ix", "iy", F.explode("cand").alias("c")).select("ix", "iy", "c.cx", "c.cy").join(sent(kids), ["cx", "cy"])
         d = prune(d.groupBy("ix", "iy").agg(F.flatten(F.collect_list("kids")).alias("cand")), level - 1)
     d = d.select("ix", "iy", F.explode("cand").alias("c")).select(C("ix").alias("qx"), C("iy").alias("qy"), C("c.cx").alias("ix"), C("c.cy").alias("iy")).join(sent(laid), ["ix", "iy"])
-    return d.groupBy(C("qx").alias("ix"), C("qy").alias("iy")).agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    return d.select(C("qx").alias("ix"), C("qy").alias("iy"), "edges").groupBy("ix", "iy").agg(F.flatten(F.collect_list("edges")).alias("edges"))
 
 
 def _sq(*v: Column) -> list[Column]:
     return [x * x for x in v]
 
 
+def _finer(cells: DataFrame, found: DataFrame, size: float) -> DataFrame:
+    """Cells (ix, iy) of a smaller size with those of the edges in ``found``, by cells ``FAN`` times as wide, that can be
+    nearest to some point of theirs: none is farther from the middle than the nearest one by more than a diagonal."""
+    parent = {"__ix": F.floor(C("ix") / FAN), "__iy": F.floor(C("iy") / FAN)}
+    # Few bytes, but long work: as many tasks as there may be.
+    d = cells.withColumns(parent).repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__ix", "__iy")
+    d = d.join(found.select(C("ix").alias("__ix"), C("iy").alias("__iy"), "edges"), ["__ix", "__iy"])
+    mx, my = (C("ix") + 0.5) * size, (C("iy") + 0.5) * size
+    d = d.withColumn("__d", F.transform("edges", lambda e: F.struct(distance(mx, my, e).alias("d"), e.alias("e"))))
+    near = _where_most("__d", lambda q: q["d"], F.array_min("__d")["d"] + size * math.sqrt(2) * (1 + 1e-9))
+    return d.select("ix", "iy", F.transform(near, lambda q: q["e"]).alias("edges"))
+
+
 def nearest_edge(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", out: str = "distance", tried: str | None = None, g: Grid | None = None) -> DataFrame:
     """``points`` with the distance to the nearest edge, and in ``tried`` how many edges were measured for it."""
     g = g or grid(edges)
-    p = points.withColumns({"__ix": g.ix(C(x)), "__iy": g.ix(C(y))})
-    found = candidates(p.select(C("__ix").alias("ix"), C("__iy").alias("iy")), edges, g)
+    fine = Grid(g.size / FAN**FINER, g.box, g.small)
+    p = points.withColumns({"__ix": fine.ix(C(x)), "__iy": fine.ix(C(y))})
+    cells = p.filter(C(x).isNotNull() & C(y).isNotNull()).select(C("__ix").alias("ix"), C("__iy").alias("iy")).distinct()
+    up = lambda n: cells.select(*(F.floor(C(c) / FAN**n).alias(c) for c in ("ix", "iy"))).distinct() if n else cells
+    found = candidates(up(FINER), edges, g)
+    for n in range(FINER - 1, -1, -1):
+        found = _finer(up(n), found, g.size / FAN ** (FINER - n))
     d = p.join(found.select(C("ix").alias("__ix"), C("iy").alias("__iy"), C("edges").alias("__e")), ["__ix", "__iy"], "left")
     least = F.array_min(F.transform("__e", lambda e: distance(C(x), C(y), e)))
     return d.select(*points.columns, least.alias(out), *([F.coalesce(F.size("__e"), F.lit(0)).alias(tried)] if tried else []))
