@@ -399,3 +399,38 @@ def test_bootstraps_pass_as_a_stream(spark):
         assert sorted(map(tuple, catalog.QUERIES["boot_rate"](spark, sf).collect())) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def most_rows_of_a_task(spark, f):
+    """What ``f`` gives, and the most shuffled rows that one task of its jobs read."""
+    sc, was = spark.sparkContext, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("counted", "")
+    try:
+        out = f()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    top, store = sc._gateway.new_array(sc._jvm.double, 1), sc._jsc.sc().statusStore()
+    top[0] = 1.0
+    said = [store.taskSummary(s, 0, top) for j in sc.statusTracker().getJobIdsForGroup("counted") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    return out, max(x.get().shuffleReadMetrics().readRecords().head() for x in said if x.isDefined())
+
+
+@pytest.mark.parametrize("levels", [1000, 0])
+def test_quartiles_of_a_level_over_many_tags(spark, monkeypatch, levels):
+    monkeypatch.setattr(outliers, "LEVELS", levels)  # broadcast, and dealt out
+    rng = np.random.default_rng(5)
+    p = [(f"t{i % 200}", [2023, 2024, None][0 if i % 50 == 0 else 2 if i == 77 else 1], float(i // 3000 or v), None if i % 7 == 0 else float(w), 24.0 * (i % 5), int(i % 4 == 0)) for i, (v, w) in enumerate(zip(rng.exponential(9, 4000), rng.normal(size=4000)))]
+    d = spark.createDataFrame(p, "TagID string, year int, DistMax double, DistTotal double, TripDur double, incompl int").repartition(4)
+    rows, most = most_rows_of_a_task(spark, lambda: trips.tabulate_trips(d, "year", option="boxplot", digits=3, order=O).collect())
+    got = {(r.TagID, r.year): r for r in rows}
+    assert len(got) == len(rows) == len({(x[0], x[1]) for x in p}) + 4
+    assert most < 3000  # of 3,919 trips in a year, in two levels and three measures
+    for tag, year, chosen in [("all", str(y) if y else None, [x for x in p if x[1] == y]) for y in (2023, 2024, None)] + [("all", "all", p), ("t3", "2024", [x for x in p if x[0] == "t3" and x[1] == 2024])]:
+        r, whole = got[tag, year], [x for x in chosen if not x[5]]
+        assert (r.complete, r.incomplete) == (len(whole), len(chosen) - len(whole))
+        for i, scale in ((2, 1), (3, 1), (4, 24)):
+            v = [x[i] / scale for x in whole if x[i] is not None]
+            a, m, b = np.quantile(v, [0.25, 0.5, 0.75]) if v else (0, 0, 0)
+            assert r[i + 2] == (f"{m:.3f} ({a:.3f},{b:.3f}) [{max(v):.3f}]" if v else None), (tag, year, i)

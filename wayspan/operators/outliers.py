@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from wayspan.operators.schema import ORDER, Order
 
 C = F.col
+#: Levels of a grouping up to which the intervals that hold their quantiles are broadcast.
+LEVELS = 1000
 
 
 def thresholds(df: DataFrame, var: str, method: str, keys: list[str], q: tuple[float, float] = (0.01, 0.99)) -> DataFrame:
@@ -93,6 +96,38 @@ def pooled_quantiles(d: DataFrame, qs: list[float]) -> list[float | None]:
     return [at[a + 1] + (at[b + 1] - at[a + 1]) * ((n - 1) * q - a) if n else None for (a, b), q in zip(low, qs)]
 
 
+def level_quantiles(d: DataFrame, level: str, columns: list[str], qs: list[float]) -> DataFrame:
+    """(level, and for each column the list of its linear quantiles), exactly, where ``level`` lists the levels that a row
+    belongs to; a column without values has null. However many rows a level has, no task ranks all of them.
+
+    Approximate quantiles over all rows cut each column into intervals, several a partition, whatever the level. Counts by
+    level and interval tell which intervals hold a wanted rank; only the rows of these are counted by value and ranked, one
+    interval at a time. ``d`` is read three times. The driver sees the cuts.
+    """
+    n = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = d.agg(F.approx_count_distinct(C(level)[0]), *[F.percentile_approx(c, [i / n for i in range(1, n)], 10 * n) for c in columns]).head()
+    few, cuts = said[0] <= LEVELS, [sorted({x for x in v or [] if math.isfinite(x)} or {0.0}) for v in said[1:]]
+    names = [f"__b_{c}" for c in columns]
+    d = Bucketizer(splitsArray=[[-math.inf, *c, math.inf] for c in cuts], inputCols=columns, outputCols=names, handleInvalid="keep").transform(d)
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), C(b).cast("int").alias("b"), C(c).alias("v")) for c, b in zip(columns, names)])
+    d = d.select(level, F.explode(F.filter(cells, lambda x: x["v"].isNotNull())).alias("__x")).select(F.explode(level).alias("g"), "__x.*")
+    w = W.partitionBy("g", "c")
+    held = d.groupBy("g", "c", "b").agg(F.count("*").alias("k"))
+    held = held.withColumns({"n": F.sum("k").over(w), "before": F.sum("k").over(w.orderBy("b")) - C("k")})
+    ends = lambda q: (F.floor((C("n") - 1) * F.lit(q)) + 1, F.ceil((C("n") - 1) * F.lit(q)) + 1)
+    wanted = held.filter(F.exists(F.array(*[r for q in qs for r in ends(q)]), lambda r: (r > C("before")) & (r <= C("before") + C("k")))).drop("k")
+    if few:
+        near = d.withColumn("k", F.lit(1)).join(F.broadcast(wanted), ["g", "c", "b"])
+    else:
+        near = d.groupBy("g", "c", "b", "v").agg(F.count("*").alias("k")).join(wanted, ["g", "c", "b"])
+    near = near.groupBy("g", "c", "b", "n", "before", "v").agg(F.sum("k").alias("k"))
+    near = near.withColumn("upto", C("before") + F.sum("k").over(W.partitionBy("g", "c", "b").orderBy("v")))
+    at = lambda r: F.max(F.when((r <= C("upto")) & (r > C("upto") - C("k")), C("v")))
+    linear = [at(a) + (at(b) - at(a)) * F.max((C("n") - 1) * F.lit(q) - (a - 1)) for q, (a, b) in ((q, ends(q)) for q in qs)]
+    found = near.groupBy("g", "c").agg(F.array(*linear).alias("q"))
+    return found.groupBy(C("g").alias(level)).agg(*[F.max(F.when(C("c") == c, C("q"))).alias(c) for c in columns])
+
+
 @contextmanager
 def kept(d: DataFrame) -> Iterator[DataFrame]:
     """``d`` held (in memory, else on disk) while several passes read it."""

@@ -11,6 +11,7 @@ from wayspan.functions.crs import Crs
 from wayspan.functions.text import fixed
 from wayspan.operators import outliers, spatial
 from wayspan.operators.schema import ORDER, Order, micros, seconds_between
+from wayspan.session import settled
 
 C = F.col
 
@@ -177,8 +178,8 @@ def tabulate_trips(trips: DataFrame, by: str | None = None, digits: int = 2, uni
 
     Rows over all tags have the tag "all"; those over all levels have the level "all". ``means`` gives mean, deviation and
     greatest value; any other option the median, quartiles and greatest value. Quartiles are order statistics: by rank
-    within tags and levels (sorted windows, which spill), and for the row over everything by ``order_stats``, which runs
-    while the frame is being built; no group's values are gathered in one place.
+    within a tag's levels (sorted windows, which spill), and for the rows over all tags by ``outliers.level_quantiles``, so
+    that no task ranks a whole level.
     """
     hours = {"hours": 1, "days": 24, "mins": 1 / 60}[unit]
     t = trips.withColumn("__tag", C(order.key).cast("string")).withColumn("__by", (C(by).cast("string") if by else F.lit("all")))
@@ -196,16 +197,19 @@ def tabulate_trips(trips: DataFrame, by: str | None = None, digits: int = 2, uni
     if option == "means":
         out = grouped(sets).groupBy(*keys).agg(*counts, *[_means(C(n), digits).alias(n) for n in measures])
     else:
-        d, w = grouped(sets[:-1]), W.partitionBy("__g")
+        t, w = settled(t), W.partitionBy("__tag", "__by")  # read several times: trips are worked out once
+        d = t
         for n in measures:
             d = d.withColumns({f"__n_{n}": F.count(n).over(w), f"__r_{n}": F.row_number().over(w.orderBy(F.asc_nulls_last(n)))})
         box = lambda n: _box(*(outliers.quantile(q, n, f"__r_{n}", f"__n_{n}") for q in (0.25, 0.5, 0.75)), F.max(n), digits)
-        out = d.groupBy(*keys).agg(*counts, *[box(n).alias(n) for n in measures])
-        with outliers.kept(t) as held:
-            q = {n: outliers.pooled_quantiles(held.filter(C(n).isNotNull()).select(C(n).alias("v")), [0.25, 0.5, 0.75]) for n in measures}
-        all_ = t.agg(F.count("*").alias("__c"), *counts, *[F.max(n).alias(f"__top_{n}") for n in measures]).filter("__c > 0")
-        number = lambda v: F.lit(v).cast("double")
-        out = out.unionByName(all_.select(F.lit("all").alias(order.key), F.lit("all").alias(by or "by"), "complete", "incomplete", *[_box(*map(number, q[n]), C(f"__top_{n}"), digits).alias(n) for n in measures]))
+        out = d.groupBy(C("__tag").alias(order.key), C("__by").alias(by or "by")).agg(*counts, *[box(n).alias(n) for n in measures])
+        # Rows over all tags: those of each level, and the one over everything.
+        level = lambda every, v: F.struct(F.lit(every).alias("every"), v.alias("by"))
+        t = t.withColumn("__g", F.array(*([level(False, C("__by"))] if by else []), level(True, F.lit("all"))))
+        q = outliers.level_quantiles(t, "__g", list(measures), [0.25, 0.5, 0.75])
+        tops = t.withColumn("__g", F.explode("__g")).groupBy("__g").agg(*counts, *[F.max(n).alias(f"__top_{n}") for n in measures])
+        all_ = tops.join(q, "__g", "left")
+        out = out.unionByName(all_.select(F.lit("all").alias(order.key), C("__g.by").alias(by or "by"), "complete", "incomplete", *[_box(C(n)[0], C(n)[1], C(n)[2], C(f"__top_{n}"), digits).alias(n) for n in measures]))
     return out if by else out.drop("by")
 
 
