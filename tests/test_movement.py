@@ -434,3 +434,38 @@ def test_quartiles_of_a_level_over_many_tags(spark, monkeypatch, levels):
             v = [x[i] / scale for x in whole if x[i] is not None]
             a, m, b = np.quantile(v, [0.25, 0.5, 0.75]) if v else (0, 0, 0)
             assert r[i + 2] == (f"{m:.3f} ({a:.3f},{b:.3f}) [{max(v):.3f}]" if v else None), (tag, year, i)
+
+
+def test_cleaning_sorts_once_for_windows_in_one_order(spark):
+    rng = np.random.default_rng(6)
+    nan, n = float("nan"), 300
+    rows = [(f"t{i % 3}", None if i % 29 == 0 else int(s) * 40000, [0.0, -0.0, 0.001, nan, None][int(x)], 50.0 + int(y)) for i, (s, x, y) in enumerate(zip(rng.integers(0, 60, n), rng.integers(0, 5, n), rng.integers(0, 2, n)))]
+    rows += [("calm", 60 * i, 0.0, 50.0) for i in range(40)] + [("calm", 600 + 60 * i, 0.0, 50.0) for i in range(5)] + [("calm", 600 * 60 * 9, 0.0, 50.0)]
+    d = track(spark, rows).withColumn("more", F.col("seq") % 2)
+    out = pipeline.clean_track(d, pipeline.Cleaning(speed=50, turn=0.1, drop_single_gap=True), True, O).data
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 7  # fifteen before
+    assert out.columns.index("X") == out.columns.index("singlegap_rm") + 1 == out.columns.index("speed_rm") - 2
+    got = {r.seq: r for r in out.collect()}
+    assert len(got) == len(rows)
+    same = lambda v: "nan" if v != v else 0.0 if v == 0 else v
+    at, here, whole, segments, k, last = {}, {}, {}, {}, {}, {}
+    for i, (t, s, x, y) in enumerate(rows):
+        place = (same(x), y)
+        at.setdefault((t, s), set()).add(place)
+        here.setdefault((t, s, place), []).append(i)
+        whole.setdefault((t, s, place, i % 2), []).append(i)
+        back = t in last and None not in (s, last[t]) and s < last[t]
+        k[t], last[t] = k.get(t, 0) + back, s
+        if s is not None:
+            lo, hi = segments.get((t, k[t]), (s, s))
+            segments[t, k[t]] = (min(lo, s), max(hi, s))
+    sections = {}
+    for r in got.values():
+        sections[r.TagID, r.gapsec] = sections.get((r.TagID, r.gapsec), 0) + 1
+    for i, (t, s, x, y) in enumerate(rows):
+        r, place = got[i], (same(x), y)
+        assert (r.dup_time_rm, r.dup_time_coords_rm, r.all_dup_rm) == (len(at[t, s]) > 1, len(here[t, s, place]) > 1, len(whole[t, s, place, i % 2]) > 1), i
+        covered = 0 if s is None else sum(lo <= s <= hi for (u, _), (lo, hi) in segments.items() if u == t)
+        assert r.dup_parallel_rm == (covered > 1), i
+        assert r.singlegap_rm == (sections[r.TagID, r.gapsec] == 1), i
+    assert {r.dup_parallel_rm for r in got.values() if r.TagID == "calm"} == {r.singlegap_rm for r in got.values()} == {0, 1}

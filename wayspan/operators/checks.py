@@ -84,7 +84,10 @@ def precision(df: DataFrame, column: str, limit: float = 7) -> DataFrame:
 
 
 def single_sections(df: DataFrame, flag: str = "singlegap_rm", order: Order = ORDER) -> DataFrame:
-    return df.withColumn(flag, (F.count("*").over(order.whole("gapsec")) == 1).cast("int"))
+    """Flags sections of one fix; sections are runs of a tag's fixes in order, so the fixes beside it tell."""
+    other = lambda f: ~f("gapsec").over(order.window()).eqNullSafe(C("gapsec"))
+    edge = lambda f: f(F.lit(1)).over(order.window()).isNull() | other(f)
+    return df.withColumn(flag, (edge(F.lag) & edge(F.lead)).cast("int"))
 
 
 def time_window(df: DataFrame, start: str | None = None, end: str | None = None, order: Order = ORDER) -> DataFrame:

@@ -35,16 +35,18 @@ def _ranking(method: str, order: Order, variables: Sequence[str], directions: Se
 def mark(df: DataFrame, use_coords: bool = False, order: Order = ORDER) -> DataFrame:
     """Flags 0/1: dup_time_rm (one time, several places), dup_coords_rm (one place, several times; with
     ``use_coords``), dup_time_coords_rm (same time and place), all_dup_rm (whole row)."""
-    place = F.struct("longitude", "latitude")
     at = order.whole(order.time)
-    d = df.withColumn("dup_time_rm", (F.min(place).over(at) != F.max(place).over(at)).cast("int"))
+    rest = [c for c in df.columns if c not in (order.key, order.time, "longitude", "latitude", order.seq)]
+    equal = lambda *more: at.orderBy("longitude", "latitude", *more).rangeBetween(W.currentRow, W.currentRow)
+    # Rows equal in what orders a window are a frame of it. The longest order comes first: its one sort serves the others too.
+    d = df.withColumn("__row", F.count("*").over(equal(*rest)))
+    d = d.withColumns({"__here": F.count("*").over(equal()), "__place": F.dense_rank().over(at.orderBy("longitude", "latitude"))})
+    d = d.withColumn("dup_time_rm", (F.max("__place").over(at) > 1).cast("int"))
     if use_coords:
         here = order.whole("longitude", "latitude")
         known = C("longitude").isNotNull() & C("latitude").isNotNull()
         d = d.withColumn("dup_coords_rm", (known & F.coalesce(F.min(order.time).over(here) != F.max(order.time).over(here), F.lit(False))).cast("int"))
-    d = d.withColumn("dup_time_coords_rm", (F.count("*").over(order.whole(order.time, "longitude", "latitude")) > 1).cast("int"))
-    cols = [c for c in df.columns if c != order.seq]
-    return d.withColumn("all_dup_rm", (F.count("*").over(W.partitionBy(*cols)) > 1).cast("int"))
+    return d.withColumns({"dup_time_coords_rm": (C("__here") > 1).cast("int"), "all_dup_rm": (C("__row") > 1).cast("int")}).drop("__row", "__here", "__place")
 
 
 def resolve_exact(df: DataFrame, method: str = "first", variables: Sequence[str] = (), directions: Sequence[int] = (), seed: int = 1, order: Order = ORDER) -> DataFrame:
@@ -105,15 +107,15 @@ def parallel_streams(df: DataFrame, order: Order = ORDER) -> DataFrame:
     d = df.withColumn("__back", back).withColumn("brksec", (1 + F.sum("__back").over(ingest.rowsBetween(W.unboundedPreceding, 0))).cast("long")).drop("__back")
     # A time that two or more segments cover lies in an overlap: of the segments begun by then more than one hasn't ended
     # before. Each segment's first and last row stand for it, so the sweep is a sum over the tag's own rows.
-    d = d.withColumn("__us", micros(order.time))
-    seg = W.partitionBy(order.key, "brksec")
-    d = d.withColumns({"__open": F.row_number().over(seg.orderBy(F.asc_nulls_last("__us"), order.seq)), "__shut": F.row_number().over(seg.orderBy(F.desc_nulls_last("__us"), F.desc(order.seq)))})
-    one = lambda n: ((C(n) == 1) & C("__us").isNotNull()).cast("int")
-    d = d.withColumns({"__open": one("__open"), "__shut": one("__shut")})
-    line = W.partitionBy(order.key).orderBy("__us")
-    begun = F.sum("__open").over(line.rangeBetween(W.unboundedPreceding, 0))
-    ended = F.coalesce(F.sum("__shut").over(line.rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("parallel_issue", F.when(C("__us").isNull(), 0).otherwise((begun - ended > 1).cast("int")))
+    seg = W.partitionBy(order.key, "brksec").orderBy(F.asc_nulls_last(order.time), order.seq)
+    known = C(order.time).isNotNull()
+    d = d.withColumns({"__open": F.row_number().over(seg), "__shut": F.count(order.time).over(seg.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    d = d.withColumns({"__shut": (known & (C("__open") == C("__shut"))).cast("int"), "__open": (known & (C("__open") == 1)).cast("int")})
+    # One sort by time serves the windows of the sweep and of the blocks.
+    d = d.sortWithinPartitions(order.key, order.time, order.seq)
+    line = W.partitionBy(order.key).orderBy(order.time).rangeBetween(W.unboundedPreceding, 0)
+    ended = F.sum("__shut").over(line) - F.sum("__shut").over(order.whole(order.time))  # before this time
+    d = d.withColumn("parallel_issue", (known & (F.sum("__open").over(line) - ended > 1)).cast("int"))
     timed = W.partitionBy(order.key).orderBy(order.time, order.seq)
     start = ((C("parallel_issue") == 1) & (F.coalesce(F.lag("parallel_issue").over(timed), F.lit(0)) == 0)).cast("int")
     d = d.withColumn("__start", start).withColumn("__b", F.sum("__start").over(timed.rowsBetween(W.unboundedPreceding, 0)))
@@ -148,7 +150,8 @@ def duplicate_track(
     if mode == "annotate":
         d = mark(df, use_coords, order)
         if order.seq:
-            d = parallel_streams(d, order).withColumnRenamed("parallel_issue", "dup_parallel_rm").drop("brksec", "overlap_block")
+            # Sorted here, so that no window in ingest order is moved before those of ``mark``, which would sort twice.
+            d = parallel_streams(d.sortWithinPartitions(order.key, order.seq), order).withColumnRenamed("parallel_issue", "dup_parallel_rm").drop("brksec", "overlap_block")
         return d
     how = {"variables": variables, "directions": directions, "seed": seed, "order": order}
     d = resolve_parallel(df, of("parallel"), **how, quality_fun=quality_fun) if order.seq else df

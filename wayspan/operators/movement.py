@@ -112,7 +112,8 @@ def _raw_filter(df: DataFrame, limit: float, order: Order, keys: list[str]) -> D
     sorted rows as a stream of Arrow batches and keeps the last kept fix only, however long a section is.
     """
     more = [k for k in keys if k != order.key]
-    w, whole = order.window(*more), order.whole(*more)
+    w = order.window(*more)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in order, so that one sort serves all
     running = w.rowsBetween(W.unboundedPreceding, 0)
     placed = C("longitude").isNotNull() & C("latitude").isNotNull() & C(order.time).isNotNull()
     fast = traj_speed(df, "gapsec" in keys, order).select(*df.columns, "traj_speed")

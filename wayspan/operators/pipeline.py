@@ -95,12 +95,14 @@ def clean_track(df: DataFrame, how: Cleaning | None = None, annotate: bool = Tru
     d = movement.gap_section(d, p.gap, p.tol, order=order)
     if p.drop_single_gap:
         d = stage(checks.single_sections(d, order=order), "singlegap_rm")
-    if p.project:
-        d = enrich.project(d)
+    front = d.columns
     if p.speed is not None:
         d = stage(movement.speed_filt(d, p.speed, p.speed_method, p.hybrid, order=order), "speed_rm")
     if p.turn is not None:
         d = stage(movement.turn_filt(d, p.turn, p.turn_direction, order=order), "angle_rm")
+    if p.project:  # late, so that no sort holds the coordinates
+        d = enrich.project(d)
+        d = d.select(*dict.fromkeys([*front, "X", "Y", *d.columns]))
     if p.min_fix and p.min_fix_when == "after_all":
         d = stage(checks.few_fixes(d, p.min_fix, order=order), "tid_rm")
     if annotate:
