@@ -9,7 +9,11 @@ all inner points of that row whether they are inside. A point is then inside as
 number of the cell's own edges lies between the two. The index is two tables, joined by equality: per strip of sixteen
 cells of a row the polygons that cover some of them whole, as bits, and per cell the edges in it. Where polygons lie on one
 another cells are made smaller until few edges share one; where only a flag is asked for, or the outline of all, edges in
-a cell that another polygon covers whole are left out.
+a cell that another polygon covers whole are left out. A spatial join, and points that share their places, take the index as
+one table instead, a row per strip and polygon, so that no row holds all polygons of a cell.
+
+The index grows with the polygons whatever their file's size, from which Spark would judge it: a side goes to all executors
+only where its rows were counted, and every other join of the cover tests is a sort-merge one.
 
 The nearest edge is found from the top of a pyramid of cells, four times as wide on each level: of a cell's candidates
 those stay that are no farther than the farthest point of the best one. That is done once for each distinct cell with
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from wayspan.functions import geo
 from wayspan.operators.outliers import kept as held
 from wayspan.operators.outliers import order_stats
+from wayspan.session import settled
 
 C = F.col
 EDGE = "array<struct<t:int,x1:double,y1:double,x2:double,y2:double>>"
@@ -50,6 +55,10 @@ FAN = 4
 FINER = 2
 #: Edges that share a cell with an edge, on the average, beyond which cells are made smaller; rows per edge that they may come to.
 CROWD, LAID = 16, 16
+#: Distinct places of points, polygons' ids of all places together, and rows of edges by cell that may be sent to all executors.
+PLACES, IDS, CARRIED = 50_000, 2_000_000, 100_000
+#: Rows of a join's result that a task is meant to make.
+MADE = 100_000_000
 
 
 def edge_table(vertices: DataFrame, poly: str = "poly", ring: str = "ring", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
@@ -69,11 +78,13 @@ def edges_of(spark: SparkSession, polygons: list[list[geo.Ring]]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Grid:
-    """Cell size, the table's box, and whether its index (of strips and of edges by cell) may be sent to all executors."""
+    """Cell size, the table's box, and whether its index (of strips and of edges by cell) may be sent to all executors,
+    also as a row per strip and polygon (``tiny``)."""
 
     size: float
     box: tuple[float, float, float, float] | None
     small: bool
+    tiny: bool = False
 
     def ix(self, x: Column) -> Column:
         return F.floor(x / self.size)
@@ -92,7 +103,7 @@ def grid(edges: DataFrame, size: float | None = None) -> Grid:
     )
     r = by.agg(F.sum("n").alias("n"), F.sum("len").alias("len"), F.sum((C("x1") - C("x0")) * (C("y1") - C("y0"))).alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).head()
     if not r["n"]:
-        return Grid(size or 1.0, None, True)
+        return Grid(size or 1.0, None, True, True)
     box, n = (r["x0"], r["y0"], r["x1"], r["y1"]), r["n"]
     least = max(math.sqrt(r["area"] / STRIP / (4 * n + 1000)), 1e-9)
     fixed, size = size is not None, size or max(4 * r["len"] / n, least)
@@ -102,7 +113,13 @@ def grid(edges: DataFrame, size: float | None = None) -> Grid:
         if fixed or smaller > size / 2:
             break
         size = smaller
-    return Grid(size, box, n <= SENT and c["rows"] <= 4 * SENT and r["area"] / STRIP / size**2 <= SENT)
+    strips = r["area"] / STRIP / size**2
+    return Grid(size, box, n <= SENT and c["rows"] <= 4 * SENT and strips <= SENT, c["rows"] <= CARRIED and strips <= CARRIED)
+
+
+def _sent(d: DataFrame, all_over: bool) -> DataFrame:
+    """A join's side: broadcast if so, else never, whatever size Spark takes it for."""
+    return F.broadcast(d) if all_over else d.hint("merge")
 
 
 def in_cells(edges: DataFrame, g: Grid) -> DataFrame:
@@ -122,10 +139,16 @@ def _bit(mask: Column | str, t: Column) -> Column:
     return F.call_function("shiftright", C(mask) if isinstance(mask, str) else mask, t).bitwiseAND(F.lit(1)) == 1
 
 
-def _strips(edges: DataFrame, g: Grid) -> DataFrame:
+def _strips(edges: DataFrame, g: Grid, carried: bool = False, cells: DataFrame | None = None) -> DataFrame:
     """Per strip (jx, iy) and polygon a bit per cell: ``inner`` where it covers the cell's inner point, ``cut`` where it has
-    edges."""
-    laid = in_cells(edges, g).select(F.floor(C("ix") / STRIP).alias("jx"), "iy", "poly", F.lit(0).alias("inner"), F.call_function("shiftleft", F.lit(1), F.pmod("ix", F.lit(STRIP)).cast("int")).alias("cut"))
+    edges; with ``carried`` these ``edges`` too, each with its cell's number ``t`` in the strip. ``cells`` (ix, iy, jx), few,
+    are the only ones that are asked for: edges elsewhere and other strips are left out."""
+    t = F.pmod("ix", F.lit(STRIP)).cast("int")
+    edge = [F.struct(t.alias("t"), "x1", "y1", "x2", "y2").alias("edge")] if carried else []
+    laid = in_cells(edges, g)
+    if cells is not None:
+        laid = laid.join(F.broadcast(cells.select("ix", "iy").distinct()), ["ix", "iy"], "left_semi")
+    laid = laid.select(F.floor(C("ix") / STRIP).alias("jx"), "iy", "poly", F.lit(0).alias("inner"), F.call_function("shiftleft", F.lit(1), t).alias("cut"), *edge)
     # Where a row's line of inner points meets the polygon's edges: between an odd crossing and the next it is inside.
     rows = edges.withColumn("iy", F.explode(F.sequence(g.ix(F.least("y1", "y2")) - 1, g.ix(F.greatest("y1", "y2")) + 1)))
     line = (C("iy") + INNER_Y) * g.size
@@ -134,9 +157,12 @@ def _strips(edges: DataFrame, g: Grid) -> DataFrame:
     w = W.partitionBy("poly", "iy").orderBy("k")
     runs = rows.select("poly", "iy", (C("k") + 1).alias("a"), F.lead("k").over(w).alias("b"), F.row_number().over(w).alias("n")).filter("n % 2 = 1 AND a <= b")
     runs = runs.withColumn("jx", F.explode(F.sequence(F.floor(C("a") / STRIP), F.floor(C("b") / STRIP))))
+    if cells is not None:
+        runs = runs.join(F.broadcast(cells.select("jx", "iy").distinct()), ["jx", "iy"], "left_semi")
     first, last = F.greatest(C("a") - C("jx") * STRIP, F.lit(0)), F.least(C("b") - C("jx") * STRIP, F.lit(STRIP - 1))
     runs = runs.withColumns({"__first": first, "__last": last}).select("jx", "iy", "poly", F.expr("shiftleft(1, int(__last) + 1) - shiftleft(1, int(__first))").alias("inner"), F.lit(0).alias("cut"))
-    return laid.unionByName(runs).groupBy("jx", "iy", "poly").agg(F.bit_or("inner").alias("inner"), F.bit_or("cut").alias("cut"))
+    listed = [F.collect_list("edge").alias("edges")] if carried else []
+    return laid.unionByName(runs, allowMissingColumns=carried).groupBy("jx", "iy", "poly").agg(F.bit_or("inner").alias("inner"), F.bit_or("cut").alias("cut"), *listed)
 
 
 def whole_cells(edges: DataFrame, g: Grid) -> DataFrame:
@@ -146,7 +172,7 @@ def whole_cells(edges: DataFrame, g: Grid) -> DataFrame:
 
 def _open(laid: DataFrame, whole: DataFrame, g: Grid) -> DataFrame:
     """Rows of ``in_cells`` whose cell no polygon covers whole."""
-    d = laid.withColumn("jx", F.floor(C("ix") / STRIP)).join(F.broadcast(whole) if g.small else whole, ["jx", "iy"], "left")
+    d = laid.withColumn("jx", F.floor(C("ix") / STRIP)).join(_sent(whole, g.small), ["jx", "iy"], "left")
     return d.filter(~F.coalesce(_bit("whole", F.pmod("ix", F.lit(STRIP)).cast("int")), F.lit(False))).drop("whole")
 
 
@@ -165,7 +191,7 @@ def index(edges: DataFrame, g: Grid, any_of: bool = False) -> tuple[DataFrame, D
         whole = strips.select("jx", "iy", F.struct("poly", bits.alias("bits")).alias("p")).filter("p.bits <> 0").groupBy("jx", "iy").agg(F.collect_list("p").alias("whole"))
         laid = laid.withColumn("jx", F.floor(C("ix") / STRIP))
     laid = laid.groupBy("jx", "iy", "poly", "ix").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    laid = laid.join(strips.select("jx", "iy", "poly", "inner"), ["jx", "iy", "poly"])
+    laid = laid.join(_sent(strips.select("jx", "iy", "poly", "inner"), g.tiny), ["jx", "iy", "poly"])
     inner = _bit("inner", F.pmod("ix", F.lit(STRIP)).cast("int"))
     return whole, laid.groupBy("ix", "iy").agg(F.collect_list(F.struct("poly", inner.cast("int").alias("inner"), "edges")).alias("parts"))
 
@@ -179,54 +205,89 @@ def on_edge(x: Column, y: Column, e: Column) -> Column:
     return within & (_side(e["x1"], e["y1"], e["x2"], e["y2"], x, y) == 0)
 
 
-def _covers(p: Column, x: Column, y: Column, rx: Column, ry: Column, boundary: bool) -> Column:
-    """Whether polygon ``p`` with edges in a cell covers (x, y) there. Both ends of an edge are put on a side of the line to
-    the inner point by the same formula as the next edge's, so no corner is counted twice."""
+def _covers(edges: Column, inner: Column, x: Column, y: Column, rx: Column, ry: Column, boundary: bool) -> Column:
+    """Whether a polygon with ``edges`` in a cell, and its inner point inside or not, covers (x, y) there. Both ends of an edge
+    are put on a side of the line to the inner point by the same formula as the next edge's, so no corner is counted twice."""
     between = lambda e: ((_side(x, y, rx, ry, e["x1"], e["y1"]) >= 0) != (_side(x, y, rx, ry, e["x2"], e["y2"]) >= 0)) & ((_side(e["x1"], e["y1"], e["x2"], e["y2"], x, y) >= 0) != (_side(e["x1"], e["y1"], e["x2"], e["y2"], rx, ry) >= 0))
-    inside = (F.size(F.filter(p["edges"], between)) + p["inner"]) % 2 == 1
-    touched = F.exists(p["edges"], lambda e: on_edge(x, y, e))
+    inside = (F.size(F.filter(edges, between)) + inner) % 2 == 1
+    touched = F.exists(edges, lambda e: on_edge(x, y, e))
     return inside | touched if boundary else inside & ~touched
 
 
+def _at(points: DataFrame, x: str, y: str, g: Grid) -> DataFrame:
+    """``points`` with their cells and strips."""
+    return points.withColumns({"__ix": g.ix(C(x)), "__iy": g.ix(C(y))}).withColumn("__jx", F.floor(C("__ix") / STRIP))
+
+
 def _found(points: DataFrame, edges: DataFrame, x: str, y: str, g: Grid, any_of: bool) -> tuple[DataFrame, Column]:
     """``points`` with the index's columns of their cells, and the cell's bit."""
-    whole, parts = (F.broadcast(d) if g.small else d for d in index(edges, g, any_of))
-    p = points.withColumns({"__ix": g.ix(C(x)), "__iy": g.ix(C(y))}).withColumn("__jx", F.floor(C("__ix") / STRIP))
+    whole, parts = (_sent(d, g.small) for d in index(edges, g, any_of))
+    p = _at(points, x, y, g)
     p = p.join(whole.select(C("jx").alias("__jx"), C("iy").alias("__iy"), C("whole").alias("__whole")), ["__jx", "__iy"], "left")
     p = p.join(parts.select(C("ix").alias("__ix"), C("iy").alias("__iy"), C("parts").alias("__parts")), ["__ix", "__iy"], "left")
     return p, F.pmod("__ix", F.lit(STRIP)).cast("int")
 
 
-def _by_spot(points: DataFrame, x: str, y: str, work: Callable[[DataFrame, str, str], DataFrame], out: str) -> DataFrame:
-    """``points`` with column ``out`` of ``work``, which is done once for each place where places repeat."""
+def _pairs(points: DataFrame, edges: DataFrame, x: str, y: str, boundary: bool, g: Grid, how: str = "inner", few: bool = False) -> DataFrame:
+    """A row of ``points`` per polygon that covers it, as ``__poly``; ``left`` keeps the others too, with a null. ``few``
+    points go to all executors and to the polygons, and leave out what is in no cell of theirs."""
+    p = _at(points, x, y, g)
+    cells = p.select(*(C(f"__{c}").alias(c) for c in ("ix", "iy", "jx"))) if few else None
+    table = _strips(edges, g, True, cells).select(*(C(c).alias(f"__p{c}") for c in ("jx", "iy", "inner", "cut", "edges")), C("poly").alias("__poly"))
+    t, (rx, ry) = F.pmod("__ix", F.lit(STRIP)).cast("int"), g.inner(C("__ix"), C("__iy"))
+    inner = _bit("__pinner", t)
+    covers = F.when(_bit("__pcut", t), _covers(F.filter("__pedges", lambda e: e["t"] == t), inner.cast("int"), C(x), C(y), rx, ry, boundary)).otherwise(inner)
+    on = (C("__jx") == C("__pjx")) & (C("__iy") == C("__piy")) & covers
+    d = table.join(F.broadcast(p), on) if few else p.join(_sent(table, g.tiny), on, how)
+    return d.select(*points.columns, "__poly")
+
+
+def _by_place(points: DataFrame, edges: DataFrame, x: str, y: str, boundary: bool, g: Grid) -> tuple[DataFrame, int | None] | None:
+    """Per distinct place (__px, __py) that some polygon covers these polygons' sorted ids as ``__c``, ready to be joined to points, and
+    how many rows points and polygons come to if that was counted; None where places don't repeat. Few places are held, so
+    that they are known to be few. A place's ids are one row."""
     at = points.filter(C(x).isNotNull() & C(y).isNotNull()).select(C(x).alias("__px"), C(y).alias("__py"))
     n, spots = at.agg(F.count("*"), F.approx_count_distinct(F.struct("__px", "__py"))).head()
     if n < 4 * spots:
-        return work(points, x, y)
-    done = work(at.distinct(), "__px", "__py")
-    return points.withColumns({"__px": C(x), "__py": C(y)}).join(done, ["__px", "__py"], "left").select(*points.columns, out)
+        return None
+    few, places = spots <= PLACES, at.groupBy("__px", "__py").agg(F.count("*").alias("__n"))
+    found = _pairs(settled(places) if few else places, edges, "__px", "__py", boundary, g, few=few)
+    found = found.groupBy("__px", "__py").agg(F.sort_array(F.collect_list("__poly")).alias("__c"), F.first("__n").alias("__n"))
+    if not few:
+        return found.drop("__n").hint("merge"), None
+    found = settled(found)
+    ids, rows = found.agg(F.sum(F.size("__c")), F.sum(F.size("__c") * C("__n"))).head()
+    return _sent(found.drop("__n"), (ids or 0) <= IDS), rows or 0
 
 
 def covering(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", boundary: bool = True, out: str = "covering", g: Grid | None = None) -> DataFrame:
-    """``points`` with the sorted ids of the polygons that cover each; points on an edge count unless ``boundary`` is off."""
+    """``points`` with the sorted ids of the polygons that cover each; points on an edge count unless ``boundary`` is off.
+    Where places repeat, each is worked out once."""
     g = g or grid(edges)
     none = F.array().cast(f"array<{edges.schema['poly'].dataType.simpleString()}>")
-
-    def work(p: DataFrame, x: str, y: str) -> DataFrame:
-        d, t = _found(p, edges, x, y, g, False)
-        rx, ry = g.inner(C("__ix"), C("__iy"))
-        sure = F.transform(F.filter("__whole", lambda q: _bit(q["bits"], t)), lambda q: q["poly"])
-        tried = F.transform(F.filter("__parts", lambda q: _covers(q, C(x), C(y), rx, ry, boundary)), lambda q: q["poly"])
-        return d.select(*p.columns, F.sort_array(F.concat(F.coalesce(sure, none), F.coalesce(tried, none))).alias(out))
-
-    return _by_spot(points, x, y, work, out).withColumn(out, F.coalesce(out, none))
+    if places := _by_place(points, edges, x, y, boundary, g):
+        d = points.withColumns({"__px": C(x), "__py": C(y)}).join(places[0], ["__px", "__py"], "left")
+        return d.select(*points.columns, F.coalesce("__c", none).alias(out))
+    d, t = _found(points, edges, x, y, g, False)
+    rx, ry = g.inner(C("__ix"), C("__iy"))
+    sure = F.transform(F.filter("__whole", lambda q: _bit(q["bits"], t)), lambda q: q["poly"])
+    tried = F.transform(F.filter("__parts", lambda q: _covers(q["edges"], q["inner"], C(x), C(y), rx, ry, boundary)), lambda q: q["poly"])
+    return d.select(*points.columns, F.sort_array(F.concat(F.coalesce(sure, none), F.coalesce(tried, none))).alias(out))
 
 
 def spatial_join(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", how: str = "inner", boundary: bool = True) -> DataFrame:
-    """A row per point and polygon that covers it; ``left`` also keeps points that none does, with a null poly."""
-    d = covering(points, edges, x, y, boundary, "__c")
-    explode = F.explode_outer if how == "left" else F.explode
-    return d.select(*points.columns, explode("__c").alias("poly"))
+    """A row per point and polygon that covers it; ``left`` also keeps points that none does, with a null poly.
+
+    The result is as large as points and polygons make it; neither driver nor task holds more of it than a place's ids. Where
+    places repeat, each is worked out once, and points are dealt out anew, as few bytes of theirs make many rows."""
+    g, how = grid(edges), "left" if how == "left" else "inner"
+    if not (places := _by_place(points, edges, x, y, boundary, g)):
+        return _pairs(points, edges, x, y, boundary, g, how).withColumnRenamed("__poly", "poly")
+    found, rows = places
+    if rows:
+        points = points.repartition(max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / MADE)))
+    d = points.withColumns({"__px": C(x), "__py": C(y)}).join(found, ["__px", "__py"], how)
+    return d.select(*points.columns, (F.explode_outer if how == "left" else F.explode)("__c").alias("poly"))
 
 
 def covered(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", boundary: bool = True, out: str = "covered", g: Grid | None = None) -> DataFrame:
@@ -235,7 +296,7 @@ def covered(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", bou
     d, t = _found(points, edges, x, y, g, True)
     rx, ry = g.inner(C("__ix"), C("__iy"))
     sure = F.coalesce(_bit("__whole", t), F.lit(False))
-    tried = F.coalesce(F.exists("__parts", lambda q: _covers(q, C(x), C(y), rx, ry, boundary)), F.lit(False))
+    tried = F.coalesce(F.exists("__parts", lambda q: _covers(q["edges"], q["inner"], C(x), C(y), rx, ry, boundary)), F.lit(False))
     return d.select(*points.columns, F.when(C(x).isNotNull() & C(y).isNotNull(), sure | tried).alias(out))
 
 
