@@ -57,8 +57,8 @@ FINER = 2
 CROWD, LAID = 16, 16
 #: Distinct places of points, polygons' ids of all places together, and rows of edges by cell that may be sent to all executors.
 PLACES, IDS, CARRIED = 50_000, 2_000_000, 100_000
-#: Rows of a join's result that a task is meant to make.
-MADE = 100_000_000
+#: Rows of a join's result that a task is meant to make, and tasks beyond which they make more: the driver samples 300 places for each.
+MADE, TASKS = 100_000_000, 2_000
 
 
 def edge_table(vertices: DataFrame, poly: str = "poly", ring: str = "ring", seq: str = "seq", x: str = "x", y: str = "y") -> DataFrame:
@@ -279,14 +279,17 @@ def spatial_join(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y"
     """A row per point and polygon that covers it; ``left`` also keeps points that none does, with a null poly.
 
     The result is as large as points and polygons make it; neither driver nor task holds more of it than a place's ids. Where
-    places repeat, each is worked out once, and points are dealt out anew, as few bytes of theirs make many rows."""
+    places repeat, each is worked out once, and points are dealt out anew, as few bytes of theirs make many rows, by ranges of
+    places, so that like rows are written together."""
     g, how = grid(edges), "left" if how == "left" else "inner"
     if not (places := _by_place(points, edges, x, y, boundary, g)):
         return _pairs(points, edges, x, y, boundary, g, how).withColumnRenamed("__poly", "poly")
-    found, rows = places
+    (found, rows), d = places, points.withColumns({"__px": C(x), "__py": C(y)})
     if rows:
-        points = points.repartition(max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / MADE)))
-    d = points.withColumns({"__px": C(x), "__py": C(y)}).join(found, ["__px", "__py"], how)
+        tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, math.ceil(rows / MADE)))
+        whole = F.xxhash64(*(c for c, kind in points.dtypes if "map<" not in kind and "variant" not in kind))  # so that a place's points can be parted
+        d = d.withColumn("__i", whole).repartitionByRange(tasks, "__px", "__py", "__i")
+    d = d.join(found, ["__px", "__py"], how)
     return d.select(*points.columns, (F.explode_outer if how == "left" else F.explode)("__c").alias("poly"))
 
 
